@@ -5,7 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .common import held_out
+from .language_id import identify
+from .language_id import train as train_languages
 from .mixing import mix_plan
 from .packing import pack_documents
 
@@ -23,8 +27,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    found = identify(docs.select("doc_id", "text"), train_languages(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_packing": op4_packing, "op7_mixing": op7_mixing}
+    return {"op4_packing": op4_packing, "op7_mixing": op7_mixing, "op9_language_id": op9_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
