@@ -12,6 +12,7 @@ from .language_id import identify
 from .language_id import train as train_languages
 from .mixing import mix_plan
 from .packing import pack_documents
+from .substring_dedup import remove_repeats
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_documents(spark, sf_dir)).drop("kept_text")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     found = identify(docs.select("doc_id", "text"), train_languages(docs))
@@ -34,7 +39,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_packing": op4_packing, "op7_mixing": op7_mixing, "op9_language_id": op9_language_id}
+    return {"op4_packing": op4_packing, "op7_mixing": op7_mixing, "op8_substring_dedup": op8_substring_dedup, "op9_language_id": op9_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
