@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import license_scan, toxicity
 from .common import held_out
 from .language_id import identify
 from .language_id import train as train_languages
+from .media_columns import document_media
 from .mixing import mix_plan
 from .packing import pack_documents
+from .spot_signatures import fingerprint_documents
 from .substring_dedup import remove_repeats
 
 
@@ -19,10 +22,30 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(_documents(spark, sf_dir))
+
+
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_media(_documents(spark, sf_dir)).drop("pos", "caption")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir)).drop("ids")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_documents(spark, sf_dir))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = toxicity.score(docs, toxicity.train(docs, labels))
+    return found.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "worst_sentence", "sentence_score"
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(_documents(spark, sf_dir))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -39,8 +62,17 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_packing": op4_packing, "op7_mixing": op7_mixing, "op8_substring_dedup": op8_substring_dedup, "op9_language_id": op9_language_id}
+    return {
+        "op2_fingerprints": op2_fingerprints,
+        "op3_media_columns": op3_media_columns,
+        "op4_packing": op4_packing,
+        "op5_license_scan": op5_license_scan,
+        "op6_toxicity": op6_toxicity,
+        "op7_mixing": op7_mixing,
+        "op8_substring_dedup": op8_substring_dedup,
+        "op9_language_id": op9_language_id,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_license_scan": license_scan.oracle()}
