@@ -26,8 +26,10 @@ from .common import materialise, without_clash
 
 #: The separator id after each document.
 END_ID = 0
-#: Chunks whose ids a worker remembers before it starts afresh (about 150 MB).
-CHUNK_LIMIT = 800_000
+#: Chunks whose ids a worker remembers before it starts afresh (about 100 MB).
+CHUNK_LIMIT = 500_000
+#: Rows per partition of the first pass are broadcast up to so many, and joined by a shuffle beyond.
+BROADCAST_BLOCKS = 200_000
 #: Fixed by the vocabulary: its pre-tokenisation pattern.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -191,7 +193,9 @@ def pack_documents(docs: DataFrame, seq_len: int = 1024, tokenizer_path: str | N
             names = [c.split()[0] for c in (PIECES + ", ids binary").split(", ")]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=names)
 
-    placed = tokens.join(bases, "block").select(
+    bases = materialise(bases, "bases")
+    few = bases.count() <= BROADCAST_BLOCKS
+    placed = tokens.join(F.broadcast(bases) if few else bases, "block").select(
         "doc_id", (F.col("base") + F.col("local_start")).alias("at"), "n_tokens", "ids"
     )
     return placed.mapInArrow(cut, PIECES + ", ids binary")
