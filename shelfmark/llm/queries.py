@@ -11,6 +11,7 @@ from . import license_scan, toxicity
 from .common import held_out
 from .language_id import identify
 from .language_id import train as train_languages
+from .line_dedup import dedup_lines
 from .media_columns import document_media
 from .mixing import mix_plan
 from .packing import pack_documents
@@ -61,6 +62,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_fingerprints": op2_fingerprints,
@@ -71,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_mixing": op7_mixing,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_language_id": op9_language_id,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
