@@ -14,6 +14,8 @@ from .language_id import train as train_languages
 from .line_dedup import dedup_lines
 from .media_columns import document_media
 from .mixing import mix_plan
+from .ngram_join import components
+from .ngram_join import oracle as components_sql
 from .packing import pack_documents
 from .spot_signatures import fingerprint_documents
 from .substring_dedup import remove_repeats
@@ -23,6 +25,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components(_documents(spark, sf_dir), words_each=3, percent=90)
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_documents(spark, sf_dir))
 
@@ -69,6 +75,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op2_fingerprints": op2_fingerprints,
         "op3_media_columns": op3_media_columns,
         "op4_packing": op4_packing,
@@ -82,4 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": license_scan.oracle()}
+    return {
+        "op1_ngram_join": components_sql(words_each=3, percent=90),
+        "op5_license_scan": license_scan.oracle(),
+    }
