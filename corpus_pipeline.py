@@ -3,11 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfmark.llm.common import materialise
+from shelfmark.llm.language_id import UNKNOWN, identify, train
+from shelfmark.llm.line_dedup import dedup_lines
 from shelfmark.llm.mixing import mix
+from shelfmark.llm.ngram_join import components
 from shelfmark.llm.packing import pack_documents
 
+#: A language is accepted from this share of the code-length posterior.
+LEAST_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in a recognised language; null texts and texts without letters go."""
+    found = identify(docs, train(docs))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Delete aligned common lines from later documents; documents that lose all their text go."""
+    found = dedup_lines(docs)
+    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"\S")
+    kept = found.where(~F.coalesce(emptied, F.lit(False)))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document, the smallest id, of each component of five-word shingles at 0.8 or more."""
+    found = components(docs, words_each=5, percent=80)
+    lost = found.where("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or drop documents so that sources meet their target weights."""
@@ -19,9 +49,15 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
-STAGES = [("mix_sources", mix_sources), ("pack", pack)]
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("mix_sources", mix_sources),
+    ("pack", pack),
+]
 
-#: The stages use a tokenizer and trained models: SQL cannot express them.
+#: Trained models, alignment and a tokenizer: SQL cannot express the stages.
 ORACLE_SQL = None
 
 
