@@ -1,4 +1,9 @@
-"""The registered queries over captures, each with its SQL."""
+"""The registered queries over captures, each with its SQL for DuckDB.
+
+The shared tables hold no archive references, so captures, manifests, CDX rows
+and stores are derived from them by one rule, written once for Spark
+(:func:`captures`, :func:`assets`) and once as SQL (``CAPTURES``, ``EDGES``).
+"""
 
 from __future__ import annotations
 
@@ -7,15 +12,704 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import classify, keys, text
+from ..operators import build, graph, relations, verify
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+CAPTURES = """captures AS (
+  SELECT page_id, url, html, ts, key, hash,
+    CASE WHEN substr(hash, 1, 1) <= '9' THEN 'body' WHEN substr(hash, 1, 1) IN ('a', 'b') THEN 'empty'
+      WHEN substr(hash, 1, 1) = 'c' THEN 'redirect' WHEN substr(hash, 1, 1) = 'd' THEN 'error'
+      ELSE 'interstitial' END AS status,
+    'sha256-' || base64(unhex(sha256(html))) AS content_hash
+  FROM (SELECT *, sha256(key) AS hash FROM (SELECT *, ts || '/' || url AS key FROM (
+    SELECT page_id, url, html, strftime(TIMESTAMP '2014-01-01' + to_hours(page_id), '%Y%m%d%H%M%S') AS ts FROM pages))))"""
+EDGES = """edges AS (
+  SELECT key AS parent, '2014/http://assets.example.com/a' || CAST((page_id * 7 + k * 13) % 211 AS VARCHAR) || '.png' AS child,
+    k = 3 AS dynamic, CASE WHEN k = 3 THEN 'im_' WHEN k = 2 THEN 'oe_' END AS flag
+  FROM captures, (SELECT unnest([0, 1, 2, 3]) AS k)),
+held AS (SELECT DISTINCT child AS key FROM edges
+  WHERE CAST(regexp_extract(child, 'a([0-9]+)[.]png', 1) AS INT) % 3 = 0)"""
+
+
+def query(sql: str | None = None):
+    def register(function):
+        _QUERIES[function.__name__] = function
+        if sql:
+            _SQL[function.__name__] = sql
+        return function
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A capture per page, one an hour from 2014 on; its status follows from its hash."""
+    pages = table(spark, sf_dir, "pages")
+    at = F.expr("date_format(timestampadd(HOUR, page_id, timestamp'2014-01-01 00:00:00'), 'yyyyMMddHHmmss')")
+    first = F.substr("hash", F.lit(1), F.lit(1))
+    return (
+        pages.select("page_id", "url", "html", at.alias("ts"))
+        .withColumn("key", keys.capture_key(F.col("ts"), F.col("url")))
+        .withColumn("hash", keys.capture_hash(F.col("key")))
+        .withColumn(
+            "status",
+            F.when(first <= "9", "body").when(first.isin("a", "b"), "empty").when(first == "c", "redirect")
+            .when(first == "d", "error").otherwise("interstitial"),
+        )
+        .withColumn("content_hash", keys.sri(F.col("html")))
+    )
+
+
+def assets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Edges of four requisites a page, and those of them that the store holds."""
+    k = F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("k")
+    number = ((F.col("page_id") * 7 + F.col("k") * 13) % 211).cast("string")
+    edges = captures(spark, sf_dir).select("key", "page_id", k).select(
+        F.col("key").alias("parent"),
+        F.concat(F.lit("2014/http://assets.example.com/a"), number, F.lit(".png")).alias("child"),
+        (F.col("k") == 3).alias("dynamic"),
+        F.when(F.col("k") == 3, "im_").when(F.col("k") == 2, "oe_").alias("flag"),
+    )
+    held = edges.where("cast(regexp_extract(child, 'a([0-9]+)[.]png', 1) as int) % 3 = 0")
+    return edges, held.select(F.col("child").alias("key")).distinct()
+
+
+@query(
+    f"""WITH {CAPTURES}
+SELECT page_id, key, hash, content_hash, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes,
+  count(*) OVER (PARTITION BY content_hash) AS copies FROM captures"""
+)
 def capture_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select("page_id", F.sha2("url", 256).alias("hash"))
+    """Key, hash, body digest and size of every capture, and how many captures share the body."""
+    rows = captures(spark, sf_dir).select(
+        "page_id", "key", "hash", "content_hash", F.octet_length("html").cast("long").alias("n_bytes")
+    )
+    copies = rows.groupBy("content_hash").agg(F.count("*").alias("copies"))
+    return rows.join(copies, "content_hash")
+
+
+@query(
+    f"""WITH {CAPTURES}, h AS (SELECT page_id, key, hash, lower(hex(from_base64(substr(content_hash, 8)))) AS d FROM captures)
+SELECT page_id, 'cap/' || substr(hash, 1, 2) || '/' || hash AS object_path,
+  'meta/' || substr(hash, 1, 2) || '/' || hash || '.json' AS sidecar_path, 'cap/' || substr(d, 1, 2) || '/' || d AS body_path FROM h"""
+)
+def capture_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("key")
+    return captures(spark, sf_dir).select(
+        "page_id",
+        keys.capture_path(key).alias("object_path"),
+        keys.meta_path(key).alias("sidecar_path"),
+        keys.body_path(F.col("content_hash")).alias("body_path"),
+    )
+
+
+@query(
+    r"""SELECT page_id, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  u, '^(http://[^/:]+):80(/|$)', '\1\2'), '^https?://', '', 'i'), '^www\.', '', 'i'), '^([^/]+?)\.(/|$)', '\1\2'), '/+$', '')) AS match_key
+FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN replace(replace(url, 'https://', 'http://www.'), '.com/', '.com:80/')
+  WHEN page_id % 3 = 1 THEN upper(url) || '//' ELSE url END AS u FROM pages)"""
+)
+def url_match_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.expr(
+        "CASE WHEN page_id % 3 = 0 THEN replace(replace(url, 'https://', 'http://www.'), '.com/', '.com:80/')"
+        " WHEN page_id % 3 = 1 THEN upper(url) || '//' ELSE url END"
+    )
+    return table(spark, sf_dir, "pages").select("page_id", keys.match_key(url).alias("match_key"))
+
+
+@query(
+    r"""SELECT page_id, CASE WHEN regexp_matches(c, '^https?://[^/]', 'i') THEN c WHEN regexp_matches(c, '^//[^/]') THEN 'https:' || c
+  WHEN regexp_matches(c, '^[0-9A-Za-z_-]+(\.[0-9A-Za-z_-]+)+([:/?#]|$)') THEN 'http://' || c END AS repaired
+FROM (SELECT page_id, regexp_replace(m, '^(https?):/([^/]|$)', '\1://\2', 'i') AS c FROM (
+  SELECT page_id, CASE page_id % 4 WHEN 0 THEN replace(url, '://', ':/') WHEN 1 THEN regexp_replace(url, '^https?:', '')
+    WHEN 2 THEN regexp_replace(url, '^https?://', '') ELSE '/' || url END AS m FROM pages))"""
+)
+def url_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mangled = F.expr(
+        "CASE page_id % 4 WHEN 0 THEN replace(url, '://', ':/') WHEN 1 THEN regexp_replace(url, '^https?:', '')"
+        " WHEN 2 THEN regexp_replace(url, '^https?://', '') ELSE '/' || url END"
+    )
+    return table(spark, sf_dir, "pages").select("page_id", keys.repair_url(mangled).alias("repaired"))
+
+
+@query(
+    f"""WITH {CAPTURES}, u AS (SELECT page_id, ts, url, CASE page_id % 3 WHEN 0 THEN 'im_' WHEN 1 THEN '' ELSE 'abc_' END AS f FROM captures)
+SELECT page_id, CASE WHEN f <> 'abc_' THEN ts END AS timestamp, CASE WHEN f <> 'abc_' THEN f END AS flag,
+  CASE WHEN f <> 'abc_' THEN url END AS original, ts || '/' || url AS path_key, nullif(f, '') AS path_flag FROM u"""
+)
+def parse_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both parsers over replay URLs: one takes two-letter flags alone, the other up to three letters."""
+    flag = F.expr("CASE page_id % 3 WHEN 0 THEN 'im_' WHEN 1 THEN '' ELSE 'abc_' END")
+    rows = captures(spark, sf_dir).select("page_id", F.concat(F.lit(keys.ARCHIVE), "ts", flag, F.lit("/"), "url").alias("u"))
+    rows = rows.select("page_id", keys.parse_replay(F.col("u")).alias("r"), keys.parse_archive_url(F.col("u")).alias("p"))
+    return rows.select("page_id", "r.*", F.col("p.key").alias("path_key"), F.col("p.flag").alias("path_flag"))
+
+
+@query(f"""WITH {CAPTURES} SELECT page_id, split_part(key, '#', 1) AS key FROM captures""")
+def strip_fragment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captures(spark, sf_dir).select("page_id", keys.strip_fragment(F.col("key")).alias("key"))
+
+
+_TYPES = ["text/html; charset=utf-8", "text/css", "application/x-javascript", "image/png", "", "application/xhtml+xml", "TEXT/JavaScript"]
+
+
+@query(
+    f"""WITH t AS (SELECT page_id, [{', '.join(f"'{x}'" for x in _TYPES)}][page_id % 7 + 1] AS ct FROM pages)
+SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'html' WHEN 1 THEN 'css' WHEN 2 THEN 'js' WHEN 5 THEN 'html' WHEN 6 THEN 'js' END AS dialect,
+  coalesce(nullif(ct, ''), 'application/octet-stream') AS served, page_id % 7 IN (0, 1, 2, 5, 6) AS is_text,
+  page_id % 7 IN (0, 4, 5) AS htmlish FROM t"""
+)
+def content_type_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(*[F.lit(t) for t in _TYPES]), (F.col("page_id") % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", kind.alias("ct")).select(
+        "page_id",
+        classify.dialect(F.col("ct")).alias("dialect"),
+        keys.content_type(F.col("ct")).alias("served"),
+        classify.is_text(F.col("ct")).alias("is_text"),
+        classify.is_htmlish(F.col("ct")).alias("htmlish"),
+    )
+
+
+@query(
+    r"""WITH l AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS ls FROM pages),
+e AS (SELECT page_id, unnest(ls) AS href, generate_subscripts(ls, 1) - 1 AS pos FROM l)
+SELECT page_id, href, CAST(min(pos) AS BIGINT) AS pos FROM e GROUP BY page_id, href"""
+)
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct links of each page at their first place."""
+    found = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
+    links = table(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("pos", "href"))
+    return links.groupBy("page_id", "href").agg(F.min("pos").cast("long").alias("pos"))
+
+
+_DECODE = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '&nbsp;', ' ', 'gi'), '&amp;', '&', 'gi'), '&lt;', '<', 'gi'), '&gt;', '>', 'gi'), '&#39;|&apos;', '''', 'gi'), '&quot;', '\"', 'gi')"
+_TEXT = "trim(regexp_replace(" + _DECODE.format(
+    "regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '<script.*?</script>', ' ', 'gis'), '<style.*?</style>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs'), '<[^>]+>', ' ', 'g')"
+) + ", '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+_TITLE = "trim(regexp_replace(" + _DECODE.format("regexp_extract(h, '<title[^>]*>(.*?)</title>', 1, 'is')") + ", '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, {_TITLE} AS title, sha256({_TEXT}) AS text_hash, CAST(length({_TEXT}) AS BIGINT) AS n_chars FROM (SELECT page_id, html AS h FROM pages)")
+def page_title_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = classify.text_of(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", classify.title_of(F.col("html")).alias("title"), body.alias("t")).select(
+        "page_id", "title", F.sha2("t", 256).alias("text_hash"), F.length("t").cast("long").alias("n_chars")
+    )
+
+
+_PLANTED = """CASE page_id % 9 WHEN 0 THEN '<title>404 Not Found</title>' || html WHEN 1 THEN '<p>HTTP Error 404</p>' || html
+  WHEN 2 THEN '<p>x</p>' WHEN 3 THEN '<p>This site is under construction, please return later on.</p>' || html
+  WHEN 4 THEN '<p>This domain name is for sale</p>' || html ELSE html END"""
+
+
+def _seen(where: str, markers: list[str]) -> str:
+    return "(" + " OR ".join(f"regexp_matches({where}, '{m.replace(chr(39), chr(39) * 2)}', 'i')" for m in markers) + ")"
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, {_TITLE} AS title, {_TEXT} AS body FROM (SELECT page_id, {_PLANTED} AS h FROM pages))
+SELECT page_id, CASE WHEN {_seen('title', classify.TITLE_MARKERS)} THEN 'wayback404'
+  WHEN {_seen('substr(body, 1, 2000)', classify.BODY_MARKERS)} THEN 'wayback404' WHEN length(body) < 40 THEN 'suspect'
+  WHEN {_seen('substr(body, 1, 2000)', classify.SOFT_MARKERS)} OR {_seen('title', classify.SOFT_MARKERS)} THEN 'suspect' ELSE 'good' END AS verdict FROM p"""
+)
+def soft404_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts over pages into which error pages, placeholders and empty shells are planted."""
+    html = text.audit_strip(F.expr(_PLANTED))
+    rows = table(spark, sf_dir, "pages").select("page_id", html.alias("h"))
+    rows = rows.select("page_id", classify.title_of(F.col("h")).alias("title"), classify.text_of(F.col("h")).alias("body"))
+    return rows.select("page_id", classify.replay_verdict(F.col("title"), F.col("body"))["verdict"].alias("verdict"))
+
+
+@query(
+    f"""WITH {CAPTURES} SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'archived-error' WHEN page_id % 6 = 1 THEN 'redirect-interstitial'
+  WHEN page_id % 6 = 2 THEN 'wrapper-stub' WHEN page_id % 6 = 3 THEN 'extension-mismatch' END AS signature,
+  CASE WHEN page_id % 6 = 1 THEN 'http://moved.example.com/' || CAST(page_id AS VARCHAR) END AS target FROM captures"""
+)
+def interstitial_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.expr(
+        """CASE page_id % 6 WHEN 1 THEN concat('<script>webComponentLoaderConfig; setTimeout(go, 5000)</script><a href="/web/2014/http:/moved.example.com/', page_id, '">')
+        WHEN 2 THEN '<title> Wayback Machine </title><iframe id="playback">' ELSE html END"""
+    )
+    key = F.expr("CASE WHEN page_id % 6 = 3 THEN concat(ts, '/http://x.example.com/a.pdf?q') ELSE key END")
+    cdx = F.expr("CASE WHEN page_id % 6 = 0 THEN '404' ELSE '200' END")
+    found = classify.interstitial(key, F.lit("text/html"), body, cdx)
+    return captures(spark, sf_dir).select("page_id", found.alias("i")).select(
+        "page_id", "i.signature", F.col("i.target.url").alias("target")
+    )
+
+
+@query("SELECT page_id, sha256(html) AS stripped_hash FROM pages")
+def chrome_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with the archive's additions put in and taken out again are the pages."""
+    dressed = F.expr(
+        """replace(html, '<head>', '<head><script src="/_static/js/a.js"></script><script>__wm.init("x");</script>
+<link href="https://web-static.archive.org/_static/css/b.css"/><!-- End Wayback Rewrite JS Include -->
+<!-- BEGIN WAYBACK TOOLBAR INSERT --><b>t</b><!-- END WAYBACK TOOLBAR INSERT -->')"""
+    )
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(text.without_chrome(dressed), 256).alias("stripped_hash"))
+
+
+_BEACON_URLS = ["http://www.google-analytics.com/__utm.gif?utmn=1", "https://x.doubleclick.net/a", "http://facebook.com/tr", "http://facebook.com/page",
+                "javascript:void(0)", "http://localhost/x", "http://maps.example.com/maps/gen_204", "https://cdn.example.com/a.js"]
+
+
+@query(
+    f"""SELECT page_id, [{', '.join(f"'{u}'" for u in _BEACON_URLS)}][page_id % 8 + 1] AS url, page_id % 8 IN (0, 1, 2, 6) AS beacon,
+  page_id % 8 NOT IN (4, 5) AS fetchable, page_id % 8 NOT IN (3, 7) AS unmirrorable FROM pages"""
+)
+def beacon_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.element_at(F.array(*[F.lit(u) for u in _BEACON_URLS]), (F.col("page_id") % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", url.alias("url")).select(
+        "page_id",
+        "url",
+        classify.is_beacon(F.col("url")).alias("beacon"),
+        classify.is_fetchable(F.col("url")).alias("fetchable"),
+        classify.is_unmirrorable(F.col("url")).alias("unmirrorable"),
+    )
+
+
+@query(
+    r"""WITH l AS (SELECT page_id, regexp_extract_all(html, '<a href="/([^"]*)"', 1) AS ls FROM pages),
+e AS (SELECT page_id, unnest(ls) AS p, generate_subscripts(ls, 1) - 1 AS k FROM l),
+r AS (SELECT page_id, k, '2014/http://x.example.com/' || regexp_extract(p, '^[^<> ''\\]*') AS key FROM e WHERE k % 5 <> 4)
+SELECT page_id, key, CASE CAST(min(k) AS BIGINT) % 5 WHEN 0 THEN 'im_' WHEN 1 THEN 'cs_' WHEN 2 THEN 'js_' ELSE 'oe_' END AS flag FROM r GROUP BY page_id, key"""
+)
+def requisite_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requisites of pages whose links are turned into flagged replay references, every fifth unflagged."""
+    links = F.regexp_extract_all("html", F.lit('<a href="/([^"]*)"'), F.lit(1))
+    flags = F.array(*[F.lit(f) for f in (*keys.REQUISITE_FLAGS, "")])
+    refs = F.transform(
+        links, lambda p, i: F.concat(F.lit('<img src="/web/2014'), F.get(flags, i % 5), F.lit("/http:/x.example.com/"), p, F.lit('">'))
+    )
+    page = table(spark, sf_dir, "pages").select("page_id", F.array_join(refs, "").alias("h"))
+    found = page.select("page_id", F.explode(text.requisites(F.col("h"))).alias("r"))
+    return found.select("page_id", "r.key", "r.flag")
+
+
+_LEDGER = """ledger AS (
+  SELECT CASE WHEN page_id % 5 = 0 THEN '1999/http://gone.example.com/' || CAST(page_id AS VARCHAR) ELSE key END AS key,
+    'f' || CAST((page_id + k) % 4 AS VARCHAR) AS file, page_id * 3 + k AS ord, ts || CASE k WHEN 0 THEN 'im_' ELSE '' END AS replay
+  FROM captures, (SELECT unnest([0, 1, 2]) AS k))"""
+
+
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("k")
+    return captures(spark, sf_dir).select("*", k).select(
+        F.expr("CASE WHEN page_id % 5 = 0 THEN concat('1999/http://gone.example.com/', page_id) ELSE key END").alias("key"),
+        F.expr("concat('f', (page_id + k) % 4)").alias("file"),
+        (F.col("page_id") * 3 + F.col("k")).alias("ord"),
+        F.expr("ts || CASE k WHEN 0 THEN 'im_' ELSE '' END").alias("replay"),
+    )
+
+
+@query(
+    f"""WITH {CAPTURES}, {_LEDGER}, g AS (SELECT key, string_agg(DISTINCT file, ',' ORDER BY file) AS files,
+  count(DISTINCT file) AS n_files, arg_min(replay, ord) AS replay FROM ledger GROUP BY key)
+SELECT g.key, files, n_files, replay, CASE WHEN status IS NULL THEN 'unfetched' WHEN status IN ('interstitial', 'error') THEN status ELSE 'cached' END AS state
+FROM g LEFT JOIN captures c ON c.key = g.key"""
+)
+def ledger_against(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.against(_ledger(spark, sf_dir), captures(spark, sf_dir))
+
+
+@query(
+    """WITH v AS (SELECT 'u' || CAST(event_id % 97 AS VARCHAR) AS url, ['rewrites', 'entries', 'exclude', 'noRewrite'][event_id % 4 + 1] AS section,
+  't' || CAST(event_id AS VARCHAR) AS target, user_id % 7 AS ord, event_id AS pos, 'f' || CAST(user_id % 7 AS VARCHAR) AS file FROM events)
+SELECT section, url, target, file FROM (SELECT *, row_number() OVER (PARTITION BY section, url ORDER BY ord, pos) AS n FROM v WHERE section <> 'noRewrite') WHERE n = 1"""
+)
+def ledger_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").selectExpr(
+        "concat('u', event_id % 97) AS url",
+        "element_at(array('rewrites', 'entries', 'exclude', 'noRewrite'), cast(event_id % 4 + 1 AS int)) AS section",
+        "concat('t', event_id) AS target",
+        "user_id % 7 AS ord",
+        "event_id AS pos",
+        "concat('f', user_id % 7) AS file",
+    )
+    return relations.flatten(rows)
+
+
+_PREFIXES = ["https://m.", "http://ththre.example.com/fr/8", "https://thther.example.org/en/685"]
+
+
+@query(
+    f"""WITH p(prefix) AS (VALUES {', '.join(f"('{p}')" for p in _PREFIXES)}), u AS (SELECT DISTINCT url FROM pages),
+r AS (SELECT url, min(page_id) AS id FROM pages WHERE page_id % 5 = 0 GROUP BY url)
+SELECT u.url, CASE WHEN EXISTS (SELECT 1 FROM p WHERE starts_with(u.url, prefix)) THEN 'excluded' WHEN id IS NOT NULL THEN 'rewritten' ELSE 'open' END AS answer,
+  CASE WHEN NOT EXISTS (SELECT 1 FROM p WHERE starts_with(u.url, prefix)) AND id IS NOT NULL THEN 'https://new.example.com/' || CAST(id AS VARCHAR) END AS target
+FROM u LEFT JOIN r ON r.url = u.url"""
+)
+def universe_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rewrites = pages.where("page_id % 5 = 0").groupBy("url").agg(F.min("page_id").alias("id"))
+    rewrites = rewrites.select("url", F.concat(F.lit("https://new.example.com/"), F.col("id").cast("string")).alias("target"))
+    prefixes = spark.createDataFrame([(p,) for p in _PREFIXES], "prefix string")
+    return relations.apply_policy(pages.select("url").distinct(), rewrites, prefixes)
+
+
+@query(
+    r"""WITH m AS (SELECT page_id, url, lower(regexp_replace(regexp_replace(regexp_replace(url, '^https?://', '', 'i'), '^www\.', '', 'i'), '/+$', '')) AS mk FROM pages),
+v AS (SELECT mk, CASE page_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 4 END AS rank, page_id AS pos, 't' || CAST(page_id AS VARCHAR) AS target FROM m WHERE page_id % 3 <> 0),
+b AS (SELECT mk, rank, target FROM (SELECT *, row_number() OVER (PARTITION BY mk ORDER BY rank, pos) AS n FROM v) WHERE n = 1)
+SELECT page_id AS link_id, url, coalesce(['noRewrite', 'exclude', 'rewrites', 'entries'][rank], 'none') AS section, target FROM m LEFT JOIN b ON b.mk = m.mk"""
+)
+def manifest_apply_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    verdicts = pages.where("page_id % 3 <> 0").selectExpr(
+        "upper(url) AS url",
+        "element_at(array('noRewrite', 'exclude', 'rewrites', 'entries'), cast(page_id % 4 + 1 AS int)) AS section",
+        "concat('t', page_id) AS target",
+        "page_id AS pos",
+    )
+    return relations.link_verdicts(pages.selectExpr("page_id AS link_id", "url"), verdicts)
+
+
+@query(
+    """WITH cdx AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS url, strftime(ts + to_days(CAST((event_id % 40) * 100 AS INT)), '%Y%m%d%H%M%S') AS timestamp, event_id AS ord FROM events),
+t AS (SELECT DISTINCT url, '20250131' AS near FROM cdx),
+j AS (SELECT t.url, near, timestamp, ord, CASE WHEN substr(timestamp, 1, 8) BETWEEN '20241201' AND '20250331' THEN 0
+  WHEN substr(timestamp, 1, 8) BETWEEN '20240131' AND '20260131' THEN 1 WHEN substr(timestamp, 1, 8) BETWEEN '20200131' AND '20300131' THEN 2 ELSE 3 END AS w
+  FROM t JOIN cdx ON cdx.url = t.url)
+SELECT url, near, timestamp, ord, w AS "window" FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY w,
+  CASE WHEN w = 3 THEN -CAST(timestamp AS BIGINT) ELSE abs(CAST(timestamp AS BIGINT) - 20250131000000) END, ord) AS n FROM j) WHERE n = 1"""
+)
+def nearest_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two months before 31 January 2025 overflow to 1 December; the windows are then a year and five."""
+    cdx = table(spark, sf_dir, "events").selectExpr(
+        "concat('u', user_id) AS url",
+        "date_format(cast(ts AS timestamp) + make_dt_interval(cast((event_id % 40) * 100 AS int)), 'yyyyMMddHHmmss') AS timestamp",
+        "event_id AS ord",
+    )
+    targets = cdx.select("url").distinct().withColumn("near", F.lit("20250131"))
+    return relations.nearest_captures(targets, cdx)
+
+
+@query(
+    f"""WITH {CAPTURES}, {EDGES}, u AS (SELECT parent, child, bool_and(dynamic) AS dynamic FROM edges GROUP BY parent, child)
+SELECT child, count(*) AS parents, bool_and(dynamic) AS dynamic FROM u WHERE child NOT IN (SELECT key FROM held) GROUP BY child"""
+)
+def closure_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.missing_children(*assets(spark, sf_dir))
+
+
+@query(
+    f"""WITH {CAPTURES}, {EDGES} SELECT child, count(DISTINCT parent) AS parents, min(parent) AS first_parent FROM edges GROUP BY child"""
+)
+def reverse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.reverse_edges(assets(spark, sf_dir)[0])
+
+
+@query(
+    f"""WITH {CAPTURES}, {EDGES}, f AS (SELECT child, coalesce(min(flag) FILTER (dynamic), min(flag) FILTER (NOT dynamic), '') AS flag FROM edges
+  WHERE child NOT IN (SELECT key FROM held) GROUP BY child)
+SELECT child, 'https://web.archive.org/web/2014' || flag || substr(child, 5) AS fetch_url FROM f"""
+)
+def fetch_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.fetch_frontier(*assets(spark, sf_dir))
+
+
+_SIDECARS = """side AS (SELECT CASE WHEN page_id % 17 = 0 THEN 'meta/00/x' ELSE 'meta/' || substr(hash, 1, 2) || '/' || hash || '.json' END AS path,
+  CASE WHEN page_id % 19 = 0 THEN 2 ELSE 3 END AS v, key, CASE WHEN page_id % 23 = 0 THEN 'odd' ELSE status END AS status, status AS real, content_hash,
+  CASE WHEN page_id % 29 = 0 THEN 1 ELSE CAST(octet_length(encode(html)) AS BIGINT) END AS content_length, page_id, html FROM captures)"""
+
+
+def _store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sidecars and bodies with planted defects."""
+    c = captures(spark, sf_dir)
+    bodied = F.col("status") == "body"
+    side = c.select(
+        F.when(F.col("page_id") % 17 == 0, "meta/00/x").otherwise(keys.meta_path(F.col("key"))).alias("path"),
+        F.when(F.col("page_id") % 19 == 0, 2).otherwise(3).alias("v"),
+        "key",
+        F.when(F.col("page_id") % 23 == 0, "odd").otherwise(F.col("status")).alias("status"),
+        F.when(bodied, F.col("content_hash")).alias("content_hash"),
+        F.when(bodied, F.when(F.col("page_id") % 29 == 0, 1).otherwise(F.octet_length("html"))).cast("long").alias("content_length"),
+    )
+    caps = c.where(bodied & (F.col("page_id") % 31 != 0)).select(
+        keys.body_path(F.col("content_hash")).alias("path"),
+        F.when(F.col("page_id") % 37 == 0, "sha256-x").otherwise(F.col("content_hash")).alias("digest"),
+        F.octet_length("html").cast("long").alias("length"),
+    )
+    return side, caps.dropDuplicates(["path"])
+
+
+@query(
+    f"""WITH {CAPTURES}, {_SIDECARS}, f AS (
+  SELECT 'schemaVersion' AS category, key FROM side WHERE v <> 3
+  UNION ALL SELECT 'malformed', key FROM side WHERE v = 3 AND (status = 'odd')
+  UNION ALL SELECT 'keyMismatch', key FROM side WHERE path = 'meta/00/x'
+  UNION ALL SELECT 'missingBody', key FROM side WHERE status = 'body' AND page_id % 31 = 0
+  UNION ALL SELECT 'hashMismatch', key FROM side WHERE status = 'body' AND page_id % 31 <> 0 AND page_id % 37 = 0
+  UNION ALL SELECT 'sizeMismatch', key FROM side WHERE status = 'body' AND page_id % 31 <> 0 AND page_id % 29 = 0)
+SELECT category, 'corruption' AS severity, key FROM f"""
+)
+def fsck_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of a store with planted defects: orphans are not judged while ownership is in doubt."""
+    return verify.fsck(*_store(spark, sf_dir))
+
+
+@query(
+    f"""WITH {CAPTURES}, b AS (SELECT DISTINCT content_hash, status = 'body' AS owned FROM captures),
+o AS (SELECT content_hash FROM b GROUP BY content_hash HAVING NOT bool_or(owned)),
+h AS (SELECT lower(hex(from_base64(substr(content_hash, 8)))) AS d FROM o)
+SELECT 'orphanCap' AS category, 'cap/' || substr(d, 1, 2) || '/' || d AS key FROM h"""
+)
+def orphan_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored bodies of captures that are not bodied: no sidecar names them."""
+    c = captures(spark, sf_dir)
+    side = c.select("key", F.when(F.col("status") == "body", F.col("content_hash")).alias("content_hash"))
+    caps = c.select(keys.body_path(F.col("content_hash")).alias("path")).distinct()
+    sound = c.where("false").select(F.lit("malformed").alias("category"))
+    return verify.orphan_bodies(side, caps, sound)
+
+
+@query(
+    """SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1"""
+)
+def dedupe_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    groups = docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
+    return groups.where("copies > 1")
+
+
+@query(
+    f"""WITH {CAPTURES}, {EDGES}, r AS (SELECT parent, child AS key, flag IS NOT NULL AS resource FROM edges
+  UNION ALL SELECT key, '2014/http://other.example.com/' || CAST(page_id % 9 AS VARCHAR) || '#f', page_id % 9 = 1 FROM captures
+  UNION ALL SELECT key, '2014/http://stats.wp.com/' || CAST(page_id % 3 AS VARCHAR), true FROM captures),
+i AS (SELECT split_part(key, '#', 1) AS key, count(DISTINCT parent) AS docs, bool_or(resource) AS resource, min(parent) AS first_doc FROM r GROUP BY 1)
+SELECT key, CASE WHEN key IN (SELECT key FROM held) THEN 'in-store' WHEN starts_with(key, '2014/http://stats') THEN 'unmirrorable'
+  WHEN key IN (SELECT child FROM edges WHERE dynamic) THEN 'frontier' WHEN resource THEN 'resource' ELSE 'page' END AS class, docs, first_doc FROM i"""
+)
+def upstream_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, held = assets(spark, sf_dir)
+    c = captures(spark, sf_dir)
+    refs = (
+        edges.select(F.col("parent").alias("doc"), F.col("child").alias("key"), F.col("flag").isNotNull().alias("resource"))
+        .unionByName(c.selectExpr("key AS doc", "concat('2014/http://other.example.com/', page_id % 9, '#f') AS key", "page_id % 9 = 1 AS resource"))
+        .unionByName(c.selectExpr("key AS doc", "concat('2014/http://stats.wp.com/', page_id % 3) AS key", "true AS resource"))
+    )
+    frontier = edges.where("dynamic").select(F.col("child").alias("key"))
+    return relations.upstream_classes(refs.withColumn("ord", F.lit(0)), held, frontier)
+
+
+@query(
+    f"""WITH {CAPTURES} SELECT key, CASE WHEN page_id % 7 = 0 THEN 'removed' WHEN page_id % 7 = 1 THEN 'added' ELSE 'changed' END AS drift
+FROM captures WHERE page_id % 7 IN (0, 1, 2)"""
+)
+def build_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = captures(spark, sf_dir)
+    row = lambda h: ["page_id", "key", "status", h.alias("output_hash")]
+    old = c.where("page_id % 7 <> 1").select(*row(F.col("content_hash"))).drop("page_id")
+    new = c.where("page_id % 7 <> 0").select(*row(F.when(F.col("page_id") % 7 == 2, "x").otherwise(F.col("content_hash")))).drop("page_id")
+    return relations.drift(old, new)
+
+
+@query(
+    """SELECT CAST(coalesce(c_custkey, o_custkey) AS VARCHAR) AS key, CASE WHEN c_custkey IS NULL THEN 'extra' ELSE 'missing' END AS side
+FROM customer FULL JOIN (SELECT DISTINCT o_custkey FROM orders) ON c_custkey = o_custkey WHERE c_custkey IS NULL OR o_custkey IS NULL"""
+)
+def parity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected = table(spark, sf_dir, "customer").selectExpr("cast(c_custkey AS string) AS key")
+    return relations.key_parity(expected, table(spark, sf_dir, "orders").selectExpr("cast(o_custkey AS string) AS key"))
+
+
+@query(
+    f"""WITH {CAPTURES} SELECT key, 'object' AS field, 'present' AS expected, 'absent' AS actual FROM captures WHERE page_id % 11 = 0
+UNION ALL SELECT key, 'status', status, 'lost' FROM captures WHERE page_id % 11 = 1
+UNION ALL SELECT key, 'contentType', 'text/html', 'application/octet-stream' FROM captures WHERE page_id % 11 = 2"""
+)
+def parity_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = captures(spark, sf_dir).withColumn("content_type", F.lit("text/html"))
+    heads = c.where("page_id % 11 <> 0").select(
+        "key",
+        F.when(F.col("page_id") % 11 == 1, "lost").otherwise(F.col("status")).alias("status"),
+        F.when(F.col("page_id") % 11 == 2, "").otherwise("text/html").alias("content_type"),
+    )
+    return relations.field_parity(c.select("key", "status", "content_type"), heads)
+
+
+@query(
+    f"""WITH {CAPTURES} SELECT key, content_hash AS expected, CASE WHEN page_id % 13 = 1 THEN 'sha256-' || base64(unhex(sha256('x'))) END AS actual
+FROM captures WHERE page_id % 13 IN (0, 1) AND page_id % 2 = 0"""
+)
+def parity_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of the keys that are not yet verified (odd pages are)."""
+    c = captures(spark, sf_dir)
+    objects = c.where("page_id % 13 <> 0").select("key", F.when(F.col("page_id") % 13 == 1, "x").otherwise(F.col("html")).alias("content"))
+    return relations.body_parity(c.select("key", "content_hash"), objects, c.where("page_id % 2 = 1"))
+
+
+@query(
+    """WITH s AS (SELECT user_id, count(*) AS checked, count(*) FILTER (event_type = 'signup') AS healed, count(*) FILTER (event_type = 'error' AND value > 30) AS failed FROM events GROUP BY user_id)
+SELECT *, CASE WHEN failed > 0 THEN 'FAIL' WHEN healed / checked > 0.01 THEN 'PASS-DEGRADED' ELSE 'PASS' END AS verdict FROM s"""
+)
+def heal_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcome = "CASE WHEN event_type = 'signup' THEN 'healed' WHEN event_type = 'error' AND value > 30 THEN 'failed' ELSE 'ok' END AS outcome"
+    return verify.heal_verdict(table(spark, sf_dir, "events").selectExpr("user_id", outcome), "user_id")
+
+
+@query(
+    f"""WITH {CAPTURES}, l AS (SELECT substr(hash, 1, 4) AS shard, key, '{{"key":"' || key || '","status":"' || status || '"}}' || chr(10) AS line FROM captures),
+d AS (SELECT shard, count(*) AS n, sha256(string_agg(line, '' ORDER BY key)) AS digest FROM l GROUP BY shard)
+SELECT sha256(string_agg(digest, '' ORDER BY shard)) AS signature, CAST(sum(n) AS BIGINT) AS n_entries FROM d"""
+)
+def root_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.root_signature(captures(spark, sf_dir), "key", "status")
+
+
+@query(
+    f"""WITH {CAPTURES} SELECT status, key, n FROM (SELECT status, key, CAST(row_number() OVER (PARTITION BY status ORDER BY key) AS INT) AS n FROM captures) WHERE n <= 5"""
+)
+def sample_per_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.sample_per_status(captures(spark, sf_dir), 5)
+
+
+@query(
+    """SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1"""
+)
+def latest_ledger_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    return relations.latest_rows(events, "user_id", "event_id")
+
+
+@query(
+    """WITH o AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'connfail' WHEN 'view' THEN 'cached' ELSE 'reply' END AS outcome FROM events),
+i AS (SELECT *, sum(CASE WHEN outcome = 'reply' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM o),
+s AS (SELECT *, CAST(sum(CASE WHEN outcome = 'connfail' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, island ORDER BY event_id) AS BIGINT) AS streak FROM i),
+c AS (SELECT *, min(CASE WHEN streak >= 2 THEN event_id END) OVER (PARTITION BY user_id) AS cut FROM s)
+SELECT user_id, event_id, outcome, streak FROM c WHERE cut IS NULL OR event_id <= cut"""
+)
+def failure_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcome = "CASE event_type WHEN 'error' THEN 'connfail' WHEN 'view' THEN 'cached' ELSE 'reply' END AS outcome"
+    return verify.failure_streaks(table(spark, sf_dir, "events").selectExpr("user_id", "event_id", outcome), "user_id", "event_id", 2)
+
+
+@query(
+    """WITH o AS (SELECT user_id, event_id, sum(CASE WHEN event_type = 'view' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS paid FROM events)
+SELECT user_id, event_id, CAST(paid AS BIGINT) AS paid FROM o WHERE paid <= 20"""
+)
+def capped_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcome = "CASE event_type WHEN 'view' THEN 'cached' ELSE 'reply' END AS outcome"
+    rows = verify.capped(table(spark, sf_dir, "events").selectExpr("user_id", "event_id", outcome), "user_id", "event_id", 20)
+    return rows.select("user_id", "event_id", "paid")
+
+
+@query(
+    """SELECT quality, count(*) AS n, count(*) FILTER (toxic = 1) AS wayback404, count(*) FILTER (toxic = 0) AS good FROM labels GROUP BY quality"""
+)
+def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    return labels.groupBy("quality").agg(
+        F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("wayback404"), F.count_if(F.col("toxic") == 0).alias("good")
+    )
+
+
+@query(f"""WITH {CAPTURES} SELECT status, count(*) AS n FROM captures GROUP BY status""")
+def crawl_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captures(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT page_id AS doc, CASE WHEN page_id % 10 = 0 THEN 'probe-error' WHEN page_id % 10 IN (1, 2, 3, 4) THEN 'flaky' WHEN page_id % 10 = 5 THEN 'unconverged' ELSE 'verified' END AS verdict,
+CASE page_id % 10 WHEN 1 THEN 'csp-residual' WHEN 2 THEN 'unexpected-archive-request' WHEN 3 THEN 'no-progress' WHEN 4 THEN 'unmatched-escapes' END AS reason FROM pages"""
+)
+def crawl_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "pages").selectExpr(
+        "page_id AS doc", "page_id % 10 = 0 AS probe_error", "cast(page_id % 10 = 1 AS int) AS csp_residual", "cast(page_id % 10 = 2 AS int) AS unexpected",
+        "cast(page_id % 10 = 4 AS int) AS unmatched", "page_id % 10 <> 3 AS progress", "cast(page_id % 10 IN (3, 5) AS int) AS open", "4 AS iterations", "4 AS most",
+    )
+    return verify.crawl_verdict(runs)
+
+
+@query(
+    """WITH RECURSIVE r AS (SELECT page_id AS url, CASE WHEN page_id % 9 <> 8 THEN page_id + 1 END AS location FROM pages),
+w AS (SELECT url AS s, url AS e, 0 AS hops FROM r UNION ALL SELECT w.s, r.location, hops + 1 FROM w JOIN r ON r.url = w.e WHERE r.location IS NOT NULL AND hops < 6),
+l AS (SELECT s, arg_max(e, hops) AS e, max(hops) AS hops FROM w GROUP BY s)
+SELECT 'r' || CAST(s AS VARCHAR) AS "start", 'r' || CAST(e AS VARCHAR) AS "end", CAST(hops AS INT) AS hops,
+  CASE WHEN hops = 6 THEN 'too-many-hops' WHEN e NOT IN (SELECT url FROM r) THEN 'lost' ELSE 'arrived' END AS outcome FROM l"""
+)
+def redirect_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    redirects = pages.selectExpr("concat('r', page_id) AS url", "CASE WHEN page_id % 9 <> 8 THEN concat('r', page_id + 1) END AS location")
+    return verify.redirect_walk(redirects.select("url"), redirects)
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT page_id AS p, page_id * 2 + k AS c FROM pages, (SELECT unnest([1, 2]) AS k)),
+r AS (SELECT 1 AS key, 0 AS depth UNION SELECT c, depth + 1 FROM r JOIN e ON e.p = r.key)
+SELECT CAST(key AS BIGINT) AS key, CAST(min(depth) AS INT) AS depth FROM r GROUP BY key"""
+)
+def reachability_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("parent"), F.explode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 2 + 2)).alias("child")
+    )
+    return graph.reachable(edges, spark.range(1, 2).select(F.col("id").alias("key")))
+
+
+@query(f"""WITH {CAPTURES} SELECT key FROM captures WHERE page_id % 4 <> 0 AND contains(lower(key), 'example.org') ORDER BY key LIMIT 20""")
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A top-k report: the first twenty hits."""
+    catalogue = captures(spark, sf_dir).select("key", (F.col("page_id") % 4 == 0).alias("requisite"))
+    return verify.index_search(catalogue, "Example.ORG", False, 20)
+
+
+@query(
+    f"""WITH {CAPTURES}, p AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN '/' || key WHEN 1 THEN '/' || replace(key, '#', '%23') ELSE '/web/' || ts || '/http://none.example.com/' || CAST(page_id AS VARCHAR) END AS path, key, status FROM captures)
+SELECT path, CASE WHEN page_id % 3 = 2 THEN substr(path, 6) ELSE key END AS key, CASE WHEN page_id % 3 = 2 OR status = 'interstitial' THEN 'not-found' WHEN status = 'error' THEN 'gone' ELSE status END AS action,
+  CAST(CASE WHEN page_id % 3 = 2 THEN 404 WHEN status IN ('body', 'empty') THEN 200 WHEN status = 'redirect' THEN 302 ELSE 404 END AS INT) AS status FROM p"""
+)
+def serve_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = captures(spark, sf_dir)
+    path = "CASE page_id % 3 WHEN 0 THEN '/' || key WHEN 1 THEN '/' || replace(key, '#', '%23') ELSE concat('/web/', ts, '/http://none.example.com/', page_id) END AS path"
+    return verify.serve_decision(c.selectExpr(path), c.select("key", "status"))
+
+
+@query(
+    f"""WITH {CAPTURES}, h AS (SELECT *, lower(hex(from_base64(substr(content_hash, 8)))) AS d FROM captures)
+SELECT 'cap/' || substr(hash, 1, 2) || '/' || hash AS object_key, 'cp --content-type ''text/html'' --metadata ''status=' || status || ''' ''' ||
+  CASE WHEN status = 'body' THEN 'cap/' || substr(d, 1, 2) || '/' || d ELSE 'meta/' || substr(hash, 1, 2) || '/' || hash || '.json' END ||
+  ''' ''s3://bucket/cap/' || substr(hash, 1, 2) || '/' || hash || '''' AS line FROM h"""
+)
+def batch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = captures(spark, sf_dir).withColumn("content_type", F.lit("text/html"))
+    return verify.batch_lines(c, "s3://bucket/")
+
+
+@query()
+def rewrite_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Build entries of pages whose links are replay references; half of what they name is held."""
+    c = captures(spark, sf_dir)
+    refs = F.regexp_replace("html", '<a href="/([^"]*)"', '<a href="https://web.archive.org/web/2014/http://x.example.com/$1"')
+    pages = c.select("key", F.lit("text/html").alias("content_type"), F.lit("body").alias("status"), "content_hash", refs.alias("body"))
+    return build.remaster(pages)
+
+
+@query(f"""WITH {CAPTURES} SELECT page_id, true AS same FROM captures""")
+def path_codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formatting a key as a path and decoding it gives the key back."""
+    odd = F.concat(F.col("key"), F.lit(" é%20{x}'\\"))
+    return captures(spark, sf_dir).select(
+        "page_id", (keys.decode_path(keys.format_path(odd)) == F.concat(F.lit("/"), odd)).alias("same")
+    )
+
+
+@query()
+def markdown_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of markdown made from the documents, with links put around the text."""
+    made = F.concat(F.lit("[t](http://a.example.com/x(1)) "), "text", F.lit("\n<http://b.example.com/> ![i](http://c.example.com/i.png)"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.markdown_links(made)).alias("l"))
+    return docs.select("doc_id", "l.pos", "l.form", "l.url")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"capture_inventory": capture_inventory}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"capture_inventory": "SELECT page_id, sha256(url) AS hash FROM pages"}
+    return dict(_SQL)
