@@ -81,9 +81,13 @@ def held_out(doc_id):
 
 
 def without_clash(df: DataFrame, *wanted: str) -> DataFrame:
-    """Only the named columns, case and extra columns notwithstanding.
-
-    Missing names raise; operators call this first, so columns that they add
-    for their own use cannot meet the caller's.
-    """
+    """Only the named columns, so that an operator's own columns cannot meet the caller's others."""
     return df.select(*[F.col(f"`{c}`") for c in wanted])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, held_out
+from .common import SPACES, fresh, held_out
 
 #: Longest context in bytes.
 ORDER = 4
@@ -47,7 +47,7 @@ def _positions(coded: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray],
     back = [raw[1:].astype(np.uint64)]
     for j in range(1, ORDER + 1):
         shifted = np.zeros(len(raw) - 1, np.uint64)
-        shifted[j - 1 :] = raw[: len(raw) - j]
+        shifted[j - 1 :] = raw[: max(0, len(raw) - j)]
         back.append(shifted)
     word = np.cumsum(raw[:-1] == 32) - 1
     return raw[1:].astype(np.uint64), order, back, word
@@ -217,7 +217,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     ``lang_pred`` is ``und`` with score 0 for a null text, a text without any
     letter, or where nothing was learned; ties go to the first language by
     name. ``score`` is the chosen language's share if all were as likely
-    before. Other columns, repeated rows and empty tables pass through.
+    before. Other columns (but those of the added names), repeated rows and
+    empty tables pass through.
     """
     spark = docs.sparkSession
     shared, tag = spark.sparkContext.broadcast(model), id(model)
@@ -228,7 +229,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for low in range(0, len(batch), 256):
                 part = batch.slice(low, 256)
-                texts, letters = part.column("_text").to_pylist(), part.column("_letter").to_pylist()
+                texts, letters = part.column(whole).to_pylist(), part.column(lettered).to_pylist()
                 langs, scores, rates = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
                 if model.langs:
                     mine = [i for i, yes in enumerate(letters) if yes]
@@ -244,9 +245,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                     names=[*names, "lang_pred", "score", "bits_per_byte"],
                 )
 
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "bits_per_byte")]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(names).schema)
+    names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "bits_per_byte")]
+    docs = docs.select(*[F.col(f"`{c}`") for c in names])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    whole, lettered = fresh(docs, "_text"), fresh(docs, "_letter")
     letter = F.coalesce(F.col("text").rlike(_LETTER), F.lit(False))
-    return docs.select(*names, F.col("text").alias("_text"), letter.alias("_letter")).mapInArrow(
+    return docs.select("*", F.col("text").alias(whole), letter.alias(lettered)).mapInArrow(
         predict, f"{kinds}, {fields}"
     )

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh, materialise
 
 #: A line is rare if so many documents have it at most ...
 RARE = 50
@@ -169,7 +169,7 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, own_rarest: int = OWN_RAREST)
     """Every row of ``docs`` with aligned common blocks deleted from the later document.
 
     All columns are kept; ``text`` is what stays, and n_lines and n_removed
-    (long) are added. Lines end at ``\\n`` and are compared without white
+    (long) are added, in place of columns of these names. Lines end at ``\\n`` and are compared without white
     space around them; blank lines are common to all and go only inside a
     common block. Documents are judged on the input: a block goes if the
     owner of one of its rare lines has it, whatever the owner loses itself.
@@ -177,27 +177,30 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, own_rarest: int = OWN_RAREST)
     becomes empty; rows of one doc_id never shorten each other; a null id
     counts as smaller than all others. An empty table gives no rows.
     """
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    docs = docs.select(*[F.col(f"`{c}`") for c in kept])
+    id_, key, gone_ = (fresh(docs, c) for c in ("_id", "_key", "_gone"))
     gone = materialise(deletions(docs, rare, own_rarest), "gone").select(
-        F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("gone").alias("_gone")
+        F.col("doc_id").alias(id_), F.col("key").alias(key), F.col("gone").alias(gone_)
     )
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    place = [c.lower() for c in kept].index("text")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests = [xxhash.xxh3_64_intdigest(t or "") for t in batch.column("text").to_pylist()]
-            key = pa.array(np.array(digests, np.uint64).view(np.int64))
-            yield pa.record_batch([*batch.columns, key], names=[*batch.schema.names, "_key"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(kept).schema)
-    keyed = docs.select(kept).mapInArrow(keys, f"{fields}, _key long")
-    keyed = keyed.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    rows = keyed.join(gone, ["_id", "_key"], "left")
+            digests = [xxhash.xxh3_64_intdigest(t or "") for t in batch.column(place).to_pylist()]
+            digest = pa.array(np.array(digests, np.uint64).view(np.int64))
+            yield pa.record_batch([*batch.columns, digest], names=[*batch.schema.names, key])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    keyed = docs.mapInArrow(keys, f"{fields}, {key} long")
+    keyed = keyed.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    rows = keyed.join(gone, [id_, key], "left")
     lines = F.split("text", "\n", -1)
-    stays = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    edited = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(stays).alias("text")
+    stays = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col(gone_), i)), "\n")
+    none = F.col(gone_).isNull()
+    edited = F.when(none, F.col("text")).otherwise(stays).alias(kept[place])
     return rows.select(
-        *[edited if c == "text" else F.col(f"`{c}`") for c in kept],
+        *[edited if i == place else F.col(f"`{c}`") for i, c in enumerate(kept)],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"),
+        F.when(none, 0).otherwise(F.size(gone_)).cast("long").alias("n_removed"),
     )
-

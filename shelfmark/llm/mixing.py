@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, fresh, materialise
 
 #: Hash bits that one histogram resolves; histograms nested; thresholds per source.
 LEVEL_BITS = 12
@@ -107,15 +107,15 @@ def _thresholds(rows: DataFrame, rooms: DataFrame, few: bool) -> DataFrame:
 def mix_plan(docs: DataFrame, most: int = MOST) -> DataFrame:
     """Every document with how often the mix takes it.
 
-    Columns: doc_id, source, size (words; null text: 0), key (a hash of id and
-    text), source_size, target, copies (0 to ``most``) and taken
+    Columns: doc_id, source, size (words; null text: 0), key (a hash of id,
+    text and source), source_size, target, copies (0 to ``most``) and taken
     (size * copies). A source's taken words stay below its target by less than
     its smallest document not taken that often, as far as ROUNDS thresholds
-    reach. Rows equal in id and text share their hash and so their fate; null
+    reach. Rows equal in these share their hash and so their fate; null
     ids and sources are values like others. An empty table gives no rows.
     Reruns agree: nothing but the rows decides.
     """
-    hashed = F.xxhash64(F.col("doc_id"), F.col("text"))
+    hashed = F.xxhash64(F.col("doc_id"), F.col("text"), F.col("source"))
     sized = materialise(
         docs.select(
             "doc_id",
@@ -167,12 +167,12 @@ def mix_plan(docs: DataFrame, most: int = MOST) -> DataFrame:
 def mix(docs: DataFrame, most: int = MOST) -> DataFrame:
     """The mixed documents: each row of ``docs`` as often as the mix takes it.
 
-    All columns are kept. Nothing is shuffled but rows per document without
-    text when sources are few: the thresholds of a document's source decide.
+    All columns are kept. Rows meet their number of copies by the hash of
+    their id and text.
     """
+    key, copies, copy = (fresh(docs, c) for c in ("_mix_key", "_mix_copies", "_mix_copy"))
     plan = mix_plan(docs, most)
-    keep = plan.where("copies > 0").select(F.col("key").alias("_mix_key"), F.col("copies").alias("_mix_copies"))
-    keep = keep.groupBy("_mix_key").agg(F.max("_mix_copies").alias("_mix_copies"))
-    rows = docs.withColumn("_mix_key", F.xxhash64(F.col("doc_id"), F.col("text")))
-    out = rows.join(keep, "_mix_key").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_mix_copies")))
+    keep = plan.where("copies > 0").groupBy(F.col("key").alias(key)).agg(F.max("copies").alias(copies))
+    rows = docs.withColumn(key, F.xxhash64(F.col("doc_id"), F.col("text"), F.col("source")))
+    out = rows.join(keep, key).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
