@@ -14,8 +14,6 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries of a worker's word table before it is started afresh (about 100 MB).
-WORD_TABLE_LIMIT = 400_000
 #: White space between words, as a regular expression class.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,22 +55,50 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-class WordHashes(dict):
-    """Word (bytes) to 64-bit hash; remembers up to ``WORD_TABLE_LIMIT`` words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_TABLE_LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = WordHashes()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """The 64-bit hash of each word."""
-    return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+#: Fixed multiplier of the word hash, its inverse mod 2**64, and a value for each byte.
+_BASE = 0x9E3779B97F4A7C15
+_BYTES = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes hashed at once; longer texts go piece by piece, cut at white space.
+_PIECE = 1 << 20
+
+
+class _Powers:
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def reach(cls, n: int) -> None:
+        if len(cls.up) < n:
+            inverse = pow(_BASE, -1, 1 << 64)
+            cls.up = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, _BASE, np.uint64)])
+            cls.down = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, inverse, np.uint64)])
+
+
+def _piece_hashes(raw: np.ndarray) -> np.ndarray:
+    inside = np.r_[False, ~_BLANK[raw], False]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    _Powers.reach(len(raw) + 1)
+    sums = np.r_[np.uint64(0), np.cumsum(_BYTES[raw] * _Powers.up[: len(raw)])]
+    h = (sums[ends] - sums[starts]) * _Powers.down[starts]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ h >> np.uint64(29)
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of a text's bytes, in order, without a Python object per word."""
+    if len(data) <= _PIECE:
+        return _piece_hashes(np.frombuffer(data, np.uint8))
+    raw, found, low = np.frombuffer(data, np.uint8), [], 0
+    while low < len(raw):
+        high = min(low + _PIECE, len(raw))
+        while high < len(raw) and not _BLANK[raw[high]]:
+            high += 1
+        found.append(_piece_hashes(raw[low:high]))
+        low = high
+    return np.concatenate(found)
 
 
 def held_out(doc_id):

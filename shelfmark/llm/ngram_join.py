@@ -47,10 +47,9 @@ def shingle_set(text: str | None, words_each: int) -> np.ndarray:
 
     With fewer words the whole sequence is one shingle; without words, none.
     """
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = word_hashes(words)
+    h = word_hashes((text or "").encode().lower())
+    if not len(h):
+        return h
     k = min(words_each, len(h))
     mixed = np.full(len(h) - k + 1, k, np.uint64)
     for j in range(k):
@@ -141,7 +140,7 @@ def _scan(docs: DataFrame, words_each: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CLASS_BITS, np.uint32)
-        for part in _slices(batches, 500):
+        for part in _slices(batches, 2_000):
             nodes, sizes = [], []
             classes = []
             for text in part.column(1).to_pylist():
@@ -149,7 +148,7 @@ def _scan(docs: DataFrame, words_each: int) -> DataFrame:
                 nodes.append(node_of(tokens))
                 sizes.append(len(tokens))
                 classes.append((tokens >> np.uint64(64 - CLASS_BITS)).astype(np.int64))
-            np.add.at(counts, np.concatenate(classes), 1) if classes else None
+            counts += np.bincount(np.concatenate(classes), minlength=len(counts)).astype(np.uint32)
             empty = pa.nulls(len(part))
             yield pa.record_batch(
                 [

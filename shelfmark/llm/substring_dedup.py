@@ -87,7 +87,7 @@ def _scan(docs: DataFrame, length: int, half: int) -> DataFrame:
                 keys.append(xxhash.xxh3_128_digest(whole))
                 counts.append(len(words))
                 joined.append(hashlib.sha256(whole).hexdigest())
-                found = anchors(word_hashes(words), half, length - half + 1)[1] if len(words) >= length else ()
+                found = anchors(word_hashes(whole), half, length - half + 1)[1] if len(words) >= length else ()
                 kept.append(np.unique(found).view(np.int64) if len(found) else np.zeros(0, np.int64))
             yield pa.record_batch(
                 [
@@ -115,7 +115,7 @@ def _windows(candidates: DataFrame, length: int, half: int) -> DataFrame:
             ids, hs, gs, ps = [], [], [], []
             rows = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
             for doc_id, text, kept in rows:
-                words = word_hashes(text.encode().split())
+                words = word_hashes(text.encode())
                 at, hashes = anchors(words, half, length - half + 1)
                 at = at[np.isin(hashes.view(np.int64), np.array(kept, np.int64))]
                 n = len(words) - length + 1
