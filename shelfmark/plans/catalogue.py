@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, keys, text
-from ..operators import build, graph, relations, verify
+from ..operators import build, graph, relations, runs, verify
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -707,6 +707,117 @@ def markdown_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "l.pos", "l.form", "l.url")
 
 
+@query(
+    """SELECT page_id, CASE WHEN page_id % 6 IN (0, 1) THEN 'own' || CAST(page_id AS VARCHAR) END AS owner, CASE WHEN page_id % 6 IN (0, 1) THEN 'r.x' END AS repo,
+  CASE page_id % 6 WHEN 0 THEN '/blob/main/é.md?x#y' WHEN 1 THEN '/tree' END AS rest FROM pages"""
+)
+def github_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deep links are taken apart; routes, roots, dot segments and other ports are none."""
+    url = F.expr(
+        "CASE page_id % 6 WHEN 0 THEN concat('https://github.com/own', page_id, '/r.x/blob/main/é.md?x#y') WHEN 1 THEN concat('http://GitHub.com:80/own', page_id, '/r.x/tree')"
+        " WHEN 2 THEN 'https://github.com/orgs/x/people' WHEN 3 THEN 'https://github.com/a/b/?q' WHEN 4 THEN 'https://github.com/a/b/x/%2E%2e/y' ELSE 'https://github.com:8443/a/b/c' END"
+    )
+    return table(spark, sf_dir, "pages").select("page_id", runs.github_repo(url).alias("g")).select("page_id", "g.*")
+
+
+@query(
+    f"""WITH {CAPTURES} SELECT 'https://web.archive.org/web/' || key AS url, CASE WHEN page_id % 9 = 0 THEN '404' WHEN page_id % 9 <> 6 THEN '200' END AS statuscode,
+  CASE page_id % 9 WHEN 0 THEN 'wayback404' WHEN 1 THEN 'suspect' WHEN 2 THEN 'wayback404' WHEN 3 THEN 'suspect' WHEN 5 THEN 'wayback404' WHEN 6 THEN 'suspect' WHEN 7 THEN 'wayback404' ELSE 'good' END AS verdict,
+  CASE page_id % 9 WHEN 0 THEN 'archived as an error' WHEN 1 THEN 'replay fetch failed' WHEN 2 THEN 'capture missing' WHEN 3 THEN 'replay not 200' WHEN 4 THEN 'not HTML'
+    WHEN 5 THEN 'body marker' WHEN 6 THEN 'content clean, lookup failed' WHEN 7 THEN 'interstitial: wrapper-stub' ELSE 'content heuristics clean' END AS reason FROM captures"""
+)
+def audit_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = captures(spark, sf_dir).withColumn("url", keys.replay_url(F.col("key")))
+    cdx = c.selectExpr("key", "CASE WHEN page_id % 9 = 0 THEN '404' WHEN page_id % 9 <> 6 THEN '200' END AS statuscode", "CASE WHEN page_id % 9 = 6 THEN 'throttled' END AS error")
+    responses = c.where("page_id % 9 <> 1").selectExpr(
+        "url", "CASE page_id % 9 WHEN 2 THEN 404 WHEN 3 THEN 503 ELSE 200 END AS status", "CASE WHEN page_id % 9 = 4 THEN 'image/png' ELSE 'text/html' END AS content_type",
+        "CASE page_id % 9 WHEN 5 THEN concat('<p>HTTP Error 404</p>', html) WHEN 7 THEN concat('<title>Wayback Machine</title><iframe id=playback>', html) ELSE html END AS body",
+        "cast(null AS string) AS error",
+    )
+    return runs.audit_verdicts(c.select("url"), cdx, responses)
+
+
+@query(
+    """WITH u AS (SELECT url, min(page_id) AS id FROM pages GROUP BY url)
+SELECT url, CASE id % 8 WHEN 1 THEN 'exclude' WHEN 2 THEN 'rewrites' WHEN 3 THEN 'entries' WHEN 4 THEN 'entries' WHEN 5 THEN 'rewrites' WHEN 6 THEN 'exclude' END AS section,
+  CASE WHEN id % 8 IN (2, 3, 4, 5) THEN 't' || CAST(id AS VARCHAR) END AS target,
+  CASE WHEN id % 8 IN (1, 2) THEN 'policy' WHEN id % 8 = 3 THEN 'seen' WHEN id % 8 IN (4, 5, 6) THEN 'resolved' ELSE 'deferred' END AS step FROM u WHERE id % 8 <> 0"""
+)
+def generate_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of all links: by policy, by what was seen, by what the archive says, or deferred."""
+    u = table(spark, sf_dir, "pages").groupBy("url").agg(F.min("page_id").alias("id"))
+    made = lambda k, *more: u.where(f"id % 8 = {k}").selectExpr("url", *more)
+    target = "concat('t', id) AS target"
+    resolved = u.where("id % 8 IN (4, 5, 6)").selectExpr(
+        "url", "CASE WHEN id % 8 = 4 THEN concat('t', id) END AS snapshot", "CASE WHEN id % 8 = 5 THEN concat('t', id) END AS renamed", "cast(null AS string) AS error", "true AS asked"
+    )
+    seen = made(3, "'entries' AS section", target)
+    return runs.generate(u.select("url"), made(0), made(2, target), made(1).withColumnRenamed("url", "prefix"), seen, resolved)
+
+
+@query(
+    f"""WITH {CAPTURES} SELECT page_id AS doc, CASE page_id % 6 WHEN 0 THEN 'entry' WHEN 1 THEN 'entry' WHEN 2 THEN 'beacon' WHEN 3 THEN 'chrome' ELSE 'escape' END AS kind,
+  CASE page_id % 6 WHEN 0 THEN '2014/http://none.example.com/' || CAST(page_id AS VARCHAR) WHEN 1 THEN '2014/http://a.example.com/' || CAST(page_id AS VARCHAR) END AS key,
+  CASE page_id % 6 WHEN 0 THEN 'im_' WHEN 1 THEN 'js_' END AS flag FROM captures WHERE page_id % 6 <> 5"""
+)
+def request_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of rendered pages: held ones are hits, the rest is sorted into what to fetch and what escapes."""
+    url = (
+        "CASE page_id % 6 WHEN 0 THEN concat('http://mirror.local:80/web/2014im_/http:/none.example.com/', page_id)"
+        " WHEN 1 THEN concat('https://web.archive.org/web/2014/http://a.example.com/', page_id)"
+        " WHEN 2 THEN 'https://web.archive.org/web/2014/http://stats.wp.com/g.gif' WHEN 3 THEN 'https://archive.org/includes/x.js'"
+        " WHEN 4 THEN 'wss://live.example.com/s' ELSE concat('http://mirror.local:80/', ts, '/http://held.example.com/') END AS url"
+    )
+    c = captures(spark, sf_dir)
+    requests = c.selectExpr("page_id AS doc", url, "'script' AS resource_type")
+    held = c.selectExpr("concat(ts, '/http://held.example.com/') AS key")
+    found = runs.map_findings(runs.classify_requests(requests, held, "http://mirror.local:80"))
+    return found.select("doc", "kind", "key", "flag")
+
+
+@query(
+    """SELECT user_id, count(*) FILTER (event_type <> 'view') AS attempted, count(*) FILTER (event_type = 'purchase') AS fetched, count(*) FILTER (event_type = 'view') AS cached,
+  count(*) FILTER (event_type = 'signup') AS deferred, count(*) FILTER (event_type = 'error') AS gone FROM events GROUP BY user_id"""
+)
+def fill_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcome = "CASE event_type WHEN 'view' THEN 'cached' WHEN 'purchase' THEN 'fetched' WHEN 'signup' THEN 'deferred' WHEN 'error' THEN 'gone' ELSE 'other' END AS outcome"
+    return runs.fill_stats(table(spark, sf_dir, "events").selectExpr("user_id", outcome), "user_id")
+
+
+@query(
+    """SELECT user_id, event_id, CAST(n AS INT) AS done FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n % 10 = 0"""
+)
+def progress_heartbeat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.heartbeat(table(spark, sf_dir, "events"), "user_id", "event_id", 10)
+
+
+@query("""SELECT DISTINCT url FROM pages WHERE NOT (split_part(split_part(url, '://', 2), '/', 1) SIMILAR TO '(.*\\.)?example\\.(com|org)')""")
+def unmatched_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    policy = spark.createDataFrame([("example.com",), ("Example.ORG",), ("",)], "host string")
+    return runs.unmatched_escapes(table(spark, sf_dir, "pages").select("url").distinct(), policy)
+
+
+@query(
+    f"""WITH {CAPTURES} SELECT CAST(page_id % 20 AS BIGINT) AS source, ts AS timestamp, url AS original FROM captures GROUP BY ALL"""
+)
+def source_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References in texts and in the manifests beside them, once each."""
+    c = captures(spark, sf_dir).withColumn("replay", keys.replay_url(F.col("key")))
+    prose = F.concat(F.lit("see ("), "replay", F.lit(") and `"), "replay", F.lit("`"))
+    inline = c.select((F.col("page_id") % 20).alias("source"), F.explode(text.archive_urls(prose)).alias("url"))
+    return runs.source_refs(inline, c.select((F.col("page_id") % 20).alias("source"), F.col("replay").alias("target")))
+
+
+@query(
+    f"""WITH {CAPTURES} SELECT CASE WHEN status IN ('body', 'empty', 'redirect') THEN 'cached' ELSE 'unfetched' END AS state, key FROM captures
+WHERE status NOT IN ('interstitial', 'error') AND page_id % 3 <> 0"""
+)
+def fill_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = captures(spark, sf_dir)
+    ledger = c.selectExpr("key", "'f' AS file", "page_id AS ord", "key AS replay")
+    return runs.fill_plan(relations.against(ledger, c), c.where("page_id % 3 = 0")).select("key", "state")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -107,3 +107,19 @@ def test_latest_rows_stream(spark, tmp_path):
     latest = sorted(out.iterdir())[-1]
     rows = {r["key"]: (r["seq"], r["verified"]) for r in spark.read.parquet(str(latest)).collect()}
     assert rows == {"a": (3, False), "b": (2, True)}
+
+
+def test_canonical_manifest(spark):
+    from shelfmark.operators import runs
+
+    rows = [("f", "exclude", "b", None), ("f", "exclude", "a", None), ("f", "exclude", "a", None), ("f", "rewrites", "z", "1"), ("f", "rewrites", "y", "2")]
+    found = runs.canonical_manifest(spark.createDataFrame(rows, "file string, section string, url string, target string")).first()
+    assert found["json"] == '{"version":2,"noRewrite":[],"rewrites":{"y":"2","z":"1"},"entries":{},"exclude":["a","b"]}'
+
+
+def test_csp_violations(spark):
+    from shelfmark.operators import runs
+
+    said = [("Refused to load the script",), ("violates the Content Security Policy",), ("ok",), (None,)]
+    frame = spark.createDataFrame(said, "m string")
+    assert [r[0] for r in frame.select(runs.is_csp_violation(F.col("m"))).collect()] == [True, True, False, False]
