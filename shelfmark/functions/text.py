@@ -274,3 +274,86 @@ def rewrite_body(kind: str | None, body: str | None, held) -> dict | None:
 def rewritten(kinds: pd.Series, bodies: pd.Series, held: pd.Series) -> pd.DataFrame:
     found = [rewrite_body(*x) or {"text": None, "count": None} for x in zip(kinds, bodies, held, strict=True)]
     return pd.DataFrame(found, columns=["text", "count"])
+
+
+#: Attributes that a reader follows, and link relations that name pages or resources.
+_FOLLOWED = {("a", "href"), ("area", "href"), ("form", "action"), ("button", "formaction"), ("input", "formaction")}
+_PAGE_RELS = frozenset(("next", "prev", "canonical", "alternate"))
+_EXTENSION = re.compile(
+    r"\.(?:m?js|css|woff2?|ttf|otf|eot|png|jpe?g|gif|svg|ico|webp|bmp|mp4|webm|ogg|mp3|wav|m4a|flv|swf|json)$", re.I
+)
+_RAW = frozenset(("script", "style", "xmp", "iframe", "noembed", "noframes"))
+_OPEN = re.compile(r"<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_VALUE = re.compile(r"([^\s=/>\"']+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
+
+SCAN = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("pos", T.IntegerType()),
+            T.StructField("region", T.StringType()),
+            T.StructField("key", T.StringType()),
+            T.StructField("resource", T.BooleanType()),
+        ]
+    )
+)
+
+
+def _loads(tag: str, attribute: str, values: dict[str, str]) -> bool:
+    """Does a URL at this attribute load a resource (or does the reader follow it)?"""
+    if (tag, attribute) in _FOLLOWED:
+        return False
+    if (tag, attribute) != ("link", "href"):
+        return True
+    rels = values.get("rel", "").lower().split()
+    return not rels or values.get("type", "").strip().lower().startswith("text/css") or not _PAGE_RELS.issuperset(rels)
+
+
+def _regions(html: str):
+    """(start, end, region, resource) of attribute values and raw-text elements; the rest is text."""
+    at = 0
+    while m := _OPEN.search(html, at):
+        at = m.end()
+        if m[1] is None:
+            yield m.start(), m.end(), "comment", False
+            continue
+        tag = m[1].lower()
+        found = [(v.start(2) + m.start(2), v[1].lower(), v[2]) for v in _VALUE.finditer(m[2])]
+        values = {name: value.strip("\"'") for _, name, value in reversed(found)}
+        for start, name, value in found:
+            yield start, start + len(value), "attribute", _loads(tag, name, values)
+        if tag in _RAW:
+            close = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
+            end = close.start() if close else len(html)
+            yield at, end, tag, tag in ("script", "style")
+            at = end
+
+
+def scan_body(kind: str | None, body: str | None) -> list[dict]:
+    """Replay references of a text body in order: region, key, and whether they load a resource.
+
+    Attribute values and text are decoded before their key is derived, raw
+    text (scripts, style sheets, comments) is not. Outside attributes a flag
+    or a resource extension makes a reference a resource.
+    """
+    regions = list(_regions(body or "")) if kind == "html" else []
+    out, r = [], 0
+    for m in REFERENCE.finditer(body or ""):
+        while r < len(regions) and regions[r][1] <= m.start():
+            r += 1
+        inside = r < len(regions) and regions[r][0] <= m.start()
+        region, loads = regions[r][2:] if inside else ("text" if kind == "html" else kind or "text", False)
+        raw = trim_unbalanced(m[4])
+        original = _repaired(_unescape(raw) if region in ("attribute", "text") else raw)
+        if original is None:
+            continue
+        path = re.sub(r"[?#].*", "", original, flags=re.S)
+        told = m[3] in ("im_", "cs_", "js_", "oe_") or bool(_EXTENSION.search(path))
+        out.append(
+            {"pos": m.start(), "region": region, "key": f"{m[2]}/{original}", "resource": loads if region == "attribute" else told}
+        )
+    return out
+
+
+@F.pandas_udf(SCAN)
+def scanned(kinds: pd.Series, bodies: pd.Series) -> pd.Series:
+    return pd.Series([scan_body(*x) for x in zip(kinds, bodies, strict=True)], dtype=object)

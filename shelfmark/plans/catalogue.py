@@ -818,6 +818,21 @@ def fill_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.fill_plan(relations.against(ledger, c), c.where("page_id % 3 = 0")).select("key", "state")
 
 
+@query(
+    r"""WITH l AS (SELECT page_id, regexp_extract_all(html, '<a href="/([^"]*)"', 1) AS ls FROM pages),
+e AS (SELECT page_id, unnest(ls) AS p FROM l),
+k AS (SELECT page_id, '2014/http://x.example.com/' || regexp_extract(p, '^[^<> ''\\]*') AS key FROM e)
+SELECT key, count(*) AS occurrences, count(DISTINCT page_id) AS docs, false AS resource FROM k GROUP BY key"""
+)
+def escape_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences of upstream references in pages whose links are replay references; links load nothing."""
+    html = F.regexp_replace("html", '<a href="/([^"]*)"', '<a href="https://web.archive.org/web/2014/http://x.example.com/$1"')
+    found = table(spark, sf_dir, "pages").select("page_id", F.explode(text.scanned(F.lit("html"), html)).alias("s"))
+    return found.groupBy("s.key").agg(
+        F.count("*").alias("occurrences"), F.countDistinct("page_id").alias("docs"), F.bool_or("s.resource").alias("resource")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -112,3 +112,22 @@ def test_dynamic_errors(spark):
     assert one(spark, classify.dynamic_error(entry(**good))) is None
     for field, value in (("key", "x"), ("flag", "zz_"), ("via", "me"), ("firstSeen", "yesterday")):
         assert one(spark, classify.dynamic_error(entry(**good | {field: value})))
+
+
+def test_scan_by_region():
+    ref = "https://web.archive.org/web/2014{}/http://a.com/{}"
+    page = (
+        f'<a href="{ref.format("", "p.png")}">x</a><link rel="canonical" href="{ref.format("", "c")}"><link rel="icon" href="{ref.format("", "i?a&amp;b")}">'
+        f'<!-- {ref.format("", "n?a&amp;b")} --><script>"{ref.format("", "s.js")}"</script>{ref.format("im_", "t?a&amp;b")}<img src=\'{ref.format("", "g")}\'>'
+    )
+    found = [(x["region"], x["key"].rsplit("/", 1)[1], x["resource"]) for x in text.scan_body("html", page)]
+    assert found == [
+        ("attribute", "p.png", False),
+        ("attribute", "c", False),
+        ("attribute", "i?a&b", True),
+        ("comment", "n?a&amp;b", False),
+        ("script", "s.js", True),
+        ("text", "t?a&b", True),
+        ("attribute", "g", True),
+    ]
+    assert text.scan_body("html", None) == [] and text.scan_body("css", "url(/web/2014cs_/http://a.com/x)")[0]["resource"]
