@@ -12,12 +12,13 @@ prefixes, pruned by length.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -40,6 +41,8 @@ COMMON = frozenset(
 )
 _STRIP = b".,;:!?\"'()[]{}*#$%&|<>-_"
 WORDS_KEPT = 400_000
+#: Ranges of doc_id that documents are dealt into, at most (as many as shuffle partitions below that).
+MOST_RANGES = 50_000
 
 
 class _Kinds(dict):
@@ -102,24 +105,26 @@ def edited(text: str, following: str) -> str:
 
 def _ranges(docs: DataFrame) -> tuple[DataFrame, int]:
     """Rows dealt into ranges of doc_id; the first row of each range also ends the range before."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, min(parts, 1_000))
-    cuts = docs.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    edge = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))]) if cuts else F.array().cast("array<long>")
-    part = F.size(F.filter(edge, lambda c: c <= F.col("id"))).alias("part")
-    dealt = docs.select("id", "tie", "text", part)
-    firsts = sorted(
-        (r["part"], r["f"]["id"], r["f"]["tie"])
-        for r in docs.select("id", "tie", part).groupBy("part").agg(F.min(F.struct("id", "tie")).alias("f")).collect()
+    parts = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_RANGES)
+    shares = [i / parts for i in range(1, parts)] or [0.5]
+    cuts = sorted(set(docs.agg(F.percentile_approx("id", shares, max(10_000, 10 * parts))).first()[0] or []))
+    # The range of an id by a coarse and a fine step over the sorted cuts.
+    step = max(1, int(len(cuts) ** 0.5))
+    literal = lambda values: F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+    reached = lambda edges: F.size(F.filter(edges, lambda c: c <= F.col("id")))
+    whole = reached(literal(cuts[step - 1 :: step])) * step
+    part = whole + reached(F.slice(literal(cuts), whole + 1, step))
+    dealt = docs.select("id", "tie", "text", part.alias("part"))
+    rows = docs.select("id", "tie", part.alias("part")).groupBy("part").agg(F.min(F.struct("id", "tie")).alias("f")).collect()
+    firsts = sorted((r["part"], r["f"]["id"], r["f"]["tie"]) for r in rows)
+    # One row per range at most: that bounds the broadcast.
+    ends = docs.sparkSession.createDataFrame(
+        [(i, t, firsts[k - 1][0]) for k, (_, i, t) in enumerate(firsts)], "id long, tie long, before int"
     )
-    # At most as many entries as ranges.
-    before: Column = F.lit(None).cast("int")
-    for k, (_, first_id, first_tie) in enumerate(firsts):
-        target = firsts[k - 1][0]
-        before = F.when((F.col("id") == first_id) & (F.col("tie") == first_tie), F.lit(target)).otherwise(before)
+    dealt = dealt.join(F.broadcast(ends), ["id", "tie"], "left")
     own = F.struct(F.col("part"), F.lit(False).alias("ahead"))
-    ahead = F.struct(before.alias("part"), F.lit(True).alias("ahead"))
-    places = F.when(before.isNull(), F.array(own)).otherwise(F.array(own, ahead))
+    ahead = F.struct(F.col("before").alias("part"), F.lit(True).alias("ahead"))
+    places = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, ahead))
     return dealt.withColumn("place", F.explode(places)).select("place.part", "place.ahead", "id", "tie", "text"), parts
 
 
