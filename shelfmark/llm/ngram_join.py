@@ -227,7 +227,10 @@ def _index(docs: DataFrame, counts: np.ndarray, words_each: int, percent: int) -
 
 
 def _sets(docs: DataFrame, owners: DataFrame, words_each: int) -> DataFrame:
-    """(node, tokens) of the wanted nodes, read from the text of one document each."""
+    """(node, tokens) of the wanted nodes, read from the text of one document id each.
+
+    Equal rows give a node twice, and so its pairs, which are made distinct later.
+    """
     few = owners.count() <= BROADCAST_IDS
     wanted = docs.join(F.broadcast(owners) if few else owners, "doc_id").select("node", "text")
 
@@ -243,7 +246,7 @@ def _sets(docs: DataFrame, owners: DataFrame, words_each: int) -> DataFrame:
                 [pa.array(nodes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["node", "tokens"]
             )
 
-    return wanted.mapInArrow(sets, "node long, tokens array<long>").dropDuplicates(["node"])
+    return wanted.mapInArrow(sets, "node long, tokens array<long>")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -287,9 +290,15 @@ def components(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataF
     indexed = materialise(_index(rows, _class_counts(scanned), words_each, percent), "index")
     postings = indexed.select("node", "n", F.explode("keys").alias("key"))
     lists = postings.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    live = materialise(
-        postings.join(lists.select("key", F.col("low").alias("hub")), "key").dropDuplicates(["key", "node"]), "live"
+    shared = materialise(postings.join(lists.select("key"), "key").dropDuplicates(["key", "node"]), "shared")
+    # Lists by size band: sets in the same or the next band alone can be similar enough.
+    step = float(np.log(100 / min(percent, 99.9))) * 1.0001
+    band = F.floor(F.log("n") / F.lit(step))
+    banded = shared.select("key", "node", "n", F.explode(F.array(band, band + 1)).alias("band")).select(
+        F.xxhash64("key", "band").alias("key"), "node", "n"
     )
+    lists = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    live = materialise(banded.join(lists.select("key", F.col("low").alias("hub")), "key"), "live")
     owners = documents.join(live.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sets = materialise(_sets(rows, materialise(owners, "owners"), words_each), "sets")
 
