@@ -9,7 +9,10 @@ are indexed in pairs within subclasses: the first of a subclass adds nothing
 to the bound, each further one adds one, so prefixes are extended until the
 bound holds again (at least one pair, or one rare token, must be shared).
 
-Candidates are verified on the whole sets. Only components are wanted, so
+Candidates are verified on the whole sets. Before that, a parity sketch of each
+set (one bit per residue, flipped by every token) rules out pairs: bits that
+differ cannot outnumber the tokens that differ, so no similar pair is lost and
+few dissimilar ones have their sets shuffled. Only components are wanted, so
 lists are not expanded into all pairs: each list is first compared with one
 of its members; lists that still hold several components are then dealt into
 random blocks of growing size, and pairs across components are compared within
@@ -99,7 +102,7 @@ class Prefixes:
         rest = ordered[len(rare) :]
         out = []
         for b in bands:
-            salt = np.uint64(b + 1) * _C
+            salt = np.uint64((b + 1) * int(_C) & (1 << 64) - 1)
             out.append((rare ^ salt) * _A)
             if len(rare) < need:
                 out.append(self._pairs(rest, need - len(rare), self.least * 2**b) ^ salt)
@@ -226,31 +229,63 @@ def _index(docs: DataFrame, counts: np.ndarray, words_each: int, percent: int) -
     return docs.select("text").mapInArrow(index, "node long, n long, keys array<long>")
 
 
-def _sets(docs: DataFrame, owners: DataFrame, words_each: int) -> DataFrame:
-    """(node, tokens) of the wanted nodes, read from the text of one document id each.
+def sketch_of(tokens: np.ndarray) -> np.ndarray:
+    """The parity of the tokens in each residue class, as 64-bit words: at least a bit per token."""
+    words = 1 << max(0, int(np.ceil(np.log2(max(1, len(tokens)) / 64))))
+    bits = np.bincount((tokens & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _read(docs: DataFrame, owners: DataFrame, words_each: int, sketches: bool) -> DataFrame:
+    """(node, tokens), or (node, sketch), of the wanted nodes, read from the text of one document id each.
 
     Equal rows give a node twice, and so its pairs, which are made distinct later.
     """
     few = owners.count() <= BROADCAST_IDS
     wanted = docs.join(F.broadcast(owners) if few else owners, "doc_id").select("node", "text")
+    column = "sketch" if sketches else "tokens"
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches, 500):
-            nodes, tokens = [], []
+            nodes, values = [], []
             for node, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 found = shingle_set(text, words_each)
                 if node_of(found) == node:  # rows of one doc_id can have several texts
                     nodes.append(node)
-                    tokens.append(found.view(np.int64))
+                    values.append(sketch_of(found) if sketches else found.view(np.int64))
             yield pa.record_batch(
-                [pa.array(nodes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["node", "tokens"]
+                [pa.array(nodes, pa.int64()), pa.array(values, pa.list_(pa.int64()))], names=["node", column]
             )
 
-    return wanted.mapInArrow(sets, "node long, tokens array<long>")
+    return wanted.mapInArrow(read, f"node long, {column} array<long>")
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of (a, na, b, nb) that their sketches do not rule out."""
+    first = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
+    second = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
+
+    def folded(mine: str, other: str):
+        half = (F.size(mine) / 2).cast("int")
+        halves = F.zip_with(F.slice(mine, 1, half), F.slice(mine, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(mine) > F.size(other), halves).otherwise(F.col(mine))
+
+    flips = F.zip_with(folded("sa", "sb"), folded("sb", "sa"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(flips, F.lit(0), lambda total, x: total + x)
+    total = F.col("na") + F.col("nb")
+    return (
+        pairs.join(first, "a")
+        .join(second, "b")
+        .where((total - differ) * (100 + percent) >= total * (2 * percent))
+        .select("a", "b")
+        .distinct()
+    )
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+def _links(pairs: DataFrame, docs: DataFrame, owners: DataFrame, words_each: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough; only sets of these pairs are read and shuffled."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = _read(docs, materialise(owners.join(nodes, "node", "left_semi"), "wanted"), words_each, False)
     first = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
     second = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
     shared = F.size(F.array_intersect("ta", "tb")).cast("long")
@@ -300,7 +335,8 @@ def components(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataF
     lists = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     live = materialise(banded.join(lists.select("key", F.col("low").alias("hub")), "key"), "live")
     owners = documents.join(live.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = materialise(_sets(rows, materialise(owners, "owners"), words_each), "sets")
+    owners = materialise(owners, "owners")
+    sketches = materialise(_read(rows, owners, words_each, True), "sketches")
 
     def fits(x: str, y: str):
         return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
@@ -308,8 +344,11 @@ def components(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataF
     # First each list with one of its members, then lists of several components in growing blocks.
     hubs = live.select(F.col("node").alias("hub"), F.col("n").alias("hub_n")).distinct()
     stars = live.where("node <> hub").join(hubs, "hub").where(fits("n", "hub_n"))
-    pairs = stars.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialise(_links(pairs, sets, percent), "links")
+    pairs = stars.select(
+        F.col("hub").alias("a"), F.col("hub_n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")
+    ).distinct()
+    pairs = materialise(_possible(pairs, sketches, percent), "pairs")
+    links = materialise(_links(pairs, rows, owners, words_each, percent), "links")
     comps = None if links.isEmpty() else _joined(None, links)
     block, tested = BLOCK, 2
     while True:
@@ -338,7 +377,8 @@ def components(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataF
         x = dealt.select("key", "part", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
         y = dealt.select("key", "part", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
         across = x.join(y, ["key", "part"]).where("a < b AND ra <> rb").where(fits("na", "nb"))
-        found = _links(across.select("a", "b").distinct(), sets, percent)
+        pairs = materialise(_possible(across.select("a", "na", "b", "nb").distinct(), sketches, percent), "pairs")
+        found = _links(pairs, rows, owners, words_each, percent)
         roots = dealt.select("node", "root").distinct()
         lifted = (
             found.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")

@@ -59,6 +59,20 @@ def test_ngram_join(docs, rows, k, percent):
     assert ngram_join.components(docs.limit(0), k, percent).count() == 0
 
 
+def test_sketches_never_differ_more_than_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 63, 64, 65, 500, 3_000):
+        whole = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        other = np.unique(np.r_[whole[n // 7 :], rng.integers(0, 2**63, n // 9 + 1, dtype=np.uint64)])
+        a, b = sorted((ngram_join.sketch_of(whole), ngram_join.sketch_of(other)), key=len)
+        while len(b) > len(a):
+            b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+        differ = int(np.unpackbits((a ^ b).view(np.uint8)).sum())
+        assert differ <= len(np.setxor1d(whole, other))
+
+
 def test_ngram_join_of_frequent_tokens(spark, monkeypatch):
     """A large group of near copies: all tokens are frequent, lists are long, blocks are small."""
     monkeypatch.setattr(ngram_join, "FREQUENT_PLUS", 3)
