@@ -194,7 +194,8 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, own_rarest: int = OWN_RAREST)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     keyed = docs.mapInArrow(keys, f"{fields}, {key} long")
     keyed = keyed.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    rows = keyed.join(gone, [id_, key], "left")
+    # Deletions grow with the documents, so they are joined by a shuffle at any size.
+    rows = keyed.join(gone.hint("merge"), [id_, key], "left")
     lines = F.split("text", "\n", -1)
     stays = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col(gone_), i)), "\n")
     none = F.col(gone_).isNull()
