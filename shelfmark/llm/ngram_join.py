@@ -40,6 +40,8 @@ CHUNKS = 1024
 FREQUENT_TIMES, FREQUENT_PLUS = 4, 16
 #: Smallest block of a list, and its growth by round.
 BLOCK, GROWTH = 16, 4
+#: Words of the brief sketch that members of lists longer than a smallest block carry.
+BRIEF = 8
 #: Live sets are found by a broadcast of ids up to so many, and by a shuffle beyond.
 BROADCAST_IDS = 500_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -229,21 +231,21 @@ def _index(docs: DataFrame, counts: np.ndarray, words_each: int, percent: int) -
     return docs.select("text").mapInArrow(index, "node long, n long, keys array<long>")
 
 
-def sketch_of(tokens: np.ndarray) -> np.ndarray:
-    """The parity of the tokens in each residue class, as 64-bit words: at least a bit per token."""
-    words = 1 << max(0, int(np.ceil(np.log2(max(1, len(tokens)) / 64))))
+def sketch_of(tokens: np.ndarray, words: int = 0) -> np.ndarray:
+    """The parity of the tokens in each residue class, as 64-bit words; by default at least a bit per token."""
+    words = words or 1 << max(0, int(np.ceil(np.log2(max(1, len(tokens)) / 64))))
     bits = np.bincount((tokens & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def _read(docs: DataFrame, owners: DataFrame, words_each: int, sketches: bool) -> DataFrame:
-    """(node, tokens), or (node, sketch), of the wanted nodes, read from the text of one document id each.
+    """(node, tokens), or (node, sketch, brief), of the wanted nodes, read from the text of one document id each.
 
     Equal rows give a node twice, and so its pairs, which are made distinct later.
     """
     few = owners.count() <= BROADCAST_IDS
     wanted = docs.join(F.broadcast(owners) if few else owners, "doc_id").select("node", "text")
-    column = "sketch" if sketches else "tokens"
+    columns = ["sketch", "brief"] if sketches else ["tokens"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches, 500):
@@ -252,12 +254,11 @@ def _read(docs: DataFrame, owners: DataFrame, words_each: int, sketches: bool) -
                 found = shingle_set(text, words_each)
                 if node_of(found) == node:  # rows of one doc_id can have several texts
                     nodes.append(node)
-                    values.append(sketch_of(found) if sketches else found.view(np.int64))
-            yield pa.record_batch(
-                [pa.array(nodes, pa.int64()), pa.array(values, pa.list_(pa.int64()))], names=["node", column]
-            )
+                    values.append((sketch_of(found), sketch_of(found, BRIEF)) if sketches else (found.view(np.int64),))
+            arrays = [pa.array([v[i] for v in values], pa.list_(pa.int64())) for i in range(len(columns))]
+            yield pa.record_batch([pa.array(nodes, pa.int64()), *arrays], names=["node", *columns])
 
-    return wanted.mapInArrow(read, f"node long, {column} array<long>")
+    return wanted.mapInArrow(read, ", ".join(["node long", *(f"{c} array<long>" for c in columns)]))
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -270,6 +271,7 @@ def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
         halves = F.zip_with(F.slice(mine, 1, half), F.slice(mine, half + 1, half), lambda x, y: x.bitwiseXOR(y))
         return F.when(F.size(mine) > F.size(other), halves).otherwise(F.col(mine))
 
+    # Of n and m tokens with d others, (n + m - d) / 2 are shared at most.
     flips = F.zip_with(folded("sa", "sb"), folded("sb", "sa"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     differ = F.aggregate(flips, F.lit(0), lambda total, x: total + x)
     total = F.col("na") + F.col("nb")
@@ -282,6 +284,22 @@ def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _across(dealt: DataFrame, percent: int, sketched: bool) -> DataFrame:
+    """Pairs (a, na, b, nb) across components within blocks, that sizes (and brief sketches) do not rule out."""
+    carried = [f"s{i}" for i in range(BRIEF)] if sketched else []
+    x, y = (
+        dealt.select("key", "part", *[F.col(c).alias(c + side) for c in ("node", "n", "root", *carried)])
+        for side in ("_a", "_b")
+    )
+    na, nb = F.col("n_a"), F.col("n_b")
+    near = (na * 100 >= nb * percent) & (nb * 100 >= na * percent)
+    if sketched:
+        flips = [F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in carried]
+        near &= (na + nb - sum(flips[1:], flips[0])) * (100 + percent) >= (na + nb) * (2 * percent)
+    pairs = x.join(y, ["key", "part"]).where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & near)
+    return pairs.select(F.col("node_a").alias("a"), na.alias("na"), F.col("node_b").alias("b"), nb.alias("nb"))
+
+
 def _links(pairs: DataFrame, docs: DataFrame, owners: DataFrame, words_each: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough; only sets of these pairs are read and shuffled."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -374,10 +392,11 @@ def components(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataF
         )
         if dealt.isEmpty():
             break
-        x = dealt.select("key", "part", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-        y = dealt.select("key", "part", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-        across = x.join(y, ["key", "part"]).where("a < b AND ra <> rb").where(fits("na", "nb"))
-        pairs = materialise(_possible(across.select("a", "na", "b", "nb").distinct(), sketches, percent), "pairs")
+        # Short lists have a bounded number of pairs for each member; members of long ones carry a brief sketch.
+        short = _across(dealt.where(F.col("held") <= BLOCK), percent, False)
+        brief = sketches.select("node", *[F.get("brief", F.lit(i)).alias(f"s{i}") for i in range(BRIEF)]).distinct()
+        long = _across(dealt.where(F.col("held") > BLOCK).join(brief, "node"), percent, True)
+        pairs = materialise(_possible(short.union(long).distinct(), sketches, percent), "pairs")
         found = _links(pairs, rows, owners, words_each, percent)
         roots = dealt.select("node", "root").distinct()
         lifted = (
