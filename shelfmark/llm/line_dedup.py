@@ -1,11 +1,12 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap if they share a rare line. Every rare line of a document
-pairs it with the document of the smallest id that has the line (its owner),
-so a line shared by k documents makes k - 1 pairs. Each pair is aligned by
-patience diff (lines unique in both, in the longest common order, fix the
-alignment; between them it goes on, and equal heads and tails are matched).
-Aligned runs that hold a rare line are deleted from the later document.
+Documents overlap if they share a line, however many hold it. Every shared
+line of a document pairs it with the document of the smallest id that has the
+line (its owner), so a line shared by k documents makes k - 1 pairs. Each pair
+is aligned by patience diff (lines unique in both, in the longest common
+order, fix the alignment; between them it goes on, and equal heads and tails
+are matched). Aligned runs that hold a line of the owner's are deleted from
+the later document. On request, only lines that are rare open pairs.
 """
 
 from __future__ import annotations
@@ -22,9 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, materialise
 
-#: A line is rare if so many documents have it at most ...
-RARE = 50
-#: ... and these many rarest lines of each document always are: copies of any number are found.
+#: Where only rare lines open pairs, these many rarest lines of each document always do.
 OWN_RAREST = 2
 
 
@@ -121,8 +120,12 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(hashes, ROWS)
 
 
-def deletions(docs: DataFrame, rare: int = RARE, own_rarest: int = OWN_RAREST) -> DataFrame:
-    """(doc_id, key, gone): numbers of the lines to delete from the document of that id and text."""
+def deletions(docs: DataFrame, rare: int | None = None, own_rarest: int = OWN_RAREST) -> DataFrame:
+    """(doc_id, key, gone): numbers of the lines to delete from the document of that id and text.
+
+    Every shared line opens a pair; with ``rare``, lines that so many documents have at most and each
+    document's own rarest.
+    """
     texts = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     )
@@ -133,15 +136,17 @@ def deletions(docs: DataFrame, rare: int = RARE, own_rarest: int = OWN_RAREST) -
         F.count("*").alias("n"), F.min(F.struct("doc_id", "key")).alias("owner")
     )
     shared = owners.where("n > 1")
-    # A document's rarest lines: those that no other document has come first.
-    counted = held.join(shared, "line", "left").select(
-        "doc_id", "key", "line", F.coalesce("n", F.lit(1)).alias("n"), "owner"
-    )
-    rank = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("n", "line"))
+    if rare is None:
+        opening = held.join(shared, "line")
+    else:
+        # A document's rarest lines: those that no other document has come first.
+        counted = held.join(shared, "line", "left").select(
+            "doc_id", "key", "line", F.coalesce("n", F.lit(1)).alias("n"), "owner"
+        )
+        rank = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("n", "line"))
+        opening = counted.withColumn("rank", rank).where((F.col("n") <= rare) | (F.col("rank") <= own_rarest))
     wanted = (
-        counted.withColumn("rank", rank)
-        .where((F.col("n") <= rare) | (F.col("rank") <= own_rarest))
-        .where("owner.doc_id < doc_id")
+        opening.where("owner.doc_id < doc_id")
         .groupBy("doc_id", "key", F.col("owner.doc_id").alias("first_id"), F.col("owner.key").alias("first_key"))
         .agg(F.collect_set("line").alias("rare"))
     )
@@ -152,11 +157,13 @@ def deletions(docs: DataFrame, rare: int = RARE, own_rarest: int = OWN_RAREST) -
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(5)]
-            gone = [common_lines(e, d, set(r)) for _, _, r, d, e in zip(*columns, strict=True)]
-            yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "key", "gone"]
-            )
+            for low in range(0, len(batch), 500):
+                part = batch.slice(low, 500)
+                columns = [part.column(i).to_pylist() for i in range(2, 5)]
+                gone = [common_lines(e, d, set(r)) for r, d, e in zip(*columns, strict=True)]
+                yield pa.record_batch(
+                    [part.column(0), part.column(1), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "key", "gone"]
+                )
 
     aligned = pairs.select("doc_id", "key", "rare", "later", "earlier").mapInArrow(
         align, "doc_id long, key long, gone array<int>"
@@ -165,14 +172,15 @@ def deletions(docs: DataFrame, rare: int = RARE, own_rarest: int = OWN_RAREST) -
     return aligned.where(F.size("gone") > 0).groupBy("doc_id", "key").agg(gone)
 
 
-def dedup_lines(docs: DataFrame, rare: int = RARE, own_rarest: int = OWN_RAREST) -> DataFrame:
+def dedup_lines(docs: DataFrame, rare: int | None = None, own_rarest: int = OWN_RAREST) -> DataFrame:
     """Every row of ``docs`` with aligned common blocks deleted from the later document.
 
     All columns are kept; ``text`` is what stays, and n_lines and n_removed
     (long) are added, in place of columns of these names. Lines end at ``\\n`` and are compared without white
     space around them; blank lines are common to all and go only inside a
     common block. Documents are judged on the input: a block goes if the
-    owner of one of its rare lines has it, whatever the owner loses itself.
+    owner of one of its lines (with ``rare``: one of its rare lines) has it,
+    whatever the owner loses itself and however many documents share it.
     A null text has no lines and stays null; a text that loses all lines
     becomes empty; rows of one doc_id never shorten each other; a null id
     counts as smaller than all others. An empty table gives no rows.

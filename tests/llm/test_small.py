@@ -396,6 +396,18 @@ def test_line_dedup(docs, rows, rare, own):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_frequent_blocks(spark):
+    own = lambda i, k: f"own {k} of {i}"
+    block = [(i, "\n".join([own(i, 0), own(i, 1), "block one", "", "block two", own(i, 2)])) for i in range(60)]
+    near = [(i, "\n".join([*(f"long {k}" for k in range(6)), own(i, 0), own(i, 1)])) for i in range(100, 170)]
+    found = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(block + near, "doc_id long, text string")).collect()}
+    assert [found[i]["n_removed"] for i, _ in block] == [0] + [3] * 59
+    assert [found[i]["n_removed"] for i, _ in near] == [0] + [6] * 69
+    assert all(found[i]["text"] == "\n".join(own(i, k) for k in range(3)) for i in range(1, 60))
+    wanted = brute_lines(block + near, 1_000, 0)
+    assert all(found[i]["n_removed"] == len(wanted[i, t]) for i, t in block + near)
+
+
 def test_patience():
     a, b = [1, 2, 3, 4, 5, 6], [9, 2, 3, 8, 5, 6]
     assert line_dedup.patience(a, b) == [(1, 1), (2, 2), (4, 4), (5, 5)]
