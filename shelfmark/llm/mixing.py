@@ -88,12 +88,16 @@ def _thresholds(rows: DataFrame, rooms: DataFrame, few: bool) -> DataFrame:
         )
         running = F.sum("tokens").over(Window.partitionBy("source_id").orderBy("b"))
         fits = F.col("run") <= F.col("room")
+        spent, last = F.max(F.when(fits, F.col("run"))), F.lit(None).cast("long")
+        if level < LEVELS - 1:
+            # Where all buckets fit, the last one stays open, so that the next levels still meet the source.
+            spent, last = F.when(F.max("run") <= F.col("room"), F.max(F.col("run") - F.col("tokens"))).otherwise(spent), F.max("b")
         found = (
             histogram.withColumn("run", running)
             .groupBy("source_id", "room")
             .agg(
-                F.coalesce(F.max(F.when(fits, F.col("run"))), F.lit(0)).alias("spent"),
-                F.min(F.when(~fits, F.col("b"))).alias("b"),
+                F.coalesce(spent, F.lit(0)).alias("spent"),
+                F.coalesce(F.min(F.when(~fits, F.col("b"))), last).alias("b"),
             )
             .select(
                 "source_id",

@@ -267,6 +267,23 @@ def test_mixing(docs, rows):
     assert mixed.count() == sum(r["copies"] for r in found)
 
 
+def test_mixing_spends_its_room(spark):
+    longs = {"a": 600, "b": 100, "c": 90, "d": 900, "e": 350, "f": 200, "g": 2_000, "h": 50, "i": 450}
+    two = [(0, "w " * 600, "a"), (99, "w " * 500, "b")] + [(i, "w " * 10, "a") for i in range(1, 41)]
+    many = [(k, "w " * n, s) for k, (s, n) in enumerate(longs.items())]
+    many += [(100 * (k + 1) + i, "w " * 10, s) for k, s in enumerate(longs) for i in range(40)]
+    for rows in (two, many):
+        found = mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+        for source in {s for *_, s in rows}:
+            own = [r for r in found if r["source"] == source]
+            target, base = own[0]["target"], int(own[0]["target"] // own[0]["source_size"])
+            short = target - sum(r["taken"] for r in own)
+            passed = [r["size"] for r in own if r["copies"] == base < 3]
+            assert short > -1e-6 and (not passed or short < min(passed)), (source, target, short, min(passed))
+        if rows is two:
+            assert sum(r["taken"] for r in found if r["source"] == "a") == 400
+
+
 def brute_removal(rows, length):
     first = {}
     ordered = sorted(rows, key=lambda r: LOW if r[0] is None else r[0])
