@@ -56,8 +56,8 @@ RULES = [
 #: A sentence ends at a line end, or at a stop, question or exclamation mark before white space.
 END = r"[\r\n]+|[.!?]+[\x20\x09-\x0D]+"
 _MARKS = "[^a-z0-9]+"
-#: Texts without any of these words hold no known sentence.
-HINT = r"(?i)licen[sc]|copyright|rights|permission|software|redistribut|cc0|cc.by"
+#: Texts without any of these words, the longest of each sentence, hold no known sentence.
+HINT = "(?i)" + "|".join(sorted({max(s.split(), key=len) for s in SENTENCES.values()}))
 
 
 def normalised(sentence: Column) -> Column:

@@ -211,6 +211,18 @@ def test_license_scan(docs, spark):
     assert license_scan.scan_licenses(docs).count() == docs.count() and license_scan.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_license_scan_of_each_sentence(spark):
+    import duckdb
+
+    texts = [(i, f"Some words. {s.upper()}") for i, s in enumerate(license_scan.SENTENCES.values())]
+    found = license_scan.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["sentence_ids"] for r in found] == list(license_scan.SENTENCES) and {r["n_sentences"] for r in found} == {1}
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", texts)
+    assert [tuple(r) for r in found] == con.execute(f"select * from ({license_scan.oracle()}) order by 1").fetchall()
+
+
 def test_toxicity(spark, docs):
     clean = [f"good words here {i % 17} and there. More of it {i % 5}. Fine." for i in range(120)]
     bad = [f"good words here {i % 17} and there. You vile toad {i % 5}! Fine." for i in range(60)]
