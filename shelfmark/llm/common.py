@@ -6,8 +6,10 @@ UTF-8 text this is exactly what ``bytes.split()`` returns.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -22,11 +24,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a notebook on one machine) a temporary
-    folder is chosen and kept in the session's configuration.
+    Only in local mode (tests, a notebook on one machine) a temporary folder
+    is chosen where that is unset, and kept in the session's configuration; a
+    cluster without the setting is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("shelfmark.scratch", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="shelfmark-")
         spark.conf.set("shelfmark.scratch", root)
     return root.rstrip("/")
@@ -61,32 +66,53 @@ _BYTES = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes hashed at once; longer texts go piece by piece, cut at white space.
-_PIECE = 1 << 20
+_PIECE = 1 << 17
 
 
-class _Powers:
-    up = down = np.ones(1, np.uint64)
+class Powers:
+    """Powers of an odd base mod 2**64 and of its inverse, as far as they were asked for."""
 
-    @classmethod
-    def reach(cls, n: int) -> None:
-        if len(cls.up) < n:
-            inverse = pow(_BASE, -1, 1 << 64)
-            cls.up = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, _BASE, np.uint64)])
-            cls.down = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, inverse, np.uint64)])
+    def __init__(self, base: int):
+        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def reach(self, n: int) -> None:
+        if len(self.up) < n:
+            self.up = np.cumprod(np.r_[np.uint64(1), np.full(n, self.base, np.uint64)])
+            self.down = np.cumprod(np.r_[np.uint64(1), np.full(n, self.inverse, np.uint64)])
+
+
+_POWERS = Powers(_BASE)
 
 
 def _piece_hashes(raw: np.ndarray) -> np.ndarray:
     inside = np.r_[False, ~_BLANK[raw], False]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
-    _Powers.reach(len(raw) + 1)
-    sums = np.r_[np.uint64(0), np.cumsum(_BYTES[raw] * _Powers.up[: len(raw)])]
-    h = (sums[ends] - sums[starts]) * _Powers.down[starts]
+    _POWERS.reach(max(len(raw), _PIECE) + 1)
+    sums = np.r_[np.uint64(0), np.cumsum(_BYTES[raw] * _POWERS.up[: len(raw)])]
+    h = (sums[ends] - sums[starts]) * _POWERS.down[starts]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     return h ^ h >> np.uint64(29)
 
 
+_KEPT: dict[str, object] = {}
+
+
+def worker_table(name: str, make: Callable[[], object]) -> object:
+    """What a Python worker remembers from task to task under ``name``; it remembers one table at a time.
+
+    Spark hands a worker on from one operator's tasks to another's: asking
+    under another name drops the table before, so that an executor never
+    holds what several operators have gathered.
+    """
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def word_hashes(data: bytes) -> np.ndarray:
     """A 64-bit hash of each word of a text's bytes, in order, without a Python object per word."""
     if len(data) <= _PIECE:

@@ -4,9 +4,10 @@ Per language, a tree of byte contexts of up to ORDER bytes counts which byte
 follows. A byte that a context has seen costs its share of count / (count sum
 + kinds); else the escape kinds / (sum + kinds) is paid and the next shorter
 context is asked, down to a uniform byte. Statistics are frozen after
-training, so a word's code length is fixed and is computed once per worker.
-Contexts start with the space before a word; a text is coded as its words
-with single spaces. A text gets the language with the shortest code.
+training, so a byte's code length depends on it and the ORDER bytes before it
+alone: each batch looks up its distinct runs of ORDER + 1 bytes and sums. A
+text is coded as its words with single spaces, after ORDER spaces; contexts
+reach over words. A text gets the language with the shortest code.
 """
 
 from __future__ import annotations
@@ -18,142 +19,113 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, fresh, held_out
+from .common import fresh, held_out
 
-#: Longest context in bytes.
+#: Longest context in bytes (a run, the context and its byte, is a 64-bit key; 7 at most).
 ORDER = 4
 #: Labelled documents per language that statistics are learned from, about, at most.
 DOCS_PER_LANGUAGE = 1_000
-#: Words whose code lengths a worker remembers before it starts afresh.
-WORDS_KEPT = 500_000
+#: Bytes coded at once; longer texts go piece by piece.
+PIECE = 1 << 18
 UNKNOWN = "und"
 _LETTER = r"\p{L}"
+_START = b" " * ORDER
 
 
-def _keys(codes: np.ndarray, back: list[np.ndarray], k: int, with_byte: bool) -> np.ndarray:
-    """Keys of each position's context of k bytes (those that have it), with the byte or without."""
-    key = np.full(len(codes), (k + 1) << 1 | with_byte, np.uint64)
-    for j in range(k, 0, -1):
-        key = key << np.uint64(8) | back[j]
-    return key << np.uint64(8) | codes if with_byte else key << np.uint64(8)
+def coded(text: str) -> bytes:
+    """The bytes that stand for a text: ORDER spaces, then words, each with a space after it."""
+    words = text.encode().split()
+    return _START + b" ".join(words) + b" " if words else _START
 
 
-def _positions(coded: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """Of ` word word `: bytes after the first, longest order of each, bytes before, word number."""
-    raw = np.frombuffer(coded, np.uint8)
-    at = np.arange(len(raw))
-    start = np.maximum.accumulate(np.where(raw == 32, at, 0))
-    order = np.minimum(at[1:] - start[:-1], ORDER)
-    back = [raw[1:].astype(np.uint64)]
-    for j in range(1, ORDER + 1):
-        shifted = np.zeros(len(raw) - 1, np.uint64)
-        shifted[j - 1 :] = raw[: max(0, len(raw) - j)]
-        back.append(shifted)
-    word = np.cumsum(raw[:-1] == 32) - 1
-    return raw[1:].astype(np.uint64), order, back, word
+def runs(raw: np.ndarray) -> np.ndarray:
+    """The key of each byte from the ORDER-th on: the bytes before it and it, as one number."""
+    keys = np.zeros(max(0, len(raw) - ORDER), np.uint64)
+    for j in range(ORDER + 1):
+        keys = keys << np.uint64(8) | raw[j : len(keys) + j]
+    return keys
 
 
-def count_contexts(words: DataFrame) -> DataFrame:
-    """(lang, word, n) to counts by lang and key of context and byte, for each order."""
+def count_runs(texts: DataFrame) -> DataFrame:
+    """(lang, text) to (lang, key, n): how often each run of ORDER + 1 bytes is in a language's texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = np.array(batch.column(0).to_pylist(), dtype=object)
-            texts = batch.column(1).to_pylist()
-            times = batch.column(2).to_numpy(zero_copy_only=False)
-            for lang in sorted(set(langs)):
-                mine = np.flatnonzero(langs == lang)
-                coded = b" " + b" ".join(texts[i].encode() for i in mine) + b" "
-                codes, order, back, word = _positions(coded)
-                n = times[mine][word]
-                for k in range(ORDER + 1):
-                    has = order >= k
-                    keys, inverse = np.unique(_keys(codes, back, k, True)[has], return_inverse=True)
+            for low in range(0, len(batch), 64):
+                part = batch.slice(low, 64)
+                langs = part.column(0).to_pylist()
+                bytes_of = [coded(t) for t in part.column(1).to_pylist()]
+                for lang in sorted(set(langs)):
+                    keys = [runs(np.frombuffer(b, np.uint8)) for b, x in zip(bytes_of, langs, strict=True) if x == lang]
+                    found, n = np.unique(np.concatenate(keys), return_counts=True)
                     yield pa.record_batch(
-                        [
-                            pa.array([lang] * len(keys), pa.string()),
-                            pa.array(keys.view(np.int64), pa.int64()),
-                            pa.array(np.bincount(inverse, n[has], len(keys)).astype(np.int64)),
-                        ],
+                        [pa.array([lang] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))],
                         names=["lang", "key", "n"],
                     )
 
-    found = words.mapInArrow(count, "lang string, key long, n long")
+    found = texts.select("lang", "text").mapInArrow(count, "lang string, key long, n long")
     return found.groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in a sorted table, and which of them are there."""
+    at = np.minimum(np.searchsorted(table, keys), max(0, len(table) - 1))
+    return at, table[at] == keys if len(table) else np.zeros(len(keys), bool)
+
+
 class Model:
-    """Frozen statistics of all languages: sorted keys, code lengths, escapes (bits)."""
+    """Frozen statistics: by order, sorted runs with code lengths and sorted contexts with escapes (bits by language)."""
 
     def __init__(self, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]]):
-        self.langs = langs
-        size = len(langs)
-        union = np.unique(np.concatenate([k for k, _ in counts])) if size else np.zeros(0, np.uint64)
-        table = np.zeros((len(union), size))
+        self.langs, size = langs, len(langs)
+        longest = np.unique(np.concatenate([k for k, _ in counts])) if size else np.zeros(0, np.uint64)
+        table = np.zeros((len(longest), size))
         for j, (keys, n) in enumerate(counts):
-            table[np.searchsorted(union, keys), j] = n
-        context = (union >> np.uint64(8) << np.uint64(8)) & ~self._flag(union)
-        self.contexts, owner = np.unique(context, return_inverse=True)
-        total = np.zeros((len(self.contexts), size))
-        kinds = np.zeros_like(total)
-        np.add.at(total, owner, table)
-        np.add.at(kinds, owner, table > 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            self.escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
-            own = -np.log2(table / (total + kinds)[owner])
-        # Orders ascend, so what an escape leads to is resolved before it is needed.
-        cost = np.where(table > 0, own, 0.0)
-        orders = self._order(union)
+            table[np.searchsorted(longest, keys), j] = n
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         for k in range(ORDER + 1):
-            rows = np.flatnonzero(orders == k)
-            if not len(rows):
-                continue
-            below = np.full((len(rows), size), 8.0)
-            if k:
-                below = cost[np.searchsorted(union, self._shorter(union[rows], k))]
-            cost[rows] = np.where(table[rows] > 0, cost[rows], self.escape[owner[rows]] + below)
-        self.keys, self.cost = union, cost
-
-    @staticmethod
-    def _order(keys: np.ndarray) -> np.ndarray:
-        """The order of keys with a byte: the bits above the context and the byte."""
-        out = np.full(len(keys), -1)
-        for k in range(ORDER + 1):
-            out[keys >> np.uint64(8 * (k + 1)) == np.uint64((k + 1) << 1 | 1)] = k
+            # Every byte has a full context, so shorter runs count what the longest ones with their end count.
+            keys, of = np.unique(longest & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            seen = np.zeros((len(keys), size))
+            np.add.at(seen, of, table)
+            contexts, owner = np.unique(keys >> np.uint64(8), return_inverse=True)
+            total, kinds = np.zeros((len(contexts), size)), np.zeros((len(contexts), size))
+            np.add.at(total, owner, seen)
+            np.add.at(kinds, owner, seen > 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
+                own = -np.log2(seen / (total + kinds)[owner])
+            shorter = self.bits(keys & np.uint64((1 << 8 * k) - 1), k - 1)
+            self.levels.append((keys, np.where(seen > 0, own, escape[owner] + shorter), contexts, escape))
+
+    def bits(self, keys: np.ndarray, k: int = ORDER) -> np.ndarray:
+        """Code lengths by language of the last byte of runs of k + 1 bytes."""
+        if k < 0:
+            return np.full((len(keys), len(self.langs)), 8.0)
+        known, cost, contexts, escape = self.levels[k]
+        at, hit = _find(known, keys)
+        out = np.zeros((len(keys), len(self.langs)))
+        out[hit] = cost[at[hit]]
+        if len(missed := np.flatnonzero(~hit)):
+            place, seen = _find(contexts, keys[missed] >> np.uint64(8))
+            out[missed[seen]] = escape[place[seen]]
+            out[missed] += self.bits(keys[missed] & np.uint64((1 << 8 * k) - 1), k - 1)
         return out
 
-    def _flag(self, keys: np.ndarray) -> np.ndarray:
-        order = Model._order(keys).astype(np.uint64)
-        return np.uint64(1) << (np.uint64(8) * (order + np.uint64(1)))
-
-    @staticmethod
-    def _shorter(keys: np.ndarray, k: int) -> np.ndarray:
-        tail = keys & np.uint64((1 << (8 * k)) - 1)
-        return tail | np.uint64((k << 1 | 1) << (8 * k))
-
-    def code_lengths(self, words: list[bytes]) -> np.ndarray:
-        """Bits of each word (with the space after it) under each language."""
-        codes, order, back, word = _positions(b" " + b" ".join(words) + b" ")
-        bits = np.zeros((len(codes), len(self.langs)))
-        open_ = np.arange(len(codes))
-        for k in range(ORDER, -1, -1):
-            rows = open_[order[open_] >= k]
-            part = [b[rows] for b in back]
-            keys = _keys(codes[rows], part, k, True)
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            hit = self.keys[at] == keys
-            bits[rows[hit]] += self.cost[at[hit]]
-            missed = rows[~hit]
-            context = _keys(codes[rows], part, k, False)[~hit]
-            at = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
-            seen = self.contexts[at] == context
-            bits[missed[seen]] += self.escape[at[seen]]
-            open_ = np.concatenate([open_[order[open_] < k], missed])
-        bits[open_] += 8.0
-        out = np.zeros((len(words), len(self.langs)))
-        ends = np.flatnonzero(np.diff(word, append=-1))
-        sums = np.cumsum(bits, axis=0)[ends]
-        out[:] = np.diff(sums, axis=0, prepend=np.zeros((1, len(self.langs))))
+    def code_lengths(self, texts: list[bytes]) -> np.ndarray:
+        """Bits of each text (as :func:`coded`) under each language."""
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        starts = np.r_[0, np.cumsum([len(t) for t in texts])]
+        out = np.zeros((len(texts), len(self.langs)))
+        for low in range(0, len(raw) - ORDER, PIECE):
+            keys = runs(raw[low : low + PIECE + ORDER])
+            at = np.arange(low + ORDER, low + ORDER + len(keys))
+            text = np.searchsorted(starts, at, "right") - 1
+            inside = at - starts[text] >= ORDER  # not among the spaces that a text starts with
+            found, which = np.unique(keys[inside], return_inverse=True)
+            bits = self.bits(found)
+            for j in range(len(self.langs)):
+                out[:, j] += np.bincount(text[inside], bits[which, j], len(texts))
         return out
 
 
@@ -162,7 +134,7 @@ def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> Model:
 
     At most about ``per_language`` documents of a language, chosen by a hash
     of their id, are read; the counts are summed on the executors, and only
-    counts of distinct contexts (bounded with the sample) reach the driver.
+    counts of distinct runs (bounded with the sample) reach the driver.
     """
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     # One number per language, a column of few values.
@@ -171,14 +143,7 @@ def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> Model:
     for lang, share in chances.items():
         chance = F.when(F.col("lang") == lang, share).otherwise(chance)
     drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("lid")), F.lit(1 << 20)) < chance * (1 << 20)
-    sample = rows.where(drawn).select("lang", "text")
-    words = (
-        sample.select("lang", F.explode(F.split("text", SPACES)).alias("word"))
-        .where("word <> ''")
-        .groupBy("lang", "word")
-        .agg(F.count("*").alias("n"))
-    )
-    found = count_contexts(words).toPandas()
+    found = count_runs(rows.where(drawn).select("lang", "text")).toPandas()
     langs = sorted(found["lang"].unique().tolist())
     counts = []
     for lang in langs:
@@ -187,30 +152,6 @@ def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> Model:
     return Model(langs, counts)
 
 
-_KNOWN: dict[bytes, int] = {}
-_BITS = np.zeros((0, 0))
-_OF: object = None
-
-
-def _score(words_of: list[list[bytes]], model: Model, tag: object) -> np.ndarray:
-    """Bits of each text by language; words are coded once per worker and model."""
-    global _BITS, _OF
-    if tag != _OF or len(_KNOWN) >= WORDS_KEPT:
-        _KNOWN.clear()
-        _BITS, _OF = np.zeros((1024, len(model.langs))), tag
-    new = list(set().union(*words_of).difference(_KNOWN))
-    if new:
-        first = len(_KNOWN)
-        if first + len(new) > len(_BITS):
-            grown = np.zeros((2 * (first + len(new)), len(model.langs)))
-            grown[:first] = _BITS[:first]
-            _BITS = grown
-        _BITS[first : first + len(new)] = model.code_lengths(new)
-        _KNOWN.update(zip(new, range(first, first + len(new)), strict=True))
-    get = _KNOWN.__getitem__
-    return np.array([_BITS[np.fromiter(map(get, w), np.int64, len(w))].sum(axis=0) for w in words_of])
-
-
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Adds lang_pred, score and bits_per_byte to every row of (doc_id, text, ...).
 
@@ -220,8 +161,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     before. Other columns (but those of the added names), repeated rows and
     empty tables pass through.
     """
-    spark = docs.sparkSession
-    shared, tag = spark.sparkContext.broadcast(model), id(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = "lang_pred string, score double, bits_per_byte double"
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,16 +169,15 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for low in range(0, len(batch), 256):
                 part = batch.slice(low, 256)
-                texts, letters = part.column(whole).to_pylist(), part.column(lettered).to_pylist()
+                texts, letters = part.column(place).to_pylist(), part.column(lettered).to_pylist()
                 langs, scores, rates = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
-                if model.langs:
-                    mine = [i for i, yes in enumerate(letters) if yes]
-                    words = [texts[i].encode().split() for i in mine]
-                    for i, bits in zip(mine, _score(words, model, tag) if mine else (), strict=True):
-                        best = int(np.argmin(bits))
-                        langs[i] = model.langs[best]
-                        scores[i] = float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum())
-                        rates[i] = float(bits[best] / max(1, len(texts[i].encode())))
+                mine = [i for i, yes in enumerate(letters) if yes and model.langs]
+                bytes_of = [coded(texts[i]) for i in mine]
+                for i, code, bits in zip(mine, bytes_of, model.code_lengths(bytes_of), strict=True):
+                    best = int(np.argmin(bits))
+                    langs[i] = model.langs[best]
+                    scores[i] = float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum())
+                    rates[i] = float(bits[best] / (len(code) - ORDER))
                 kept = [part.column(c) for c in names]
                 yield pa.record_batch(
                     [*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())],
@@ -248,8 +187,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "bits_per_byte")]
     docs = docs.select(*[F.col(f"`{c}`") for c in names])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    whole, lettered = fresh(docs, "_text"), fresh(docs, "_letter")
+    lettered, place = fresh(docs, "_letter"), [c.lower() for c in names].index("text")
     letter = F.coalesce(F.col("text").rlike(_LETTER), F.lit(False))
-    return docs.select("*", F.col("text").alias(whole), letter.alias(lettered)).mapInArrow(
-        predict, f"{kinds}, {fields}"
-    )
+    return docs.select("*", letter.alias(lettered)).mapInArrow(predict, f"{kinds}, {fields}")

@@ -169,9 +169,11 @@ def test_packing(docs, rows):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(packing.default_tokenizer_path())
-    plain.encode_special_tokens = True
-    pieces = packing.pack_documents(docs, seq_len=64).collect()
+    rows = [*rows, (50, "hello <|endoftext|> world", None, None), (51, "<|endoftext|>", None, None)]
+    more = docs.sparkSession.createDataFrame([r[:2] for r in rows[-2:]], "doc_id long, text string")
+    pieces = packing.pack_documents(docs.unionByName(more, allowMissingColumns=True), seq_len=64).collect()
     ids = sorted((r[0] if r[0] is not None else LOW, plain.encode(r[1] or "", add_special_tokens=False).ids + [0]) for r in rows)
+    assert (50, [31373, 220, 50256, 995, 0]) in ids
     stream = defaultdict(bytes)
     for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"])):
         assert p["offset"] * 4 == len(stream[p["sequence_id"]]) and p["ids_crc32"] == zlib.crc32(p["ids"])
@@ -179,19 +181,26 @@ def test_packing(docs, rows):
         stream[p["sequence_id"]] += p["ids"]
     sizes = [len(stream[i]) // 4 for i in sorted(stream)]
     assert sorted(stream) == list(range(len(stream))) and set(sizes[:-1]) == {64} and sum(sizes) == sum(len(i) for _, i in ids)
-    docs_of = defaultdict(list)
-    for p in pieces:
-        docs_of[p["doc_id"], p["doc_tokens"]].append((p["start"], p["ids"]))
-    for doc_id, wanted in ids:
-        own = sorted(docs_of[None if doc_id == LOW else doc_id, len(wanted)])
-        assert packing.pack_ids(wanted) in (b"".join(x for _, x in own), b"".join(x for _, x in own[: len(own) // 2]) * 1, b"".join(x for _, x in own[::2]))
+    placed = defaultdict(list)  # a document's pieces follow each other in the whole stream
+    whole = sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"]))
+    for p in whole:
+        if p["start"] == 0:
+            placed[p["doc_id"]].append(b"")
+        assert 4 * p["start"] == len(placed[p["doc_id"]][-1])
+        placed[p["doc_id"]][-1] += p["ids"]
+        assert p["start"] + p["length"] <= p["doc_tokens"]
+    wanted = Counter((None if d == LOW else d, packing.pack_ids(x)) for d, x in ids)
+    assert Counter((d, x) for d, xs in placed.items() for x in xs) == wanted
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("text", ["", " ", "  a", "a  b", "\n\n x", "it's I'LL 'tis", "<|endoftext|> x", "漢字 テスト　z", "½ ² a1b2", "tab\ta\r\nb", " lead trail ", "😀 😀x", "a.. b, c.", "é. f"])
+@pytest.mark.parametrize("text", ["", " ", "  a", "a  b", "\n\n x", "it's I'LL 'tis", "<|endoftext|> x", "a<|endoftext|>", "<|endoftext |> b", "漢字 テスト　z", "½ ² a1b2", "tab\ta\r\nb", " lead trail ", "😀 😀x", "a.. b, c.", "é. f"])
 def test_ids_are_the_tokenizers(text):
-    chunks = packing.encoder(packing.default_tokenizer_path())
-    assert chunks.encode([text])[0] == packing.pack_ids(chunks.tokenizer.encode(text, add_special_tokens=False).ids)
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer_path()
+    plain = Tokenizer.from_file(path)
+    assert packing.encoder(path).encode([text])[0] == packing.pack_ids(plain.encode(text, add_special_tokens=False).ids)
 
 
 def test_license_scan(docs, spark):
@@ -246,6 +255,44 @@ def test_noisy_or_by_hand():
     assert abs(score - (1 - (1 - sig(-2)) * (1 - sig(1)) ** 2)) < 1e-9 and worst == 1 and abs(own - sig(1)) < 1e-9
 
 
+def brute_noisy_or(text, weights):
+    """Sentence by sentence, from single words."""
+    import math
+
+    odds, number, begun = [weights.bias], 0, False
+    for word in (text or "").encode().split():
+        if begun:
+            odds.append(weights.bias)
+            begun, number = False, number + 1
+        odds[-1] += sum(weights.words.get(f, 0.0) for f in toxicity.features(word))
+        begun = word.endswith(toxicity._ENDS)
+    p = [1 / (1 + math.exp(-z)) for z in odds]
+    return 1 - math.prod(1 - x for x in p), p.index(max(p)), max(p)
+
+
+def test_noisy_or_of_very_long_texts(monkeypatch):
+    """Neither a text's length nor where pieces end changes a result."""
+    weights = toxicity.Weights({b"bad": 2.5, b"^awfu": 1.0, b"good": -1.0}, -6.0)
+    texts = [
+        "good words. " * 40_000 + "bad bad awfully bad! " + "more good words. " * 30_000,
+        "fine " * 99_999 + "bad bad",  # one sentence over several pieces
+        "a. " * 60_000 + "bad bad bad",
+        "bad. ok",
+        "one",
+    ]
+    whole = [toxicity.score_text(t, weights, toxicity._Lookup(weights)) for t in texts]
+    assert whole[0][1] == 40_000 and whole[2][1] == 60_000
+    for found, text in zip(whole, texts, strict=True):
+        wanted = brute_noisy_or(text, weights)
+        assert found[1] == wanted[1] and abs(found[0] - wanted[0]) < 1e-9 and abs(found[2] - wanted[2]) < 1e-12
+    for piece in (1, 7, 1_000, 10_000_000):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        monkeypatch.setattr(toxicity, "WORDS_KEPT", max(piece, 100))
+        for found, text in zip(whole[1:], texts[1:], strict=True):
+            if len(text) < 50_000 or piece > 7:
+                assert toxicity.score_text(text, weights, toxicity._Lookup(weights)) == found
+
+
 def brute_targets(sizes):
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     weight = {s: i % 3 + 1 for i, s in enumerate(names)}
@@ -353,39 +400,63 @@ def test_language_id(spark, docs):
     assert none.langs == [] and language_id.identify(docs, none).where("lang_pred <> 'und'").count() == 0
 
 
-def test_code_lengths_by_hand(spark):
+def brute_bits(texts, lang, text):
+    """Bits of a text by a plain tree of contexts."""
     import math
 
-    rows = [("en", "abab", 2), ("en", "ab", 1), ("de", "ba", 3)]
-    counts = language_id.count_contexts(spark.createDataFrame(rows, "lang string, word string, n long")).toPandas()
-    order, model_counts, brute = ["de", "en"], [], []
-    for lang in order:
-        mine = counts[counts["lang"] == lang].sort_values("key", key=lambda k: k.to_numpy().view("uint64"))
-        model_counts.append((mine["key"].to_numpy().view("uint64"), mine["n"].to_numpy()))
-        tree = defaultdict(Counter)
-        for _, word, n in (r for r in rows if r[0] == lang):
-            s = f" {word} ".encode()
-            for i in range(1, len(s)):
-                for k in range(min(language_id.ORDER, i) + 1):
-                    tree[s[i - k : i]][s[i]] += n
-        brute.append(tree)
-    model = language_id.Model(order, model_counts)
-    for word in (b"ab", b"ba", b"abz", b"q"):
-        for j, tree in enumerate(brute):
-            s, bits = b" " + word + b" ", 0.0
-            for i in range(1, len(s)):
-                for k in range(min(language_id.ORDER, i), -1, -1):
-                    seen = tree.get(s[i - k : i])
-                    if not seen:
-                        continue
-                    total, kinds = sum(seen.values()), len(seen)
-                    if s[i] in seen:
-                        bits -= math.log2(seen[s[i]] / (total + kinds))
-                        break
-                    bits -= math.log2(kinds / (total + kinds))
-                else:
-                    bits += 8
-            assert abs(model.code_lengths([word])[0, j] - bits) < 1e-9
+    tree, k_most = defaultdict(Counter), language_id.ORDER
+    for own, seen in texts:
+        if own == lang:
+            s = language_id.coded(seen)
+            for i in range(k_most, len(s)):
+                for k in range(k_most + 1):
+                    tree[s[i - k : i]][s[i]] += 1
+    s, bits = language_id.coded(text), 0.0
+    for i in range(k_most, len(s)):
+        for k in range(k_most, -1, -1):
+            seen = tree.get(s[i - k : i])
+            if not seen:
+                continue
+            total, kinds = sum(seen.values()), len(seen)
+            if s[i] in seen:
+                bits -= math.log2(seen[s[i]] / (total + kinds))
+                break
+            bits -= math.log2(kinds / (total + kinds))
+        else:
+            bits += 8
+    return bits
+
+
+def made_model(spark, rows):
+    import numpy as np
+
+    counts = language_id.count_runs(spark.createDataFrame(rows, "lang string, text string")).toPandas()
+    langs = sorted(set(counts["lang"]))
+    split = [counts[counts["lang"] == x].sort_values("key", key=lambda k: k.to_numpy().view(np.uint64)) for x in langs]
+    return language_id.Model(langs, [(x["key"].to_numpy().view(np.uint64), x["n"].to_numpy()) for x in split])
+
+
+def test_code_lengths_by_hand(spark, monkeypatch):
+    rows = [("en", "abab ab a"), ("en", "ab  cd"), ("de", "ba ba\nbé"), ("de", "")]
+    model = made_model(spark, rows)
+    texts = ["ab", "ba ab", "abz", "q", "", " a \t b ", "abab " * 40, "é"]
+    for piece in (language_id.PIECE, 7):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        found = model.code_lengths([language_id.coded(t) for t in texts])
+        for i, text in enumerate(texts):
+            for j, lang in enumerate(model.langs):
+                assert abs(found[i, j] - brute_bits(rows, lang, text)) < 1e-9
+
+
+def test_two_models_in_one_session(spark):
+    """Each model gives its own answers in workers that another one has used."""
+    frame = spark.createDataFrame([(i, "aa bb aa" if i % 2 else "cc dd cc") for i in range(40)], "doc_id long, text string")
+    for _ in range(3):
+        for names in (("x", "y"), ("y", "x")):
+            model = made_model(spark, [(names[0], "aa bb aa bb"), (names[1], "cc dd cc dd")])
+            found = language_id.identify(frame, model).collect()
+            assert all(r["lang_pred"] == names[(r["doc_id"] + 1) % 2] for r in found)
+            del model
 
 
 def brute_lines(rows, rare, own):
