@@ -22,12 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, without_clash
+from .common import materialise, without_clash, worker_table
 
 #: The separator id after each document.
 END_ID = 0
-#: Chunks whose ids a worker remembers before it starts afresh (about 100 MB).
-CHUNK_LIMIT = 500_000
+#: Chunks whose ids a worker remembers before it starts afresh (about 30 MB).
+CHUNK_LIMIT = 150_000
 #: Rows per partition of the first pass are broadcast up to so many, and joined by a shuffle beyond.
 BROADCAST_BLOCKS = 200_000
 #: Fixed by the vocabulary: its pre-tokenisation pattern.
@@ -45,7 +45,8 @@ class ChunkIds:
 
     Where no white space is beside a space, no pre-token reaches over it from
     the left, so the ids of " chunk" do not depend on the neighbours and are
-    remembered. Other texts are encoded whole.
+    remembered. Other texts, and those that name a special token of the
+    vocabulary (one id, as the tokenizer is loaded), are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -53,13 +54,13 @@ class ChunkIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         # Most time goes into words that are met once. The same vocabulary as
         # ranks gives the same ids (ids follow the order of merges) for less.
         shown = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
         rest = [b for b in range(256) if b not in shown]
         byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.special = tuple(special)
         ranks = {
             bytes(byte[c] for c in token): i
             for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items()
@@ -93,7 +94,7 @@ class ChunkIds:
         known = self.known.__getitem__
         out = []
         for text, (first, *rest) in zip(texts, split, strict=True):
-            if first[-1:].isspace() or odd and not odd.isdisjoint(rest):
+            if first[-1:].isspace() or odd and not odd.isdisjoint(rest) or any(token in text for token in self.special):
                 out.append(pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids))
             else:
                 out.append(pack_ids(self.words.encode_ordinary(first)) + b"".join(map(known, rest)))
@@ -107,13 +108,8 @@ def pack_ids(ids: list[int]) -> bytes:
     return packed.tobytes()
 
 
-_ENCODERS: dict[str, ChunkIds] = {}
-
-
 def encoder(path: str) -> ChunkIds:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkIds(path)
-    return _ENCODERS[path]
+    return worker_table(f"packing {path}", lambda: ChunkIds(path))
 
 
 TOKENS = "doc_id long, block int, local_start long, n_tokens long, ids binary"
