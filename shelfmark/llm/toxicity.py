@@ -33,7 +33,8 @@ BIAS = -7.0
 PREDICT_AT = 0.7
 _STRIP = b".,;:!?\"'()[]{}*#$%&|<>-_"
 _ENDS = (b".", b"!", b"?", b";", b"|")
-WORDS_KEPT = 500_000
+#: Words that a worker remembers before it starts afresh, and words of a text that are summed at once.
+WORDS_KEPT, PIECE = 100_000, 50_000
 
 
 def sentence_starts(words: list[bytes], ends: np.ndarray) -> np.ndarray:
@@ -132,35 +133,50 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = DOCS_PER_LABEL) -
 
 
 class _Lookup(dict):
-    """Word to (weight, ends a sentence), remembered by index into two arrays."""
+    """Word to its place in two arrays: its weight, and whether it ends a sentence."""
 
     def __init__(self, weights: Weights):
         self.weights, self.values = weights.words, np.zeros((2, WORDS_KEPT))
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
         i = self[word] = len(self)
         self.values[0, i] = sum(self.weights.get(f, 0.0) for f in features(word))
         self.values[1, i] = word.endswith(_ENDS)
         return i
 
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and sentence ends of WORDS_KEPT words at most."""
+        if len(self) + len(words) > WORDS_KEPT:
+            self.clear()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.values[0, at], self.values[1, at].astype(np.int64)
+
 
 def score_text(text: str | None, weights: Weights, look: _Lookup) -> tuple[float, int, float]:
-    """Noisy-or score, the worst sentence's number (-1: no words) and its own score."""
+    """Noisy-or score, the worst sentence's number (-1: no words) and its own score.
+
+    Long texts are summed piece by piece; a sentence over the end of a piece
+    stays open. All sums run in the order of the text, so that no number
+    depends on where a piece ends.
+    """
     words = (text or "").encode().split()
     if not words:
         return 1 / (1 + np.exp(-weights.bias)), -1, 0.0
-    if len(look) + len(words) > WORDS_KEPT:
-        look.clear()
-    if len(words) > WORDS_KEPT:
-        parts = [score_text(" ".join(x.decode() for x in words[i : i + WORDS_KEPT]), weights, look) for i in range(0, len(words), WORDS_KEPT)]
-        return float(1 - np.prod([1 - p[0] for p in parts])), parts[0][1], max(p[2] for p in parts)
-    at = np.fromiter(map(look.__getitem__, words), np.int64, len(words))
-    number = sentence_starts(words, look.values[1, at].astype(np.int64))
-    z = np.bincount(number, look.values[0, at]) + weights.bias
-    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), int(p.argmax()), float(p.max())
+    clean, done, begun, worst, most = 0.0, 0, 0.0, -1, -1.0
+    for low in range(0, len(words), PIECE):
+        weighed, ends = look.of(words[low : low + PIECE])
+        number = sentence_starts(words, ends)
+        z = np.bincount(np.r_[0, number], np.r_[begun, weighed])
+        open_ = not ends[-1] and low + PIECE < len(words)
+        begun = z[-1] if open_ else 0.0
+        z = (z[:-1] if open_ else z) + weights.bias
+        if len(z):
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            clean = np.cumsum(np.r_[clean, np.log1p(-np.minimum(p, 1 - 1e-12))])[-1]
+            if p.max() > most:
+                worst, most = done + int(p.argmax()), float(p.max())
+        done += len(z)
+    return float(-np.expm1(clean)), worst, most
 
 
 def score(docs: DataFrame, weights: Weights) -> DataFrame:
