@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, worker_table
 
 #: Content words after an anchor.
 CHAIN = 2
@@ -40,7 +40,7 @@ COMMON = frozenset(
     .split()
 )
 _STRIP = b".,;:!?\"'()[]{}*#$%&|<>-_"
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
 #: Ranges of doc_id that documents are dealt into, at most (as many as shuffle partitions below that).
 MOST_RANGES = 50_000
 
@@ -60,9 +60,6 @@ class _Kinds(dict):
         return value
 
 
-_KINDS = _Kinds()
-
-
 def signatures(text: str) -> np.ndarray:
     """The sorted set of 32-bit signature hashes of a text.
 
@@ -71,7 +68,8 @@ def signatures(text: str) -> np.ndarray:
     words = text.encode().split()
     if not words:
         return np.zeros(0, np.uint32)
-    h = np.fromiter(map(_KINDS.__getitem__, words), np.uint64, len(words))
+    kinds = worker_table("spot_signatures", _Kinds)
+    h = np.fromiter(map(kinds.__getitem__, words), np.uint64, len(words))
     anchor = (h & np.uint64(1)).astype(bool)
     content, spots = np.flatnonzero(~anchor), np.flatnonzero(anchor)
     after = np.searchsorted(content, spots)
