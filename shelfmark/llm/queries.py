@@ -59,7 +59,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(_documents(spark, sf_dir)).drop("kept_text")
+    return remove_repeats(_documents(spark, sf_dir), with_text=False)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,28 +22,24 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, word_hashes
+from .common import Powers, materialise, word_hashes
 
 #: Odd multipliers of the two rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_MASK = (1 << 64) - 1
+#: Windows hashed at once; longer texts go piece by piece.
+PIECE = 1 << 15
 
 
-class Rolling:
-    """Hashes of all windows of a sequence of word hashes, by powers of an odd base mod 2**64."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
+class Rolling(Powers):
+    """Hashes of all windows of a sequence of word hashes."""
 
     def windows(self, words: np.ndarray, length: int) -> np.ndarray:
+        out = [self._piece(words[low : low + PIECE + length - 1], length) for low in range(0, len(words) - length + 1, PIECE)]
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+    def _piece(self, words: np.ndarray, length: int) -> np.ndarray:
         n = len(words)
-        if n < length:
-            return np.zeros(0, np.uint64)
-        if len(self.up) < n + 1:
-            size = 2 * n + 1
-            self.up = np.cumprod(np.r_[np.uint64(1), np.full(size, self.base, np.uint64)])
-            self.down = np.cumprod(np.r_[np.uint64(1), np.full(size, self.inverse, np.uint64)])
+        self.reach(n + 1)
         sums = np.r_[np.uint64(0), np.cumsum(words * self.up[:n])]
         out = (sums[length:] - sums[:-length]) * self.down[: n - length + 1]
         # Spread the bits: low bits of such sums depend on low bits only.
@@ -134,13 +130,13 @@ def _windows(candidates: DataFrame, length: int, half: int) -> DataFrame:
     return candidates.select("doc_id", "text", "kept").mapInArrow(form, WINDOWS)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True) -> DataFrame:
     """Remove words covered by a window that also starts in a document with a smaller id.
 
     Windows are ``length`` consecutive words of the input. Returns per row of
     ``docs``: doc_id, n_words, n_removed, kept_sha256 (of the kept words
-    joined by one space) and kept_text (null where nothing was removed, whose
-    words all stay). Null, empty and short texts have no window and lose
+    joined by one space) and, ``with_text``, kept_text (null where nothing was
+    removed, whose words all stay). Null, empty and short texts have no window and lose
     nothing. Rows of one doc_id do not remove each other's words, unless an
     earlier id has them. Documents of equal words are looked at once: all
     but the smallest id lose every word if they have a window at all. A null
@@ -194,7 +190,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
                 keys.append(_text_key(words))
                 removed.append(int(len(words) - stays.sum()))
                 digests.append(hashlib.sha256(kept).hexdigest())
-                texts.append(kept.decode())
+                texts.append(kept.decode() if with_text else None)
             yield pa.record_batch(
                 [
                     batch.column(0),
@@ -207,18 +203,20 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
             )
 
     edited = candidates.join(marks, "doc_id").select("doc_id", "text", "marks")
-    edits = edited.mapInArrow(cut, "doc_id long, key binary, removed long, digest string, kept_text string").distinct()
+    edits = edited.mapInArrow(cut, "doc_id long, key binary, removed long, digest string, kept_text string")
+    edits = (edits if with_text else edits.drop("kept_text")).dropDuplicates(["doc_id", "key"])
     rows = scanned.select("doc_id", "key", "n_words", "joined").join(firsts, "key", "left")
     rows = rows.join(edits, ["doc_id", "key"], "left")
     copy = F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))
     nothing = hashlib.sha256(b"").hexdigest()
     back = F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id"))
+    whole = [F.when(copy, "").otherwise(F.col("kept_text")).alias("kept_text")] if with_text else []
     return rows.select(
         back.alias("doc_id"),
         "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
         F.when(copy, nothing).otherwise(F.coalesce("digest", "joined")).alias("kept_sha256"),
-        F.when(copy, "").otherwise(F.col("kept_text")).alias("kept_text"),
+        *whole,
     )
 
 
@@ -227,16 +225,17 @@ def repeated_lengths(docs: DataFrame, start: int = 50) -> DataFrame:
 
     Level by level: windows of a length that occur in one document alone end;
     a window of twice the length is formed only where both its halves
-    repeat. Stops when no candidates survive. Returns doc_id, longest.
+    repeat. Stops when no candidates survive. Returns doc_id, longest; rows of
+    one doc_id count together and do not repeat each other. Documents without
+    a repeat, and null ids, have no row; other columns do not matter.
     """
-    level, length, found = docs.where(F.col("text").isNotNull()).select("doc_id", "text"), start, None
+    level, length, found = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text"), start, None
     while True:
-        every = level.withColumn("kept", F.lit(None).cast("array<long>"))
         half = (length + 1) // 2
-        kept = _scan(every.select("doc_id", "text"), length, half).select("doc_id", F.explode("kept").alias("anchor"))
+        kept = materialise(_scan(level, length, half).select("doc_id", F.explode("kept").alias("anchor")).distinct(), "anchors")
         shared = kept.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
-        halves = kept.distinct().join(shared.select("anchor"), "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("kept"))
-        windows = _windows(level.join(halves, "doc_id").select("doc_id", "text", "kept"), length, half)
+        halves = kept.join(shared.select("anchor"), "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("kept"))
+        windows = materialise(_windows(level.join(halves, "doc_id").select("doc_id", "text", "kept"), length, half), "windows")
         both = windows.groupBy("h", "g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
         reached = materialise(windows.join(both, ["h", "g"]).select("doc_id").distinct(), f"level-{length}")
         if reached.isEmpty():
