@@ -208,57 +208,54 @@ def _class_counts(scanned: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def sketch_of(tokens: np.ndarray, words: int = 0) -> np.ndarray:
+    """The parity of the tokens in each residue class, as 64-bit words; by default at least a bit per token."""
+    words = words or 1 << max(0, int(np.ceil(np.log2(max(1, len(tokens)) / 64))))
+    bits = np.bincount((tokens & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _index(docs: DataFrame, counts: np.ndarray, words_each: int, percent: int) -> DataFrame:
-    """(node, n, keys) of every row whose set can have partners."""
+    """(node, n, keys, sketch, brief) of every row whose set can have partners."""
     shared = docs.sparkSession.sparkContext.broadcast(Prefixes(counts, percent))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes = shared.value
         for part in _slices(batches, 500):
-            nodes, sizes, keys = [], [], []
+            rows: list[tuple] = []
             for text in part.column(0).to_pylist():
                 tokens = shingle_set(text, words_each)
                 found = prefixes.keys(tokens)
                 if len(found):
-                    nodes.append(node_of(tokens))
-                    sizes.append(len(tokens))
-                    keys.append(found.view(np.int64))
+                    rows.append((node_of(tokens), len(tokens), found.view(np.int64), sketch_of(tokens), sketch_of(tokens, BRIEF)))
+            nodes, sizes, *lists = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.record_batch(
-                [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["node", "n", "keys"],
+                [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in lists)],
+                names=["node", "n", "keys", "sketch", "brief"],
             )
 
-    return docs.select("text").mapInArrow(index, "node long, n long, keys array<long>")
-
-
-def sketch_of(tokens: np.ndarray, words: int = 0) -> np.ndarray:
-    """The parity of the tokens in each residue class, as 64-bit words; by default at least a bit per token."""
-    words = words or 1 << max(0, int(np.ceil(np.log2(max(1, len(tokens)) / 64))))
-    bits = np.bincount((tokens & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+    return docs.select("text").mapInArrow(index, "node long, n long, keys array<long>, sketch array<long>, brief array<long>")
 
 
-def _read(docs: DataFrame, owners: DataFrame, words_each: int, sketches: bool) -> DataFrame:
-    """(node, tokens), or (node, sketch, brief), of the wanted nodes, read from the text of one document id each.
+def _sets(docs: DataFrame, owners: DataFrame, words_each: int) -> DataFrame:
+    """(node, tokens) of the wanted nodes, read from the text of one document id each.
 
     Equal rows give a node twice, and so its pairs, which are made distinct later.
     """
     few = owners.count() <= BROADCAST_IDS
     wanted = docs.join(F.broadcast(owners) if few else owners, "doc_id").select("node", "text")
-    columns = ["sketch", "brief"] if sketches else ["tokens"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches, 500):
-            nodes, values = [], []
+            nodes, sets = [], []
             for node, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 found = shingle_set(text, words_each)
                 if node_of(found) == node:  # rows of one doc_id can have several texts
                     nodes.append(node)
-                    values.append((sketch_of(found), sketch_of(found, BRIEF)) if sketches else (found.view(np.int64),))
-            arrays = [pa.array([v[i] for v in values], pa.list_(pa.int64())) for i in range(len(columns))]
-            yield pa.record_batch([pa.array(nodes, pa.int64()), *arrays], names=["node", *columns])
+                    sets.append(found.view(np.int64))
+            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "tokens"])
 
-    return wanted.mapInArrow(read, ", ".join(["node long", *(f"{c} array<long>" for c in columns)]))
+    return wanted.mapInArrow(read, "node long, tokens array<long>")
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -303,7 +300,7 @@ def _across(dealt: DataFrame, percent: int, sketched: bool) -> DataFrame:
 def _links(pairs: DataFrame, docs: DataFrame, owners: DataFrame, words_each: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough; only sets of these pairs are read and shuffled."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = _read(docs, materialise(owners.join(nodes, "node", "left_semi"), "wanted"), words_each, False)
+    sets = _sets(docs, materialise(owners.join(nodes, "node", "left_semi"), "wanted"), words_each)
     first = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
     second = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
     shared = F.size(F.array_intersect("ta", "tb")).cast("long")
@@ -350,19 +347,19 @@ def components(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataF
     banded = shared.select("key", "node", "n", F.explode(F.array(band, band + 1)).alias("band")).select(
         F.xxhash64("key", "band").alias("key"), "node", "n"
     )
-    lists = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    live = materialise(banded.join(lists.select("key", F.col("low").alias("hub")), "key"), "live")
-    owners = documents.join(live.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    owners = materialise(owners, "owners")
-    sketches = materialise(_read(rows, owners, words_each, True), "sketches")
+    lists = banded.groupBy("key").agg(F.min(F.struct("node", "n")).alias("low"), F.max("node").alias("high"))
+    lists = lists.where("low.node <> high").select("key", F.col("low.node").alias("hub"), F.col("low.n").alias("hub_n"))
+    live = materialise(banded.join(lists, "key"), "live")
+    nodes = materialise(live.select("node").distinct(), "nodes")
+    owners = materialise(documents.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "owners")
+    sketches = indexed.select("node", "sketch", "brief").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    sketches = materialise(sketches, "sketches")
 
     def fits(x: str, y: str):
         return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
 
     # First each list with one of its members, then lists of several components in growing blocks.
-    hubs = live.select(F.col("node").alias("hub"), F.col("n").alias("hub_n")).distinct()
-    stars = live.where("node <> hub").join(hubs, "hub").where(fits("n", "hub_n"))
-    pairs = stars.select(
+    pairs = live.where("node <> hub").where(fits("n", "hub_n")).select(
         F.col("hub").alias("a"), F.col("hub_n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")
     ).distinct()
     pairs = materialise(_possible(pairs, sketches, percent), "pairs")
@@ -394,7 +391,7 @@ def components(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataF
             break
         # Short lists have a bounded number of pairs for each member; members of long ones carry a brief sketch.
         short = _across(dealt.where(F.col("held") <= BLOCK), percent, False)
-        brief = sketches.select("node", *[F.get("brief", F.lit(i)).alias(f"s{i}") for i in range(BRIEF)]).distinct()
+        brief = sketches.select("node", *[F.get("brief", F.lit(i)).alias(f"s{i}") for i in range(BRIEF)])
         long = _across(dealt.where(F.col("held") > BLOCK).join(brief, "node"), percent, True)
         pairs = materialise(_possible(short.union(long).distinct(), sketches, percent), "pairs")
         found = _links(pairs, rows, owners, words_each, percent)
