@@ -1,9 +1,13 @@
 """License scans by recognising sentences.
 
-A text is cut into sentences, each is normalised (lower case, marks and white
-space to single spaces) and looked up among the known licence sentences. The
-identifiers found, in order, are matched against ordered rules: a licence is
-recognised where its rule's identifiers follow each other.
+A text is cut into sentences: comment marks at line starts go, a paragraph's
+lines are joined, and a sentence ends at a stop before white space or with its
+paragraph. Each sentence is normalised (lower case, marks and white space to
+single spaces) and looked up among the known licence sentences; of a sentence
+that is not known, the lines are looked up one by one, since a notice is often
+a line of its own. The identifiers found, in order, are matched against
+ordered rules: a licence is recognised where its rule's identifiers follow
+each other (those in brackets may be missing).
 """
 
 from __future__ import annotations
@@ -11,39 +15,143 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Known licence sentences (normalised) by identifier.
-SENTENCES = {
-    "apache-2.0/line": "licensed under the apache license version 2 0",
-    "bsd-3/line": "released under the bsd 3 clause license",
-    "cc-by-4.0/line": "licensed under cc by 4 0",
-    "cc-by-nc-4.0/line": "licensed under cc by nc 4 0",
-    "cc-by-sa-4.0/line": "licensed under cc by sa 4 0",
-    "cc0/line": "released under cc0 1 0 universal",
-    "gpl-2.0/line": "this work is licensed under the gnu general public license version 2",
-    "gpl-3.0/line": "this work is licensed under the gnu general public license version 3",
-    "mit/line": "released under the mit license",
-    "rights/line": "all rights reserved",
-    "mit/grant": "permission is hereby granted free of charge to any person obtaining a copy of this software",
-    "mit/notice": "the above copyright notice and this permission notice shall be included in all copies",
-    "mit/warranty": "the software is provided as is without warranty of any kind",
-    "bsd/use": "redistribution and use in source and binary forms with or without modification are permitted",
-    "bsd/source": "redistributions of source code must retain the above copyright notice",
-    "bsd/binary": "redistributions in binary form must reproduce the above copyright notice",
-    "bsd/endorse": "neither the name of the copyright holder nor the names of its contributors may be used",
-    "apache/may": "you may not use this file except in compliance with the license",
-    "apache/copy": "you may obtain a copy of the license at",
-    "gpl/free": "this program is free software you can redistribute it and or modify it",
-    "gpl/hope": "this program is distributed in the hope that it will be useful",
-}
+#: Known licence sentences (normalised) by identifier; an identifier can have several forms.
+SENTENCES = [
+    ("apache-2.0/line", "licensed under the apache license version 2 0"),
+    ("bsd-3/line", "released under the bsd 3 clause license"),
+    ("cc-by-4.0/line", "licensed under cc by 4 0"),
+    ("cc-by-nc-4.0/line", "licensed under cc by nc 4 0"),
+    ("cc-by-sa-4.0/line", "licensed under cc by sa 4 0"),
+    ("cc0/line", "released under cc0 1 0 universal"),
+    ("gpl-2.0/line", "this work is licensed under the gnu general public license version 2"),
+    ("gpl-3.0/line", "this work is licensed under the gnu general public license version 3"),
+    ("mit/line", "released under the mit license"),
+    ("rights/line", "all rights reserved"),
+    (
+        "mit/grant",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated"
+        " documentation files the software to deal in the software without restriction including without limitation the"
+        " rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit"
+        " persons to whom the software is furnished to do so subject to the following conditions",
+    ),
+    ("mit/grant", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    (
+        "mit/notice",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of"
+        " the software",
+    ),
+    (
+        "mit/notice",
+        "the above copyright notice and this permission notice including the next paragraph shall be included in all"
+        " copies or substantial portions of the software",
+    ),
+    ("mit/notice", "the above copyright notice and this permission notice shall be included in all copies"),
+    (
+        "mit/warranty",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the"
+        " warranties of merchantability fitness for a particular purpose and noninfringement",
+    ),
+    ("mit/warranty", "the software is provided as is without warranty of any kind"),
+    (
+        "mit/liability",
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in"
+        " an action of contract tort or otherwise arising from out of or in connection with the software or the use or"
+        " other dealings in the software",
+    ),
+    (
+        "bsd/use",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the"
+        " following conditions are met",
+    ),
+    (
+        "bsd/use",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the"
+        " following conditions are met 1",
+    ),
+    ("bsd/use", "redistribution and use in source and binary forms with or without modification are permitted"),
+    (
+        "bsd/source",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following"
+        " disclaimer",
+    ),
+    ("bsd/source", "redistributions of source code must retain the above copyright notice"),
+    (
+        "bsd/binary",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the"
+        " following disclaimer in the documentation and or other materials provided with the distribution",
+    ),
+    ("bsd/binary", "redistributions in binary form must reproduce the above copyright notice"),
+    (
+        "bsd/endorse",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote"
+        " products derived from this software without specific prior written permission",
+    ),
+    ("bsd/endorse", "neither the name of the copyright holder nor the names of its contributors may be used"),
+    (
+        "bsd/warranty",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties"
+        " including but not limited to the implied warranties of merchantability and fitness for a particular purpose are"
+        " disclaimed",
+    ),
+    (
+        "bsd/liability",
+        "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special"
+        " exemplary or consequential damages including but not limited to procurement of substitute goods or services"
+        " loss of use data or profits or business interruption however caused and on any theory of liability whether in"
+        " contract strict liability or tort including negligence or otherwise arising in any way out of the use of this"
+        " software even if advised of the possibility of such damage",
+    ),
+    (
+        "apache/grant",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with"
+        " the license",
+    ),
+    ("apache/may", "you may not use this file except in compliance with the license"),
+    ("apache/copy", "you may obtain a copy of the license at"),
+    ("apache/copy", "you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache/copy", "you may obtain a copy of the license at https www apache org licenses license 2 0"),
+    (
+        "apache/unless",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed"
+        " on an as is basis without warranties or conditions of any kind either express or implied",
+    ),
+    ("apache/see", "see the license for the specific language governing permissions and limitations under the license"),
+    (
+        "gpl/free-2",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public"
+        " license as published by the free software foundation either version 2 of the license or at your option any"
+        " later version",
+    ),
+    (
+        "gpl/free-3",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public"
+        " license as published by the free software foundation either version 3 of the license or at your option any"
+        " later version",
+    ),
+    ("gpl/free", "this program is free software you can redistribute it and or modify it"),
+    (
+        "gpl/hope",
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied"
+        " warranty of merchantability or fitness for a particular purpose",
+    ),
+    ("gpl/hope", "this program is distributed in the hope that it will be useful"),
+    ("gpl/see", "see the gnu general public license for more details"),
+    (
+        "gpl/received",
+        "you should have received a copy of the gnu general public license along with this program",
+    ),
+]
 #: Rules, each an ordered sequence of sentence identifiers; longer ones of a licence come first.
 RULES = [
-    ("MIT", "mit/grant mit/notice mit/warranty"),
+    ("MIT", "mit/grant mit/notice mit/warranty [mit/liability]"),
     ("MIT", "mit/line"),
-    ("BSD-3-Clause", "bsd/use bsd/source bsd/binary bsd/endorse"),
-    ("BSD-2-Clause", "bsd/use bsd/source bsd/binary"),
+    ("BSD-3-Clause", "bsd/use bsd/source bsd/binary bsd/endorse [bsd/warranty] [bsd/liability]"),
+    ("BSD-2-Clause", "bsd/use bsd/source bsd/binary [bsd/warranty] [bsd/liability]"),
     ("BSD-3-Clause", "bsd-3/line"),
-    ("Apache-2.0", "apache-2.0/line apache/may apache/copy"),
-    ("Apache-2.0", "apache-2.0/line"),
+    ("Apache-2.0", "apache/grant apache/copy [apache/unless] [apache/see]"),
+    ("Apache-2.0", "apache-2.0/line [apache/may] [apache/copy]"),
+    ("GPL-3.0-or-later", "gpl/free-3 gpl/hope [gpl/see] [gpl/received]"),
+    ("GPL-2.0-or-later", "gpl/free-2 gpl/hope [gpl/see] [gpl/received]"),
     ("GPL-3.0", "gpl-3.0/line"),
     ("GPL-2.0", "gpl-2.0/line"),
     ("GPL", "gpl/free gpl/hope"),
@@ -53,11 +161,13 @@ RULES = [
     ("CC0-1.0", "cc0/line"),
     ("LicenseRef-all-rights-reserved", "rights/line"),
 ]
-#: A sentence ends at a line end, or at a stop, question or exclamation mark before white space.
-END = r"[\r\n]+|[.!?]+[\x20\x09-\x0D]+"
+#: Comment marks (or bullets) at the start of a line.
+LEADER = r"(^|\n)[ \t]*(?:(?://+|#+|\*+/?|/\*+|--+|;+|%+|\|)[ \t]*)+"
+#: A sentence ends with its paragraph, at a colon that ends a line, or at a stop, question or exclamation mark before white space.
+END = r"\n[ \t\r]*\n[\x20\x09-\x0D]*|:[ \t\r]*\n[\x20\x09-\x0D]*|[.!?]+[\x20\x09-\x0D]+"
 _MARKS = "[^a-z0-9]+"
 #: Texts without any of these words, the longest of each sentence, hold no known sentence.
-HINT = "(?i)" + "|".join(sorted({max(s.split(), key=len) for s in SENTENCES.values()}))
+HINT = "(?i)" + "|".join(sorted({max(s.split(), key=len) for _, s in SENTENCES}))
 
 
 def normalised(sentence: Column) -> Column:
@@ -66,16 +176,43 @@ def normalised(sentence: Column) -> Column:
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    table = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
-    found = F.transform(F.split(text, END), lambda s: F.try_element_at(table, normalised(s)))
+    table = F.create_map(*[F.lit(x) for i, s in SENTENCES for x in (s, i)])
+
+    def look(sentence: Column) -> Column:
+        return F.try_element_at(table, normalised(sentence))
+
+    def of(sentence: Column) -> Column:
+        lines = F.transform(F.split(sentence, "\n"), look)
+        return F.when(look(sentence).isNotNull(), F.array(look(sentence))).otherwise(lines)
+
+    found = F.flatten(F.transform(F.split(F.regexp_replace(text, LEADER, "$1"), END), of))
     return F.when(text.rlike(HINT), F.array_compact(found)).otherwise(F.array().cast("array<string>"))
 
 
+def _pattern(rule: str) -> str:
+    """A rule as a regular expression over ``<identifier><identifier>...``."""
+    return "".join(f"(<{i[1:-1]}>)?" if i[0] == "[" else f"<{i}>" for i in rule.split()).replace(".", "[.]")
+
+
+def _needed(rule: str) -> list[str]:
+    return [i for i in rule.split() if i[0] != "["]
+
+
+def _longer(rule: str) -> list[str]:
+    """Rules that begin with all that this one needs and go on: where they match, this one does not."""
+    own = _needed(rule)
+    return [r for _, r in RULES if _needed(r)[: len(own)] == own and len(_needed(r)) > len(own)]
+
+
+def _by_length() -> list[int]:
+    return sorted(range(len(RULES)), key=lambda k: (-len(_needed(RULES[k][1])), k))
+
+
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences (known ones), sentence_ids, licenses, primary_license of every row.
 
     ``licenses`` names, sorted and joined by ``|``, the licences whose rule is
-    in the text; the rule with most sentences first gives ``primary_license``
+    in the text; the rule that needs most sentences gives ``primary_license``
     (ties: order of RULES). Null and empty texts, and texts without a known
     sentence, have 0, empty strings and a null primary licence. Rows are
     scanned on their own: repeated rows alike, an empty table gives no rows.
@@ -84,40 +221,51 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     found = docs.select("doc_id", F.coalesce(sentence_ids(F.col("text")), F.array().cast("array<string>")).alias("ids"))
     line = F.array_join(F.transform("ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
     lined = found.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", " ").alias("sentence_ids"), line.alias("_line"))
-    hits = [
-        F.when(F.contains("_line", F.lit("".join(f"<{i}>" for i in rule.split()))), F.lit(name)) for name, rule in RULES
-    ]
-    by_length = sorted(range(len(RULES)), key=lambda k: (-len(RULES[k][1].split()), k))
+    hits = []
+    for name, rule in RULES:
+        rest = F.col("_line")
+        for other in _longer(rule):
+            rest = F.regexp_replace(rest, _pattern(other), "")
+        hits.append(F.when(rest.rlike(_pattern(rule)), F.lit(name)))
     return lined.select(
         "doc_id",
         "n_sentences",
         "sentence_ids",
         F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*hits)))), "|").alias("licenses"),
-        F.coalesce(*[hits[k] for k in by_length]).alias("primary_license"),
+        F.coalesce(*[hits[k] for k in _by_length()]).alias("primary_license"),
     )
 
 
 def oracle() -> str:
     """The same scan in DuckDB's SQL."""
-    known = ", ".join(f"('{s}', '{i}')" for i, s in SENTENCES.items())
-    cases = [f"WHEN contains(line, '{''.join(f'<{i}>' for i in rule.split())}') THEN '{name}'" for name, rule in RULES]
-    by_length = sorted(range(len(RULES)), key=lambda k: (-len(RULES[k][1].split()), k))
+    known = ", ".join(f"('{s}', '{i}')" for i, s in SENTENCES)
+    cases = []
+    for name, rule in RULES:
+        rest = "line"
+        for other in _longer(rule):
+            rest = f"regexp_replace({rest}, '{_pattern(other)}', '', 'g')"
+        cases.append(f"WHEN regexp_matches({rest}, '{_pattern(rule)}') THEN '{name}'")
     names = ", ".join(f"CASE {c} END" for c in cases)
+    norm = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
     return rf"""
 WITH known(sentence, id) AS (VALUES {known}),
 parts AS (
   SELECT doc_id, unnest(ps) AS s, generate_subscripts(ps, 1) AS pos FROM (
-    SELECT doc_id, string_split_regex(text, '[\r\n]+|[.!?]+[\x20\x09-\x0D]+') AS ps FROM documents)),
+    SELECT doc_id, string_split_regex(regexp_replace(text, '{LEADER}', '\1', 'g'), '{END}') AS ps FROM documents)),
+sentences AS (SELECT doc_id, pos, s, id FROM parts LEFT JOIN known ON sentence = {norm.format('s')}),
+lines AS (
+  SELECT doc_id, pos, unnest(ls) AS s, generate_subscripts(ls, 1) AS n FROM (
+    SELECT doc_id, pos, string_split(s, chr(10)) AS ls FROM sentences WHERE id IS NULL)),
 ids AS (
-  SELECT doc_id, pos, id FROM parts JOIN known
-  ON sentence = trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))),
+  SELECT doc_id, pos, 0 AS n, id FROM sentences WHERE id IS NOT NULL
+  UNION ALL SELECT doc_id, pos, n, known.id FROM lines JOIN known ON sentence = {norm.format('s')}),
 found AS (
-  SELECT doc_id, count(*) AS n, string_agg(id, ' ' ORDER BY pos) AS sentence_ids,
-         string_agg('<' || id || '>', '' ORDER BY pos) AS line FROM ids GROUP BY doc_id),
+  SELECT doc_id, count(*) AS n, string_agg(id, ' ' ORDER BY pos, n) AS sentence_ids,
+         string_agg('<' || id || '>', '' ORDER BY pos, n) AS line FROM ids GROUP BY doc_id),
 every AS (
   SELECT d.doc_id, coalesce(n, 0) AS n_sentences, coalesce(sentence_ids, '') AS sentence_ids, coalesce(line, '') AS line
   FROM documents d LEFT JOIN found f ON f.doc_id = d.doc_id)
 SELECT doc_id, n_sentences, sentence_ids,
   array_to_string(list_sort(list_distinct(list_filter([{names}], lambda x: x IS NOT NULL))), '|') AS licenses,
-  CASE {' '.join(cases[k] for k in by_length)} END AS primary_license
+  CASE {' '.join(cases[k] for k in _by_length())} END AS primary_license
 FROM every"""

@@ -223,9 +223,129 @@ def test_license_scan(docs, spark):
 def test_license_scan_of_each_sentence(spark):
     import duckdb
 
-    texts = [(i, f"Some words. {s.upper()}") for i, s in enumerate(license_scan.SENTENCES.values())]
+    texts = [(i, f"Some words. {s.upper()}") for i, (_, s) in enumerate(license_scan.SENTENCES)]
     found = license_scan.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).orderBy("doc_id").collect()
-    assert [r["sentence_ids"] for r in found] == list(license_scan.SENTENCES) and {r["n_sentences"] for r in found} == {1}
+    assert [r["sentence_ids"] for r in found] == [i for i, _ in license_scan.SENTENCES] and {r["n_sentences"] for r in found} == {1}
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", texts)
+    assert [tuple(r) for r in found] == con.execute(f"select * from ({license_scan.oracle()}) order by 1").fetchall()
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 A. Holder
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD_2 = """Copyright (c) 2020, A. Holder
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{more}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+BSD_3 = BSD_2.format(
+    more="""
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+)
+BSD_2 = BSD_2.format(more="")
+APACHE = """Copyright 2020 A. Holder
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL = """This program is free software{mark} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{stop} either version {version} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+
+
+def test_license_scan_of_whole_licences(spark):
+    import re
+
+    import duckdb
+
+    whole = {
+        "MIT": (MIT, 4),
+        "BSD-2-Clause": (BSD_2, 5),
+        "BSD-3-Clause": (BSD_3, 6),
+        "Apache-2.0": (APACHE, 4),
+        "GPL-3.0-or-later": (GPL.format(mark=":", stop=",", version=3), 4),
+        "GPL-2.0-or-later": (GPL.format(mark=";", stop=";", version=2), 4),
+    }
+    forms = [
+        lambda t: t,
+        lambda t: "\n\n".join(re.sub(r"\s+", " ", p).strip() for p in t.split("\n\n")),
+        lambda t: re.sub(r"\s+", " ", t),
+        lambda t: "/*\n" + "".join(f" * {x}".rstrip() + "\n" for x in t.split("\n")) + " */\ncode()",
+        lambda t: "".join(f"# {x}".rstrip() + "\r\n" for x in t.split("\n")),
+        lambda t: "Prose before. " + t + "\nProse after it\nReleased under the MIT License.",
+    ]
+    texts, wanted = [], []
+    for name, (text, n) in whole.items():
+        for k, form in enumerate(forms):
+            if k == 2 and not name.startswith("GPL"):
+                continue  # one line joins headings and addresses with sentences
+            texts.append(form(text))
+            wanted.append((n + (k == 5), "|".join(sorted({name, *(["MIT"] if k == 5 else [])})), name))
+    texts = list(enumerate(texts))
+    found = license_scan.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).orderBy("doc_id").collect()
+    for (_, text), row, (n, names, first) in zip(texts, found, wanted, strict=True):
+        assert (row["n_sentences"], row["licenses"], row["primary_license"]) == (n, names, first), (row, text)
     con = duckdb.connect()
     con.execute("create table documents (doc_id bigint, text varchar)")
     con.executemany("insert into documents values (?, ?)", texts)
