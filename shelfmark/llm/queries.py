@@ -34,7 +34,7 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_media(_documents(spark, sf_dir)).drop("pos", "caption")
+    return document_media(_documents(spark, sf_dir))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,10 +147,47 @@ def test_media(docs, rows):
         assert media_columns.decode_media(stored) == padded
         wanted[doc_id, len(payload), len(padded), sha(padded), zlib.crc32(padded[-64:]), len(stored), sha(stored)] += 1
     assert Counter(tuple(r)[:7] for r in found) == wanted
-    assert all(r["pos"] == 1 and r["caption"] == str(r["n_bytes"]) and r["feature"] for r in found)
+    texts = defaultdict(list)
+    for doc_id, text, *_ in rows:
+        texts[doc_id, len((text or "").encode())].append(text or "")
+    for r in found:
+        assert r["caption"] == f"{r['n_bytes']} bytes"
+        own = texts[r["doc_id"], r["n_bytes"]]
+        assert r["pos"] in {int(bool(t[: (t.find(" ", len(t) // 2) + 1) or len(t)].split())) for t in own}
+        assert r["feature"] in {brute_feature(t) for t in own}
     assert media_columns.document_media(docs.limit(0)).count() == 0
 
 
+def brute_feature(text):
+    """Mean, variance and block signs by plain loops over the samples."""
+    samples = list(text.encode())
+    samples += [0] * (-len(samples) % 64 or (0 if samples else 64))
+    n = len(samples)
+    mean = sum(samples) * 1000 // n
+    var = (sum(x * x for x in samples) * n - sum(samples) ** 2) // (n * n)
+    edges = [int(n * k / 64) for k in range(65)]
+    bits = "".join(str(int(sum(samples[a:b]) * 1000 // max(1, b - a) > mean)) for a, b in zip(edges, edges[1:], strict=False))
+    return f"rows={n // 64};mean={mean};var={var};hash={int(bits, 2):016x}"
+
+
+def test_media_pages_keep_their_text(spark, docs, rows):
+    """Text, media and captions of the pages in order, with columns of clashing names."""
+    pages = media_columns.document_pages(docs).selectExpr("*", "1 AS pos", "2 AS ref", "3 AS caption", "4 AS _item", "5 AS _html", "6 AS sequence")
+    found = media_columns.interleave(pages).collect()
+    texts = Counter((r[0], " ".join((r[1] or "").split())) for r in rows)
+    assert Counter((r["doc_id"], " ".join(x["text"] for x in r["sequence"] if x["kind"] == "text")) for r in found) == texts
+    refs = media_columns.references(media_columns.interleave(pages))
+    assert refs.columns == ["doc_id", "n_bytes", "_item", "_html", "pos", "ref", "caption"] and refs.count() == 2 * len(rows)
+    stored = media_columns.store_media(docs)
+    assert stored.select("ref").distinct().count() == len({r[1] or "" for r in rows})
+    joined = media_columns.resolve(refs, stored).collect()
+    for r in joined:
+        if r["ref"] == "/icon.png":
+            assert r["media"] is None and r["caption"] == "icon"
+        else:
+            assert sha(bytes(r["media"])) == r["ref"] and len(media_columns.decode_media(bytes(r["media"]))) >= r["n_bytes"]
+
+
 def test_interleaved_html():
     page = "a &amp; <b>b</b><figure><img src=x alt=q><img src=y><figcaption>c <i>d</i></figcaption></figure><script>no</script>e<img src=z alt=w><p>"
     found = media_columns.parse_interleaved(page)
@@ -163,6 +200,13 @@ def test_interleaved_html():
     ]
     assert [x["pos"] for x in found] == list(range(5))
     assert media_columns.parse_interleaved(None) == media_columns.parse_interleaved("<!-- x --><p>") == []
+    told = lambda page: [(x["text"] or x["ref"], x["caption"]) for x in media_columns.parse_interleaved(page)]
+    assert told("<figure><img src=x><figcaption>c<p>d</figure>e") == [("x", "c d"), ("e", None)]
+    assert told("<figure><table>x</table><figcaption>abc</figcaption></figure>") == [("x", None), ("abc", None)]
+    assert told("<figure><img src=x><figure><img src=y><figcaption>in</figcaption></figure><figcaption>out</figcaption></figure>") == [("x", "out"), ("y", "in")]
+    assert told("a<figcaption>b") == [("a", None), ("b", None)]
+    assert told("<figure><img src=x><figcaption>one<figure><img src=y>z") == [("x", "one"), ("y", None), ("z", None)]
+    assert told("a<br>b<script/>c") == [("a bc", None)] and told("<script>no") == []
 
 
 def test_packing(docs, rows):
