@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, word_hashes
+from .common import fresh, materialise, word_hashes
 from .components import connected
 
 #: Bits of the class table, and rows that a task writes it in.
@@ -140,7 +140,7 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
 
 
 def _scan(docs: DataFrame, words_each: int) -> DataFrame:
-    """Per row (doc_id, node, n), and per task its counts by token class in chunks."""
+    """Per row (doc_id, tie, node, n), and per task its counts by token class in chunks."""
     width = (1 << CLASS_BITS) // CHUNKS
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,28 +158,27 @@ def _scan(docs: DataFrame, words_each: int) -> DataFrame:
             yield pa.record_batch(
                 [
                     part.column(0),
+                    part.column(2),
                     pa.array(nodes, pa.int64()),
                     pa.array(sizes, pa.int64()),
                     empty.cast(pa.int32()),
                     empty.cast(pa.binary()),
                 ],
-                names=["doc_id", "node", "n", "chunk", "counts"],
+                names=["doc_id", "tie", "node", "n", "chunk", "counts"],
             )
         # A class counted 255 times in one task is frequent anyway.
         packed = np.minimum(counts, 255).astype(np.uint8).reshape(CHUNKS, width)
         some = np.flatnonzero(packed.any(axis=1))
         yield pa.record_batch(
             [
-                pa.nulls(len(some), pa.int64()),
-                pa.nulls(len(some), pa.int64()),
-                pa.nulls(len(some), pa.int64()),
+                *[pa.nulls(len(some), pa.int64())] * 4,
                 pa.array(some.astype(np.int32)),
                 pa.array([packed[i].tobytes() for i in some], pa.binary()),
             ],
-            names=["doc_id", "node", "n", "chunk", "counts"],
+            names=["doc_id", "tie", "node", "n", "chunk", "counts"],
         )
 
-    return docs.mapInArrow(scan, "doc_id long, node long, n long, chunk int, counts binary")
+    return docs.mapInArrow(scan, "doc_id long, tie long, node long, n long, chunk int, counts binary")
 
 
 def _class_counts(scanned: DataFrame) -> np.ndarray:
@@ -321,22 +320,13 @@ def _joined(comps: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return materialise(moved.unionByName(more.join(known, "node", "left_anti").select("node", "root")), "comps")
 
 
-def components(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
-    """Documents linked by Jaccard similarity of their shingle sets, by component.
-
-    Two documents link if 100 * intersection >= percent * union. Returns per
-    row of ``docs``: doc_id, n_shingles and component_id, the smallest doc_id
-    reachable by links. Null and empty texts, and texts of white space, have
-    no shingles, link with nothing and are their own component. Equal sets
-    are linked; repeated rows and rows of one doc_id are told apart by their
-    sets. A null doc_id never names a component of others (null if it is
-    alone). An empty table gives no rows. ``percent`` is over 50.
-    """
+def _rooted(docs: DataFrame, words_each: int, percent: int) -> DataFrame:
+    """(doc_id, tie, n, root) of every row: a hash of its text, its set's size, and its component's least node."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     scanned = materialise(_scan(rows, words_each), "scan")
-    documents = scanned.where("chunk IS NULL").select("doc_id", "node", "n")
+    documents = scanned.where("chunk IS NULL").select("doc_id", "tie", "node", "n")
     indexed = materialise(_index(rows, _class_counts(scanned), words_each, percent), "index")
     postings = indexed.select("node", "n", F.explode("keys").alias("key"))
     lists = postings.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
@@ -410,8 +400,23 @@ def components(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataF
         rooted = documents.withColumn("root", F.col("node"))
     else:
         rooted = documents.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rooted.select("doc_id", "tie", "n", "root")
+
+
+def components(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
+    """Documents linked by Jaccard similarity of their shingle sets, by component.
+
+    Two documents link if 100 * intersection >= percent * union. Returns per
+    row of ``docs``: doc_id, n_shingles and component_id, the smallest doc_id
+    reachable by links. Null and empty texts, and texts of white space, have
+    no shingles, link with nothing and are their own component. Equal sets
+    are linked; repeated rows and rows of one doc_id are told apart by their
+    sets. A null doc_id never names a component of others (null if it is
+    alone). An empty table gives no rows. ``percent`` is over 50.
+    """
+    rooted = _rooted(docs, words_each, percent)
     names = rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    empty = documents.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    empty = rooted.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return (
         rooted.where("n > 0")
         .join(names, "root")
@@ -420,6 +425,34 @@ def components(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataF
     )
 
 
+def without_copies(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay where of each component one document stays: the smallest doc_id.
+
+    Of rows of that id, the one with the least hash of its text stays, and of
+    equal rows one. A null id stays only if its component has no other.
+    Texts without words all stay. All columns are kept.
+    """
+    low, high = -(1 << 63), (1 << 63) - 1
+    id_, tie = fresh(docs, "_id"), fresh(docs, "_tie")
+    # Null ids come last among those of a component.
+    rooted = materialise(_rooted(docs, words_each, percent).where("n > 0"), "rooted")
+    order = F.struct(F.coalesce("doc_id", F.lit(high)).alias("doc_id"), "tie")
+    first = rooted.groupBy("root").agg(F.min(order).alias("first"))
+    lost = rooted.join(first, "root").where(order != F.col("first")).select("doc_id", "tie").distinct()
+    again = rooted.groupBy("doc_id", "tie").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "tie")
+
+    def named(keys: DataFrame) -> DataFrame:
+        return keys.select(F.coalesce("doc_id", F.lit(low)).alias(id_), F.col("tie").alias(tie))
+
+    rows = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(low))).withColumn(tie, F.xxhash64("text"))
+    kept = rows.join(named(lost), [id_, tie], "left_anti")
+    again = materialise(named(again), "again")
+    if not again.isEmpty():
+        once = kept.join(again, [id_, tie], "left_semi").dropDuplicates([id_, tie])
+        kept = kept.join(again, [id_, tie], "left_anti").unionByName(once)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def oracle(words_each: int, percent: int) -> str:
     """The components in DuckDB's SQL, by counting shared shingles of all pairs that share one."""
     return rf"""

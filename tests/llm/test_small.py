@@ -22,6 +22,7 @@ from shelfmark.llm import (
 )
 
 LOW = -(1 << 63)
+LONG_TEXT = " ".join(f"word{i}" for i in range(60))
 
 
 def sha(text):
@@ -59,6 +60,20 @@ def test_ngram_join(docs, rows, k, percent):
     assert ngram_join.components(docs.limit(0), k, percent).count() == 0
 
 
+def test_one_of_each_group_stays(spark, docs, rows):
+    """Rows of one id are told apart by their texts; equal rows and near copies leave one."""
+    texts = {1: LONG_TEXT, 2: LONG_TEXT + " end"}
+    frame = spark.createDataFrame(
+        [(1, texts[1], 0), (2, texts[2], 1), (2, "quite another text of id two", 2), (2, "quite another text of id two", 3), (None, texts[1], 4),
+         (None, "a text without an id", 5), (3, None, 6), (3, None, 7), (4, "", 8), (5, "short", 9), (6, "Short", 10)],
+        "doc_id long, text string, _tie int",
+    )
+    found = Counter((r["doc_id"], r["text"]) for r in ngram_join.without_copies(frame).collect())
+    assert found == Counter([(1, texts[1]), (2, "quite another text of id two"), (None, "a text without an id"), (3, None), (3, None), (4, ""), (5, "short")])
+    kept = ngram_join.without_copies(docs)
+    assert kept.columns == docs.columns and ngram_join.without_copies(docs.limit(0)).count() == 0
+
+
 def test_sketches_never_differ_more_than_sets():
     import numpy as np
 
@@ -507,6 +522,24 @@ def test_mixing_spends_its_room(spark):
             assert sum(r["taken"] for r in found if r["source"] == "a") == 400
 
 
+def test_mixing_of_repeated_rows(spark):
+    """Equal rows that do not fit as a whole are taken one by one; other columns stay with their rows."""
+    text = "w " * 10
+    rows = [(7, text, "a", k) for k in range(60)] + [(8, "x " * 900, "b", 0), (9, "", "a", 1), (9, "", "a", 2), (10, None, "a", 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int").repartition(5)
+    plans = []
+    for _ in range(2):
+        found = mixing.mix_plan(frame).collect()
+        own = [r for r in found if r["source"] == "a" and r["size"]]
+        base, target = int(own[0]["target"] // own[0]["source_size"]), own[0]["target"]
+        assert {r["copies"] for r in own} == {base} or {r["copies"] for r in own} == {base, base + 1}
+        assert 0 <= target - sum(r["taken"] for r in own) < 10 or base == 3
+        plans.append(sorted((r["doc_id"], r["size"], r["rank"], r["copies"]) for r in found))
+    assert plans[0] == plans[1]
+    mixed = Counter(r["doc_id"] for r in mixing.mix(frame).collect())
+    assert mixed == Counter({d: n for d in (7, 8, 9, 10) if (n := sum(r["copies"] for r in found if r["doc_id"] == d))})
+
+
 def brute_removal(rows, length):
     first = {}
     ordered = sorted(rows, key=lambda r: LOW if r[0] is None else r[0])
