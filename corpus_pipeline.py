@@ -9,7 +9,7 @@ from shelfmark.llm.common import materialise
 from shelfmark.llm.language_id import UNKNOWN, identify, train
 from shelfmark.llm.line_dedup import dedup_lines
 from shelfmark.llm.mixing import mix
-from shelfmark.llm.ngram_join import components
+from shelfmark.llm.ngram_join import without_copies
 from shelfmark.llm.packing import pack_documents
 
 #: A language is accepted from this share of the code-length posterior.
@@ -33,19 +33,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, the smallest id, of each component of five-word shingles at 0.8 or more."""
-    found = components(docs, words_each=5, percent=80)
-    lost = found.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    """Keep one document, the smallest id, of each component of five-word shingles at 0.8 or more.
+
+    Rows of one id are told apart by their texts, and of equal rows one stays.
+    """
+    return without_copies(docs, words_each=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or drop documents so that sources meet their target weights."""
+    """Repeat or drop documents so that sources meet their target weights; an empty table stays empty."""
     return mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack all that is left into sequences of 1,024 ids."""
+    """Pack all that is left into sequences of 1,024 ids: every row, repeats of an id and empty texts included."""
     return pack_documents(docs)
 
 
