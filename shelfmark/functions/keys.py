@@ -205,3 +205,71 @@ def decode_path(path: Column) -> Column:
     part = lambda t: F.when(ours(t), F.upper(F.substr(t, F.lit(2)))).otherwise(F.hex(F.encode(t, "UTF-8")))
     joined = F.array_join(F.transform(hexed, part), "")
     return F.when(F.contains(path, F.lit("%")), F.decode(F.unhex(joined), "UTF-8")).otherwise(path)
+
+
+def to_doc(value: Column) -> Column:
+    """struct(url, key) of a replay URL or a bare capture key; null for anything else."""
+    replay = parse_replay(value)
+    bare = value.rlike(r"^\d{4,14}/[\s\S]+\z")
+    return F.when(
+        replay.isNotNull(), F.struct(value.alias("url"), capture_key(replay["timestamp"], replay["original"]).alias("key"))
+    ).when(bare, F.struct(replay_url(value).alias("url"), value.alias("key")))
+
+
+def chrome_host(url: Column, host: str) -> Column:
+    """A replay URL on another host; what is no replay URL stays."""
+    return F.regexp_replace(url, r"^(?i)https?://web\.archive\.org(?=/web/)", f"https://{host}")
+
+
+def host_of(url: Column) -> Column:
+    """The host that a host policy is looked up by: lower case, no root dot; null if it does not parse."""
+    return F.regexp_replace(hostname(url), r"\.\z", "")
+
+
+def header_safe(value: Column) -> Column:
+    """A header value: visible ASCII stays, any other byte becomes %XX of the UTF-8 form."""
+    chars = F.filter(F.split(value, ""), lambda c: c != "")
+    plain = lambda c: c.rlike(r"^[\x20-\x7e]\z")
+    escaped = lambda c: F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")
+    return F.array_join(F.transform(chars, lambda c: F.when(plain(c), c).otherwise(escaped(c))), "")
+
+
+def normal_prefix(prefix: Column) -> Column:
+    """An object prefix without slashes at its ends; empty for none."""
+    return F.regexp_replace(F.coalesce(prefix, F.lit("")), r"^/+|/+\z", "")
+
+
+def checkpoint_path(endpoint: Column, bucket: Column, prefix: Column) -> Column:
+    """Where a verification of one target keeps its checkpoint: 32 hex digits of the target's digest.
+
+    Quotes and backslashes in the three parts are escaped as JSON does.
+    """
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    parts = [quoted(F.regexp_replace(endpoint, r"/+\z", "")), quoted(bucket), quoted(normal_prefix(prefix))]
+    target = F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
+    return F.concat(F.lit(".verify/"), F.substr(F.sha2(target, 256), F.lit(1), F.lit(32)), F.lit(".json"))
+
+
+def without_mirror_host(body: Column, authority: str) -> Column:
+    """A body in which a mirror's own authority is replaced by a neutral mark, so that mirrors compare equal."""
+    return F.replace(body, F.lit(authority), F.lit("<mirror-host>"))
+
+
+def decode_xml(text: Column) -> Column:
+    """XML entities, the ampersand last, so that ``&amp;lt;`` stays ``&lt;``."""
+    out = text
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    return out
+
+
+def backoff(attempt: Column, first: int, most: int | None = None) -> Column:
+    """Milliseconds to wait before a repeat: ``first`` doubled for each attempt after the first, at most ``most``."""
+    wait = (F.lit(first) * F.pow(F.lit(2.0), attempt - 1)).cast("long")
+    return F.least(wait, F.lit(most).cast("long")) if most else wait
+
+
+def metadata_safe(content_type: Column) -> Column:
+    """May a content type travel as object metadata: no line ends, at most 1,000 bytes as a JSON string?"""
+    quoted = F.octet_length(F.to_json(F.struct(content_type.alias("v")))) - F.lit(len('{"v":}'))
+    return F.coalesce(~content_type.rlike(r"[\r\n]") & (quoted <= 1_000), F.lit(True))

@@ -81,3 +81,57 @@ def remaster(captures: DataFrame) -> DataFrame:
         F.coalesce(output != F.col("content_hash"), F.lit(False)).alias("rewritten"),
         F.coalesce("new.count", F.lit(0)).alias("n_refs"),
     )
+
+
+def remastered_sidecars(sidecars: DataFrame, entries: DataFrame) -> DataFrame:
+    """Sidecars of a remastered tree: those of rewritten bodies name the new digest and length, all others stay.
+
+    entries: key, output_hash, rewritten, output_length.
+    """
+    new = entries.where("rewritten").select("key", F.col("output_hash").alias("_hash"), F.col("output_length").cast("long").alias("_length"))
+    joined = sidecars.join(new, "key", "left")
+    out = {"content_hash": F.coalesce("_hash", "content_hash"), "content_length": F.coalesce("_length", "content_length")}
+    return joined.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in sidecars.columns])
+
+
+def build_record(entries: DataFrame) -> DataFrame:
+    """(key, json): a build's entries in canonical form, to be written in key order; no paths are in it."""
+    fields = F.struct(
+        F.col("content_type").alias("contentType"),
+        F.col("input_hash").alias("inputHash"),
+        "key",
+        F.col("output_hash").alias("outputHash"),
+        "rewritten",
+        "status",
+    )
+    return entries.select("key", F.to_json(fields, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def build_counts(entries: DataFrame) -> DataFrame:
+    """sidecars, bodies and rewritten of a build."""
+    return entries.agg(
+        F.count("*").alias("sidecars"), F.count_if(F.col("status") == "body").alias("bodies"), F.count_if("rewritten").alias("rewritten")
+    )
+
+
+def build_integrity(sidecars: DataFrame, record: DataFrame, caps: DataFrame) -> DataFrame:
+    """Bodies of a remastered tree against its record and its sidecars: (key, kind, expected, actual).
+
+    sidecars: key, status, content_hash. record: key, output_hash. caps: path,
+    digest of what is stored. Kinds: build-orphan, body-missing, body-hash, sidecar-hash.
+    """
+    bodied = sidecars.where("status = 'body'").select("key", "content_hash", keys.body_path(F.col("content_hash")).alias("path"))
+    rows = bodied.join(record.select("key", "output_hash", F.lit(True).alias("listed")), "key", "left").join(
+        caps.select("path", "digest"), "path", "left"
+    )
+    said = lambda kind, expected, actual: F.struct(
+        F.lit(kind).alias("kind"), expected.cast("string").alias("expected"), actual.cast("string").alias("actual")
+    )
+    none, listed, there = F.lit(None), F.col("listed"), F.col("digest").isNotNull()
+    found = F.array(
+        F.when(listed.isNull(), said("build-orphan", none, none)),
+        F.when(listed & ~there, said("body-missing", none, none)),
+        F.when(listed & there & ~F.col("output_hash").eqNullSafe(F.col("digest")), said("body-hash", F.col("output_hash"), F.col("digest"))),
+        F.when(listed & there & (F.col("content_hash") != F.col("digest")), said("sidecar-hash", F.col("content_hash"), F.col("digest"))),
+    )
+    return rows.select("key", F.explode(F.array_compact(found)).alias("f")).select("key", "f.*")

@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .steps import settle
 
-def reachable(edges: DataFrame, roots: DataFrame, most: int = 100) -> DataFrame:
+
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Keys reachable from the roots with their depth: (key, depth).
 
-    Breadth first; every level is checkpointed into ``spark.checkpoint.dir``
-    where one is set, so that lost executors repeat one level at most.
+    Breadth first until a level is empty, at any depth; every level is
+    settled, so that lost executors repeat one level at most.
     """
-    keep = (lambda df: df.checkpoint()) if edges.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df.persist())
-    seen = keep(roots.select("key").distinct().withColumn("depth", F.lit(0)))
-    level = seen
-    for depth in range(1, most + 1):
+    seen = settle(roots.select("key").distinct().withColumn("depth", F.lit(0)))
+    level, depth = seen, 0
+    while not level.isEmpty():
+        depth += 1
         step = edges.join(level.select(F.col("key").alias("parent")), "parent").select(F.col("child").alias("key"))
-        level = keep(step.distinct().join(seen, "key", "left_anti").withColumn("depth", F.lit(depth)))
-        if level.isEmpty():
-            break
-        seen = keep(seen.unionByName(level))
+        level = settle(step.distinct().join(seen, "key", "left_anti").withColumn("depth", F.lit(depth)))
+        seen = settle(seen.unionByName(level))
     return seen
+
+
+def sweep_plan(inventory: DataFrame, marked: DataFrame) -> DataFrame:
+    """What a sweep would move: objects (path, key, length) whose key is not marked. A plan only, nothing is deleted."""
+    return inventory.join(marked.select("key").distinct(), "key", "left_anti").select("path", "key", "length")

@@ -223,3 +223,66 @@ def source_refs(inline: DataFrame, sibling: DataFrame) -> DataFrame:
     both = inline.select("source", "url").unionByName(sibling.select("source", F.col("target").alias("url")))
     r = keys.parse_replay(F.col("url"))
     return both.select("source", r["timestamp"].alias("timestamp"), r["original"].alias("original")).where("original IS NOT NULL").distinct()
+
+
+def manifest_survey(files: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Per manifest file: how many entries, rewrites and excludes it has; files without any are listed, too."""
+    count = lambda section: F.count_if(F.col("section") == section)
+    sums = verdicts.groupBy("file").agg(count("entries").alias("entries"), count("rewrites").alias("rewrites"), count("exclude").alias("exclude"))
+    return files.select("file").distinct().join(sums, "file", "left").fillna(0)
+
+
+def generate_stats(links: DataFrame, answers: DataFrame) -> DataFrame:
+    """urls, from_universe, from_seen, resolved and deferred of a run of :func:`generate`."""
+    count = lambda step: F.count_if(F.col("step") == step)
+    sums = answers.agg(
+        count("policy").alias("from_universe"), count("seen").alias("from_seen"), count("resolved").alias("resolved"), count("deferred").alias("deferred")
+    )
+    urls = links.agg(F.countDistinct("url").alias("urls"))
+    return urls.crossJoin(F.broadcast(sums))  # one row each
+
+
+def batch_summary(sidecars: DataFrame, caps: DataFrame) -> DataFrame:
+    """total, bodied, bodiless and missing_bodies of a push: bodies that are not stored are left out and counted."""
+    rows = sidecars.select("status", keys.body_path(F.col("content_hash")).alias("path")).join(
+        caps.select("path", F.lit(True).alias("stored")), "path", "left"
+    )
+    bodied, stored = F.col("status") == "body", F.coalesce("stored", F.lit(False))
+    return rows.agg(
+        F.count_if(~bodied | stored).alias("total"),
+        F.count_if(bodied & stored).alias("bodied"),
+        F.count_if(~bodied).alias("bodiless"),
+        F.count_if(bodied & ~stored).alias("missing_bodies"),
+    )
+
+
+def bad_list(verdicts: DataFrame) -> DataFrame:
+    """Verdicts that need a human, missing captures before suspect ones, by key; sorted by range over the executors."""
+    first = F.when(F.col("verdict") == "wayback404", 0).otherwise(1)
+    return verdicts.where("verdict <> 'good'").select("verdict", "key").orderBy(first, "key")
+
+
+def verdict_counts(verdicts: DataFrame) -> DataFrame:
+    count = lambda v: F.count_if(F.col("verdict") == v).alias(v)
+    return verdicts.agg(count("good"), count("wayback404"), count("suspect"))
+
+
+def class_counts(bodies: DataFrame, occurrences: DataFrame, classes: DataFrame) -> DataFrame:
+    """What a scan saw: (name, n) of scanned bodies, occurrences, distinct references and each class."""
+    scanned = bodies.agg(F.count("*").alias("n")).select(F.lit("scanned").alias("name"), "n")
+    seen = occurrences.agg(F.count("*").alias("n")).select(F.lit("occurrences").alias("name"), "n")
+    distinct = classes.agg(F.count("*").alias("n")).select(F.lit("distinct").alias("name"), "n")
+    each = classes.groupBy(F.col("class").alias("name")).agg(F.count("*").alias("n"))
+    return scanned.unionByName(seen).unionByName(distinct).unionByName(each)
+
+
+def browser_layer(observed: DataFrame, found: DataFrame) -> DataFrame:
+    """Per rendered document (doc, requests): findings by kind and whether it passes; no request at all fails closed.
+
+    found: doc, kind (non-local-request, dangling-local, csp-violation).
+    """
+    sums = found.groupBy("doc").agg(F.count("*").alias("n"))
+    rows = observed.join(sums, "doc", "left")
+    silent = F.when(F.col("requests") == 0, 1).otherwise(0)
+    findings = (F.coalesce("n", F.lit(0)) + silent).alias("findings")
+    return rows.select("doc", findings, (silent == 1).alias("no_evidence")).withColumn("pass", F.col("findings") == 0)

@@ -15,11 +15,17 @@ SEVERITY = {
     "sizeMismatch": "corruption",
     "keyMismatch": "corruption",
     "missingBody": "corruption",
-    "schemaVersion": "corruption",
-    "interstitialAsBody": "advisory",
     "incompleteClosure": "incomplete",
+    "interstitialAsBody": "advisory",
+    "schemaVersion": "advisory",
+    "foreignRoot": "advisory",
     "orphanCap": "reapable",
+    "staleTmp": "reapable",
 }
+#: What a store's root may hold.
+ROOT_NAMES = ("cap", "meta", "tmp", "trash", ".refetch", ".crawl", ".verify", "remaster.build.json")
+#: Fixed value: the mark of a quarantine that these tools made.
+TRASH_MARK = ".fsck-quarantine"
 
 
 def sidecar_findings(sidecars: DataFrame) -> DataFrame:
@@ -32,12 +38,11 @@ def sidecar_findings(sidecars: DataFrame) -> DataFrame:
         F.col("key").isNull()
         | F.coalesce(~F.col("status").isin(*classify.STATUSES), F.lit(True))
         | (~bodied & (F.col("content_hash").isNotNull() | F.col("content_length").isNotNull()))
-        | (bodied & ~keys.is_sri(F.col("content_hash")))
     )
     found = F.array_compact(
         F.array(
             F.when(F.col("v").isNull() | (F.col("v") != 3), "schemaVersion"),
-            F.when((F.col("v") == 3) & broken, "malformed"),
+            F.when(broken, "malformed"),
             F.when(F.col("key").isNotNull() & (F.col("path") != keys.meta_path(F.col("key"))), "keyMismatch"),
         )
     )
@@ -45,9 +50,9 @@ def sidecar_findings(sidecars: DataFrame) -> DataFrame:
 
 
 def body_findings(sidecars: DataFrame, caps: DataFrame) -> DataFrame:
-    """Findings of bodied sidecars against the stored bodies (path, digest, length)."""
+    """Findings of bodied sidecars against the stored bodies (path, digest, length); without a sound digest there is no body."""
     wanted = sidecars.where("status = 'body'").select("key", "content_hash", "content_length")
-    wanted = wanted.withColumn("path", keys.body_path(F.col("content_hash"))).where("path IS NOT NULL")
+    wanted = wanted.withColumn("path", keys.body_path(F.col("content_hash")))
     joined = wanted.join(caps.select("path", "digest", "length"), "path", "left")
     found = F.array_compact(
         F.array(
@@ -68,16 +73,110 @@ def orphan_bodies(sidecars: DataFrame, caps: DataFrame, findings: DataFrame) ->
     )
 
 
+def _graded(found: DataFrame) -> DataFrame:
+    severity = F.create_map(*[F.lit(x) for item in SEVERITY.items() for x in item])
+    return found.withColumn("severity", severity[F.col("category")])
+
+
 def fsck(sidecars: DataFrame, caps: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """All findings: category, severity, key."""
+    """Findings of sidecars, bodies and, with edges, closure: category, severity, key."""
     found = sidecar_findings(sidecars).unionByName(body_findings(sidecars, caps))
     found = found.unionByName(orphan_bodies(sidecars, caps, found))
     if edges is not None:
-        children = edges.select("child").distinct()
-        lost = children.join(sidecars.select(F.col("key").alias("child")), "child", "left_anti")
-        found = found.unionByName(lost.select(F.lit("incompleteClosure").alias("category"), F.col("child").alias("key")))
-    severity = F.create_map(*[F.lit(x) for item in SEVERITY.items() for x in item])
-    return found.select("category", severity[F.col("category")].alias("severity"), "key")
+        lost = closure_findings(sidecars, edges).select("category", F.col("detail").alias("key")).distinct()
+        found = found.unionByName(lost)
+    return _graded(found).select("category", "severity", "key")
+
+
+def closure_findings(sidecars: DataFrame, edges: DataFrame) -> DataFrame:
+    """incompleteClosure once per bodied document and child without a sidecar: (category, key, detail).
+
+    What no replay serves is never missing. detail is the child.
+    """
+    bodied = sidecars.where("status = 'body'").select(F.col("key").alias("parent"))
+    wanted = edges.select("parent", "child").distinct().join(bodied, "parent", "left_semi")
+    lost = wanted.join(sidecars.select(F.col("key").alias("child")), "child", "left_anti")
+    lost = lost.where(~classify.is_unmirrorable(keys.key_original(F.col("child"))))
+    return lost.select(F.lit("incompleteClosure").alias("category"), F.col("parent").alias("key"), F.col("child").alias("detail"))
+
+
+def interstitial_findings(sidecars: DataFrame, caps: DataFrame) -> DataFrame:
+    """Bodied sidecars whose bytes (caps: path, content) are the archive's page about the capture: (category, key, detail)."""
+    wanted = sidecars.where("status = 'body'").select("key", "content_type", keys.body_path(F.col("content_hash")).alias("path"))
+    body = F.when(classify.is_htmlish(F.col("content_type")), F.decode("content", "UTF-8"))
+    sign = classify.interstitial(F.col("key"), F.col("content_type"), body, F.lit(None).cast("string"))
+    found = wanted.join(caps.select("path", "content"), "path").select("key", sign["signature"].alias("detail"))
+    return found.where("detail IS NOT NULL").select(F.lit("interstitialAsBody").alias("category"), "key", "detail")
+
+
+def root_findings(entries: DataFrame) -> DataFrame:
+    """foreignRoot and staleTmp of a store's files (path from the root): (category, key, detail).
+
+    A root entry outside the contract is foreign, and so is a trash folder
+    without the mark of a quarantine; whatever lies in tmp is stale.
+    """
+    top = F.split_part("path", F.lit("/"), F.lit(1))
+    second = F.split_part("path", F.lit("/"), F.lit(2))
+    named = entries.select("path", top.alias("top"), second.alias("second")).where("path <> ''")
+    tops = named.groupBy("top").agg(F.bool_or(F.col("second") == TRASH_MARK).alias("marked"))
+    foreign = tops.where(~F.col("top").isin(*ROOT_NAMES) | ((F.col("top") == "trash") & ~F.col("marked")))
+    why = F.when(F.col("top") == "trash", "no mark of a quarantine")
+    stale = named.where("top = 'tmp' AND second <> ''").select(F.lit("staleTmp").alias("category"), F.col("second").alias("key")).distinct()
+    return foreign.select(F.lit("foreignRoot").alias("category"), F.col("top").alias("key"), why.alias("detail")).unionByName(
+        stale.withColumn("detail", F.lit(None).cast("string"))
+    )
+
+
+def quarantine_hints(sidecars: DataFrame, entries: DataFrame) -> DataFrame:
+    """(key, quarantined): where in the trash the body of a bodied sidecar lies; the first run that has it."""
+    place = F.regexp_extract("path", r"^trash/[^/]+/(cap/[^/]+/[^/]+)\z", 1)
+    moved = entries.select("path", place.alias("cap")).where("cap <> ''").groupBy("cap").agg(F.min("path").alias("quarantined"))
+    wanted = sidecars.where("status = 'body'").select("key", keys.body_path(F.col("content_hash")).alias("cap"))
+    return wanted.join(moved, "cap").select("key", "quarantined")
+
+
+def fsck_store(sidecars: DataFrame, caps: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
+    """All eleven categories: category, severity, key, detail.
+
+    caps: path, digest, length, content. entries: path of every file from the
+    root. detail: the missing child, the interstitial's signature, where a
+    missing body is in quarantine, or why a root entry is foreign.
+    """
+    none = F.lit(None).cast("string")
+    base = sidecar_findings(sidecars).unionByName(body_findings(sidecars, caps))
+    base = base.unionByName(orphan_bodies(sidecars, caps.select("path"), base))
+    hinted = base.join(quarantine_hints(sidecars, entries), "key", "left").select(
+        "category", "key", F.when(F.col("category") == "missingBody", F.col("quarantined")).otherwise(none).alias("detail")
+    )
+    found = (
+        hinted.unionByName(closure_findings(sidecars, edges))
+        .unionByName(interstitial_findings(sidecars, caps))
+        .unionByName(root_findings(entries))
+    )
+    return _graded(found).select("category", "severity", "key", "detail")
+
+
+def fsck_totals(findings: DataFrame, fix: bool = False) -> DataFrame:
+    """Per category, all of them: severity, found, reaped (reapable ones, if they are to be) and unresolved."""
+    spark = findings.sparkSession
+    every = spark.createDataFrame([(i, *x) for i, x in enumerate(SEVERITY.items())], "ord int, category string, severity string")
+    counts = findings.groupBy("category").agg(F.count("*").alias("n"))
+    found = F.coalesce("n", F.lit(0))
+    reaped = F.when((F.col("severity") == "reapable") & F.lit(fix), found).otherwise(0)
+    return every.join(counts, "category", "left").select(
+        "ord", "category", "severity", found.alias("found"), reaped.alias("reaped"), (found - reaped).alias("unresolved")
+    )
+
+
+def layer_verdict(layers: DataFrame, by: str) -> DataFrame:
+    """A run passes if each of its layers does; layers: by, layer, findings, observed (null where none is due).
+
+    A layer that was to observe something and saw nothing fails.
+    """
+    sound = (F.col("findings") == 0) & (F.col("observed").isNull() | (F.col("observed") > 0))
+    return layers.groupBy(by).agg(
+        F.bool_and(sound).alias("pass"), F.count("*").alias("layers"), F.count_if(~sound).alias("failed"), F.sum("findings").alias("findings")
+    )
 
 
 def heal_verdict(attempts: DataFrame, by: str, ceiling: float = 0.01) -> DataFrame:

@@ -156,17 +156,19 @@ def strip_fragment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures(spark, sf_dir).select("page_id", keys.strip_fragment(F.col("key")).alias("key"))
 
 
-_TYPES = ["text/html; charset=utf-8", "text/css", "application/x-javascript", "image/png", "", "application/xhtml+xml", "TEXT/JavaScript"]
+_TYPES = ["text/html; charset=utf-8", "text/css", "application/x-javascript", "image/png", "", "application/xhtml+xml", "TEXT/JavaScript", "application/json", "image/svg+xml", "text/plain", "xhtml/x; q=1"]
 
 
 @query(
-    f"""WITH t AS (SELECT page_id, [{', '.join(f"'{x}'" for x in _TYPES)}][page_id % 7 + 1] AS ct FROM pages)
-SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'html' WHEN 1 THEN 'css' WHEN 2 THEN 'js' WHEN 5 THEN 'html' WHEN 6 THEN 'js' END AS dialect,
-  coalesce(nullif(ct, ''), 'application/octet-stream') AS served, page_id % 7 IN (0, 1, 2, 5, 6) AS is_text,
-  page_id % 7 IN (0, 4, 5) AS htmlish FROM t"""
+    rf"""WITH t AS (SELECT page_id, [{', '.join(f"'{x}'" for x in _TYPES)}][page_id % {len(_TYPES)} + 1] AS ct FROM pages),
+k AS (SELECT *, lower(trim(split_part(ct, ';', 1))) AS kind FROM t),
+d AS (SELECT *, CASE WHEN kind IN ('text/html', 'application/xhtml+xml') OR regexp_matches(kind, '(^|/)xhtml\b') THEN 'html' WHEN kind = 'text/css' THEN 'css'
+  WHEN regexp_matches(kind, '(java|ecma)script') THEN 'js' END AS dialect FROM k)
+SELECT page_id, dialect, CASE WHEN ct = '' THEN 'application/octet-stream' ELSE ct END AS served,
+  dialect IS NOT NULL OR regexp_matches(kind, '^text/|json|xml$') AS is_text, ct = '' OR regexp_matches(ct, 'html|xhtml', 'i') AS htmlish FROM d"""
 )
 def content_type_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.element_at(F.array(*[F.lit(t) for t in _TYPES]), (F.col("page_id") % 7 + 1).cast("int"))
+    kind = F.element_at(F.array(*[F.lit(t) for t in _TYPES]), (F.col("page_id") % len(_TYPES) + 1).cast("int"))
     return table(spark, sf_dir, "pages").select("page_id", kind.alias("ct")).select(
         "page_id",
         classify.dialect(F.col("ct")).alias("dialect"),
@@ -226,19 +228,23 @@ def soft404_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", classify.replay_verdict(F.col("title"), F.col("body"))["verdict"].alias("verdict"))
 
 
+_REPLAYED = """CASE page_id % 6 WHEN 1 THEN '<script>webComponentLoaderConfig; setTimeout(go, 5000)</script><a href="/web/2014/http:/moved.example.com/' || page_id || '">'
+  WHEN 2 THEN '<title> Wayback Machine </title><iframe id="playback">' WHEN 4 THEN '<script>setTimeout("go()", 5000)</script>' || html ELSE html END"""
+_RENAMED = "CASE WHEN page_id % 6 = 3 THEN ts || '/http://x.example.com/a.' || CASE WHEN page_id % 4 = 1 THEN 'PDF' ELSE 'png' END || '?q' ELSE key END"
+
+
 @query(
-    f"""WITH {CAPTURES} SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'archived-error' WHEN page_id % 6 = 1 THEN 'redirect-interstitial'
-  WHEN page_id % 6 = 2 THEN 'wrapper-stub' WHEN page_id % 6 = 3 THEN 'extension-mismatch' END AS signature,
-  CASE WHEN page_id % 6 = 1 THEN 'http://moved.example.com/' || CAST(page_id AS VARCHAR) END AS target FROM captures"""
+    rf"""WITH {CAPTURES}, r AS (SELECT page_id, {_REPLAYED} AS body, {_RENAMED} AS k, CASE WHEN page_id % 6 = 0 THEN '404' ELSE '200' END AS cdx FROM captures),
+m AS (SELECT *, regexp_extract(body, '["''](https?://web[.]archive[.]org)?/web/[0-9]{{4,14}}([a-z]{{2}}_)?/(https?[^"''\s\\]+)["'']', 3, 'i') AS goes FROM r)
+SELECT page_id, CASE WHEN regexp_matches(cdx, '^[45][0-9][0-9]$') THEN 'archived-error'
+    WHEN regexp_matches(body, 'setTimeout\s*\(\s*["'']?\s*go\s*(\(\s*\))?\s*["'']?\s*,\s*5000\b', 'i') AND contains(body, 'webComponentLoaderConfig') THEN 'redirect-interstitial'
+    WHEN regexp_matches(body, '<title>\s*wayback machine\s*</title>', 'i') AND regexp_matches(body, '<iframe\b[^>]*\bid\s*=\s*["'']?playback\b', 'i') THEN 'wrapper-stub'
+    WHEN regexp_matches(regexp_replace(k, '[?#].*', '', 's'), '[.](pdf|txt)$', 'i') THEN 'extension-mismatch' END AS signature,
+  CASE WHEN cdx = '200' AND contains(body, 'webComponentLoaderConfig') AND goes <> '' THEN regexp_replace(goes, '^(https?):/([^/])', '\1://\2') END AS target FROM m"""
 )
 def interstitial_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.expr(
-        """CASE page_id % 6 WHEN 1 THEN concat('<script>webComponentLoaderConfig; setTimeout(go, 5000)</script><a href="/web/2014/http:/moved.example.com/', page_id, '">')
-        WHEN 2 THEN '<title> Wayback Machine </title><iframe id="playback">' ELSE html END"""
-    )
-    key = F.expr("CASE WHEN page_id % 6 = 3 THEN concat(ts, '/http://x.example.com/a.pdf?q') ELSE key END")
     cdx = F.expr("CASE WHEN page_id % 6 = 0 THEN '404' ELSE '200' END")
-    found = classify.interstitial(key, F.lit("text/html"), body, cdx)
+    found = classify.interstitial(F.expr(_RENAMED), F.lit("text/html"), F.expr(_REPLAYED), cdx)
     return captures(spark, sf_dir).select("page_id", found.alias("i")).select(
         "page_id", "i.signature", F.col("i.target.url").alias("target")
     )
@@ -255,17 +261,30 @@ def chrome_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(text.without_chrome(dressed), 256).alias("stripped_hash"))
 
 
-_BEACON_URLS = ["http://www.google-analytics.com/__utm.gif?utmn=1", "https://x.doubleclick.net/a", "http://facebook.com/tr", "http://facebook.com/page",
-                "javascript:void(0)", "http://localhost/x", "http://maps.example.com/maps/gen_204", "https://cdn.example.com/a.js"]
+#: A rule's host, a host under it, and another one; beacon paths and others.
+_BEACON_MADE = """CASE page_id % 3 WHEN 0 THEN 'http://' || coalesce(nullif(host, ''), 'x.example.com') WHEN 1 THEN 'https://Sub.' || coalesce(nullif(host, ''), 'x.example.com') || ':8080'
+  ELSE 'http://not' || coalesce(nullif(host, ''), 'x.example.com') END || CASE page_id % 8 WHEN 0 THEN '/collect?x=1' WHEN 1 THEN '/tr' WHEN 2 THEN '//c.gif' WHEN 3 THEN '/maps/gen_204'
+  WHEN 4 THEN '/annotations_invideo' WHEN 5 THEN '/api/send' WHEN 6 THEN '' ELSE '/page' END"""
+_PSEUDO = "CASE page_id % 11 WHEN 9 THEN 'javascript:void(0)' WHEN 10 THEN 'http://localhost/x' ELSE {0} END"
+_BEACON_ROWS = ", ".join(f"({i}, '{k}', '{h}', {repr(p) if p else 'NULL'})" for i, (k, h, p) in enumerate(classify.BEACONS))
 
 
 @query(
-    f"""SELECT page_id, [{', '.join(f"'{u}'" for u in _BEACON_URLS)}][page_id % 8 + 1] AS url, page_id % 8 IN (0, 1, 2, 6) AS beacon,
-  page_id % 8 NOT IN (4, 5) AS fetchable, page_id % 8 NOT IN (3, 7) AS unmirrorable FROM pages"""
+    rf"""WITH rules(n, kind, host, pattern) AS (VALUES {_BEACON_ROWS}),
+u AS (SELECT page_id, {_PSEUDO.format(_BEACON_MADE)} AS url FROM pages JOIN rules ON n = page_id % {len(classify.BEACONS)}),
+p AS (SELECT *, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS h, CASE WHEN regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) = '' THEN '/'
+  ELSE regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) END AS path FROM u),
+b AS (SELECT page_id, url, bool_or(h <> '' AND (kind = 'any' OR h = host OR kind = 'under' AND ends_with(h, '.' || host)) AND (pattern IS NULL OR regexp_matches(path, pattern))) AS beacon
+  FROM p, rules GROUP BY page_id, url),
+f AS (SELECT *, url <> '' AND NOT regexp_matches(url, '^(data|javascript|mailto|blob|about|tel|vbscript):', 'i') AND NOT regexp_matches(url, 'data:[a-z]+/[a-z0-9.+-]', 'i')
+  AND NOT regexp_matches(url, '^https?://[^./:@]+([/:?#]|$)', 'i') AS fetchable FROM b)
+SELECT page_id, url, beacon, fetchable, NOT fetchable OR beacon AS unmirrorable FROM f"""
 )
 def beacon_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.element_at(F.array(*[F.lit(u) for u in _BEACON_URLS]), (F.col("page_id") % 8 + 1).cast("int"))
-    return table(spark, sf_dir, "pages").select("page_id", url.alias("url")).select(
+    """Beacons, by every rule's host, hosts under it and others, with beacon paths and others."""
+    hosts = F.array(*[F.lit(host) for _, host, _ in classify.BEACONS])
+    pages = table(spark, sf_dir, "pages").select("page_id", F.get(hosts, (F.col("page_id") % len(classify.BEACONS)).cast("int")).alias("host"))
+    return pages.select("page_id", F.expr(_PSEUDO.format(_BEACON_MADE)).alias("url")).select(
         "page_id",
         "url",
         classify.is_beacon(F.col("url")).alias("beacon"),
@@ -442,12 +461,12 @@ def _store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(
     f"""WITH {CAPTURES}, {_SIDECARS}, f AS (
   SELECT 'schemaVersion' AS category, key FROM side WHERE v <> 3
-  UNION ALL SELECT 'malformed', key FROM side WHERE v = 3 AND (status = 'odd')
+  UNION ALL SELECT 'malformed', key FROM side WHERE status = 'odd' OR status <> 'body' AND real = 'body'
   UNION ALL SELECT 'keyMismatch', key FROM side WHERE path = 'meta/00/x'
   UNION ALL SELECT 'missingBody', key FROM side WHERE status = 'body' AND page_id % 31 = 0
   UNION ALL SELECT 'hashMismatch', key FROM side WHERE status = 'body' AND page_id % 31 <> 0 AND page_id % 37 = 0
   UNION ALL SELECT 'sizeMismatch', key FROM side WHERE status = 'body' AND page_id % 31 <> 0 AND page_id % 29 = 0)
-SELECT category, 'corruption' AS severity, key FROM f"""
+SELECT category, CASE category WHEN 'schemaVersion' THEN 'advisory' ELSE 'corruption' END AS severity, key FROM f"""
 )
 def fsck_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of a store with planted defects: orphans are not judged while ownership is in doubt."""
@@ -511,18 +530,21 @@ def build_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT CAST(coalesce(c_custkey, o_custkey) AS VARCHAR) AS key, CASE WHEN c_custkey IS NULL THEN 'extra' ELSE 'missing' END AS side
-FROM customer FULL JOIN (SELECT DISTINCT o_custkey FROM orders) ON c_custkey = o_custkey WHERE c_custkey IS NULL OR o_custkey IS NULL"""
+    f"""WITH {CAPTURES}, e AS (SELECT key FROM captures WHERE page_id % 5 <> 0), l AS (SELECT key FROM captures WHERE page_id % 7 <> 0 UNION ALL SELECT key FROM captures WHERE page_id % 3 = 0)
+SELECT key, 'missing' AS side FROM (SELECT key FROM e EXCEPT SELECT key FROM l) UNION ALL SELECT key, 'extra' FROM (SELECT key FROM l EXCEPT SELECT key FROM e)"""
 )
 def parity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    expected = table(spark, sf_dir, "customer").selectExpr("cast(c_custkey AS string) AS key")
-    return relations.key_parity(expected, table(spark, sf_dir, "orders").selectExpr("cast(o_custkey AS string) AS key"))
+    """Keys that only the store or only the listing has; the listing names some twice."""
+    c = captures(spark, sf_dir).select("page_id", "key")
+    return relations.key_parity(c.where("page_id % 5 <> 0"), c.where("page_id % 7 <> 0").unionByName(c.where("page_id % 3 = 0")))
 
 
 @query(
-    f"""WITH {CAPTURES} SELECT key, 'object' AS field, 'present' AS expected, 'absent' AS actual FROM captures WHERE page_id % 11 = 0
-UNION ALL SELECT key, 'status', status, 'lost' FROM captures WHERE page_id % 11 = 1
-UNION ALL SELECT key, 'contentType', 'text/html', 'application/octet-stream' FROM captures WHERE page_id % 11 = 2"""
+    f"""WITH {CAPTURES}, h AS (SELECT key, CASE WHEN page_id % 11 = 1 THEN 'lost' ELSE status END AS s, CASE WHEN page_id % 11 = 2 THEN '' ELSE 'text/html' END AS t FROM captures WHERE page_id % 11 <> 0),
+j AS (SELECT c.key, c.status, h.s, h.t, h.key AS there FROM captures c LEFT JOIN h ON h.key = c.key)
+SELECT key, 'object' AS field, 'present' AS expected, 'absent' AS actual FROM j WHERE there IS NULL
+UNION ALL SELECT key, 'status', status, s FROM j WHERE s <> status
+UNION ALL SELECT key, 'contentType', 'text/html', coalesce(nullif(t, ''), 'application/octet-stream') FROM j WHERE there IS NOT NULL AND coalesce(nullif(t, ''), 'application/octet-stream') <> 'text/html'"""
 )
 def parity_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = captures(spark, sf_dir).withColumn("content_type", F.lit("text/html"))
@@ -681,25 +703,51 @@ def batch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.batch_lines(c, "s3://bucket/")
 
 
-@query()
+_LINKED_HTML = """regexp_replace(html, '<a href="/([^"]*)"', '<a href="{0}/web/2014/http://x.example.com/{1}1"'{2})"""
+
+
+@query(
+    rf"""WITH {CAPTURES}, o AS (SELECT c.*, n.key AS other, c.page_id % 2 = 0 AND n.key IS NOT NULL AS kept, coalesce(n.ts, '2014') || 'im_/' || CASE WHEN c.page_id % 2 = 0 AND n.key IS NOT NULL
+    THEN n.url ELSE 'http://none.example.com/' END AS ref FROM captures c LEFT JOIN captures n ON n.page_id = c.page_id + 1),
+p AS (SELECT *, '<img src="https://web.archive.org/web/' || ref || '">' || {_LINKED_HTML.format('https://web.archive.org', chr(92), ", 'g'")} AS old,
+  '<img src="' || CASE WHEN kept THEN '' ELSE 'https://web.archive.org' END || '/web/' || ref || '">' || {_LINKED_HTML.format('', chr(92), ", 'g'")} AS new FROM o),
+h AS (SELECT *, 'sha256-' || base64(unhex(sha256(old))) AS i, 'sha256-' || base64(unhex(sha256(new))) AS t FROM p)
+SELECT key, 'text/html' AS content_type, 'body' AS status, i AS input_hash, t AS output_hash, i <> t AS rewritten,
+  CAST(len(regexp_extract_all(html, '<a href="/[^"]*"')) + CASE WHEN kept THEN 1 ELSE 0 END AS INT) AS n_refs FROM h"""
+)
 def rewrite_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Build entries of pages whose links are replay references; half of what they name is held."""
+    """Build entries of pages whose links are replay references, with an image that every other page has from another capture."""
     c = captures(spark, sf_dir)
-    refs = F.regexp_replace("html", '<a href="/([^"]*)"', '<a href="https://web.archive.org/web/2014/http://x.example.com/$1"')
-    pages = c.select("key", F.lit("text/html").alias("content_type"), F.lit("body").alias("status"), "content_hash", refs.alias("body"))
-    return build.remaster(pages)
+    after = c.select((F.col("page_id") - 1).alias("page_id"), F.col("ts").alias("next_ts"), F.col("url").alias("next_url"))
+    c = c.join(after, "page_id", "left")
+    kept = (F.col("page_id") % 2 == 0) & F.col("next_url").isNotNull()
+    ref = F.concat(F.coalesce("next_ts", F.lit("2014")), F.lit("im_/"), F.when(kept, F.col("next_url")).otherwise("http://none.example.com/"))
+    body = F.concat(F.lit('<img src="https://web.archive.org/web/'), ref, F.lit('">'), F.expr(_LINKED_HTML.format("https://web.archive.org", "$", "")))
+    pages = c.select("key", F.lit("text/html").alias("content_type"), F.lit("body").alias("status"), body.alias("body"))
+    return build.remaster(pages.withColumn("content_hash", keys.sri(F.col("body"))))
 
 
-@query(f"""WITH {CAPTURES} SELECT page_id, true AS same FROM captures""")
+@query(
+    rf"""WITH {CAPTURES}, o AS (SELECT page_id, key || ' é%20{{x}}''"' || chr(CAST(1 + page_id % 31 AS INT)) || chr(127) AS k FROM captures)
+SELECT page_id, '/' || array_to_string(list_transform(string_split(k, ''), lambda c: CASE WHEN regexp_matches(c, '^[\x21-\x7e]$') AND NOT contains('"#%''<>\^`{{}}', c)
+  THEN c ELSE regexp_replace(hex(encode(c)), '(..)', '%\1', 'g') END), '') AS path, '/' || k AS decoded FROM o"""
+)
 def path_codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Formatting a key as a path and decoding it gives the key back."""
-    odd = F.concat(F.col("key"), F.lit(" é%20{x}'\\"))
-    return captures(spark, sf_dir).select(
-        "page_id", (keys.decode_path(keys.format_path(odd)) == F.concat(F.lit("/"), odd)).alias("same")
-    )
+    """Keys with every kind of byte as paths, and the paths decoded again."""
+    odd = F.concat(F.col("key"), F.lit(" é%20{x}'\""), F.expr("chr(1 + page_id % 31) || chr(127)"))
+    rows = captures(spark, sf_dir).select("page_id", keys.format_path(odd).alias("path"))
+    return rows.select("page_id", "path", keys.decode_path(F.col("path")).alias("decoded"))
+
+
+_URL_IN_PROSE = r"""https?://(?:\([^()\s<>"''\]]*\)|[^\s()<>"''\]])+"""
 
 
-@query()
+@query(
+    rf"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '(?:^|[^("/<\]])({_URL_IN_PROSE})', 1) AS found FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, list_concat(['http://a.example.com/x(1)'], found, ['http://b.example.com/', 'http://c.example.com/i.png']) AS urls,
+  list_concat(['inline'], list_transform(found, lambda x: 'bare'), ['autolink', 'image']) AS forms FROM t)
+SELECT doc_id, CAST(unnest(range(len(urls))) AS INT) AS pos, unnest(forms) AS form, unnest(urls) AS url FROM l"""
+)
 def markdown_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of markdown made from the documents, with links put around the text."""
     made = F.concat(F.lit("[t](http://a.example.com/x(1)) "), "text", F.lit("\n<http://b.example.com/> ![i](http://c.example.com/i.png)"))
@@ -839,3 +887,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from . import more  # noqa: E402, F401  registers its queries, too

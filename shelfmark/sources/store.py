@@ -6,7 +6,7 @@ turns every defect into a column. Paths are read by Spark, from any file system.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SIDECAR = (
@@ -122,3 +122,145 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a JSON lines ledger; blank and torn lines are skipped."""
     lines = spark.read.text(path).where(F.try_parse_json("value").isNotNull())
     return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
+UNIVERSE = "rewrites MAP<STRING,STRING>, exclude ARRAY<STRING>, fqdns MAP<STRING,MAP<STRING,STRING>>"
+#: The behaviours of hosts and what each may be; a bare lower-case host name.
+BEHAVIORS = {"on404": ("probe-repo-root-follow-rename",)}
+FQDN = r"^(?=.{1,253}\z)(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\z"
+
+
+def parse_universe(raw: DataFrame) -> DataFrame:
+    """(file, json) of policies to long rows: file, section (rewrites, exclude, fqdns), name, behavior, value.
+
+    Raises for what is no object, empty targets and prefixes, hosts that are
+    no bare lower-case names, and behaviours or values that are not known.
+    """
+    variant = F.try_parse_json("json")
+    isobject = F.coalesce(F.startswith(F.schema_of_variant(variant), F.lit("OBJECT")), F.lit(False))
+    u = raw.select("file", F.when(isobject, F.from_json("json", UNIVERSE)).alias("u"))
+    none = F.lit(None).cast("string")
+
+    def checked(rows: DataFrame, sound, what: str) -> DataFrame:
+        bad = F.raise_error(F.concat(F.col("file"), F.lit(f": invalid universe, {what}: "), F.coalesce("name", F.lit(""))))
+        return rows.withColumn("name", F.when(F.coalesce(sound, F.lit(False)), F.col("name")).otherwise(bad))
+
+    u = u.withColumn("file", F.when(F.col("u").isNull(), F.raise_error(F.concat(F.col("file"), F.lit(": invalid universe, not an object")))).otherwise(F.col("file")))
+    rewrites = u.select("file", F.explode(F.map_entries("u.rewrites")).alias("e")).select(
+        "file", F.lit("rewrites").alias("section"), F.col("e.key").alias("name"), none.alias("behavior"), F.col("e.value").alias("value")
+    )
+    exclude = u.select("file", F.explode("u.exclude").alias("name")).select(
+        "file", F.lit("exclude").alias("section"), "name", none.alias("behavior"), none.alias("value")
+    )
+    hosts = u.select("file", F.explode(F.map_entries("u.fqdns")).alias("e")).select("file", F.col("e.key").alias("name"), F.explode(F.map_entries("e.value")).alias("b"))
+    hosts = hosts.select("file", F.lit("fqdns").alias("section"), "name", F.col("b.key").alias("behavior"), F.col("b.value").alias("value"))
+    allowed = [(F.col("behavior") == name) & F.col("value").isin(*values) for name, values in BEHAVIORS.items()]
+    hosts = checked(checked(hosts, F.col("name").rlike(FQDN), "no bare host name"), F.array_contains(F.array(*allowed), True), "unknown behaviour of")
+    return (
+        checked(rewrites, F.col("value") != "", "empty target of")
+        .unionByName(checked(exclude, F.col("name") != "", "empty exclude"))
+        .unionByName(hosts)
+    )
+
+
+def read_universe(spark: SparkSession, file: str) -> DataFrame:
+    """The policy of one file in long form; see :func:`parse_universe`."""
+    raw = spark.read.text(file, wholetext=True).select(F.lit(file).alias("file"), F.col("value").alias("json"))
+    return parse_universe(raw)
+
+
+def host_behaviors(urls: DataFrame, universe: DataFrame) -> DataFrame:
+    """(url, behavior, value) of URLs whose exact host has behaviours; subdomains inherit none."""
+    from ..functions.keys import host_of
+
+    known = universe.where("section = 'fqdns'").select(F.col("name").alias("host"), "behavior", "value")
+    return urls.select("url", host_of(F.col("url")).alias("host")).join(known, "host").select("url", "behavior", "value")
+
+
+def read_texts(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
+    """(file, text) of the text files below a folder; an absent folder gives no rows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "file string, text string")
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+
+
+def read_entries(spark: SparkSession, root: str) -> DataFrame:
+    """(path from the root, length) of every file of a store, by listing alone; no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    base = root.rstrip("/").split("/")[-1]
+    return files.select(F.regexp_extract("path", rf"/{base}/(.*)\z", 1).alias("path"), "length")
+
+
+def find_sidecar(sidecars: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Point lookups (key) with a check that what was found is what was asked for: key, found, authentic."""
+    from ..functions.keys import meta_path
+
+    asked = wanted.select("key", meta_path(F.col("key")).alias("path"))
+    found = sidecars.select("path", F.col("key").alias("own"), "v", F.lit(True).alias("found"))
+    authentic = F.col("own").eqNullSafe(F.col("key")) & F.coalesce(F.col("v") == 3, F.lit(False))
+    return asked.join(found, "path", "left").select(
+        "key", F.coalesce("found", F.lit(False)).alias("found"), F.when(F.col("found"), authentic).alias("authentic")
+    )
+
+
+CHECKPOINT = (
+    "signature STRING, sample DOUBLE, target STRUCT<endpoint:STRING,bucket:STRING,prefix:STRING>,"
+    " passed ARRAY<STRUCT<layer:DOUBLE,pass:BOOLEAN>>, bodies STRUCT<verified:ARRAY<STRING>,healed:ARRAY<STRING>>"
+)
+
+
+def parse_checkpoint(raw: DataFrame) -> DataFrame:
+    """(file, json) of verification checkpoints to rows; damaged ones raise, since a resume from them can pass wrongly."""
+    c = raw.select("file", F.from_json("json", CHECKPOINT).alias("c"))
+    sound = (
+        F.col("c.signature").isNotNull()
+        & F.col("c.sample").isNotNull()
+        & F.col("c.target.endpoint").isNotNull()
+        & F.col("c.target.bucket").isNotNull()
+        & F.col("c.target.prefix").isNotNull()
+        & F.col("c.passed").isNotNull()
+        & F.forall("c.passed", lambda x: x["layer"].isNotNull() & F.coalesce(x["pass"], F.lit(False)))
+        & F.col("c.bodies.verified").isNotNull()
+        & F.col("c.bodies.healed").isNotNull()
+    )
+    bad = F.raise_error(F.concat(F.col("file"), F.lit(" is not a verify checkpoint")))
+    return c.select(F.when(F.coalesce(sound, F.lit(False)), F.col("file")).otherwise(bad).alias("file"), "c.*")
+
+
+BUILD = (
+    "v INT, engineVersion STRING, ruleVersion STRING,"
+    " entries ARRAY<STRUCT<contentType:STRING,inputHash:STRING,key:STRING,outputHash:STRING,rewritten:BOOLEAN,status:STRING>>"
+)
+
+
+def parse_build(raw: DataFrame) -> DataFrame:
+    """(json) of a build record to its entries in snake case, with the versions beside each."""
+    b = raw.select(F.from_json("json", BUILD).alias("b")).select("b.v", "b.engineVersion", "b.ruleVersion", F.explode("b.entries").alias("e"))
+    return b.select(
+        "v",
+        F.col("engineVersion").alias("engine_version"),
+        F.col("ruleVersion").alias("rule_version"),
+        "e.key",
+        F.col("e.contentType").alias("content_type"),
+        "e.status",
+        F.col("e.inputHash").alias("input_hash"),
+        F.col("e.outputHash").alias("output_hash"),
+        "e.rewritten",
+    )
+
+
+def snapshots(cdx: DataFrame, low: str | None = None, high: str | None = None, limit: int = 10) -> DataFrame:
+    """The first ``limit`` captures of each URL between two timestamps (prefixes allowed), by time; a report of the first few.
+
+    cdx: url, timestamp, original, mimetype, statuscode, digest, length.
+    """
+    rows = cdx
+    if low:
+        rows = rows.where(F.rpad("timestamp", 14, "0") >= low.ljust(14, "0"))
+    if high:
+        rows = rows.where(F.rpad("timestamp", 14, "0") <= high.ljust(14, "9"))
+    number = F.row_number().over(Window.partitionBy("url").orderBy("timestamp", "original", "digest"))
+    kept = rows.withColumn("n", number).where(F.col("n") <= limit)
+    return kept.withColumn("replay", F.concat(F.lit("https://web.archive.org/web/"), "timestamp", F.lit("/"), "original"))
