@@ -235,11 +235,14 @@ def manifest_survey(files: DataFrame, verdicts: DataFrame) -> DataFrame:
 def generate_stats(links: DataFrame, answers: DataFrame) -> DataFrame:
     """urls, from_universe, from_seen, resolved and deferred of a run of :func:`generate`."""
     count = lambda step: F.count_if(F.col("step") == step)
-    sums = answers.agg(
-        count("policy").alias("from_universe"), count("seen").alias("from_seen"), count("resolved").alias("resolved"), count("deferred").alias("deferred")
+    steps = links.select("url").distinct().select(F.lit("url").alias("step")).unionByName(answers.select("step"))
+    return steps.agg(
+        count("url").alias("urls"),
+        count("policy").alias("from_universe"),
+        count("seen").alias("from_seen"),
+        count("resolved").alias("resolved"),
+        count("deferred").alias("deferred"),
     )
-    urls = links.agg(F.countDistinct("url").alias("urls"))
-    return urls.crossJoin(F.broadcast(sums))  # one row each
 
 
 def batch_summary(sidecars: DataFrame, caps: DataFrame) -> DataFrame:

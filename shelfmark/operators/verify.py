@@ -68,7 +68,7 @@ def orphan_bodies(sidecars: DataFrame, caps: DataFrame, findings: DataFrame) ->
     """Bodies that no sidecar names; none at all while a suspending finding exists."""
     named = sidecars.select(keys.body_path(F.col("content_hash")).alias("path")).where("path IS NOT NULL").distinct()
     doubts = findings.where(F.col("category").isin(*SUSPENDING)).agg(F.count("*").alias("doubts"))
-    return caps.join(named, "path", "left_anti").crossJoin(F.broadcast(doubts)).where("doubts = 0").select(
+    return caps.join(named, "path", "left_anti").where(doubts.scalar() == 0).select(
         F.lit("orphanCap").alias("category"), F.col("path").alias("key")
     )
 

@@ -131,3 +131,51 @@ def test_scan_by_region():
         ("attribute", "g", True),
     ]
     assert text.scan_body("html", None) == [] and text.scan_body("css", "url(/web/2014cs_/http://a.com/x)")[0]["resource"]
+
+
+def test_excerpts():
+    line = "x" * 50 + " see \t(archive.org/a) " + "y" * 50
+    at = line.index("archive.org")
+    assert text.excerpt(line, at, at + 11) == "…" + line[at - 40 : at + 51].replace("\t", "·") + "…"
+    assert text.token_around(line, at, at + 11) == "archive.org/a"
+    assert text.token_around("a" * 900, 400, 410) == "a" * 610
+    hits = text.bare_hits_of('https://web.archive.org/web/2014/http://a.com/ and http://Archive.org/x"')
+    assert [(h["token"], h["excerpt"][-5:]) for h in hits] == [("http://Archive.org/x", 'rg/x"')]
+    assert text.bare_hits_of(None) == []
+
+
+def test_entities_in_two_orders(spark):
+    assert one(spark, keys.decode_xml(F.lit("&amp;lt;&lt;"))) == "&lt;<"
+    assert one(spark, classify.decode_entities(F.lit("&amp;lt;&nbsp;"))) == "< "
+
+
+def test_addresses(spark):
+    assert one(spark, keys.to_doc(F.lit("2014/http://a.com/")))["url"] == "https://web.archive.org/web/2014/http://a.com/"
+    for other in ("201/http://a.com/", "http://a.com/", "2014/", ""):
+        assert one(spark, keys.to_doc(F.lit(other))) is None
+    assert one(spark, keys.chrome_host(F.lit("http://a.com/?u=https://web.archive.org/web/2014/x"), "c")) == "http://a.com/?u=https://web.archive.org/web/2014/x"
+    assert one(spark, keys.header_safe(F.lit("a%20b日\r"))) == "a%20b%E6%97%A5%0D"
+    assert one(spark, keys.host_of(F.lit("http://GitHub.com./x"))) == "github.com"
+    assert [one(spark, keys.backoff(F.lit(n), 400)) for n in (1, 2, 3)] == [400, 800, 1600] and one(spark, keys.backoff(F.lit(9), 500, 2_000)) == 2_000
+    assert one(spark, keys.metadata_safe(F.lit(None).cast("string"))) is True and one(spark, keys.metadata_safe(F.lit("a\rb"))) is False
+
+
+def test_evidence(spark):
+    said = classify.replay_evidence(F.lit("Oops"), F.lit("HTTP Error 404 - not here, sorry about that, dear reader"))
+    assert one(spark, said) == "matched: HTTP Error 404 | title: Oops | text: HTTP Error 404 - not here, sorry about that, dear reader"
+    assert one(spark, classify.replay_evidence(F.lit(""), F.lit(""))) == "text: (empty)"
+
+
+def test_rewriting_inside_comments_and_styles():
+    held = ["2014/http://a.com/x.png"]
+    ref = "https://web.archive.org/web/2014im_/http://a.com/x.png"
+    page = f"<!-- <img src='{ref}'> --><style>b{{background:url({ref})}}</style><script src='{ref}'>f('{ref}')</script><p style=\"background:url({ref})\">{ref}"
+    out = text.rewrite_body("html", page, held)
+    assert out["count"] == 4 and out["text"].count("https://web.archive.org") == 2
+    assert text.rewrite_body("js", f"f('{ref}', \"{ref} x\", '{ref}' + y)", held)["count"] == 2
+    assert text.reference_keys("\"https://web.archive.org/web/2014/http://a.com/b c\"")[-1] == "2014/http://a.com/b c"
+
+
+def test_audit_strip_drops_the_first_toolbar(spark):
+    bar = "<!-- BEGIN WAYBACK TOOLBAR INSERT -->t<!-- END WAYBACK TOOLBAR INSERT -->"
+    assert one(spark, text.audit_strip(F.lit(f"a{bar}b{bar}c"))) == f"ab{bar}c"

@@ -123,3 +123,101 @@ def test_csp_violations(spark):
     said = [("Refused to load the script",), ("violates the Content Security Policy",), ("ok",), (None,)]
     frame = spark.createDataFrame(said, "m string")
     assert [r[0] for r in frame.select(runs.is_csp_violation(F.col("m"))).collect()] == [True, True, False, False]
+
+
+def test_reachable_to_any_depth(spark):
+    """A chain longer than any former limit is walked to its end."""
+    edges = spark.createDataFrame([(f"k{i}", f"k{i + 1}") for i in range(104)], "parent string, child string").coalesce(1)
+    found = graph.reachable(edges, spark.createDataFrame([("k0",)], "key string"))
+    assert found.agg(F.max("depth"), F.count("*")).first()[:] == (104, 105)
+    inventory = spark.createDataFrame([("p1", "k3", 1), ("p2", "other", 2)], "path string, key string, length long")
+    assert [r["path"] for r in graph.sweep_plan(inventory, found).collect()] == ["p2"]
+
+
+def test_universe(spark):
+    read = lambda text: store.parse_universe(spark.createDataFrame([("u", text)], "file string, json string")).collect()
+    text = {"rewrites": {"http://a.com": "http://b.com"}, "exclude": ["http://x.com"], "fqdns": {"github.com": {"on404": "probe-repo-root-follow-rename"}}}
+    assert {(r["section"], r["name"], r["behavior"], r["value"]) for r in read(json.dumps(text))} == {
+        ("rewrites", "http://a.com", None, "http://b.com"),
+        ("exclude", "http://x.com", None, None),
+        ("fqdns", "github.com", "on404", "probe-repo-root-follow-rename"),
+    }
+    assert read("{}") == []
+    for bad in ("[1]", '{"rewrites":{"a":""}}', '{"exclude":[""]}', '{"fqdns":{"GitHub.com":{"on404":"x"}}}', '{"fqdns":{"a.com":{"on500":"x"}}}', '{"fqdns":{"a.com":{"on404":"x"}}}'):
+        with pytest.raises(Exception, match="invalid universe"):
+            read(bad)
+
+
+def test_checkpoints(spark):
+    read = lambda text: store.parse_checkpoint(spark.createDataFrame([("c", text)], "file string, json string")).collect()
+    good = {"signature": "s", "sample": 5, "target": {"endpoint": "e", "bucket": "b", "prefix": ""}, "passed": [{"layer": 1, "pass": True}], "bodies": {"verified": [], "healed": []}}
+    assert read(json.dumps(good))[0]["signature"] == "s"
+    for bad in ("{torn", json.dumps(good | {"passed": [{"layer": 1, "pass": False}]}), json.dumps(good | {"bodies": {}}), json.dumps(good | {"target": {"endpoint": "e"}})):
+        with pytest.raises(Exception, match="not a verify checkpoint"):
+            read(bad)
+
+
+def test_lookup_and_files(spark, tmp_path):
+    side = spark.createDataFrame([("2014/http://a.com", 3), ("2014/http://b.com", 2)], "key string, v int").withColumn("path", keys.meta_path(F.col("key")))
+    wanted = spark.createDataFrame([("2014/http://a.com",), ("2014/http://b.com",), ("2014/http://c.com",)], "key string")
+    found = {r["key"][-5:]: (r["found"], r["authentic"]) for r in store.find_sidecar(side, wanted).collect()}
+    assert found == {"a.com": (True, True), "b.com": (True, False), "c.com": (False, None)}
+    root = tmp_path / "store"
+    for name in ("cap/aa/x", "tmp/left", "trash/run/cap/aa/y", "odd"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("body")
+    entries = store.read_entries(spark, str(root))
+    assert {r["path"]: r["length"] for r in entries.collect()} == dict.fromkeys(("cap/aa/x", "tmp/left", "trash/run/cap/aa/y", "odd"), 4)
+    assert {(r["category"], r["key"]) for r in verify.root_findings(entries).collect()} == {("foreignRoot", "trash"), ("foreignRoot", "odd"), ("staleTmp", "left")}
+    (root / "a.md").write_text("# one")
+    assert [r["text"] for r in store.read_texts(spark, str(root)).collect()] == ["# one"]
+    assert store.read_texts(spark, str(root / "none")).count() == 0
+
+
+def test_markdown_is_idempotent(spark):
+    from shelfmark.operators import markdown
+
+    docs = spark.createDataFrame([(1, "a http://a.com/x b [http://a.com/x] ```http://a.com/x``` http://b.com ```open http://b.com"), (2, None), (3, "")], "id int, text string")
+    verdicts = spark.createDataFrame([("https://www.a.com/x/", "entries", "https://web.archive.org/web/2014/http://a.com/x", 0)], "url string, section string, target string, pos int")
+    done, unknown = markdown.apply_manifest(docs, verdicts, "c.example")
+    rows = {r["id"]: r["content"] for r in done.collect()}
+    new = "https://c.example/web/2014/http://a.com/x"
+    assert rows == {1: f"a {new} b [http://a.com/x] ```http://a.com/x``` http://b.com ```open http://b.com", 2: None, 3: ""}
+    assert [(r["id"], r["url"]) for r in unknown.collect()] == [(1, "http://b.com")]
+    again, _ = markdown.apply_manifest(done.select("id", F.col("content").alias("text")), verdicts, "c.example")
+    assert {r["id"]: r["content"] for r in again.collect()} == rows
+    dry, told = markdown.archive_links(docs, spark.createDataFrame([("http://b.com", "R")], "url string, replay string"), dry_run=True)
+    assert dry.where("content <> text").count() == 0 and told.count() == 2
+    assert markdown.archivable_links(docs.limit(0)).count() == 0
+
+
+def test_crawl_shares_what_is_fetched(spark):
+    """What one document's fetch settles is held for others; earlier records block until they resolve."""
+    from shelfmark.operators import crawl
+
+    docs = spark.createDataFrame([("a",), ("b",), ("c",)], "doc string")
+    keys_ = lambda rows, schema: spark.createDataFrame(rows, schema)
+    probes = keys_([(d, i, 1, 0, 0, 0) for d in "abc" for i in range(5)], "doc string, iteration int, observed int, csp int, chrome int, unmatched int")
+    requests = keys_([("a", 0, "2014/http://x.example.com/1"), ("b", 1, "2014/http://x.example.com/1"), ("b", 0, "2014/http://x.example.com/2")], "doc string, iteration int, key string")
+    recorded = keys_([("c", "2014/http://x.example.com/gone"), ("c", "2014/http://stats.wp.com/g.gif")], "doc string, key string")
+    answers = keys_([("2014/http://x.example.com/1", 200), ("2014/http://x.example.com/2", 404)], "key string, status_code int")
+    found = {r["doc"]: tuple(r)[1:] for r in crawl.crawl(docs, keys_([], "key string"), recorded, probes, requests, answers).collect()}
+    assert found == {"a": ("verified", None, 1, 1, 0), "b": ("verified", None, 1, 1, 0), "c": ("flaky", "no-progress", 0, 0, 1)}
+    assert crawl.crawl(docs.limit(0), keys_([], "key string"), recorded.limit(0), probes, requests, answers).count() == 0
+
+
+def test_running_sum_over_blocks(spark, monkeypatch):
+    from shelfmark.operators import steps
+
+    monkeypatch.setattr(steps, "BLOCK", 7)
+    found = steps.running_sum(spark.range(40).select(F.col("id").alias("ord"), (F.col("id") % 5).alias("v")), "ord", "v", "s").orderBy("ord").collect()
+    total = 0
+    for r in found:
+        total += r["v"]
+        assert r["s"] == total
+
+
+def test_build_of_a_remastered_tree(spark):
+    side = spark.createDataFrame([("k1", "body", "h1", 5), ("k2", "error", None, None)], "key string, status string, content_hash string, content_length long")
+    entries = spark.createDataFrame([("k1", "h2", True, 9), ("k2", None, False, None)], "key string, output_hash string, rewritten boolean, output_length int")
+    assert {tuple(r) for r in build.remastered_sidecars(side, entries).collect()} == {("k1", "body", "h2", 9), ("k2", "error", None, None)}
