@@ -6,12 +6,14 @@ UTF-8 text this is exactly what ``bytes.split()`` returns.
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,17 +100,27 @@ def _piece_hashes(raw: np.ndarray) -> np.ndarray:
 
 
 _KEPT: dict[str, object] = {}
+_DOING = ""
 
 
-def worker_table(name: str, make: Callable[[], object]) -> object:
-    """What a Python worker remembers from task to task under ``name``; it remembers one table at a time.
+def begin(name: str) -> None:
+    """Called where a task's Python begins: a worker that comes from another operator gives back what it holds.
 
-    Spark hands a worker on from one operator's tasks to another's: asking
-    under another name drops the table before, so that an executor never
-    holds what several operators have gathered.
+    Spark hands Python workers on from one operator's tasks to another's. So
+    an executor never holds what several operators have gathered.
     """
-    if name not in _KEPT:
+    global _DOING
+    if name != _DOING:
+        _DOING = name
         _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
+def worker_table(name: str, make: Callable[[], object]) -> object:
+    """What a Python worker remembers from task to task while it works for one operator."""
+    begin(name)
+    if name not in _KEPT:
         _KEPT[name] = make()
     return _KEPT[name]
 

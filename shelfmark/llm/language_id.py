@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, held_out
+from .common import begin, fresh, held_out
 
 #: Longest context in bytes (a run, the context and its byte, is a 64-bit key; 7 at most).
 ORDER = 4
@@ -50,6 +50,7 @@ def count_runs(texts: DataFrame) -> DataFrame:
     """(lang, text) to (lang, key, n): how often each run of ORDER + 1 bytes is in a language's texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("language_id")
         for batch in batches:
             for low in range(0, len(batch), 64):
                 part = batch.slice(low, 64)
@@ -165,6 +166,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     fields = "lang_pred string, score double, bits_per_byte double"
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("language_id")
         model = shared.value
         for batch in batches:
             for low in range(0, len(batch), 256):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise
+from .common import begin, fresh, materialise
 
 #: Where only rare lines open pairs, these many rarest lines of each document always do.
 OWN_RAREST = 2
@@ -107,6 +107,7 @@ ROWS = "doc_id long, key long, lines array<long>"
 
 def _lines(docs: DataFrame) -> DataFrame:
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("line_dedup")
         for batch in batches:
             for low in range(0, len(batch), 500):
                 part = batch.slice(low, 500)
@@ -156,6 +157,7 @@ def deletions(docs: DataFrame, rare: int | None = None, own_rarest: int = OWN_RA
     )
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("line_dedup")
         for batch in batches:
             for low in range(0, len(batch), 500):
                 part = batch.slice(low, 500)
@@ -194,10 +196,13 @@ def dedup_lines(docs: DataFrame, rare: int | None = None, own_rarest: int = OWN_
     place = [c.lower() for c in kept].index("text")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("line_dedup")
         for batch in batches:
-            digests = [xxhash.xxh3_64_intdigest(t or "") for t in batch.column(place).to_pylist()]
-            digest = pa.array(np.array(digests, np.uint64).view(np.int64))
-            yield pa.record_batch([*batch.columns, digest], names=[*batch.schema.names, key])
+            for low in range(0, len(batch), 500):
+                part = batch.slice(low, 500)
+                digests = [xxhash.xxh3_64_intdigest(t or "") for t in part.column(place).to_pylist()]
+                digest = pa.array(np.array(digests, np.uint64).view(np.int64))
+                yield pa.record_batch([*part.columns, digest], names=[*part.schema.names, key])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     keyed = docs.mapInArrow(keys, f"{fields}, {key} long")

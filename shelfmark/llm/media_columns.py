@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise
+from .common import begin, fresh, materialise
 
 #: Samples in a row of the stored form; payloads are padded with zero bytes to whole rows.
 ROW = 64
@@ -149,6 +149,7 @@ def interleave(pages: DataFrame, html: str = "html") -> DataFrame:
     )
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("media_columns")
         for batch in batches:
             for low in range(0, len(batch), 200):
                 part = batch.slice(low, 200)
@@ -204,6 +205,7 @@ def store_media(docs: DataFrame) -> DataFrame:
     """
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("media_columns")
         seen: set[bytes] = set()
         for batch in batches:
             for low in range(0, len(batch), 200):
@@ -238,6 +240,7 @@ def document_pages(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and html of every row: its text around a figure that refers to the stored payload."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("media_columns")
         for batch in batches:
             for low in range(0, len(batch), 200):
                 texts = batch.column(1).slice(low, 200).to_pylist()
@@ -264,6 +267,7 @@ def read_media(media: DataFrame) -> DataFrame:
     """(ref, media) to what the stored bytes decode to: digests and features, no bytes."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("media_columns")
         for batch in batches:
             for low in range(0, len(batch), 200):
                 part = batch.slice(low, 200)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, word_hashes
+from .common import begin, fresh, materialise, word_hashes
 from .components import connected
 
 #: Bits of the class table, and rows that a task writes it in.
@@ -144,6 +144,7 @@ def _scan(docs: DataFrame, words_each: int) -> DataFrame:
     width = (1 << CLASS_BITS) // CHUNKS
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("ngram_join")
         counts = np.zeros(1 << CLASS_BITS, np.uint32)
         for part in _slices(batches, 2_000):
             nodes, sizes = [], []
@@ -186,6 +187,7 @@ def _class_counts(scanned: DataFrame) -> np.ndarray:
     width = (1 << CLASS_BITS) // CHUNKS
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("ngram_join")
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -219,6 +221,7 @@ def _index(docs: DataFrame, counts: np.ndarray, words_each: int, percent: int) -
     shared = docs.sparkSession.sparkContext.broadcast(Prefixes(counts, percent))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("ngram_join")
         prefixes = shared.value
         for part in _slices(batches, 500):
             rows: list[tuple] = []
@@ -245,6 +248,7 @@ def _sets(docs: DataFrame, owners: DataFrame, words_each: int) -> DataFrame:
     wanted = docs.join(F.broadcast(owners) if few else owners, "doc_id").select("node", "text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("ngram_join")
         for part in _slices(batches, 500):
             nodes, sets = [], []
             for node, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
@@ -355,35 +359,33 @@ def _rooted(docs: DataFrame, words_each: int, percent: int) -> DataFrame:
     pairs = materialise(_possible(pairs, sketches, percent), "pairs")
     links = materialise(_links(pairs, rows, owners, words_each, percent), "links")
     comps = None if links.isEmpty() else _joined(None, links)
-    block, tested = BLOCK, 2
+    # A list that is one component stays so: each round goes on with the members of open lists alone.
+    block, members = BLOCK, live.select("key", "node", "n")
+    brief = sketches.select("node", *[F.get("brief", F.lit(i)).alias(f"s{i}") for i in range(BRIEF)])
     while True:
-        rooted = live if comps is None else live.join(comps, "node", "left")
-        root = F.col("node") if comps is None else F.coalesce("root", "node")
-        members = rooted.select("key", "node", "n", root.alias("root"))
+        rooted = members if comps is None else members.join(comps, "node", "left")
+        rooted = rooted.withColumn("root", F.col("node") if comps is None else F.coalesce("root", "node"))
         open_lists = (
-            members.groupBy("key")
+            rooted.groupBy("key")
             .agg(F.count("*").alias("held"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-            .where((F.col("r0") != F.col("r1")) & (F.col("held") > (tested if block > BLOCK else 1)))
+            .where((F.col("r0") != F.col("r1")) & (F.col("held") > (1 if block == BLOCK else block // GROWTH)))
             .select("key", "held")
         )
-        dealt = materialise(
-            members.join(open_lists, "key").select(
-                "key",
-                "node",
-                "n",
-                "root",
-                "held",
-                F.pmod(F.xxhash64("node", F.lit(block)), F.ceil(F.col("held") / block)).alias("part"),
-            ),
-            "dealt",
+        dealt = rooted.join(open_lists, "key").withColumn(
+            "part", F.pmod(F.xxhash64("node", F.lit(block)), F.ceil(F.col("held") / block))
         )
+        dealt = materialise(dealt, "dealt")
         if dealt.isEmpty():
             break
-        # Short lists have a bounded number of pairs for each member; members of long ones carry a brief sketch.
-        short = _across(dealt.where(F.col("held") <= BLOCK), percent, False)
-        brief = sketches.select("node", *[F.get("brief", F.lit(i)).alias(f"s{i}") for i in range(BRIEF)])
-        long = _across(dealt.where(F.col("held") > BLOCK).join(brief, "node"), percent, True)
-        pairs = materialise(_possible(short.union(long).distinct(), sketches, percent), "pairs")
+        if block == BLOCK:
+            # Short lists have a bounded number of pairs for each member; members of long ones carry a brief sketch.
+            long = materialise(dealt.where(F.col("held") > BLOCK).join(brief, "node"), "long")
+            near = _across(dealt.where(F.col("held") <= BLOCK), percent, False).union(_across(long, percent, True))
+        else:
+            long = dealt
+            near = _across(long, percent, True)
+        members = long.drop("root", "held", "part")
+        pairs = materialise(_possible(near.distinct(), sketches, percent), "pairs")
         found = _links(pairs, rows, owners, words_each, percent)
         roots = dealt.select("node", "root").distinct()
         lifted = (
@@ -395,7 +397,7 @@ def _rooted(docs: DataFrame, words_each: int, percent: int) -> DataFrame:
         links = materialise(lifted, "links")
         if not links.isEmpty():
             comps = _joined(comps, links)
-        tested, block = block, block * GROWTH
+        block *= GROWTH
     if comps is None:
         rooted = documents.withColumn("root", F.col("node"))
     else:

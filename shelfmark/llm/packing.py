@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, without_clash, worker_table
+from .common import begin, materialise, without_clash, worker_table
 
 #: The separator id after each document.
 END_ID = 0
@@ -109,7 +109,10 @@ def pack_ids(ids: list[int]) -> bytes:
 
 
 def encoder(path: str) -> ChunkIds:
-    return worker_table(f"packing {path}", lambda: ChunkIds(path))
+    made = worker_table("packing", dict)
+    if path not in made:
+        made[path] = ChunkIds(path)
+    return made[path]
 
 
 TOKENS = "doc_id long, block int, local_start long, n_tokens long, ids binary"
@@ -125,6 +128,7 @@ def token_table(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame
     end = pack_ids([END_ID])
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("packing")
         encode, block, at = encoder(path).encode, TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column(1)
@@ -173,6 +177,7 @@ def pack_documents(docs: DataFrame, seq_len: int = 1024, tokenizer_path: str | N
     bases = totals.select("block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("packing")
         for batch in batches:
             rows: list[list] = [[] for _ in range(8)]
             for doc_id, at, count, ids in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, worker_table
+from .common import begin, materialise, worker_table
 
 #: Content words after an anchor.
 CHAIN = 2
@@ -41,8 +41,8 @@ COMMON = frozenset(
 )
 _STRIP = b".,;:!?\"'()[]{}*#$%&|<>-_"
 WORDS_KEPT = 150_000
-#: Ranges of doc_id that documents are dealt into, at most (as many as shuffle partitions below that).
-MOST_RANGES = 50_000
+#: Rows of a task, about; ranges of doc_id that each task gets, and ranges at most.
+ROWS_PER_TASK, RANGES_PER_TASK, MOST_RANGES = 20_000, 4, 50_000
 
 
 class _Kinds(dict):
@@ -103,9 +103,10 @@ def edited(text: str, following: str) -> str:
 
 def _ranges(docs: DataFrame) -> tuple[DataFrame, int]:
     """Rows dealt into ranges of doc_id; the first row of each range also ends the range before."""
-    parts = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_RANGES)
-    shares = [i / parts for i in range(1, parts)] or [0.5]
-    cuts = sorted(set(docs.agg(F.percentile_approx("id", shares, max(10_000, 10 * parts))).first()[0] or []))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.count() // ROWS_PER_TASK + 1)
+    ranges = min(RANGES_PER_TASK * parts, MOST_RANGES)
+    shares = [i / ranges for i in range(1, ranges)] or [0.5]
+    cuts = sorted(set(docs.agg(F.percentile_approx("id", shares, max(10_000, 10 * ranges))).first()[0] or []))
     # The range of an id by a coarse and a fine step over the sorted cuts.
     step = max(1, int(len(cuts) ** 0.5))
     literal = lambda values: F.from_json(F.lit(json.dumps(values)), "array<bigint>")
@@ -153,6 +154,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "ahead", "id", "tie")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("spot_signatures")
         held, ahead_seen = None, None
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]

@@ -22,7 +22,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, materialise, word_hashes
+from .common import Powers, begin, materialise, word_hashes
 
 #: Odd multipliers of the two rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -75,6 +75,7 @@ def _scan(docs: DataFrame, length: int, half: int) -> DataFrame:
     """Per row: doc_id, a digest of its words, their number, a digest of them joined, kept half windows."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("substring_dedup")
         for batch in _batches(batches, 1_000):
             keys, counts, joined, kept = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -107,6 +108,7 @@ def _windows(candidates: DataFrame, length: int, half: int) -> DataFrame:
     """Windows of full length that hold one of the repeated half windows (column ``kept``)."""
 
     def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("substring_dedup")
         for batch in _batches(batches, 100):
             ids, hs, gs, ps = [], [], [], []
             rows = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
@@ -176,6 +178,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True) ->
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("substring_dedup")
         for batch in _batches(batches, 200):
             keys, removed, digests, texts = [], [], [], []
             for text, marked in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import begin, held_out
 
 #: Labelled documents of each label that the weights are fitted on, about, at most.
 DOCS_PER_LABEL = 2_000
@@ -188,6 +188,7 @@ def score(docs: DataFrame, weights: Weights) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         weights = shared.value
         look = _Lookup(weights)
         for batch in batches:
