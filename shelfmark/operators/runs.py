@@ -289,3 +289,37 @@ def browser_layer(observed: DataFrame, found: DataFrame) -> DataFrame:
     silent = F.when(F.col("requests") == 0, 1).otherwise(0)
     findings = (F.coalesce("n", F.lit(0)) + silent).alias("findings")
     return rows.select("doc", findings, (silent == 1).alias("no_evidence")).withColumn("pass", F.col("findings") == 0)
+
+
+def settle_missing(missing: DataFrame, probes: DataFrame) -> DataFrame:
+    """What becomes of captures that the archive lacks: (url, outcome, to).
+
+    missing: url (replay). probes: original, renamed_to, error (of the
+    repository's root). A probe that failed defers, a rename is a candidate
+    for a rewrite, anything else is gone; what is no deep link into a
+    repository is not probed.
+    """
+    rows = missing.select("url", keys.parse_replay(F.col("url"))["original"].alias("original"))
+    rows = rows.withColumn("deep", github_repo(F.col("original")).isNotNull()).join(probes, "original", "left")
+    outcome = (
+        F.when(F.col("deep") & F.col("error").isNotNull(), "deferred")
+        .when(F.col("deep") & F.col("renamed_to").isNotNull(), "renamed")
+        .otherwise("gone")
+    )
+    return rows.select("url", outcome.alias("outcome"), F.when(outcome == "renamed", F.col("renamed_to")).alias("to"))
+
+
+def audit_scope(entries: DataFrame) -> DataFrame:
+    """(key, url, original) of manifest entries (url, target, timestamp): the key is of the authored URL; in key order."""
+    key = keys.capture_key(F.col("timestamp"), F.col("url"))
+    return entries.select(key.alias("key"), F.col("target").alias("url"), F.col("url").alias("original")).orderBy("key")
+
+
+def parity_layers(missing: DataFrame, fields: DataFrame, bodies: DataFrame, serving: DataFrame) -> DataFrame:
+    """Per layer of a parity run: findings and whether it passes; a run passes if all layers do."""
+    count = lambda rows, layer, name: rows.agg(F.count("*").alias("findings")).select(
+        F.lit(layer).alias("layer"), F.lit(name).alias("name"), "findings"
+    )
+    every = count(missing, 1, "keys").unionByName(count(fields, 2, "metadata"))
+    every = every.unionByName(count(bodies, 3, "bodies")).unionByName(count(serving, 4, "serving"))
+    return every.withColumn("pass", F.col("findings") == 0)

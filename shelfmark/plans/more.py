@@ -596,3 +596,183 @@ def crawl_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = requests.select("key", F.when(F.col("key").contains("lost"), 503).otherwise(200).alias("status_code")).distinct()
     none = spark.createDataFrame([], "doc long, key string")
     return crawl.crawl(pages, spark.createDataFrame([], "key string"), none, probes, requests, answers, most=2)
+
+
+# Rules of single rows: commits, browser-found entries, sidecars, manifests, checkpoints, policies.
+
+
+@query(
+    f"""WITH {CAPTURES}, r AS (SELECT page_id, key, {_CODE} AS code, CASE WHEN page_id % 7 = 3 THEN '' WHEN page_id % 7 = 4 THEN '<title>Wayback Machine</title><iframe id=playback>' ELSE html END AS body FROM captures),
+s AS (SELECT *, CASE WHEN code = 200 AND page_id % 7 = 4 THEN 'interstitial' WHEN code = 200 AND body = '' THEN 'empty' WHEN code = 200 THEN 'body'
+  WHEN code IN (404, 410) THEN 'error' WHEN code BETWEEN 300 AND 399 THEN 'redirect' END AS status FROM r)
+SELECT key, status, CASE WHEN status = 'body' THEN 'sha256-' || base64(unhex(sha256(body))) END AS content_hash,
+  CASE WHEN status = 'body' THEN octet_length(encode(body)) ELSE -1 END AS content_length FROM s WHERE status IS NOT NULL"""
+)
+def commit_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses become sidecar rows by status and content; what may come later gives none."""
+    code = F.get(F.array(*[F.lit(x) for x in (200, 302, 404, 503, None, 410)]), (F.col("page_id") % 6).cast("int"))
+    body = F.expr("CASE WHEN page_id % 7 = 3 THEN '' WHEN page_id % 7 = 4 THEN '<title>Wayback Machine</title><iframe id=playback>' ELSE html END")
+    rows = captures(spark, sf_dir).select(
+        "key", F.lit("text/html").alias("content_type"), code.alias("status_code"), F.encode(body, "UTF-8").alias("content"), F.lit(None).cast("string").alias("flag")
+    )
+    return build.commit(rows).select("key", "status", "content_hash", F.coalesce("content_length", F.lit(-1)).alias("content_length"))
+
+
+_ENTRY = {
+    "key": "CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN 'nokey' ELSE '2014/' || url END",
+    "flag": "CASE page_id % 3 WHEN 1 THEN 'im_' WHEN 2 THEN 'zz_' END",
+    "via": "CASE WHEN page_id % 7 = 0 THEN 'me' ELSE 'manual' END",
+    "firstSeen": "CASE page_id % 11 WHEN 0 THEN 'yesterday' WHEN 1 THEN '2024-02-31T00:00:00Z' ELSE '2024-01-02T03:04:05Z' END",
+}
+
+
+@query(
+    f"""WITH e AS (SELECT page_id, {', '.join(f'{v} AS "{k}"' for k, v in _ENTRY.items())} FROM pages)
+SELECT page_id, CASE WHEN strpos(key, '/') = 0 THEN 'key has no separator' WHEN flag IS NOT NULL AND flag NOT IN ('im_', 'cs_', 'js_', 'oe_') THEN 'unknown flag'
+  WHEN via NOT IN ('remaster-verify', 'manual') THEN 'unknown via' WHEN try_cast("firstSeen" AS TIMESTAMP) IS NULL THEN 'firstSeen is no ISO time' END AS error FROM e"""
+)
+def dynamic_entry_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entry = F.struct(*[F.expr(v).alias(k) for k, v in _ENTRY.items()])
+    return table(spark, sf_dir, "pages").select("page_id", classify.dynamic_error(entry).alias("error"))
+
+
+@query(
+    """WITH p AS (SELECT 'd' || CAST(page_id % 9 AS VARCHAR) AS doc, 'k' || CAST(page_id % 13 AS VARCHAR) AS key, page_id FROM pages),
+prior AS (SELECT doc, key, 'im_' AS flag FROM p WHERE page_id % 2 = 0 GROUP BY doc, key), found AS (SELECT doc, key, 'js_' AS flag FROM p WHERE page_id % 3 = 0 GROUP BY doc, key)
+SELECT doc, key, coalesce(a.flag, b.flag) AS flag FROM prior a FULL JOIN found b USING (doc, key)"""
+)
+def merge_browser_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a browser found joins what is recorded; recorded entries win."""
+    pages = table(spark, sf_dir, "pages").selectExpr("page_id", "'d' || (page_id % 9) AS doc", "'k' || (page_id % 13) AS key", "'manual' AS via", "'t' AS firstSeen")
+    prior = pages.where("page_id % 2 = 0").withColumn("flag", F.lit("im_")).drop("page_id").distinct()
+    found = pages.where("page_id % 3 = 0").withColumn("flag", F.lit("js_")).drop("page_id")
+    return build.merge_dynamic(prior, found).select("doc", "key", "flag")
+
+
+@query(
+    f"""WITH {CAPTURES} SELECT page_id, CASE page_id % 6 WHEN 1 THEN 'not an object' WHEN 2 THEN 'not an object' WHEN 3 THEN 'version' WHEN 4 THEN 'no key' END AS defect,
+  CASE WHEN page_id % 6 IN (0, 3, 5) THEN key END AS key, CASE WHEN page_id % 6 IN (0, 3, 4, 5) THEN status END AS status FROM captures"""
+)
+def sidecar_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sidecars in JSON, sound, torn, of another shape, version or without a key, each with what is wrong."""
+    sound = lambda v, *fields: F.to_json(F.struct(F.lit(v).alias("v"), *fields))
+    json = (
+        F.when(F.col("page_id") % 6 == 1, F.lit('{"v":3,"key"'))
+        .when(F.col("page_id") % 6 == 2, F.lit("[3]"))
+        .when(F.col("page_id") % 6 == 3, sound(2, "key", "status"))
+        .when(F.col("page_id") % 6 == 4, sound(3, "status"))
+        .otherwise(sound(3, "key", "status"))
+    )
+    raw = captures(spark, sf_dir).select(F.col("page_id").cast("string").alias("path"), json.alias("json"))
+    return store.parse_sidecars(raw, "collect").select(F.col("path").cast("long").alias("page_id"), "defect", "key", "status")
+
+
+_LISTED = """v AS (SELECT 'f' || CAST(page_id % 4 AS VARCHAR) AS file, ['noRewrite', 'rewrites', 'exclude'][page_id % 3 + 1] AS section, 'u' || CAST(page_id % 50 AS VARCHAR) AS url,
+  CASE WHEN page_id % 3 = 1 THEN 'https://new.example.com/' || CAST(page_id % 50 AS VARCHAR) END AS target FROM pages)"""
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").selectExpr(
+        "'f' || (page_id % 4) AS file", "element_at(array('noRewrite', 'rewrites', 'exclude'), cast(page_id % 3 + 1 AS int)) AS section", "'u' || (page_id % 50) AS url",
+        "CASE WHEN page_id % 3 = 1 THEN 'https://new.example.com/' || (page_id % 50) END AS target",
+    )
+
+
+@query(
+    f"""WITH {_LISTED}, d AS (SELECT DISTINCT * FROM v)
+SELECT file, '{{"version":2,"noRewrite":[' || coalesce(string_agg('"' || url || '"', ',' ORDER BY url) FILTER (section = 'noRewrite'), '') || '],"rewrites":{{' ||
+  coalesce(string_agg('"' || url || '":"' || target || '"', ',' ORDER BY url) FILTER (section = 'rewrites'), '') || '}},"entries":{{}},"exclude":[' ||
+  coalesce(string_agg('"' || url || '"', ',' ORDER BY url) FILTER (section = 'exclude'), '') || ']}}' AS json FROM d GROUP BY file"""
+)
+def canonical_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.canonical_manifest(_listed(spark, sf_dir))
+
+
+@query(f"WITH {_LISTED} SELECT DISTINCT file, section, url, target FROM v")
+def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical manifests read back are the verdicts that they were made of."""
+    return store.parse_manifests(runs.canonical_manifest(_listed(spark, sf_dir))).select("file", "section", "url", "target")
+
+
+@query(
+    """WITH s AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 's' || (event_id % 3) ELSE 's1' END AS signature, 't' || (event_id % 2) AS target, event_id % 5 AS sample FROM events)
+SELECT event_id, CASE WHEN signature IS NULL OR signature <> 's1' OR target <> 't1' THEN 'none' WHEN sample <> 3 THEN 'without-serving' ELSE 'all' END AS valid FROM s"""
+)
+def resume_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of a checkpoint is valid for the run that resumes it."""
+    events = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 's' || (event_id % 3) ELSE 's1' END AS signature", "'t' || (event_id % 2) AS target", "cast(event_id % 5 AS int) AS sample"
+    )
+    stored = F.when(F.col("signature").isNotNull(), F.struct("signature", "target", "sample"))
+    return events.select("event_id", verify.resume_state(stored, F.lit("s1"), F.lit("t1"), F.lit(3)).alias("valid"))
+
+
+@query(
+    """WITH m AS (SELECT event_id, ['Refused to load the image', 'Content Security Policy: blocked', 'GET failed', 'REFUSED TO FRAME x', 'refused to play'][event_id % 5 + 1] AS message FROM events)
+SELECT event_id, regexp_matches(message, 'content security policy|refused to (load|connect|execute|apply|frame)', 'i') AS violation FROM m"""
+)
+def csp_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = ["Refused to load the image", "Content Security Policy: blocked", "GET failed", "REFUSED TO FRAME x", "refused to play"]
+    message = F.get(F.array(*[F.lit(x) for x in said]), (F.col("event_id") % 5).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", runs.is_csp_violation(message).alias("violation"))
+
+
+@query(
+    """WITH m AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'http://plain.example.com/' || page_id ELSE 'https://github.com/old/r' || page_id || '/blob/x' END AS original FROM pages)
+SELECT 'https://web.archive.org/web/2014/' || original AS url, CASE WHEN page_id % 3 = 0 OR page_id % 4 IN (0, 3) THEN 'gone' WHEN page_id % 4 = 1 THEN 'renamed' ELSE 'deferred' END AS outcome,
+  CASE WHEN page_id % 3 > 0 AND page_id % 4 = 1 THEN 'https://github.com/new/r' || page_id || '/blob/x' END AS "to" FROM m"""
+)
+def settle_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing captures of deep links survive a rename, are put off, or are gone; others are gone at once."""
+    m = table(spark, sf_dir, "pages").selectExpr(
+        "page_id", "CASE WHEN page_id % 3 = 0 THEN 'http://plain.example.com/' || page_id ELSE 'https://github.com/old/r' || page_id || '/blob/x' END AS original"
+    )
+    to = runs.graft(F.col("original"), F.lit("new"), F.expr("'r' || page_id"))
+    probes = m.where("page_id % 4 <> 3").select(
+        "original", F.when(F.col("page_id") % 4 == 1, to).alias("renamed_to"), F.when(F.col("page_id") % 4 == 2, "timeout").alias("error")
+    )
+    return runs.settle_missing(m.select(F.concat(F.lit("https://web.archive.org/web/2014/"), "original").alias("url")), probes)
+
+
+@query(f"WITH {CAPTURES} SELECT '2015/' || url AS key, 'https://web.archive.org/web/2015/' || url AS url, url AS original FROM captures ORDER BY key")
+def audit_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = captures(spark, sf_dir).select("url", F.lit("2015").alias("timestamp"), F.concat(F.lit("https://web.archive.org/web/2015/"), "url").alias("target"))
+    return runs.audit_scope(entries)
+
+
+@query(
+    f"""WITH {CAPTURES}, k AS (SELECT count(*) AS n FROM captures WHERE (page_id % 5 <> 0) <> (page_id % 7 <> 0 OR page_id % 3 = 0)),
+f AS (SELECT count(*) AS n FROM captures WHERE page_id % 11 IN (0, 1, 2)), b AS (SELECT count(*) AS n FROM captures WHERE page_id % 13 IN (0, 1) AND page_id % 2 = 0)
+SELECT CAST(1 AS INT) AS layer, 'keys' AS name, n AS findings, n = 0 AS pass FROM k UNION ALL SELECT 2, 'metadata', n, n = 0 FROM f
+UNION ALL SELECT 3, 'bodies', n, n = 0 FROM b UNION ALL SELECT 4, 'serving', 0, true"""
+)
+def parity_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four layers of a parity run over the planted differences; serving decisions agree."""
+    from . import catalogue
+
+    here = catalogue.serve_decision(spark, sf_dir)
+    return runs.parity_layers(
+        catalogue.parity_keys(spark, sf_dir), catalogue.parity_meta(spark, sf_dir), catalogue.parity_bodies(spark, sf_dir), here.exceptAll(here)
+    )
+
+
+def _first_sql(where: str, markers: list[str]) -> str:
+    joined = "|".join(markers).replace("'", "''")
+    return f"nullif(regexp_extract({where}, '({joined})', 1, 'i'), '')"
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, title, body, substr(body, 1, 2000) AS head FROM (SELECT page_id, 'Page ' || page_id AS title,
+  CASE page_id % 5 WHEN 0 THEN 'Sorry: HTTP Error 404 and then some more words' WHEN 1 THEN 'short' WHEN 2 THEN '' WHEN 3 THEN 'The shop is under construction, please do come back later' ELSE url || ' ' || url END AS body FROM pages))
+SELECT page_id, concat_ws(' | ', 'matched: ' || coalesce({_first_sql('title', classify.TITLE_MARKERS)}, {_first_sql('head', classify.BODY_MARKERS)},
+  CASE WHEN length(body) >= 40 THEN coalesce({_first_sql('head', classify.SOFT_MARKERS)}, {_first_sql('title', classify.SOFT_MARKERS)}) END),
+  'title: ' || title, 'text: ' || coalesce(nullif(substr(body, 1, 180), ''), '(empty)')) AS evidence FROM p"""
+)
+def soft404_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a verdict rests on, with title and text."""
+    body = F.expr(
+        "CASE page_id % 5 WHEN 0 THEN 'Sorry: HTTP Error 404 and then some more words' WHEN 1 THEN 'short' WHEN 2 THEN ''"
+        " WHEN 3 THEN 'The shop is under construction, please do come back later' ELSE url || ' ' || url END"
+    )
+    rows = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("title"), body.alias("body"))
+    return rows.select("page_id", classify.replay_evidence(F.col("title"), F.col("body")).alias("evidence"))
