@@ -729,3 +729,41 @@ def test_pipeline_stages(spark, docs, rows):
     fourth = corpus_pipeline.mix_sources(spark, third, "")
     assert fourth.columns == frame.columns and {r["doc_id"] for r in fourth.collect()} <= kept
     assert corpus_pipeline.pack(spark, third, "").select("doc_id").distinct().count() == len(kept)
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from shelfmark.llm import common
+
+    unset = SimpleNamespace(get=lambda *_: None, set=lambda *_: None)
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError, match="checkpoint.dir"):
+            common.scratch_root(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master)))
+    named = SimpleNamespace(get=lambda key, *_: "hdfs://x/y/" if key == "spark.checkpoint.dir" else None)
+    assert common.scratch_root(SimpleNamespace(conf=named, sparkContext=SimpleNamespace(master="yarn"))) == "hdfs://x/y"
+
+
+def test_a_worker_keeps_one_operators_table():
+    from shelfmark.llm import common
+
+    one = common.worker_table("one", dict)
+    assert common.worker_table("one", dict) is one
+    common.begin("two")
+    assert common.worker_table("one", dict) is not one
+    common.begin("")
+
+
+def test_hashes_of_words_do_not_depend_on_pieces(monkeypatch):
+    import numpy as np
+
+    from shelfmark.llm import common
+
+    data = " ".join(f"wörd{i} x" for i in range(5_000)).encode() + b"\t\n end"
+    whole = common.word_hashes(data)
+    monkeypatch.setattr(common, "_PIECE", 1_000)
+    assert np.array_equal(common.word_hashes(data), whole) and len(whole) == len(data.split())
+    roll = substring_dedup.Rolling(substring_dedup.BASES[0])
+    windows = roll.windows(whole, 50)
+    monkeypatch.setattr(substring_dedup, "PIECE", 77)
+    assert np.array_equal(substring_dedup.Rolling(substring_dedup.BASES[0]).windows(whole, 50), windows) and len(windows) == len(whole) - 49
