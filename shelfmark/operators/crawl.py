@@ -193,3 +193,14 @@ def crawl(docs: DataFrame, sidecars: DataFrame, recorded: DataFrame, probes: Dat
     for rows in done[1:]:
         out = out.unionByName(rows)
     return out.join(counted, "doc").select("doc", "status", "reason", "iterations", "recorded", "residual")
+
+
+def ordered_frontier(edges: DataFrame) -> DataFrame:
+    """(parent, n, child): the order in which a document's children are asked for.
+
+    edges: parent, child, dynamic, ord. Requisites come in document order,
+    then browser-found ones; a child found twice keeps its first place.
+    """
+    first = edges.groupBy("parent", "child").agg(F.min(F.struct("dynamic", "ord")).alias("at"))
+    order = F.array_sort(F.collect_list(F.struct("at", "child")))  # one document's children
+    return first.groupBy("parent").agg(order.alias("o")).select("parent", F.posexplode("o").alias("n", "x")).select("parent", "n", "x.child")

@@ -219,3 +219,8 @@ def upstream_classes(references: DataFrame, sidecars: DataFrame, frontier: DataF
         .otherwise("page")
     )
     return ids.join(held, "key", "left").join(ahead, "key", "left").select("key", kind.alias("class"), "docs", "first_doc")
+
+
+def class_entries(classes: DataFrame) -> DataFrame:
+    """The references of each upstream class by key, as a report lists them; sorted by range over the executors."""
+    return classes.select("class", "key", "docs").orderBy("class", "key")

@@ -776,3 +776,25 @@ def soft404_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("title"), body.alias("body"))
     return rows.select("page_id", classify.replay_evidence(F.col("title"), F.col("body")).alias("evidence"))
+
+
+@query(
+    f"""WITH {CAPTURES}, {EDGES}, e AS (SELECT parent, child, dynamic, CAST(regexp_extract(child, 'a([0-9]+)[.]png', 1) AS INT) AS ord FROM edges),
+f AS (SELECT parent, child, min(CASE WHEN dynamic THEN 1000 ELSE 0 END + ord) AS at FROM e GROUP BY parent, child)
+SELECT parent, CAST(row_number() OVER (PARTITION BY parent ORDER BY at, child) - 1 AS INT) AS n, child FROM f"""
+)
+def frontier_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Children in the order of their numbers, browser-found ones after the others."""
+    edges, _ = assets(spark, sf_dir)
+    return crawl.ordered_frontier(edges.withColumn("ord", F.regexp_extract("child", "a([0-9]+)[.]png", 1).cast("int")))
+
+
+@query(
+    f"""WITH {CAPTURES}, {EDGES}, k AS (SELECT child AS key, CASE WHEN child IN (SELECT key FROM held) THEN 'in-store' WHEN child IN (SELECT child FROM edges WHERE dynamic) THEN 'frontier'
+  WHEN bool_or(flag IS NOT NULL) THEN 'resource' ELSE 'page' END AS class, count(DISTINCT parent) AS docs FROM edges GROUP BY child)
+SELECT class, key, docs FROM k ORDER BY class, key"""
+)
+def escape_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, held = assets(spark, sf_dir)
+    refs = edges.select(F.col("parent").alias("doc"), F.lit(0).alias("ord"), F.col("child").alias("key"), F.col("flag").isNotNull().alias("resource"))
+    return relations.class_entries(relations.upstream_classes(refs, held, edges.where("dynamic").select(F.col("child").alias("key"))))
