@@ -780,8 +780,8 @@ def soft404_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {CAPTURES}, {EDGES}, e AS (SELECT parent, child, dynamic, CAST(regexp_extract(child, 'a([0-9]+)[.]png', 1) AS INT) AS ord FROM edges),
-f AS (SELECT parent, child, min(CASE WHEN dynamic THEN 1000 ELSE 0 END + ord) AS at FROM e GROUP BY parent, child)
-SELECT parent, CAST(row_number() OVER (PARTITION BY parent ORDER BY at, child) - 1 AS INT) AS n, child FROM f"""
+f AS (SELECT parent, child, min(CASE WHEN dynamic THEN 1000 ELSE 0 END + ord) AS place FROM e GROUP BY parent, child)
+SELECT parent, CAST(row_number() OVER (PARTITION BY parent ORDER BY place, child) - 1 AS INT) AS n, child FROM f"""
 )
 def frontier_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Children in the order of their numbers, browser-found ones after the others."""
