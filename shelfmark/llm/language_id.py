@@ -144,12 +144,21 @@ def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> Model:
     for lang, share in chances.items():
         chance = F.when(F.col("lang") == lang, share).otherwise(chance)
     drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("lid")), F.lit(1 << 20)) < chance * (1 << 20)
-    found = count_runs(rows.where(drawn).select("lang", "text")).toPandas()
-    langs = sorted(found["lang"].unique().tolist())
-    counts = []
-    for lang in langs:
-        mine = found[found["lang"] == lang]
-        counts.append((mine["key"].to_numpy().view(np.uint64), mine["n"].to_numpy()))
+    return model_of(count_runs(rows.where(drawn)))
+
+
+def model_of(counted: DataFrame) -> Model:
+    """The model of counted runs, gathered as columns."""
+    found = counted.select("lang", "key", "n").toArrow()
+    lang = found["lang"].combine_chunks().dictionary_encode()
+    keys, n = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    names, of = lang.dictionary.to_pylist(), lang.indices.to_numpy()
+    del found
+    langs, counts = sorted(names), []
+    for name in langs:
+        mine = np.flatnonzero(of == names.index(name))
+        mine = mine[np.argsort(keys[mine])]
+        counts.append((keys[mine], n[mine]))
     return Model(langs, counts)
 
 

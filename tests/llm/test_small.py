@@ -625,12 +625,7 @@ def brute_bits(texts, lang, text):
 
 
 def made_model(spark, rows):
-    import numpy as np
-
-    counts = language_id.count_runs(spark.createDataFrame(rows, "lang string, text string")).toPandas()
-    langs = sorted(set(counts["lang"]))
-    split = [counts[counts["lang"] == x].sort_values("key", key=lambda k: k.to_numpy().view(np.uint64)) for x in langs]
-    return language_id.Model(langs, [(x["key"].to_numpy().view(np.uint64), x["n"].to_numpy()) for x in split])
+    return language_id.model_of(language_id.count_runs(spark.createDataFrame(rows, "lang string, text string")))
 
 
 def test_code_lengths_by_hand(spark, monkeypatch):
