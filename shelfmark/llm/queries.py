@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import license_scan, toxicity
+from .bpe_stream import transcode_digests
 from .common import held_out
 from .language_id import identify
 from .language_id import train as train_languages
@@ -73,6 +74,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcode_digests(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_language_id": op9_language_id,
         "op10_line_dedup": op10_line_dedup,
+        "op12_bpe_stream": op12_bpe_stream,
     }
 
 
