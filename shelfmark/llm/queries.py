@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, toxicity
+from . import license_scan, toxicity, treap_search
 from .bpe_stream import transcode_digests
 from .common import held_out
 from .language_id import identify
@@ -78,6 +78,11 @@ def op12_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcode_digests(_documents(spark, sf_dir))
 
 
+def op13_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return treap_search.search_documents(_documents(spark, sf_dir), items)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -91,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": op9_language_id,
         "op10_line_dedup": op10_line_dedup,
         "op12_bpe_stream": op12_bpe_stream,
+        "op13_treap_search": op13_treap_search,
     }
 
 
@@ -98,4 +104,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_join": components_sql(words_each=3, percent=90),
         "op5_license_scan": license_scan.oracle(),
+        "op13_treap_search": treap_search.oracle(),
     }
