@@ -18,6 +18,7 @@ from .mixing import mix_plan
 from .ngram_join import components
 from .ngram_join import oracle as components_sql
 from .packing import pack_documents
+from .spelling import spelling_variants
 from .spot_signatures import fingerprint_documents
 from .substring_dedup import remove_repeats
 
@@ -74,6 +75,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_documents(spark, sf_dir), drop_each=31)
+
+
 def op12_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcode_digests(_documents(spark, sf_dir))
 
@@ -95,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_language_id": op9_language_id,
         "op10_line_dedup": op10_line_dedup,
+        "op11_spelling": op11_spelling,
         "op12_bpe_stream": op12_bpe_stream,
         "op13_treap_search": op13_treap_search,
     }
