@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .urls import parts
+
 ARCHIVE = "https://web.archive.org/web/"
 #: Flags of page requisites.
 REQUISITE_FLAGS = ("im_", "cs_", "js_", "oe_")
@@ -63,6 +65,12 @@ def strip_fragment(key: Column) -> Column:
     return F.split_part(key, F.lit("#"), F.lit(1))
 
 
+def _bare_host(text: Column) -> Column:
+    """Dotted labels of word characters and hyphens, to the end or a mark. Flat patterns: a host of any length is one run."""
+    labels = text.rlike(r"^[\w-]++\.[\w-][\w.-]*+(?<!\.)([:/?#]|\z)")
+    return labels & ~text.rlike(r"^[\w.-]*?\.\.")
+
+
 def repair_url(rest: Column) -> Column:
     """A URL with a host from what a replay path embeds, or null.
 
@@ -72,7 +80,7 @@ def repair_url(rest: Column) -> Column:
     return (
         F.when(whole.rlike(r"^(?i)https?://[^/]"), whole)
         .when(whole.rlike(r"^//[^/]"), F.concat(F.lit("https:"), whole))
-        .when(whole.rlike(r"^[\w-]+(\.[\w-]+)+([:/?#]|\z)"), F.concat(F.lit("http://"), whole))
+        .when(_bare_host(whole), F.concat(F.lit("http://"), whole))
     )
 
 
@@ -139,13 +147,13 @@ def match_key(url: Column) -> Column:
 
 
 def hostname(url: Column) -> Column:
-    """Lower-case host of an http(s) URL without its port; null if it does not parse."""
-    return F.lower(F.try_parse_url(url, F.lit("HOST")))
+    """The host as browsers show it, without its port; empty where a scheme has none, null if the URL does not parse."""
+    return parts(url)["host"]
 
 
 def pathname(url: Column) -> Column:
-    found = F.try_parse_url(url, F.lit("PATH"))
-    return F.when(found == "", F.lit("/")).otherwise(found)
+    """The path as browsers show it; null if the URL does not parse."""
+    return parts(url)["path"]
 
 
 def in_domain(url: Column, domain: str) -> Column:

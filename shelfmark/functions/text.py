@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from .classify import is_fetchable
 from .keys import capture_key, decode_xml, repair_original
+from .regions import html_regions
 
 #: Link forms of markdown, in order of precedence.
 LINK = re.compile(
@@ -113,27 +114,36 @@ def without_chrome(pages: pd.Series) -> pd.Series:
     return pages.map(_without, na_action="ignore")
 
 
-#: What the audit's strip takes out, the first two at their first place, the others wherever they are.
-AUDIT_FIRST = (
-    r"<!--\s*BEGIN WAYBACK TOOLBAR INSERT\s*-->[\s\S]*?<!--\s*END WAYBACK TOOLBAR INSERT\s*-->",
-    r"<!--(?:(?!-->)[\s\S])*?FILE ARCHIVED ON(?:(?!-->)[\s\S])*-->",
-)
-AUDIT_EVERY = (
-    r"<!--\s*playback timings(?:(?!-->)[\s\S])*-->",
-    r"<script[^>]*src=[\"'][^\"']*/_static/js/[^\"']*[\"'][^>]*>\s*</script>",
-    r"<link[^>]*href=[\"'][^\"']*/_static/css/[^\"']*[\"'][^>]*/?>",
-    r"<script[^>]*>[^<]*__wm\.(?:init|wombat|bt)\([\s\S]*?</script>",
-)
+#: What the audit's strip takes out, in order: pattern, and whether every place goes or the first alone.
+AUDIT_CHROME = [
+    (r"<script[^>]*src=[\"'][^\"']*(?:archive\.org\/includes\/analytics|\/_static\/js\/)[^\"']*[\"'][\s\S]*?<!--\s*End Wayback Rewrite JS Include\s*-->", False),
+    (r"<!--\s*BEGIN WAYBACK TOOLBAR INSERT\s*-->[\s\S]*?<!--\s*END WAYBACK TOOLBAR INSERT\s*-->", False),
+    (r"<!--(?:(?!-->)[\s\S])*?FILE ARCHIVED ON(?:(?!-->)[\s\S])*-->", True),
+    (r"<!--\s*playback timings(?:(?!-->)[\s\S])*-->", True),
+    (r"<script[^>]*src=[\"'][^\"']*\/_static\/js\/[^\"']*[\"'][^>]*>\s*<\/script>", True),
+    (r"<link[^>]*href=[\"'][^\"']*\/_static\/css\/[^\"']*[\"'][^>]*\/?>", True),
+    (r"<script[^>]*>[^<]*__wm\.(?:init|wombat|bt)\([\s\S]*?<\/script>", True),
+]
+#: A word of each pattern, in any case: where it is missing, the pattern cannot match and is not tried.
+_AUDIT_WORDS = (
+    "end wayback rewrite js include", "end wayback toolbar insert", "file archived on", "playback timings", "/_static/js/", "/_static/css/", "__wm."
+)
+_AUDIT = [(word, re.compile(p, re.I), 0 if every else 1) for word, (p, every) in zip(_AUDIT_WORDS, AUDIT_CHROME, strict=True)]
+
+
+def audit_stripped(html: str) -> str:
+    """A page without what the audit does not count as the page's own."""
+    known = html.lower()
+    for word, pattern, places in _AUDIT:
+        if word in known:
+            html = pattern.sub("", html, count=places)
+    return html
 
 
-def audit_strip(html: Column) -> Column:
+@F.pandas_udf(T.StringType())
+def audit_strip(pages: pd.Series) -> pd.Series:
     """The audit's strip, which drops provenance as well."""
-    out = html
-    for pattern in AUDIT_FIRST:
-        out = F.regexp_replace(out, rf"(?i)\A([\s\S]*?){pattern}", "$1")
-    for pattern in AUDIT_EVERY:
-        out = F.regexp_replace(out, f"(?i){pattern}", "")
-    return out
+    return pages.map(audit_stripped, na_action="ignore")
 
 
 def requisites(html: Column) -> Column:
@@ -313,15 +323,11 @@ def rewritten(kinds: pd.Series, bodies: pd.Series, held: pd.Series) -> pd.DataFr
     return pd.DataFrame(found, columns=["text", "count"])
 
 
-#: Attributes that a reader follows, and link relations that name pages or resources.
-_FOLLOWED = {("a", "href"), ("area", "href"), ("form", "action"), ("button", "formaction"), ("input", "formaction")}
-_PAGE_RELS = frozenset(("next", "prev", "canonical", "alternate"))
+#: Extensions of what pages load, and the mark of a replay path on any host.
 _EXTENSION = re.compile(
     r"\.(?:m?js|css|woff2?|ttf|otf|eot|png|jpe?g|gif|svg|ico|webp|bmp|mp4|webm|ogg|mp3|wav|m4a|flv|swf|json)$", re.I
 )
-_RAW = frozenset(("script", "style", "xmp", "iframe", "noembed", "noframes"))
-_OPEN = re.compile(r"<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_VALUE = re.compile(r"([^\s=/>\"']+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
+_REPLAY_ELSEWHERE = re.compile(r"https?:\/\/[^\s\"'<>)]+\/web\/\d{4,14}", re.I)
 
 SCAN = T.ArrayType(
     T.StructType(
@@ -335,58 +341,35 @@ SCAN = T.ArrayType(
 )
 
 
-def _loads(tag: str, attribute: str, values: dict[str, str]) -> bool:
-    """Does a URL at this attribute load a resource (or does the reader follow it)?"""
-    if (tag, attribute) in _FOLLOWED:
-        return False
-    if (tag, attribute) != ("link", "href"):
-        return True
-    rels = values.get("rel", "").lower().split()
-    return not rels or values.get("type", "").strip().lower().startswith("text/css") or not _PAGE_RELS.issuperset(rels)
-
-
-def _regions(html: str):
-    """(start, end, region, resource) of attribute values and raw-text elements; the rest is text."""
-    at = 0
-    while m := _OPEN.search(html, at):
-        at = m.end()
-        if m[1] is None:
-            yield m.start(), m.end(), "comment", False
-            continue
-        tag = m[1].lower()
-        found = [(v.start(2) + m.start(2), v[1].lower(), v[2]) for v in _VALUE.finditer(m[2])]
-        values = {name: value.strip("\"'") for _, name, value in reversed(found)}
-        for start, name, value in found:
-            yield start, start + len(value), "attribute", _loads(tag, name, values)
-        if tag in _RAW:
-            close = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
-            end = close.start() if close else len(html)
-            yield at, end, tag, tag in ("script", "style")
-            at = end
+def _placed(kind: str | None, body: str):
+    """Each replay reference of a body with the region that it begins in, if any."""
+    regions, r = html_regions(body) if kind == "html" else [], 0
+    for m in REFERENCE.finditer(body):
+        while r < len(regions) and regions[r].end <= m.start():
+            r += 1
+        inside = r < len(regions) and regions[r].start <= m.start()
+        yield m, regions[r] if inside else None
 
 
 def scan_body(kind: str | None, body: str | None) -> list[dict]:
     """Replay references of a text body in order: region, key, and whether they load a resource.
 
-    Attribute values and text are decoded before their key is derived, raw
-    text (scripts, style sheets, comments) is not. Outside attributes a flag
+    Attribute values, text and styles of foreign content are decoded before
+    their key is derived, raw text (scripts, style sheets, comments) is not. Outside attributes a flag
     or a resource extension makes a reference a resource.
     """
-    regions = list(_regions(body or "")) if kind == "html" else []
-    out, r = [], 0
-    for m in REFERENCE.finditer(body or ""):
-        while r < len(regions) and regions[r][1] <= m.start():
-            r += 1
-        inside = r < len(regions) and regions[r][0] <= m.start()
-        region, loads = regions[r][2:] if inside else ("text" if kind == "html" else kind or "text", False)
+    out = []
+    for m, region in _placed(kind, body or ""):
+        decodes = kind == "html" and not (region and region.raw)
         raw = trim_unbalanced(m[4])
-        original = _repaired(_unescape(raw) if region in ("attribute", "text") else raw)
+        original = _repaired(_unescape(raw) if decodes else raw)
         if original is None:
             continue
-        path = re.sub(r"[?#].*", "", original, flags=re.S)
-        told = m[3] in ("im_", "cs_", "js_", "oe_") or bool(_EXTENSION.search(path))
+        told = m[3] in ("im_", "cs_", "js_", "oe_") or bool(_EXTENSION.search(re.sub(r"[?#].*", "", original, flags=re.S)))
+        attribute = region is not None and region.kind == "attribute"
+        place = region.kind if region else "text" if kind == "html" else kind or "text"
         out.append(
-            {"pos": m.start(), "region": region, "key": f"{m[2]}/{original}", "resource": loads if region == "attribute" else told}
+            {"pos": m.start(), "region": place, "key": f"{m[2]}/{original}", "resource": region.loads if attribute else told}
         )
     return out
 
@@ -396,21 +379,24 @@ def scanned(kinds: pd.Series, bodies: pd.Series) -> pd.Series:
     return pd.Series([scan_body(*x) for x in zip(kinds, bodies, strict=True)], dtype=object)
 
 
+#: A place in a line: what is shown of it, and the ends of an unbroken word, looked for that far.
+_SHOWN, _WORD = 40, 300
+_WORD_BEFORE = re.compile(r"[^\s\"'<>()\\=]*\Z")
+_WORD_AFTER = re.compile(r"[^\s\"'<>)\\]*")
+
+
 def excerpt(text: str, start: int, end: int) -> str:
-    """40 characters around a place, on one line; marks show what was cut or cannot be shown."""
-    low, high = max(0, start - 40), min(len(text), end + 40)
-    shown = re.sub(r"[^\x20-\x7e]", "\u00b7", text[low:high])
-    return ("\u2026" if low else "") + shown + ("\u2026" if high < len(text) else "")
+    """Text around a place on one line; marks show what was cut or cannot be shown."""
+    window = slice(max(0, start - _SHOWN), end + _SHOWN)
+    marks = "\u2026" * (window.start > 0), "\u2026" * (window.stop < len(text))
+    return marks[0] + re.sub(r"[^\x20-\x7e]", "\u00b7", text[window]) + marks[1]
 
 
 def token_around(text: str, start: int, end: int) -> str:
-    """The unbroken word that holds a place, 300 characters to each side at most."""
-    low, high = start, end
-    while low > max(0, start - 300) and text[low - 1] not in "\"'<>()\\=" and not text[low - 1].isspace():
-        low -= 1
-    while high < min(len(text), end + 300) and text[high] not in "\"'<>)\\" and not text[high].isspace():
-        high += 1
-    return text[low:high]
+    """The unbroken word that holds a place, to a bounded distance on each side."""
+    before = _WORD_BEFORE.search(text[max(0, start - _WORD) : start])
+    after = _WORD_AFTER.match(text, end, end + _WORD)
+    return before[0] + text[start:end] + after[0]
 
 
 BARE = T.ArrayType(
@@ -438,6 +424,74 @@ def bare_hits(bodies: pd.Series) -> pd.Series:
     return bodies.map(bare_hits_of)
 
 
+ESCAPES = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("pos", T.IntegerType()),
+            T.StructField("kind", T.StringType()),
+            T.StructField("url", T.StringType()),
+            T.StructField("original", T.StringType()),
+            T.StructField("key", T.StringType()),
+            T.StructField("flag", T.StringType()),
+            T.StructField("resource", T.BooleanType()),
+            T.StructField("region", T.StringType()),
+            T.StructField("excerpt", T.StringType()),
+        ]
+    )
+)
+
+
+def escapes_of(kind: str | None, body: str | None) -> list[dict]:
+    """What a remastered text body still says of the archive, in order of place.
+
+    ``archive-org``: a replay reference with the archive's host, its key
+    (null if it repairs to no URL; without fragment) and whether its place
+    loads a resource. ``archive-org-bare``: the host's name outside of those.
+    ``absolute-web-escape``: a replay path on another host. References from
+    the root are what a remastered body should hold, and are none.
+    """
+    body, out, taken = body or "", [], []
+    name = "archive.org"
+    for m, region in _placed(kind, body):
+        if not m[1]:
+            continue
+        raw = trim_unbalanced(m[4])
+        original = _repaired(_unescape(raw) if kind == "html" and not (region and region.raw) else raw)
+        url = body[m.start() : m.start(4) + len(raw)]
+        taken.append((m.start(), m.start() + len(url)))
+        at = m.start() + m[1].index(name)
+        out.append(
+            {
+                "pos": at,
+                "kind": "archive-org",
+                "url": url,
+                "original": raw,
+                "key": None if original is None else f"{m[2]}/{original}".partition("#")[0],
+                "flag": m[3],
+                "resource": kind == "css" or bool(region and region.loads),
+                "region": region.kind if region else "text" if kind == "html" else kind or "text",
+                "excerpt": excerpt(body, at, at + len(name)),
+            }
+        )
+    none = dict.fromkeys(("original", "key", "flag", "region"))
+    r = 0
+    for m in re.finditer(r"archive\.org", body, re.I):
+        while r < len(taken) and taken[r][1] <= m.start():
+            r += 1
+        if r == len(taken) or m.start() < taken[r][0]:
+            found = {"pos": m.start(), "kind": "archive-org-bare", "url": token_around(body, *m.span()), "excerpt": excerpt(body, *m.span())}
+            out.append(none | found | {"resource": False})
+    for m in _REPLAY_ELSEWHERE.finditer(body):
+        if name not in m[0].lower():
+            out.append(none | {"pos": m.start(), "kind": "absolute-web-escape", "url": m[0], "resource": False, "excerpt": excerpt(body, *m.span())})
+    return sorted(out, key=lambda x: x["pos"])
+
+
+@F.pandas_udf(ESCAPES)
+def escapes(kinds: pd.Series, bodies: pd.Series) -> pd.Series:
+    return pd.Series([escapes_of(*x) for x in zip(kinds, bodies, strict=True)], dtype=object)
+
+
 def listed_keys(xml: Column) -> Column:
     """Object keys of a bucket listing, in order."""
     return F.transform(F.regexp_extract_all(xml, F.lit(r"(?s)<Key>(.*?)</Key>"), F.lit(1)), decode_xml)

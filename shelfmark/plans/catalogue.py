@@ -261,12 +261,17 @@ def chrome_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(text.without_chrome(dressed), 256).alias("stripped_hash"))
 
 
+def _sql_text(value: str | None) -> str:
+    """A string literal of DuckDB: quotes doubled, backslashes as they are."""
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+
+
 #: A rule's host, a host under it, and another one; beacon paths and others.
 _BEACON_MADE = """CASE page_id % 3 WHEN 0 THEN 'http://' || coalesce(nullif(host, ''), 'x.example.com') WHEN 1 THEN 'https://Sub.' || coalesce(nullif(host, ''), 'x.example.com') || ':8080'
   ELSE 'http://not' || coalesce(nullif(host, ''), 'x.example.com') END || CASE page_id % 8 WHEN 0 THEN '/collect?x=1' WHEN 1 THEN '/tr' WHEN 2 THEN '//c.gif' WHEN 3 THEN '/maps/gen_204'
   WHEN 4 THEN '/annotations_invideo' WHEN 5 THEN '/api/send' WHEN 6 THEN '' ELSE '/page' END"""
 _PSEUDO = "CASE page_id % 11 WHEN 9 THEN 'javascript:void(0)' WHEN 10 THEN 'http://localhost/x' ELSE {0} END"
-_BEACON_ROWS = ", ".join(f"({i}, '{k}', '{h}', {repr(p) if p else 'NULL'})" for i, (k, h, p) in enumerate(classify.BEACONS))
+_BEACON_ROWS = ", ".join(f"({i}, '{k}', '{h}', {_sql_text(p)})" for i, (k, h, p) in enumerate(classify.BEACONS))
 
 
 @query(
@@ -889,4 +894,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from . import more  # noqa: E402, F401  registers its queries, too
+from . import more, replay  # noqa: E402, F401  register their queries, too
