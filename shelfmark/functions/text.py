@@ -248,6 +248,12 @@ def _spliced(text: str, edits: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
+#: Elements whose content the rewriter reads as raw text.
+_RAW = frozenset(("script", "style", "xmp", "iframe", "noembed", "noframes"))
+_OPEN = re.compile(r"<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_VALUE = re.compile(r"([^\s=/>\"']+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
+
+
 class _Localiser:
     """Turns replay references whose capture is held into root-relative ones; counts them.
 

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, keys, text
+from ..functions.canonical import canonical_json, with_content
+from ..sources import store, tree
+from .steps import settle
+
+
+#: Where a remastered tree keeps the record of its build.
+RECORD = "remaster.build.json"
 
 
 def commit(responses: DataFrame) -> DataFrame:
@@ -83,6 +90,79 @@ def remaster(captures: DataFrame) -> DataFrame:
     )
 
 
+def rewritten_bodies(sidecars: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Each sidecar (its columns as they are) with input_hash, output_hash, rewritten, and the bytes of its output as content.
+
+    sidecars: key, content_type, status, content_hash. bodies: path, content.
+    Bytes are read as ISO-8859-1, which keeps every byte, so that only what is
+    rewritten changes. A bodied sidecar without its body is an error.
+    """
+    wanted = sidecars.select("*", F.when(F.col("status") == "body", keys.body_path(F.col("content_hash"))).alias("_path"))
+    lost = F.raise_error(F.concat(F.col("key"), F.lit(" names a missing body at "), F.coalesce("_path", F.lit("(no sound digest)"))))
+    rows = wanted.join(bodies.select(F.col("path").alias("_path"), F.col("content").alias("_in")), "_path", "left").withColumn(
+        "_in", F.when((F.col("status") == "body") & F.col("_in").isNull(), lost.cast("binary")).otherwise(F.col("_in"))
+    )
+    kind = classify.dialect(F.col("content_type"))
+    texts = rows.where(F.col("_in").isNotNull() & kind.isNotNull()).select("key", kind.alias("kind"), F.decode("_in", "ISO-8859-1").alias("body"))
+    refs = texts.select("key", F.explode(text.referenced("body")).alias("ref"))
+    held = (
+        refs.join(sidecars.select(F.col("key").alias("ref")).distinct(), "ref", "left_semi")
+        .groupBy("key")
+        .agg(F.collect_set("ref").alias("_held"))
+    )
+    # The text meets its held references once; it is rewritten beside the row that it belongs to.
+    joined = rows.join(held, "key", "left").withColumn("_kind", kind)
+    new = text.rewritten("_kind", F.when(F.col("_kind").isNotNull(), F.decode("_in", "ISO-8859-1")), "_held")
+    done = joined.withColumn("_new", new)
+    out = F.coalesce(F.encode("_new.text", "ISO-8859-1"), F.col("_in"))
+    done = done.withColumn("content", out)
+    return done.select(
+        *[F.col(f"`{c}`") for c in sidecars.columns],
+        keys.sri(F.col("_in")).alias("input_hash"),
+        keys.sri(F.col("content")).alias("output_hash"),
+        F.coalesce(F.col("content") != F.col("_in"), F.lit(False)).alias("rewritten"),
+        "content",
+    )
+
+
+def tree_files(built: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The files (path, content) of a remastered tree: bodies at their digests, sidecars at their keys.
+
+    built: as :func:`rewritten_bodies` gives it, with each sidecar's JSON as
+    read. A body that several captures share is written for one of them.
+    Sidecars of rewritten bodies name the new digest and length and keep all
+    other fields; the others stay as they are, in canonical form.
+    """
+    first = built.where("output_hash IS NOT NULL").groupBy("output_hash").agg(F.min("key").alias("key"))
+    bodies = built.join(first, ["output_hash", "key"], "left_semi").select(keys.body_path(F.col("output_hash")).alias("path"), "content")
+    changed = F.col("rewritten")
+    json = with_content(
+        canonical_json("json"), F.when(changed, F.col("output_hash")), F.when(changed, F.octet_length("content")).cast("long")
+    )
+    sidecars = built.select(keys.meta_path(F.col("key")).alias("path"), F.encode(json, "UTF-8").alias("content"))
+    return bodies, sidecars
+
+
+def remaster_tree(spark: SparkSession, hermetic: str, remastered: str) -> DataFrame:
+    """Remaster the store below one root into another; the build's entries, read back from its record.
+
+    Bodies are written before sidecars, which mark a capture as complete, and
+    the record last: its entries as canonical JSON lines in key order, without
+    paths. Each step's rows are derived from the hermetic store alone, so a
+    run that is repeated writes the same tree.
+    """
+    raw = store.read_raw_sidecars(spark, hermetic)
+    sidecars = store.parse_sidecars(raw).join(raw, "path").select("key", "content_type", "status", "content_hash", "json")
+    # Rewritten once; the steps below read it.
+    built = settle(rewritten_bodies(sidecars, store.read_bodies(spark, hermetic, content=True)))
+    bodies, files = tree_files(built)
+    tree.write_tree(bodies, remastered)
+    tree.write_tree(files, remastered)
+    record = build_record(built.drop("content", "json", "content_hash"))
+    tree.write_lines(record, "key", "json", f"{remastered}/{RECORD}")
+    return store.read_build_lines(spark, f"{remastered}/{RECORD}")
+
+
 def remastered_sidecars(sidecars: DataFrame, entries: DataFrame) -> DataFrame:
     """Sidecars of a remastered tree: those of rewritten bodies name the new digest and length, all others stay.
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import classify, text, urls
-from .catalogue import _BEACON_ROWS, _sql_text, query, table
+from ..functions import classify, keys, text, urls
+from ..operators import build, verify
+from ..sources import store, tree
+from .catalogue import _BEACON_ROWS, _LINKED_HTML, CAPTURES, _sql_text, captures, query, table
 
 #: Hosts as written and as browsers show them (null: the URL fails).
 _HOSTS = [
@@ -130,3 +132,34 @@ def html_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "pages").select("page_id", F.posexplode(text.escapes(F.lit("html"), body)).alias("n", "e"))
     n = F.when(F.col("e.kind") == "archive-org", F.col("n") - 2).when(F.col("e.kind") == "archive-org-bare", -2).otherwise(-1)
     return found.select("page_id", n.cast("int").alias("n"), "e.kind", "e.region", "e.key", "e.flag", "e.resource")
+
+
+@query(
+    rf"""WITH {CAPTURES}, p AS (SELECT *, status = 'body' AS bodied, {_LINKED_HTML.format('https://web.archive.org', chr(92), ", 'g'")} AS old, {_LINKED_HTML.format('', chr(92), ", 'g'")} AS new FROM captures)
+SELECT key, 'meta/' || substr(hash, 1, 2) || '/' || hash || '.json' AS path, status, CASE WHEN bodied THEN 'sha256-' || base64(unhex(sha256(new))) END AS content_hash,
+  CASE WHEN bodied THEN CAST(octet_length(encode(new)) AS BIGINT) ELSE -1 END AS content_length, bodied AND old <> new AS rewritten,
+  CAST(page_id % 3 AS INT) AS n_dynamic, CAST(0 AS BIGINT) AS findings FROM p"""
+)
+def remaster_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store written as a tree of files, remastered into a second tree, and that read back and checked."""
+    html = F.expr(_LINKED_HTML.format("https://web.archive.org", "$", ""))
+    c = captures(spark, sf_dir).withColumn("body", F.when(F.col("status") == "body", F.encode(html, "UTF-8")))
+    c = c.withColumn("content_hash", keys.sri(F.col("body")))
+    found = F.transform(
+        F.sequence(F.lit(1), F.col("page_id") % 3),
+        lambda i: F.struct(F.concat(F.lit("2015/http://d.example.com/"), i.cast("string")).alias("key"), F.lit("manual").alias("via")),
+    )
+    sidecar = F.struct(
+        F.lit(3).alias("v"), "key", F.lit("text/html").alias("contentType"), "status", F.col("content_hash").alias("contentHash"),
+        F.octet_length("body").alias("contentLength"), F.when(F.col("page_id") % 3 > 0, found).alias("dynamic"), F.col("url").alias("own"),
+    )
+    hermetic, remastered = tree.fresh_root(spark, "hermetic"), tree.fresh_root(spark, "remastered")
+    tree.write_tree(c.where("body IS NOT NULL").select(keys.body_path(F.col("content_hash")).alias("path"), F.col("body").alias("content")), hermetic)
+    tree.write_tree(c.select(keys.meta_path(F.col("key")).alias("path"), F.to_json(sidecar).alias("content")), hermetic)
+    record = build.remaster_tree(spark, hermetic, remastered).select("key", "rewritten")
+    sidecars = store.read_sidecars(spark, remastered)
+    doubts = verify.fsck(sidecars, store.read_bodies(spark, remastered, content=True).drop("content")).agg(F.count("*").alias("n"))
+    return sidecars.join(record, "key").select(
+        "key", "path", "status", "content_hash", F.coalesce("content_length", F.lit(-1).cast("long")).alias("content_length"), "rewritten",
+        F.coalesce(F.size("dynamic"), F.lit(0)).alias("n_dynamic"), doubts.scalar().alias("findings"),
+    )

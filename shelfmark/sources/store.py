@@ -22,13 +22,13 @@ MANIFEST = (
 
 def read_sidecars(spark: SparkSession, root: str, policy: str = "strict") -> DataFrame:
     """Sidecars below ``root/meta``: path, defect and the fields in snake case."""
-    raw = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json")
-        .text(f"{root}/meta", wholetext=True)
-        .select(F.regexp_extract("_metadata.file_path", r"(meta/[^/]+/[^/]+)$", 1).alias("path"), F.col("value").alias("json"))
-    )
-    return parse_sidecars(raw, policy)
+    return parse_sidecars(read_raw_sidecars(spark, root), policy)
+
+
+def read_raw_sidecars(spark: SparkSession, root: str) -> DataFrame:
+    """(path from the root, json) of the sidecars below ``root/meta``."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(f"{root}/meta", wholetext=True)
+    return files.select(F.regexp_extract("_metadata.file_path", r"(meta/[^/]+/[^/]+)$", 1).alias("path"), F.col("value").alias("json"))
 
 
 def parse_sidecars(raw: DataFrame, policy: str = "strict") -> DataFrame:
@@ -251,6 +251,20 @@ def parse_build(raw: DataFrame) -> DataFrame:
     )
 
 
+def read_build_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The entries of a build record kept as JSON lines, in snake case."""
+    entry = BUILD.partition("STRUCT<")[2].removesuffix(">>").replace(":", " ").replace(",", ", ")
+    e = spark.read.text(folder).select(F.from_json("value", entry).alias("e"))
+    return e.select(
+        "e.key",
+        F.col("e.contentType").alias("content_type"),
+        "e.status",
+        F.col("e.inputHash").alias("input_hash"),
+        F.col("e.outputHash").alias("output_hash"),
+        "e.rewritten",
+    )
+
+
 def snapshots(cdx: DataFrame, low: str | None = None, high: str | None = None, limit: int = 10) -> DataFrame:
     """The first ``limit`` captures of each URL between two timestamps (prefixes allowed), by time; a report of the first few.
 

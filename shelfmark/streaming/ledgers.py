@@ -1,29 +1,104 @@
-"""Append-only ledgers as streams: the latest row of each key, kept as a table."""
+"""Append-only ledgers as streams.
+
+A ledger's latest row of each key lives in keyed state; what a micro-batch
+changes is written as a small table of its own. Reading puts the changes
+together, and :func:`compact` folds old ones into one.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.relations import latest_rows
 
+#: A row of the ledger of verified documents. Without ``verified`` it is a stamp, with false it takes the key's stamp back.
+STAMP = "key string, seq long, ruleVersion long, verified boolean, at string"
+#: Spark keeps state of this kind in RocksDB alone.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
-def stream_jsonl(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+def stream_jsonl(spark: SparkSession, folder: str, schema: str = STAMP) -> DataFrame:
     """A stream of the JSON lines files that arrive in a folder; torn lines become null rows and are dropped."""
     return spark.readStream.schema(schema).option("mode", "DROPMALFORMED").json(folder)
 
 
+class _Latest(StatefulProcessor):
+    """Holds a key's row of the largest seq, and passes a row on when it takes that place."""
+
+    def __init__(self, schema: T.StructType, seq: str):
+        self.schema, self.seq = schema, seq
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.latest = handle.getValueState("latest", T.StructType([T.StructField("seq", T.LongType())]))
+
+    def handleInputRows(self, key: object, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        known = self.latest.get()[0] if self.latest.exists() else None
+        best = None
+        for frame in rows:
+            # Of rows with one seq the last of the stream stays, as when a file is read to its end.
+            last = frame[frame[self.seq] == frame[self.seq].max()].tail(1)
+            if len(last) and (best is None or last[self.seq].iloc[0] >= best[self.seq].iloc[0]):
+                best = last
+        if best is not None and (known is None or best[self.seq].iloc[0] >= known):
+            self.latest.update((int(best[self.seq].iloc[0]),))
+            yield best
+
+    def close(self) -> None:
+        pass
+
+
+def changes(rows: DataFrame, key: str = "key", seq: str = "seq") -> DataFrame:
+    """Of a stream of ledger rows, those that became their key's latest; rows without key or seq are dropped."""
+    spark = rows.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    sound = rows.where(rows[key].isNotNull() & rows[seq].isNotNull())
+    return sound.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=_Latest(rows.schema, seq), outputStructType=rows.schema, outputMode="Update", timeMode="None"
+    )
+
+
 def keep_latest(rows: DataFrame, folder: str, checkpoint: str, key: str = "key", seq: str = "seq") -> StreamingQuery:
-    """Merge each micro-batch into the table of latest rows; every version is written beside the last.
+    """Write what each micro-batch changes into ``folder``; a batch that is replayed after a failure writes the same again.
+
+    A batch costs what it changes: the table is not rewritten.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    changed = changes(rows, key, seq)
+    return changed.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_latest(spark: SparkSession, folder: str, key: str = "key", seq: str = "seq") -> DataFrame:
+    """The latest row of each key from the changes of all batches."""
+    rows = spark.read.parquet(folder)
+    return latest_rows(rows.withColumn("_at", F.struct(seq, "batch")), key, "_at").drop("_at", "batch")
+
+
+def compact(spark: SparkSession, folder: str, target: str, key: str = "key", seq: str = "seq") -> DataFrame:
+    """The latest rows as one table in ``target`` (as batch -1, so that later batches can be laid beside it)."""
+    read_latest(spark, folder, key, seq).write.mode("overwrite").parquet(f"{target}/batch=-1")
+    return spark.read.parquet(target)
+
+
+def verified_keys(ledger: DataFrame, rule_version: int) -> DataFrame:
+    """Keys whose latest row is a stamp under the live rules: (key).
 
-    A batch that is replayed after a failure writes the same version again.
+    A later row with ``verified`` false takes a stamp back, and stamps of
+    other rule versions are void. Works on a whole ledger and on latest rows.
     """
+    latest = latest_rows(ledger.where("key IS NOT NULL"))
+    return latest.where(F.coalesce("verified", F.lit(True)) & F.col("ruleVersion").eqNullSafe(F.lit(rule_version))).select("key")
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        path = f"{folder}/version={number}"
-        if number:
-            batch = batch.unionByName(spark.read.parquet(f"{folder}/version={number - 1}"))
-        latest_rows(batch.where(batch[key].isNotNull()), key, seq).write.mode("overwrite").parquet(path)
 
-    return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def append_rows(rows: DataFrame, folder: str) -> None:
+    """Append ledger rows as JSON lines in files of their own; earlier rows are never touched."""
+    rows.write.mode("append").json(folder)

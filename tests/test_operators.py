@@ -104,8 +104,7 @@ def test_latest_rows_stream(spark, tmp_path):
     run()
     (inbox / "2.json").write_text('{"key":"a","seq":3,"verified":false}\n')
     run()
-    latest = sorted(out.iterdir())[-1]
-    rows = {r["key"]: (r["seq"], r["verified"]) for r in spark.read.parquet(str(latest)).collect()}
+    rows = {r["key"]: (r["seq"], r["verified"]) for r in ledgers.read_latest(spark, str(out)).collect()}
     assert rows == {"a": (3, False), "b": (2, True)}
 
 
