@@ -1,12 +1,19 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap if they share a line, however many hold it. Every shared
-line of a document pairs it with the document of the smallest id that has the
-line (its owner), so a line shared by k documents makes k - 1 pairs. Each pair
-is aligned by patience diff (lines unique in both, in the longest common
-order, fix the alignment; between them it goes on, and equal heads and tails
-are matched). Aligned runs that hold a line of the owner's are deleted from
-the later document. On request, only lines that are rare open pairs.
+Documents overlap if they share a line, and more so if they share runs of
+lines. Every line, and every run of two or three adjacent lines that are all
+shared, has two owners: the document of the smallest id that holds it, and one
+by a hash. A document is paired with the earlier owners of its lines and runs,
+so a block meets the first document that holds the block, not only those that
+hold one of its lines, and a block shared by k documents makes at most 2 k
+pairs, not k squared.
+Each pair is aligned by patience diff (lines unique in both, in the longest
+common order, fix the alignment; between them it goes on, and equal heads and
+tails are matched). Aligned blocks are deleted from the later document.
+
+Against the alignment of all pairs nothing else is deleted, and tests measure
+what is missed: where blocks of a document lie in several earlier ones in
+another order than in the owners of their runs.
 """
 
 from __future__ import annotations
@@ -23,8 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import begin, fresh, materialise
 
-#: Where only rare lines open pairs, these many rarest lines of each document always do.
-OWN_RAREST = 2
+#: Lines of the runs that have owners of their own.
+RUNS = (2, 3)
+#: Bits of the filter that tells which texts may lose lines (8 MB, whatever the input).
+FILTER_BITS = 1 << 26
 
 
 def line_hashes(text: str) -> list[int]:
@@ -86,15 +95,14 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_lines(earlier: list[int], later: list[int], rare: set[int]) -> list[int]:
-    """Lines of ``later`` in aligned runs (blank lines may be inside) that hold a rare line."""
-    aligned = patience(earlier, later)
+def common_lines(earlier: list[int], later: list[int]) -> list[int]:
+    """Lines of ``later`` in aligned runs that hold more than blank lines."""
     out: list[int] = []
     run: list[int] = []
     last = (-2, -2)
-    for i, j in [*aligned, (-9, -9)]:
+    for i, j in [*patience(earlier, later), (-9, -9)]:
         if (i, j) != (last[0] + 1, last[1] + 1):
-            if any(later[x] in rare for x in run):
+            if any(later[x] for x in run):
                 out.extend(run)
             run = []
         run.append(j)
@@ -121,37 +129,54 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(hashes, ROWS)
 
 
-def deletions(docs: DataFrame, rare: int | None = None, own_rarest: int = OWN_RAREST) -> DataFrame:
+def _owned(held: DataFrame, mark: str) -> DataFrame:
+    """``held`` (doc_id, key, a mark, others) with the owners of each mark that several rows have.
+
+    The first is the document of the smallest id, the second one by a hash,
+    which tells documents apart that the first ones hold in another order.
+    """
+    drawn = F.min(F.struct(F.xxhash64("doc_id", "key").alias("draw"), "doc_id", "key"))
+    owners = held.groupBy(mark).agg(
+        F.count("*").alias("n"), F.min(F.struct("doc_id", "key")).alias("first"), F.struct(drawn["doc_id"].alias("doc_id"), drawn["key"].alias("key")).alias("drawn")
+    )
+    return held.join(owners.where("n > 1").select(mark, F.array_distinct(F.array("first", "drawn")).alias("owners")), mark)
+
+
+def _pairs(lined: DataFrame) -> DataFrame:
+    """doc_id, key, first_id, first_key: each document with the owners of its lines and runs."""
+    filled = lined.select("doc_id", "key", F.filter("lines", lambda x: x != 0).alias("lines"))
+    shared = _owned(filled.select("doc_id", "key", F.posexplode("lines").alias("pos", "line")), "line")
+    shared = materialise(shared, "shared")
+    # Runs of adjacent shared lines: no other run can be shared.
+    s = F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("s")
+    rows = shared.groupBy("doc_id", "key").agg(s).where(F.size("s") > 1)
+
+    def runs(length: int):
+        ends = F.slice("s", length, F.greatest(F.size("s") - (length - 1), F.lit(0)))
+        at = lambda i, k: F.get("s", i + k)
+        mark = lambda e, i: F.when(
+            e["pos"] - at(i, 0)["pos"] == length - 1, F.xxhash64(*[at(i, k)["line"] for k in range(length)])
+        )
+        return F.transform(ends, mark)
+
+    marks = F.array_distinct(F.array_compact(F.concat(*map(runs, RUNS))))
+    run_owners = _owned(rows.select("doc_id", "key", F.explode(marks).alias("run")), "run")
+    both = shared.select("doc_id", "key", "owners").unionByName(run_owners.select("doc_id", "key", "owners"))
+    each = both.select("doc_id", "key", F.explode("owners").alias("owner")).where("owner.doc_id < doc_id")
+    return each.select("doc_id", "key", F.col("owner.doc_id").alias("first_id"), F.col("owner.key").alias("first_key")).distinct()
+
+
+def deletions(docs: DataFrame) -> DataFrame:
     """(doc_id, key, gone): numbers of the lines to delete from the document of that id and text.
 
-    Every shared line opens a pair; with ``rare``, lines that so many documents have at most and each
-    document's own rarest.
+    A null doc_id stands as the least number, a null text as empty; equal
+    rows are one document. Documents without deletions have no row.
     """
     texts = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     )
-    # Equal rows are one document here.
     lined = materialise(_lines(texts).dropDuplicates(["doc_id", "key"]), "lines")
-    held = lined.select("doc_id", "key", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
-    owners = held.groupBy("line").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "key")).alias("owner")
-    )
-    shared = owners.where("n > 1")
-    if rare is None:
-        opening = held.join(shared, "line")
-    else:
-        # A document's rarest lines: those that no other document has come first.
-        counted = held.join(shared, "line", "left").select(
-            "doc_id", "key", "line", F.coalesce("n", F.lit(1)).alias("n"), "owner"
-        )
-        rank = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("n", "line"))
-        opening = counted.withColumn("rank", rank).where((F.col("n") <= rare) | (F.col("rank") <= own_rarest))
-    wanted = (
-        opening.where("owner.doc_id < doc_id")
-        .groupBy("doc_id", "key", F.col("owner.doc_id").alias("first_id"), F.col("owner.key").alias("first_key"))
-        .agg(F.collect_set("line").alias("rare"))
-    )
-    pairs = wanted.join(lined.withColumnRenamed("lines", "later"), ["doc_id", "key"]).join(
+    pairs = _pairs(lined).join(lined.withColumnRenamed("lines", "later"), ["doc_id", "key"]).join(
         lined.select(F.col("doc_id").alias("first_id"), F.col("key").alias("first_key"), F.col("lines").alias("earlier")),
         ["first_id", "first_key"],
     )
@@ -161,60 +186,91 @@ def deletions(docs: DataFrame, rare: int | None = None, own_rarest: int = OWN_RA
         for batch in batches:
             for low in range(0, len(batch), 500):
                 part = batch.slice(low, 500)
-                columns = [part.column(i).to_pylist() for i in range(2, 5)]
-                gone = [common_lines(e, d, set(r)) for r, d, e in zip(*columns, strict=True)]
+                gone = list(map(common_lines, part.column(3).to_pylist(), part.column(2).to_pylist()))
                 yield pa.record_batch(
                     [part.column(0), part.column(1), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "key", "gone"]
                 )
 
-    aligned = pairs.select("doc_id", "key", "rare", "later", "earlier").mapInArrow(
+    aligned = pairs.select("doc_id", "key", "later", "earlier").mapInArrow(
         align, "doc_id long, key long, gone array<int>"
     )
     gone = F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")
     return aligned.where(F.size("gone") > 0).groupBy("doc_id", "key").agg(gone)
 
 
-def dedup_lines(docs: DataFrame, rare: int | None = None, own_rarest: int = OWN_RAREST) -> DataFrame:
+def _filter(gone: DataFrame) -> np.ndarray:
+    """Bits at two places for each text that loses lines; at most ``FILTER_BITS`` of them, in 64-bit words."""
+    places = F.array(F.col("key").bitwiseAND(FILTER_BITS - 1), F.shiftright("key", 32).bitwiseAND(FILTER_BITS - 1))
+    words = (
+        gone.select(F.explode(places).alias("p"))
+        .select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p & 63 AS int))").alias("bit"))
+        .groupBy("word")
+        .agg(F.bit_or("bit").alias("bits"))
+    )
+    found = words.toArrow()
+    out = np.zeros(FILTER_BITS >> 6, np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
+def _may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    found = np.ones(len(keys), bool)
+    for place in (keys & (FILTER_BITS - 1), keys >> 32 & (FILTER_BITS - 1)):
+        found &= bits[place >> 6] >> (place & 63) & 1 == 1
+    return found
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """Every row of ``docs`` with aligned common blocks deleted from the later document.
 
     All columns are kept; ``text`` is what stays, and n_lines and n_removed
     (long) are added, in place of columns of these names. Lines end at ``\\n`` and are compared without white
     space around them; blank lines are common to all and go only inside a
-    common block. Documents are judged on the input: a block goes if the
-    owner of one of its lines (with ``rare``: one of its rare lines) has it,
-    whatever the owner loses itself and however many documents share it.
-    A null text has no lines and stays null; a text that loses all lines
+    common block. Documents are judged on the input: a block goes if an owner
+    has it, whatever the owner loses itself and however many documents share
+    it. A null text has no lines and stays null; a text that loses all lines
     becomes empty; rows of one doc_id never shorten each other; a null id
     counts as smaller than all others. An empty table gives no rows.
+
+    Only texts that may lose lines are shuffled: a filter of fixed size tells
+    which.
     """
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
-    id_, key, gone_ = (fresh(docs, c) for c in ("_id", "_key", "_gone"))
-    gone = materialise(deletions(docs, rare, own_rarest), "gone").select(
-        F.col("doc_id").alias(id_), F.col("key").alias(key), F.col("gone").alias(gone_)
-    )
+    id_, key, gone_, may = (fresh(docs, c) for c in ("_id", "_key", "_gone", "_may"))
+    found = materialise(deletions(docs), "gone")
+    gone = found.select(F.col("doc_id").alias(id_), F.col("key").alias(key), F.col("gone").alias(gone_))
     place = [c.lower() for c in kept].index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(found))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("line_dedup")
+        bits = shared.value
         for batch in batches:
             for low in range(0, len(batch), 500):
                 part = batch.slice(low, 500)
                 digests = [xxhash.xxh3_64_intdigest(t or "") for t in part.column(place).to_pylist()]
-                digest = pa.array(np.array(digests, np.uint64).view(np.int64))
-                yield pa.record_batch([*part.columns, digest], names=[*part.schema.names, key])
+                digests = np.array(digests, np.uint64).view(np.int64)
+                yield pa.record_batch(
+                    [*part.columns, pa.array(digests), pa.array(_may_hold(bits, digests))], names=[*part.schema.names, key, may]
+                )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    keyed = docs.mapInArrow(keys, f"{fields}, {key} long")
-    keyed = keyed.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    keyed = docs.mapInArrow(keys, f"{fields}, {key} long, {may} boolean")
     # Deletions grow with the documents, so they are joined by a shuffle at any size.
-    rows = keyed.join(gone.hint("merge"), [id_, key], "left")
-    lines = F.split("text", "\n", -1)
+    touched = keyed.where(may).withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    rows = touched.join(gone.hint("merge"), [id_, key], "left")
+    text = F.col(f"`{kept[place]}`")
+    lines = F.split(text, "\n", -1)
     stays = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col(gone_), i)), "\n")
     none = F.col(gone_).isNull()
-    edited = F.when(none, F.col("text")).otherwise(stays).alias(kept[place])
-    return rows.select(
-        *[edited if i == place else F.col(f"`{c}`") for i, c in enumerate(kept)],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(none, 0).otherwise(F.size(gone_)).cast("long").alias("n_removed"),
-    )
+
+    def shown(frame: DataFrame, edited, removed) -> DataFrame:
+        return frame.select(
+            *[edited.alias(c) if i == place else F.col(f"`{c}`") for i, c in enumerate(kept)],
+            F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+            removed.cast("long").alias("n_removed"),
+        )
+
+    changed = shown(rows, F.when(none, text).otherwise(stays), F.when(none, 0).otherwise(F.size(gone_)))
+    return shown(keyed.where(~F.col(may)), text, F.lit(0)).unionByName(changed)
