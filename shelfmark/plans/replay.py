@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, keys, text, urls
 from ..operators import build, verify
-from ..sources import store, tree
+from ..sources import recorded, store, tree
 from .catalogue import _BEACON_ROWS, _LINKED_HTML, CAPTURES, _sql_text, captures, query, table
 
 #: Hosts as written and as browsers show them (null: the URL fails).
@@ -163,3 +163,30 @@ def remaster_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         "key", "path", "status", "content_hash", F.coalesce("content_length", F.lit(-1).cast("long")).alias("content_length"), "rewritten",
         F.coalesce(F.size("dynamic"), F.lit(0)).alias("n_dynamic"), doubts.scalar().alias("findings"),
     )
+
+
+_INDEXED = "'https://' || split_part(split_part(url, '://', 2), '/', 1) || '/'"
+
+
+@query(
+    f"""WITH r AS (SELECT page_id, {_INDEXED} AS url, strftime(TIMESTAMP '2014-01-01' + to_hours(page_id * 37), '%Y%m%d%H%M%S') AS timestamp, url AS original,
+  CASE WHEN page_id % 4 = 0 THEN '404' WHEN page_id % 4 = 1 THEN '-' ELSE '200' END AS statuscode, CASE WHEN page_id % 5 > 0 THEN sha256(html) END AS digest, CAST(page_id % 3 AS INT) AS page FROM pages)
+SELECT url, page, timestamp, original, digest, 'https://web.archive.org/web/' || timestamp || '/' || original AS replay FROM r
+WHERE statuscode IN ('200', '404') AND timestamp >= '2014020' AND timestamp < '2015' AND original LIKE 'http%'"""
+)
+def recorded_cdx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of recorded index answers, three pages for a host, whose filters the reader applies."""
+    at = F.expr("date_format(timestampadd(HOUR, page_id * 37, timestamp'2014-01-01 00:00:00'), 'yyyyMMddHHmmss')")
+    code = F.expr("CASE WHEN page_id % 4 = 0 THEN '404' WHEN page_id % 4 = 1 THEN '-' ELSE '200' END")
+    digest = F.when(F.col("page_id") % 5 > 0, F.sha2("html", 256))
+    rows = table(spark, sf_dir, "pages").select(F.expr(_INDEXED).alias("answer"), (F.col("page_id") % 3).alias("number"), at.alias("timestamp"), F.col("url").alias("original"), code.alias("statuscode"), digest.alias("digest"))
+    row = F.to_json(F.array("timestamp", "original", "statuscode", "digest"), {"ignoreNullFields": "false"})
+    # Rows of a host's page lie in one file, as the server answers.
+    files = rows.groupBy("answer", "number").agg(
+        F.concat(F.lit('[["timestamp","original","statuscode","digest"],'), F.array_join(F.sort_array(F.collect_list(row)), ","), F.lit("]")).alias("content")
+    )
+    name = F.concat(F.expr("replace(replace(answer, ':', '%3A'), '/', '%2F')"), F.lit("."), F.col("number").cast("string"), F.lit(".json"))
+    root = tree.fresh_root(spark, "cdx")
+    tree.write_tree(files.select(F.concat(F.lit("cdx/"), name).alias("path"), "content"), root)
+    found = recorded.read_cdx(spark, root).where("statuscode IN ('200', '404') AND timestamp >= '2014020' AND timestamp < '2015' AND original LIKE 'http%'")
+    return found.select("url", "page", "timestamp", "original", "digest", F.concat(F.lit(keys.ARCHIVE), "timestamp", F.lit("/"), "original").alias("replay"))
