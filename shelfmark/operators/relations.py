@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, keys
+from .prefixes import beginning_with
 
 
 def first_by(rows: DataFrame, by: list[str], order: list[Column | str]) -> DataFrame:
@@ -57,19 +58,8 @@ def against(ledger: DataFrame, sidecars: DataFrame) -> DataFrame:
 
 
 def excluded(urls: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """URLs equal to or beginning with a policy prefix.
-
-    Every URL is cut to the lengths that prefixes have, so that the prefix
-    test is an equi-join: no pair of URL and prefix is tried.
-    """
-    lengths = [r["n"] for r in prefixes.select(F.length("prefix").alias("n")).distinct().collect()]
-    if not lengths:
-        return urls.limit(0)
-    cut = urls.select("*", F.explode(F.array(*[F.lit(n) for n in sorted(lengths)])).alias("_n")).where(
-        F.length("url") >= F.col("_n")
-    )
-    cut = cut.withColumn("prefix", F.substr("url", F.lit(1), F.col("_n")))
-    return cut.join(prefixes.select("prefix").distinct(), "prefix", "left_semi").drop("prefix", "_n").distinct()
+    """URLs equal to or beginning with a policy prefix, each row once: see :func:`.prefixes.beginning_with`."""
+    return beginning_with(urls, prefixes).distinct()
 
 
 def apply_policy(urls: DataFrame, rewrites: DataFrame, excludes: DataFrame) -> DataFrame:
