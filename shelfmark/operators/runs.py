@@ -179,7 +179,7 @@ def unmatched_escapes(escapes: DataFrame, policy: DataFrame) -> DataFrame:
 def fill_plan(worklist: DataFrame, settled: DataFrame) -> DataFrame:
     """The pending part of a worklist (unfetched or cached, not gone or renamed), in key order."""
     pending = worklist.where(F.col("state").isin("unfetched", "cached")).join(settled.select("key"), "key", "left_anti")
-    return pending.select("key", "state").distinct()
+    return pending.select("key", "state").distinct().orderBy("key")
 
 
 def fill_stats(outcomes: DataFrame, by: str) -> DataFrame:

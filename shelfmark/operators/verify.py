@@ -327,6 +327,57 @@ def serve_decision(requests: DataFrame, sidecars: DataFrame, live_fallback: bool
     return found.select("path", "key", action.alias("action"), status.cast("int").alias("status"))
 
 
+def served(wanted: DataFrame, store: DataFrame, host: str) -> DataFrame:
+    """What a mirror at ``host`` answers for each key: key, status, content_type, location, body (bytes).
+
+    wanted: key. store: key, status, content_type, location (of redirects),
+    body. Keys that the store does not have, errors and interstitials get the
+    page for a miss, which names the mirror.
+    """
+    rows = wanted.select("key").join(store.select("key", "status", "content_type", "location", "body"), "key", "left")
+    hit, moved = F.col("status").isin("body", "empty"), F.col("status") == "redirect"
+    miss = F.encode(F.concat(F.lit(f"<title>Not in {host}</title>"), keys.escape_html(F.col("key"))), "UTF-8")
+    return rows.select(
+        "key",
+        F.when(hit, 200).when(moved, 302).otherwise(404).alias("status"),
+        F.when(hit, keys.content_type(F.col("content_type"))).when(~F.coalesce(moved, F.lit(False)), F.lit("text/html; charset=utf-8")).alias("content_type"),
+        F.when(moved, F.col("location")).alias("location"),
+        F.when(F.col("status") == "body", F.col("body").cast("binary")).when(hit | moved, F.lit(b"")).otherwise(miss).alias("body"),
+    )
+
+
+def serving_parity(root: DataFrame, bucket: DataFrame, root_host: str, bucket_host: str) -> DataFrame:
+    """Where two mirrors answer differently: key, field (status, content-type, location, body), expected, actual.
+
+    root, bucket: as :func:`served` gives them, key for key. Each mirror's own
+    authority in its bodies is made neutral first; a body's difference tells
+    the sizes.
+    """
+
+    def shown(answers: DataFrame, host: str, name: str) -> DataFrame:
+        neutral = keys.without_mirror_host(F.decode("body", "ISO-8859-1"), host)
+        return answers.select(
+            "key",
+            F.struct(
+                F.concat(F.lit(f"{name} "), F.col("status").cast("string")).alias("status"),
+                F.concat(F.lit(f"{name} "), F.coalesce("content_type", F.lit("null"))).alias("type"),
+                F.concat(F.lit(f"{name} "), F.coalesce("location", F.lit("null"))).alias("location"),
+                F.concat(F.lit(f"{name} "), F.length(neutral).cast("string"), F.lit("B")).alias("size"),
+                F.struct(F.col("status").alias("s"), F.col("content_type").alias("t"), F.col("location").alias("l"), F.sha2(neutral, 256).alias("b")).alias("is"),
+            ).alias(name),
+        )
+
+    both = shown(root, root_host, "root").join(shown(bucket, bucket_host, "bucket"), "key", "full")
+
+    def differs(field: str, part: str, said: str) -> Column:
+        a, b = F.col(f"root.is.{part}"), F.col(f"bucket.is.{part}")
+        told = F.struct(F.lit(field).alias("field"), F.col(f"root.{said}").alias("expected"), F.col(f"bucket.{said}").alias("actual"))
+        return F.when(~a.eqNullSafe(b), told)
+
+    found = F.array(differs("status", "s", "status"), differs("content-type", "t", "type"), differs("location", "l", "location"), differs("body", "b", "size"))
+    return both.select("key", F.explode(F.array_compact(found)).alias("d")).select("key", "d.*")
+
+
 def index_search(catalogue: DataFrame, text: str, with_requisites: bool, limit: int) -> DataFrame:
     """First keys, in order, that contain a text in any case; requisites only if asked for (a top-k report)."""
     shown = catalogue if with_requisites else catalogue.where(~F.col("requisite"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, keys, text
 from ..operators import build, crawl, markdown, relations, runs, verify
-from ..sources import store
+from ..sources import store, tree
+from . import replay
 from .catalogue import CAPTURES, EDGES, assets, captures, query, table
 
 MATCH_KEY = r"lower(regexp_replace(regexp_replace(regexp_replace({0}, '^https?://', '', 'i'), '^www\.', '', 'i'), '/+$', ''))"
@@ -234,8 +235,9 @@ def host_behaviors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Behaviours of exact hosts, read from a policy in JSON; hosts may be written in capitals or with a root dot."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(_HOSTS).alias("host"))
     known = pages.groupBy("host").agg(F.min("page_id").alias("id")).where("id % 2 = 0")
-    fqdns = F.map_from_entries(F.collect_list(F.struct("host", F.create_map(F.lit("on404"), F.lit("probe-repo-root-follow-rename")))))
-    raw = known.agg(F.to_json(F.struct(fqdns.alias("fqdns"))).alias("json")).select(F.lit("universe.json").alias("file"), "json")
+    # A policy a host: no row holds all hosts.
+    fqdns = F.create_map("host", F.create_map(F.lit("on404"), F.lit("probe-repo-root-follow-rename")))
+    raw = known.select(F.concat("host", F.lit(".json")).alias("file"), F.to_json(F.struct(fqdns.alias("fqdns"))).alias("json"))
     urls = pages.withColumn("url", F.expr("url || CASE WHEN page_id % 3 = 0 THEN '' ELSE '?x' END"))
     spelled = urls.withColumn("as", F.when(F.col("page_id") % 2 == 0, F.expr("replace(url, host, upper(host) || '.')")).otherwise(F.col("url")))
     found = store.host_behaviors(spelled.select(F.col("as").alias("url")), store.parse_universe(raw)).withColumnRenamed("url", "as")
@@ -452,12 +454,10 @@ def build_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {CAPTURES} SELECT count(*) AS sidecars, count(*) FILTER (status = 'body') AS bodies, count(*) FILTER (status = 'body' AND page_id % 3 = 0) AS rewritten FROM captures"""
 )
 def build_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of a build, read back from its record."""
-    record = build.build_record(_built(spark, sf_dir))
-    whole = record.agg(F.array_join(F.array_sort(F.collect_list("json")), ",").alias("e")).select(
-        F.concat(F.lit('{"engineVersion":"1","ruleVersion":"1","v":1,"entries":['), "e", F.lit("]}")).alias("json")
-    )
-    return build.build_counts(store.parse_build(whole))
+    """Counts of a build, read back from its record: lines in key order, in as many files as tasks wrote."""
+    root = tree.fresh_root(spark, "record")
+    tree.write_lines(build.build_record(_built(spark, sf_dir)), "key", "json", root)
+    return build.build_counts(store.read_build_lines(spark, root))
 
 
 @query(
@@ -744,15 +744,14 @@ def audit_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {CAPTURES}, k AS (SELECT count(*) AS n FROM captures WHERE (page_id % 5 <> 0) <> (page_id % 7 <> 0 OR page_id % 3 = 0)),
 f AS (SELECT count(*) AS n FROM captures WHERE page_id % 11 IN (0, 1, 2)), b AS (SELECT count(*) AS n FROM captures WHERE page_id % 13 IN (0, 1) AND page_id % 2 = 0)
 SELECT CAST(1 AS INT) AS layer, 'keys' AS name, n AS findings, n = 0 AS pass FROM k UNION ALL SELECT 2, 'metadata', n, n = 0 FROM f
-UNION ALL SELECT 3, 'bodies', n, n = 0 FROM b UNION ALL SELECT 4, 'serving', 0, true"""
+UNION ALL SELECT 3, 'bodies', n, n = 0 FROM b UNION ALL SELECT 4, 'serving', n, n = 0 FROM ({replay.SERVING_FOUND})"""
 )
 def parity_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four layers of a parity run over the planted differences; serving decisions agree."""
+    """The four layers of a parity run over the planted differences."""
     from . import catalogue
 
-    here = catalogue.serve_decision(spark, sf_dir)
     return runs.parity_layers(
-        catalogue.parity_keys(spark, sf_dir), catalogue.parity_meta(spark, sf_dir), catalogue.parity_bodies(spark, sf_dir), here.exceptAll(here)
+        catalogue.parity_keys(spark, sf_dir), catalogue.parity_meta(spark, sf_dir), catalogue.parity_bodies(spark, sf_dir), replay.serving_parity(spark, sf_dir)
     )
 
 

@@ -190,3 +190,33 @@ def recorded_cdx(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree.write_tree(files.select(F.concat(F.lit("cdx/"), name).alias("path"), "content"), root)
     found = recorded.read_cdx(spark, root).where("statuscode IN ('200', '404') AND timestamp >= '2014020' AND timestamp < '2015' AND original LIKE 'http%'")
     return found.select("url", "page", "timestamp", "original", "digest", F.concat(F.lit(keys.ARCHIVE), "timestamp", F.lit("/"), "original").alias("replay"))
+
+
+#: Two mirrors' answers for the first keys of each status, with differences planted by a page's number.
+_SERVED = f"""{CAPTURES},
+k AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY key) AS n FROM captures),
+a AS (SELECT key, page_id % 9 AS d, status, CASE status WHEN 'body' THEN 200 WHEN 'empty' THEN 200 WHEN 'redirect' THEN 302 ELSE 404 END AS s, octet_length(encode(html)) AS size FROM k WHERE n <= 20),
+b AS (SELECT *, CASE WHEN d = 0 THEN 404 ELSE s END AS z, s = 200 AND d > 0 AND d <> 1 AS typed FROM a),
+missed AS (SELECT *, octet_length(encode('<title>Not in <mirror-host></title>' || replace(key, '&', '&amp;'))) AS note FROM b)"""
+_SERVED_ROWS = """SELECT key, 'status' AS field, 'root ' || s AS expected, 'bucket ' || z AS actual FROM missed WHERE s <> z
+UNION ALL SELECT key, 'content-type', 'root ' || CASE WHEN s = 302 THEN 'null' ELSE 'text/html' END, 'bucket ' || CASE WHEN d = 0 THEN 'text/html; charset=utf-8' ELSE 'application/octet-stream' END FROM missed WHERE s <> z OR s = 200 AND d = 1
+UNION ALL SELECT key, 'location', 'root /web/2014/http://to.example.com/', 'bucket ' || CASE WHEN d = 0 THEN 'null' ELSE '/web/2014/http://other.example.com/' END FROM missed WHERE s = 302 AND d IN (0, 3)
+UNION ALL SELECT key, 'body', 'root ' || CASE WHEN status = 'body' THEN size ELSE 0 END || 'B', 'bucket ' || CASE WHEN d = 0 THEN note ELSE size + 1 END || 'B' FROM missed WHERE s <> z OR status = 'body' AND d = 2"""
+SERVING_FOUND = f"WITH {_SERVED} SELECT count(*) AS n FROM ({_SERVED_ROWS})"
+
+
+@query(f"WITH {_SERVED} {_SERVED_ROWS}")
+def serving_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a store and a bucket answer differently, for the first keys of each status and one that neither has."""
+    c = captures(spark, sf_dir).withColumn("d", F.col("page_id") % 9)
+    place = lambda host: F.concat(F.lit("/web/2014/http://"), host, F.lit(".example.com/"))
+    root = c.select("key", "d", "status", F.lit("text/html").alias("content_type"), place(F.lit("to")).alias("location"), F.encode("html", "UTF-8").alias("body"))
+    bucket = root.where("d > 0").select(
+        "key",
+        "status",
+        F.when(F.col("d") == 1, "").otherwise(F.col("content_type")).alias("content_type"),
+        F.when(F.col("d") == 3, place(F.lit("other"))).otherwise(F.col("location")).alias("location"),
+        F.when(F.col("d") == 2, F.concat("body", F.lit(b"x"))).otherwise(F.col("body")).alias("body"),
+    )
+    wanted = verify.sample_per_status(c, 20).select("key").unionByName(spark.createDataFrame([("2014/http://parity.invalid/absent",)], "key string"))
+    return verify.serving_parity(verify.served(wanted, root, "a.example:1"), verify.served(wanted, bucket, "b.example:22"), "a.example:1", "b.example:22")
