@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, keys, text
@@ -46,6 +46,13 @@ def commit(responses: DataFrame) -> DataFrame:
     )
 
 
+def dynamic_json(entry: Column) -> Column:
+    """A browser-found entry (struct key, flag, via, firstSeen) in JSON: its flag is always there, null if it has none."""
+    fields = ["key", "flag", "via"]
+    shown = lambda names: F.to_json(F.struct(*[entry[n].alias(n) for n in sorted(names)]), {"ignoreNullFields": "false"})
+    return F.when(entry["firstSeen"].isNotNull(), shown([*fields, "firstSeen"])).otherwise(shown(fields))
+
+
 def merge_dynamic(prior: DataFrame, found: DataFrame) -> DataFrame:
     """Browser-found entries (doc, key, flag, via, firstSeen): existing ones win, conflicts among new ones raise."""
     fields = ["flag", "via", "firstSeen"]

@@ -323,3 +323,38 @@ def parity_layers(missing: DataFrame, fields: DataFrame, bodies: DataFrame, serv
     every = count(missing, 1, "keys").unionByName(count(fields, 2, "metadata"))
     every = every.unionByName(count(bodies, 3, "bodies")).unionByName(count(serving, 4, "serving"))
     return every.withColumn("pass", F.col("findings") == 0)
+
+
+def locale_order(*columns: Column | str) -> list[Column]:
+    """The columns as sort keys in the order of the Unicode collation, as browsers compare strings without a locale."""
+    return [F.collate(c, "UNICODE") for c in columns]
+
+
+def ordered_refs(refs: DataFrame) -> DataFrame:
+    """Source references (source, timestamp, original) with their place in collation order: source, timestamp, original."""
+    number = F.row_number().over(Window.partitionBy("source").orderBy(*locale_order("timestamp", "original")))
+    return refs.select("source", "timestamp", "original", number.alias("n"))
+
+
+def exact_captures(cdx: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The index's row of each wanted capture (url, timestamp), whatever its status: null where it has none.
+
+    cdx: url, ord, timestamp, original, statuscode, mimetype. Of rows with
+    that very timestamp the first by ord counts; a longer or shorter one is
+    another capture.
+    """
+    row = F.struct("ord", "original", "statuscode", "mimetype")
+    first = cdx.groupBy("url", "timestamp").agg(F.min(row).alias("row"))
+    return wanted.select("url", "timestamp").join(first, ["url", "timestamp"], "left").select(
+        "url", "timestamp", "row.original", "row.statuscode", "row.mimetype"
+    )
+
+
+def audit_todo(scope: DataFrame, done: DataFrame, limit: int | None = None) -> DataFrame:
+    """What an audit has left: the scope's first ``limit`` captures by key, less those with a verdict in the checkpoint.
+
+    The limit is the run's own (a report of the first few), and counts
+    captures that are done.
+    """
+    ordered = scope.orderBy("key")
+    return (ordered.limit(limit) if limit is not None else ordered).join(done.select("key").distinct(), "key", "left_anti")

@@ -894,4 +894,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from . import more, replay  # noqa: E402, F401  register their queries, too
+from . import files, more, replay  # noqa: E402, F401  register their queries, too

@@ -118,6 +118,22 @@ def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     return parse_manifests(raw.where(~F.col("file").rlike(r"/(\.[^/]*|node_modules)/")))
 
 
+def discover_manifests(spark: SparkSession, root: str) -> DataFrame:
+    """(file from the root, json, ord) of every ``wayback.json`` below a root, in the order of the Unicode collation.
+
+    Dot folders and ``node_modules`` are not looked into; a missing root has none.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "file string, json string, ord int")
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "wayback.json").text(root, wholetext=True)
+    base = root.rstrip("/").split("/")[-1]
+    found = files.select(F.regexp_extract("_metadata.file_path", rf"/{base}/(.*)\z", 1).alias("file"), F.col("value").alias("json"))
+    found = found.where(~F.col("file").rlike(r"(^|/)(\.[^/]*|node_modules)/"))
+    # One row a manifest file: an ordering of the ledger's files.
+    return found.withColumn("ord", F.row_number().over(Window.orderBy(F.collate("file", "UNICODE"), "file")))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a JSON lines ledger; blank and torn lines are skipped."""
     lines = spark.read.text(path).where(F.try_parse_json("value").isNotNull())
