@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, text
 from ..functions.canonical import canonical_json
-from ..operators import build, relations, runs
+from ..operators import build, graph, runs
 from ..sources import store, tree
 from ..streaming import bodies, ledgers
-from .catalogue import CAPTURES, captures, query, table
+from .catalogue import CAPTURES, EDGES, assets, captures, query, table
 
 
 def _written(files: DataFrame, name: str) -> str:
@@ -245,3 +245,26 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.expr("'x' || repeat('é', cast(page_id % 50 AS int)) || ' see(archive.org/' || page_id || ') ' || url")
     hits = table(spark, sf_dir, "pages").where("url IS NOT NULL").select("page_id", F.get(text.bare_hits(body), 0).alias("h"))
     return hits.select("page_id", "h.token", "h.excerpt")
+
+
+@query(
+    f"""WITH {CAPTURES}, {EDGES}, roots AS (SELECT key FROM captures WHERE page_id % 5 = 0),
+marked AS (SELECT key FROM roots UNION SELECT child FROM edges WHERE parent IN (SELECT key FROM roots)),
+side AS (SELECT key, hash, status, page_id, url FROM captures UNION ALL SELECT child, sha256(child), 'body', 0, NULL FROM (SELECT DISTINCT child FROM edges)
+  UNION ALL SELECT '2013' || substr(key, 5), sha256('2013' || substr(key, 5)), 'empty', page_id, url FROM captures WHERE page_id % 2 = 0),
+g AS (SELECT * FROM side WHERE key NOT IN (SELECT key FROM marked) AND page_id % 3 < 2)
+SELECT hash, key, 'meta/' || substr(hash, 1, 2) || '/' || hash || '.json' AS meta_object, CASE WHEN status = 'body' THEN 'cap/' || substr(hash, 1, 2) || '/' || hash ELSE '' END AS cap_object,
+  CASE WHEN substr(key, strpos(key, '/') + 1) IN (SELECT substr(key, strpos(key, '/') + 1) FROM marked) THEN 're-pointed' ELSE 'de-waybacked' END AS reason,
+  CAST(CASE WHEN status = 'body' THEN 2 ELSE 1 END AS BIGINT) AS objects FROM g"""
+)
+def sweep_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures that no root reaches and that are old enough, why, and how many objects each takes along."""
+    c = captures(spark, sf_dir)
+    edges, _ = assets(spark, sf_dir)
+    marked = graph.reachable(edges, c.where("page_id % 5 = 0").select("key"))
+    at = F.when(F.col("page_id") % 3 < 2, "2024-01-01T00:00:00Z").otherwise("2025-01-01T00:00:00Z").alias("fetched_at")
+    older = c.where("page_id % 2 = 0").select(F.expr("concat('2013', substring(key, 5))").alias("key"), F.lit("empty").alias("status"), at)
+    children = edges.select(F.col("child").alias("key"), F.lit("body").alias("status"), F.lit("2024-01-01T00:00:00Z").alias("fetched_at")).distinct()
+    found = graph.sweep_manifest(c.select("key", "status", at).unionByName(children).unionByName(older), marked, F.lit("2024-06-01T00:00:00Z"), "g1")
+    taken = graph.sweep_actions(found, "g1", marked).groupBy("hash").agg(F.count("*").alias("objects"))
+    return found.join(taken, "hash").select("hash", "key", "meta_object", F.coalesce("cap_object", F.lit("")).alias("cap_object"), "reason", "objects")

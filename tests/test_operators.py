@@ -220,3 +220,27 @@ def test_build_of_a_remastered_tree(spark):
     side = spark.createDataFrame([("k1", "body", "h1", 5), ("k2", "error", None, None)], "key string, status string, content_hash string, content_length long")
     entries = spark.createDataFrame([("k1", "h2", True, 9), ("k2", None, False, None)], "key string, output_hash string, rewritten boolean, output_length int")
     assert {tuple(r) for r in build.remastered_sidecars(side, entries).collect()} == {("k1", "body", "h2", 9), ("k2", "error", None, None)}
+
+
+def test_marks_are_written_linearly(spark):
+    """A long chain beside a wide level: each key is written a few times, not once a level."""
+    chain = [(f"k{i}", f"k{i + 1}") for i in range(60)] + [("k60", "k3"), ("k5", None), (None, "x")]
+    wide = [("k0", f"w{i}") for i in range(3_000)] + [(f"w{i}", "k1") for i in range(3_000)]
+    edges = spark.createDataFrame(chain + wide, "parent string, child string").coalesce(2)
+    found = graph.reachable(edges, spark.createDataFrame([("k0",), ("k0",), (None,)], "key string"))
+    rows = {r["key"]: r["depth"] for r in found.collect()}
+    assert found.count() == len(rows) == 3_061 and rows["k60"] == 60 and rows["w7"] == 1 and "x" not in rows
+    folder = found.inputFiles()[0].rpartition("/")[0].rpartition("/")[0]
+    assert spark.read.option("recursiveFileLookup", True).parquet(folder).count() < 6 * 3_061
+
+
+def test_sweeps_refuse_what_moved(spark):
+    side = [("2014/http://a.com/", "body", "2020"), ("2015/http://a.com/", "empty", "2020"), ("2014/http://b.com/", "body", None), ("2014/http://c.com/", "error", "2030")]
+    marked = spark.createDataFrame([("2015/http://a.com/",)], "key string")
+    found = graph.sweep_manifest(spark.createDataFrame(side, "key string, status string, fetched_at string"), marked, F.lit("2025"), "g1")
+    assert [(r["key"], r["reason"], r["cap_object"] is None) for r in found.collect()] == [("2014/http://a.com/", "re-pointed", False)]
+    assert sorted(r["object"][:4] for r in graph.sweep_actions(found, "g1", marked).collect()) == ["cap/", "meta"]
+    with pytest.raises(Exception, match="of generation g1"):
+        graph.sweep_actions(found, "g2", marked).collect()
+    with pytest.raises(Exception, match="is reachable"):
+        graph.sweep_actions(found, "g1", marked.unionByName(found.select("key"))).collect()
