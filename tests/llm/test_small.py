@@ -120,6 +120,34 @@ def test_prefixes_share_a_key():
                 assert len(np.intersect1d(made.keys(a), made.keys(b)))
 
 
+def plain_chains(text):
+    """Anchors with the two content words that follow each, spelled out; anchors by the words' own rule."""
+    import xxhash
+
+    words = []
+    for w in (text or "").encode().split():
+        bare = w.lower().strip(b".,;:!?\"'()[]{}*#$%&|<>-_") or w
+        anchor = bare.decode() in spot_signatures.COMMON or (xxhash.xxh3_64_intdigest(bare) >> 1) % 32 == 0
+        words.append((bare, anchor))
+    out = set()
+    for i, (w, anchor) in enumerate(words):
+        after = [x for x, a in words[i + 1 :] if not a][:2]
+        if anchor and len(after) == 2:
+            out.add((w, *after))
+    return out or ({tuple(w for w, _ in words)} if words else set())
+
+
+def test_signatures_are_chains_after_anchors(rows):
+    texts = [t for _, t, *_ in rows if t] + ["the cat sat on a mat, and THE dog lay by (the) door", "of the and", "cat dog", "the cat"]
+    texts += [texts[-4].replace("dog", "fox"), "la maison de mon père est à côté du jardin de ma mère"]
+    chains, signed = [plain_chains(t) for t in texts], [spot_signatures.signatures(t) for t in texts]
+    assert [len(s) for s in signed] == [len(c) for c in chains]
+    for a, x in zip(chains, signed, strict=True):
+        for b, y in zip(chains, signed, strict=True):
+            if all(len(c) > 1 or any(len(k) == 3 for k in c) for c in (a, b)):
+                assert spot_signatures.likeness(x, y) == len(a & b) / len(a | b)
+
+
 def test_fingerprints(docs, rows):
     found = spot_signatures.fingerprint_documents(docs).collect()
     assert len(found) == len(rows)
