@@ -50,8 +50,10 @@ def audit_verdicts(scope: DataFrame, cdx: DataFrame, responses: DataFrame) -> Da
     rows = scope.select("url", keys.capture_key(r["timestamp"], r["original"]).alias("key"))
     rows = rows.join(cdx.select("key", "statuscode", F.col("error").alias("cdx_error"), F.lit(True).alias("listed")), "key", "left")
     rows = rows.join(responses.select("url", "status", "content_type", "body", F.col("error").alias("fetch_error")), "url", "left")
-    page = text.audit_strip(F.col("body"))
-    rows = rows.withColumn("v", classify.replay_verdict(classify.title_of(page), classify.text_of(page)))
+    # Page, title and text stand behind a select each, so that every use of them reads one value.
+    rows = rows.withColumn("_page", text.audit_strip(F.col("body")))
+    rows = rows.withColumns({"_title": classify.title_of(F.col("_page")), "_text": classify.text_of(F.col("_page"))})
+    rows = rows.withColumn("v", classify.replay_verdict(F.col("_title"), F.col("_text")))
     none = F.lit(None).cast("string")
     rows = rows.withColumn("i", classify.interstitial(F.col("key"), F.col("content_type"), F.col("body"), none))
     fits = classify.is_htmlish(F.col("content_type"), with_plain=True)
