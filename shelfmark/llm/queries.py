@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import license_scan, toxicity, treap_search
 from .bpe_stream import transcode_digests
-from .common import held_out
+from .common import drop_scratch, held_out
 from .language_id import identify
 from .language_id import train as train_languages
 from .line_dedup import dedup_lines
@@ -22,6 +22,8 @@ from .spelling import spelling_variants
 from .spot_signatures import fingerprint_documents
 from .substring_dedup import remove_repeats
 
+__all__ = ["drop_scratch", "oracle_sql", "queries"]
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
