@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import keys
@@ -27,11 +27,12 @@ class _Marks:
     def read(self, paths: list[str]) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*paths)
 
-    def written(self, rows: DataFrame) -> str:
+    def written(self, rows: DataFrame) -> tuple[str, int]:
+        """A new table's path and how many rows it has, counted as they are written."""
         self.made += 1
-        path = f"{self.folder}/{self.made}"
-        rows.write.parquet(path)
-        return path
+        path, seen = f"{self.folder}/{self.made}", Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        return path, seen.get["n"]
 
     def add(self, path: str) -> None:
         tier = 0
@@ -41,7 +42,7 @@ class _Marks:
             self.tiers[tier].append(path)
             if len(self.tiers[tier]) < FAN:
                 return
-            path = self.written(self.read(self.tiers[tier]).coalesce(self.spark.sparkContext.defaultParallelism))
+            path, _ = self.written(self.read(self.tiers[tier]).coalesce(self.spark.sparkContext.defaultParallelism))
             self.tiers[tier] = []
             tier += 1
 
@@ -59,17 +60,16 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     marked keys are not written again. Null keys are nothing.
     """
     marks = _Marks(roots)
-    level = marks.written(roots.select("key").where("key IS NOT NULL").distinct().select("key", F.lit(0).alias("depth")))
-    depth = 0
-    while not marks.read([level]).isEmpty():
+    level, n = marks.written(roots.select("key").where("key IS NOT NULL").distinct().select("key", F.lit(0).alias("depth")))
+    first, depth = level, 0
+    while n:
         marks.add(level)
         depth += 1
         front = marks.read([level]).select(F.col("key").alias("parent"))
         step = edges.join(front, "parent").select(F.col("child").alias("key")).where("key IS NOT NULL").distinct()
-        candidates = marks.read([marks.written(step.select("key", F.lit(depth).alias("depth")))])
-        known = marks.all().join(candidates.select("key"), "key", "left_semi").select("key").distinct()
-        level = marks.written(candidates.join(known, "key", "left_anti"))
-    return marks.all() if marks.tiers else marks.read([level])
+        known = marks.all().join(step, "key", "left_semi").select("key").distinct()
+        level, n = marks.written(step.join(known, "key", "left_anti").select("key", F.lit(depth).alias("depth")))
+    return marks.all() if marks.tiers else marks.read([first])
 
 
 def sweep_plan(inventory: DataFrame, marked: DataFrame) -> DataFrame:

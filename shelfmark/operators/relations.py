@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, keys
+from ..functions.text import has_resource_extension
 from .prefixes import beginning_with
 
 
@@ -205,12 +206,21 @@ def upstream_classes(references: DataFrame, sidecars: DataFrame, frontier: DataF
         F.when(F.col("held"), "in-store")
         .when(classify.is_unmirrorable(keys.key_original(F.col("key"))), "unmirrorable")
         .when(F.col("ahead"), "frontier")
-        .when(F.col("resource"), "resource")
+        .when(F.col("resource") | has_resource_extension(keys.key_original(F.col("key"))), "resource")
         .otherwise("page")
     )
     return ids.join(held, "key", "left").join(ahead, "key", "left").select("key", kind.alias("class"), "docs", "first_doc")
 
 
+def union_frontier(edges: DataFrame) -> DataFrame:
+    """(key): every child that any document records, without its fragment, once.
+
+    edges: parent, child, and error (of browser-found entries, null if sound):
+    children of broken entries are not recorded.
+    """
+    return edges.where("error IS NULL").select(keys.strip_fragment(F.col("child")).alias("key")).distinct()
+
+
 def class_entries(classes: DataFrame) -> DataFrame:
     """The references of each upstream class by key, as a report lists them; sorted by range over the executors."""
     return classes.select("class", "key", "docs").orderBy("class", "key")

@@ -162,20 +162,41 @@ def is_csp_violation(message: Column) -> Column:
     return F.coalesce(message.rlike("(?i)content security policy|refused to (load|connect|execute|apply|frame)"), F.lit(False))
 
 
-def unmatched_escapes(escapes: DataFrame, policy: DataFrame) -> DataFrame:
-    """Escapes whose host no policy row allows; a row allows its host and hosts under it.
+def compiled_policy(raw: DataFrame) -> DataFrame:
+    """The entries of escape policies in JSON (file, json): ord, host, reason. Hosts are trimmed and lowered, empty ones dropped.
 
-    Hosts are exploded into their label suffixes, so the match is an equi-join.
+    Entries keep their order within a file and files theirs by name; what is
+    no policy has none.
     """
-    labels = F.split(keys.hostname(F.col("url")), "[.]")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.lit(1_000)), "."))
-    allowed = (
-        escapes.select("url", F.explode(suffixes).alias("host"))
-        .join(policy.where("host <> ''").select(F.lower("host").alias("host")), "host", "left_semi")
-        .select("url")
-        .distinct()
-    )
-    return escapes.join(allowed, "url", "left_anti")
+    read = F.from_json("json", "version INT, escapes ARRAY<STRUCT<host:STRING,reason:STRING>>")
+    rows = raw.select("file", F.posexplode(read["escapes"]).alias("pos", "e"))
+    rows = rows.select("file", "pos", F.lower(F.trim("e.host")).alias("host"), F.coalesce("e.reason", F.lit("")).alias("reason"))
+    return rows.where("host <> ''").select(F.struct("file", "pos").alias("ord"), "host", "reason")
+
+
+def _under_hosts(urls: DataFrame, policy: DataFrame) -> DataFrame:
+    """(url, host, the policy row's other columns) of distinct URLs and policy hosts that are theirs or above them.
+
+    A host is exploded into its label suffixes, as many as a policy host has
+    labels at most, so the match is an equi-join.
+    """
+    most = policy.agg(F.max(F.size(F.split("host", "[.]")))).first()[0] or 0  # one number of a policy
+    n = F.size("labels")
+    suffixes = F.transform(F.sequence(F.greatest(n - most + 1, F.lit(1)), n), lambda i: F.array_join(F.slice("labels", i, n), "."))
+    split = urls.select("url").distinct().select("url", F.split(keys.hostname(F.col("url")), "[.]").alias("labels")).where("labels IS NOT NULL")
+    return split.select("url", F.explode(suffixes).alias("host")).join(policy, "host")
+
+
+def policy_matches(urls: DataFrame, policy: DataFrame) -> DataFrame:
+    """Each distinct URL with the first policy entry (by ord) that allows its host: url, host, reason, null where none does."""
+    first = _under_hosts(urls, policy).groupBy("url").agg(F.min(F.struct("ord", "host", "reason")).alias("m"))
+    return urls.select("url").distinct().join(first, "url", "left").select("url", "m.host", "m.reason")
+
+
+def unmatched_escapes(escapes: DataFrame, policy: DataFrame) -> DataFrame:
+    """Escapes whose host no policy row allows; a row allows its host and hosts under it."""
+    known = policy.select(F.lower(F.trim("host")).alias("host")).where("host <> ''").distinct()
+    return escapes.join(_under_hosts(escapes, known).select("url").distinct(), "url", "left_anti")
 
 
 def fill_plan(worklist: DataFrame, settled: DataFrame) -> DataFrame:

@@ -250,14 +250,25 @@ def interstitial_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT page_id, sha256(html) AS stripped_hash FROM pages")
-def chrome_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with the archive's additions put in and taken out again are the pages."""
-    dressed = F.expr(
-        """replace(html, '<head>', '<head><script src="/_static/js/a.js"></script><script>__wm.init("x");</script>
+#: Pages with the archive's additions, and some of their own that look like them.
+_WORN = """replace(html, '<head>', '<head><script src="/_static/js/a.js"></script><script>__wm.init("x");</script>
 <link href="https://web-static.archive.org/_static/css/b.css"/><!-- End Wayback Rewrite JS Include -->
-<!-- BEGIN WAYBACK TOOLBAR INSERT --><b>t</b><!-- END WAYBACK TOOLBAR INSERT -->')"""
-    )
+<!-- BEGIN WAYBACK TOOLBAR INSERT --><b>t</b><!-- END WAYBACK TOOLBAR INSERT --><script src="/own.js"></script><link href="/css/_static.css"/><script>own();</script><!-- FILE ARCHIVED ON -->')"""
+
+
+@query(
+    rf"""WITH d AS (SELECT page_id, {_WORN} AS h FROM pages),
+a AS (SELECT page_id, regexp_replace(h, '<!--\s*BEGIN WAYBACK TOOLBAR INSERT\s*-->(?s:.*?)<!--\s*END WAYBACK TOOLBAR INSERT\s*-->', '', 'gi') AS h FROM d),
+b AS (SELECT page_id, regexp_replace(h, '<(script|link) (src|href)="(/_static/|https://web-static[.]archive[.]org/_static/)[^"]*"/?>(</script>)?[ 	]*
+?', '', 'gi') AS h FROM a),
+c AS (SELECT page_id, regexp_replace(h, '<script>[^<]*(__wm\.|archive_analytics)[^<]*</script>[ 	]*
+?', '', 'gi') AS h FROM b)
+SELECT page_id, sha256(regexp_replace(h, '<!--\s*End Wayback Rewrite JS Include\s*-->[ 	]*
+?', '', 'gi')) AS stripped_hash FROM c"""
+)
+def chrome_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without what the archive put in; their own scripts, styles and provenance comments stay."""
+    dressed = F.expr(_WORN)
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(text.without_chrome(dressed), 256).alias("stripped_hash"))
 
 
@@ -508,7 +519,7 @@ def dedupe_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT key, '2014/http://stats.wp.com/' || CAST(page_id % 3 AS VARCHAR), true FROM captures),
 i AS (SELECT split_part(key, '#', 1) AS key, count(DISTINCT parent) AS docs, bool_or(resource) AS resource, min(parent) AS first_doc FROM r GROUP BY 1)
 SELECT key, CASE WHEN key IN (SELECT key FROM held) THEN 'in-store' WHEN starts_with(key, '2014/http://stats') THEN 'unmirrorable'
-  WHEN key IN (SELECT child FROM edges WHERE dynamic) THEN 'frontier' WHEN resource THEN 'resource' ELSE 'page' END AS class, docs, first_doc FROM i"""
+  WHEN key IN (SELECT child FROM edges WHERE dynamic) THEN 'frontier' WHEN resource OR ends_with(key, '.png') THEN 'resource' ELSE 'page' END AS class, docs, first_doc FROM i"""
 )
 def upstream_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, held = assets(spark, sf_dir)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, text
 from ..functions.canonical import canonical_json
-from ..operators import build, graph, runs
+from ..operators import build, graph, relations, runs
 from ..sources import store, tree
 from ..streaming import bodies, ledgers
 from .catalogue import CAPTURES, EDGES, assets, captures, query, table
@@ -268,3 +268,35 @@ def sweep_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = graph.sweep_manifest(c.select("key", "status", at).unionByName(children).unionByName(older), marked, F.lit("2024-06-01T00:00:00Z"), "g1")
     taken = graph.sweep_actions(found, "g1", marked).groupBy("hash").agg(F.count("*").alias("objects"))
     return found.join(taken, "hash").select("hash", "key", "meta_object", F.coalesce("cap_object", F.lit("")).alias("cap_object"), "reason", "objects")
+
+
+_HOST = "lower(split_part(split_part(url, '://', 2), '/', 1))"
+
+
+@query(
+    f"""WITH h AS (SELECT {_HOST} AS host, min(page_id) AS id FROM pages GROUP BY 1),
+p AS (SELECT id AS ord, CASE WHEN id % 3 = 0 THEN host WHEN id % 3 = 1 THEN regexp_replace(host, '^[^.]*[.]', '') ELSE '' END AS host, 'r' || id AS reason FROM h),
+u AS (SELECT DISTINCT CASE WHEN page_id % 4 = 0 THEN 'https://evil' || {_HOST} || '/' ELSE url END AS url, CASE WHEN page_id % 4 = 0 THEN 'evil' ELSE '' END || {_HOST} AS place FROM pages)
+SELECT url, arg_min(p.host, ord) AS host, arg_min(reason, ord) AS reason FROM u LEFT JOIN p ON p.host <> '' AND (place = p.host OR ends_with(place, '.' || p.host)) GROUP BY url"""
+)
+def policy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first entry of a policy in JSON that allows a URL's host, at label boundaries; entries without a host are dropped."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(_HOST).alias("host"))
+    known = pages.groupBy("host").agg(F.min("page_id").alias("id"))
+    written = F.expr("CASE WHEN id % 3 = 0 THEN concat(' ', upper(host)) WHEN id % 3 = 1 THEN regexp_replace(host, '^[^.]*[.]', '') ELSE ' ' END")
+    entry = F.struct(written.alias("host"), F.concat(F.lit("r"), "id").alias("reason"))
+    raw = known.select(F.format_string("%012d.json", "id").alias("file"), F.to_json(F.struct(F.lit(1).alias("version"), F.array(entry).alias("escapes"))).alias("json"))
+    urls = pages.select(F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("https://evil"), "host", F.lit("/"))).otherwise(F.col("url")).alias("url"))
+    return runs.policy_matches(urls, runs.compiled_policy(raw))
+
+
+@query(
+    f"""WITH {CAPTURES}, {EDGES} SELECT child AS key FROM edges WHERE NOT dynamic OR CAST(regexp_extract(child, 'a([0-9]+)[.]png', 1) AS INT) % 3 > 0
+UNION SELECT split_part(key, '#', 1) FROM captures WHERE page_id % 2 = 0"""
+)
+def union_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all documents together record: requisites and sound browser-found entries, without fragments."""
+    edges, _ = assets(spark, sf_dir)
+    broken = F.col("dynamic") & (F.regexp_extract("child", "a([0-9]+)[.]png", 1).cast("int") % 3 == 0)
+    linked = captures(spark, sf_dir).where("page_id % 2 = 0").select(F.col("key").alias("parent"), F.concat("key", F.lit("#top")).alias("child"), F.lit(None).cast("string").alias("error"))
+    return relations.union_frontier(edges.select("parent", "child", F.when(broken, "unknown via").alias("error")).unionByName(linked))

@@ -305,7 +305,7 @@ def audit_verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {CAPTURES}, {EDGES}, k AS (SELECT child, CASE WHEN child IN (SELECT key FROM held) THEN 'in-store' WHEN child IN (SELECT child FROM edges WHERE dynamic) THEN 'frontier'
-  WHEN bool_or(flag IS NOT NULL) THEN 'resource' ELSE 'page' END AS class FROM edges GROUP BY child)
+  WHEN bool_or(flag IS NOT NULL) OR ends_with(child, '.png') THEN 'resource' ELSE 'page' END AS class FROM edges GROUP BY child)
 SELECT 'scanned' AS name, count(*) AS n FROM captures WHERE status = 'body' UNION ALL SELECT 'occurrences', count(*) FROM edges
 UNION ALL SELECT 'distinct', count(*) FROM k UNION ALL SELECT class, count(*) FROM k GROUP BY class"""
 )
@@ -790,7 +790,7 @@ def frontier_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {CAPTURES}, {EDGES}, k AS (SELECT child AS key, CASE WHEN child IN (SELECT key FROM held) THEN 'in-store' WHEN child IN (SELECT child FROM edges WHERE dynamic) THEN 'frontier'
-  WHEN bool_or(flag IS NOT NULL) THEN 'resource' ELSE 'page' END AS class, count(DISTINCT parent) AS docs FROM edges GROUP BY child)
+  WHEN bool_or(flag IS NOT NULL) OR ends_with(child, '.png') THEN 'resource' ELSE 'page' END AS class, count(DISTINCT parent) AS docs FROM edges GROUP BY child)
 SELECT class, key, docs FROM k ORDER BY class, key"""
 )
 def escape_classes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,15 @@ def read_sidecars(spark: SparkSession, root: str, policy: str = "strict") -> Dat
     return parse_sidecars(read_raw_sidecars(spark, root), policy)
 
 
+def read_for_projection(spark: SparkSession, root: str) -> DataFrame:
+    """Sidecars that are to be projected into a bucket: read strictly, and each at the very path that its key has."""
+    from ..functions.keys import meta_path
+
+    sidecars = read_sidecars(spark, root)
+    misplaced = F.raise_error(F.concat("path", F.lit(" is not the place of "), "key"))
+    return sidecars.withColumn("path", F.when(F.col("path") == meta_path(F.col("key")), F.col("path")).otherwise(misplaced))
+
+
 def read_raw_sidecars(spark: SparkSession, root: str) -> DataFrame:
     """(path from the root, json) of the sidecars below ``root/meta``."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(f"{root}/meta", wholetext=True)

@@ -9,6 +9,7 @@ can lie in any file system that pyarrow opens by URI.
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -101,14 +102,24 @@ def write_lines(rows: DataFrame, by: str, value: str, folder: str) -> None:
     rows.orderBy(by).select(value).write.mode("overwrite").text(folder)
 
 
-def fresh_root(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the shared folder (``spark.checkpoint.dir``); in local mode without one, a temporary one."""
-    import tempfile
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+def _shared(spark: SparkSession) -> str:
+    """The folder of this application's own files in the shared folder (``spark.checkpoint.dir``); in local mode without one, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("shelfmark.files", None)
     if not shared:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="shelfmark-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        spark.conf.set("shelfmark.files", shared)
+    return f"{shared.rstrip('/')}/shelfmark-files/{spark.sparkContext.applicationId}"
+
+
+def fresh_root(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder. It stays until :func:`drop_fresh` is called."""
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_fresh(spark: SparkSession) -> None:
+    """Delete all folders of :func:`fresh_root` of this application; results that are still lazy read them: write them first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_shared(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -107,3 +107,36 @@ def test_tree_refuses_paths_outside(spark, tmp_path):
     for _ in range(2):
         tree.write_tree(twice, "file://" + str(tmp_path / "t"))
     assert [p.name for p in (tmp_path / "t").rglob("*") if p.is_file()] == ["..b"]
+
+
+def test_projection_needs_each_sidecar_at_its_place(spark, tmp_path):
+    from shelfmark.sources import store
+
+    key = "2014/http://a.com/"
+    place = spark.range(1).select(store_path(key)).first()[0]
+    json_ = json.dumps({"v": 3, "key": key, "status": "empty"})
+    for n, path in enumerate((place, "meta/00/x.json")):
+        tree.write_tree(spark.createDataFrame([(path, json_)], "path string, content string"), str(tmp_path / f"r{n}"))
+    assert [r["key"] for r in store.read_for_projection(spark, str(tmp_path / "r0")).collect()] == [key]
+    with pytest.raises(Exception, match="is not the place of"):
+        store.read_for_projection(spark, str(tmp_path / "r1")).collect()
+
+
+def store_path(key):
+    from pyspark.sql import functions as F
+
+    from shelfmark.functions import keys
+
+    return keys.meta_path(F.lit(key))
+
+
+def test_fresh_roots_are_dropped_together(spark):
+    import os
+
+    roots = [tree.fresh_root(spark, "x") for _ in range(2)]
+    for root in roots:
+        tree.write_tree(spark.createDataFrame([("a", "b")], "path string, content string"), root)
+    local = [r.removeprefix("file://") for r in roots]
+    assert all(map(os.path.exists, local))
+    tree.drop_fresh(spark)
+    assert not any(map(os.path.exists, local))
