@@ -32,8 +32,9 @@ from .common import begin, fresh, materialise
 
 #: Lines of the runs that have owners of their own.
 RUNS = (2, 3)
-#: Bits of the filter that tells which texts may lose lines (8 MB, whatever the input).
-FILTER_BITS = 1 << 26
+#: Bits of the filter that tells which texts may lose lines: so many for each that does, in powers of two, at
+#: least and at most (8 KB to 8 MB). Beyond, more texts that lose none pass the filter, too.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 26
 
 
 def line_hashes(text: str) -> list[int]:
@@ -199,8 +200,11 @@ def deletions(docs: DataFrame) -> DataFrame:
 
 
 def _filter(gone: DataFrame) -> np.ndarray:
-    """Bits at two places for each text that loses lines; at most ``FILTER_BITS`` of them, in 64-bit words."""
-    places = F.array(F.col("key").bitwiseAND(FILTER_BITS - 1), F.shiftright("key", 32).bitwiseAND(FILTER_BITS - 1))
+    """Bits at two places for each text that loses lines, in 64-bit words: ``MOST_BITS`` at most."""
+    bits = LEAST_BITS
+    while bits < min(MOST_BITS, BITS_EACH * gone.count()):
+        bits *= 2
+    places = F.array(F.col("key").bitwiseAND(bits - 1), F.shiftright("key", 32).bitwiseAND(bits - 1))
     words = (
         gone.select(F.explode(places).alias("p"))
         .select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p & 63 AS int))").alias("bit"))
@@ -208,14 +212,14 @@ def _filter(gone: DataFrame) -> np.ndarray:
         .agg(F.bit_or("bit").alias("bits"))
     )
     found = words.toArrow()
-    out = np.zeros(FILTER_BITS >> 6, np.int64)
+    out = np.zeros(bits >> 6, np.int64)
     out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return out
 
 
 def _may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    found = np.ones(len(keys), bool)
-    for place in (keys & (FILTER_BITS - 1), keys >> 32 & (FILTER_BITS - 1)):
+    found, last = np.ones(len(keys), bool), 64 * len(bits) - 1
+    for place in (keys & last, keys >> 32 & last):
         found &= bits[place >> 6] >> (place & 63) & 1 == 1
     return found
 
@@ -232,8 +236,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     becomes empty; rows of one doc_id never shorten each other; a null id
     counts as smaller than all others. An empty table gives no rows.
 
-    Only texts that may lose lines are shuffled: a filter of fixed size tells
-    which.
+    Only texts that may lose lines are shuffled: a filter of bounded size
+    tells which.
     """
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
