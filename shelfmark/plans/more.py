@@ -94,7 +94,7 @@ SELECT page_id AS id, sha256({_LINKED.replace("'[t](' || url", "'[t](' || new").
 def archive_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links that the archive has an answer for, on two domains, become that answer; all else stays as it is."""
     docs = _linked(spark, sf_dir)
-    answers = docs.where("id % 3 <> 0").selectExpr("url", f"{_REPLAY} AS replay")
+    answers = docs.where("id % 3 <> 0").selectExpr("id", "url", f"{_REPLAY} AS replay")
     done, told = markdown.archive_links(docs, answers, None, ["example.com", "example.org"])
     counts = told.groupBy("id").agg(F.count("*").alias("replaced"))
     return done.join(counts, "id", "left").select("id", F.sha2("content", 256).alias("content"), F.coalesce("replaced", F.lit(0)).alias("replaced"))

@@ -244,3 +244,36 @@ def test_sweeps_refuse_what_moved(spark):
         graph.sweep_actions(found, "g2", marked).collect()
     with pytest.raises(Exception, match="is reachable"):
         graph.sweep_actions(found, "g1", marked.unionByName(found.select("key"))).collect()
+
+
+def queried(spark, tmp_path, name, pages):
+    """A query's rows over given pages (page_id, url), and those of its SQL."""
+    import duckdb
+
+    import __spark_entry__
+
+    made = spark.createDataFrame([(n, url, "<p>x") for n, url in pages], "page_id long, url string, html string")
+    made.coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    wanted = con.sql(__spark_entry__.oracle_sql()[name])
+    found = __spark_entry__.queries()[name](spark, str(tmp_path)).select(*wanted.columns)
+    return sorted(map(repr, map(tuple, found.collect()))), sorted(map(repr, wanted.fetchall()))
+
+
+def test_links_of_pages_with_one_address(spark, tmp_path):
+    url = "https://a.example.com/x"
+    found, wanted = queried(spark, tmp_path, "archive_links", [(1, url), (2, url + "#top"), (3, url), (4, "https://b.example.com/")])
+    assert found == wanted
+    assert [row.endswith("2)") for row in wanted] == [row.startswith(("(1", "(2", "(4")) for row in wanted]
+
+
+def test_answers_hold_once(spark):
+    from shelfmark.operators import markdown
+
+    docs = spark.createDataFrame([(1, "<http://a.com/>"), (2, "<http://a.com/>")], "id long, text string")
+    twice = spark.createDataFrame([("http://a.com/", "w2"), ("http://a.com/", "w1"), ("http://a.com/", None)], "url string, replay string")
+    done, told = markdown.archive_links(docs, twice)
+    assert sorted(r["content"] for r in done.collect()) == ["<w1>", "<w1>"] and told.count() == 2
+    done, told = markdown.archive_links(docs, twice.withColumn("id", F.lit(2).cast("long")))
+    assert [r["content"] for r in done.orderBy("id").collect()] == ["<http://a.com/>", "<w1>"] and told.count() == 1
