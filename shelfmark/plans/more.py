@@ -240,7 +240,7 @@ def host_behaviors(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = known.select(F.concat("host", F.lit(".json")).alias("file"), F.to_json(F.struct(fqdns.alias("fqdns"))).alias("json"))
     urls = pages.withColumn("url", F.expr("url || CASE WHEN page_id % 3 = 0 THEN '' ELSE '?x' END"))
     spelled = urls.withColumn("as", F.when(F.col("page_id") % 2 == 0, F.expr("replace(url, host, upper(host) || '.')")).otherwise(F.col("url")))
-    found = store.host_behaviors(spelled.select(F.col("as").alias("url")), store.parse_universe(raw)).withColumnRenamed("url", "as")
+    found = store.host_behaviors(spelled.select(F.col("as").alias("url")).distinct(), store.parse_universe(raw)).withColumnRenamed("url", "as")
     return spelled.join(found, "as").select("url", "behavior", "value")
 
 

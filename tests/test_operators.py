@@ -286,3 +286,9 @@ PAGES = [(n, f"https://a.example.com/{path}") for n, path in ((1, "x"), (3, "x1"
 def test_manifest_of_links_that_begin_alike(spark, tmp_path, name):
     found, wanted = queried(spark, tmp_path, name, [*PAGES, (11, None)])
     assert found == wanted
+
+
+def test_behaviours_of_one_address_twice(spark, tmp_path):
+    url = "https://a.example.com/x"
+    found, wanted = queried(spark, tmp_path, "host_behaviors", [(2, url), (4, url), (6, url), (7, url), (13, url)])
+    assert found == wanted and len(found) == 5
