@@ -140,3 +140,31 @@ def test_fresh_roots_are_dropped_together(spark):
     assert all(map(os.path.exists, local))
     tree.drop_fresh(spark)
     assert not any(map(os.path.exists, local))
+
+
+def most_tasks(spark, group):
+    """The largest number of tasks that a stage of a job group had."""
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    return max(s.numTasks for s in stages if s)
+
+
+def spread(spark, root, name="{0}/{0}.json"):
+    """A tree of 60 files in as many folders; returns their paths."""
+    paths = [name.format(f"{n:02d}") for n in range(60)]
+    tree.write_tree(spark.createDataFrame([(p, p) for p in paths], "path string, content string").coalesce(2), root)
+    return paths
+
+
+def test_streamed_bodies_cost_the_driver_no_task_each(spark, tmp_path):
+    root, state = str(tmp_path / "root"), str(tmp_path / "state")
+    paths = spread(spark, root, "cap/{0}/{0}")
+    query = bodies.verify_bodies(bodies.stream_bodies(spark, root, 50), state)
+    query.awaitTermination()
+    assert sorted(r["path"] for r in bodies.found_bodies(spark, state).collect()) == paths
+    assert sorted(p["numInputRows"] for p in query.recentProgress if p["numInputRows"]) == [10, 50]
+    assert most_tasks(spark, str(query.runId)) < 40
+    # A body that was written anew is hashed anew.
+    tree.write_tree(spark.createDataFrame([("cap/07/07", "other")], "path string, content string"), root)
+    bodies.verify_bodies(bodies.stream_bodies(spark, root, 50), state).awaitTermination()
+    assert [r["length"] for r in bodies.found_bodies(spark, state).where("path = 'cap/07/07'").orderBy("length").collect()] == [5, 9]
