@@ -1,7 +1,8 @@
 """Readers of stores, manifests and ledgers, with three policies for defects.
 
 strict raises on the first defect, lenient skips unreadable rows, collect
-turns every defect into a column. Paths are read by Spark, from any file system.
+turns every defect into a column. Files of stores and of manifests are listed
+and read by tasks (:mod:`.tree`); ledgers and records in lines by Spark's readers.
 """
 
 from __future__ import annotations
@@ -9,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.steps import settle
+from . import tree
+
 SIDECAR = (
     "v INT, key STRING, contentType STRING, status STRING, contentHash STRING, contentLength BIGINT,"
     " signature STRING, target STRUCT<url:STRING,timestamp:STRING>, requisites ARRAY<STRING>, flag STRING,"
@@ -36,15 +40,15 @@ def read_for_projection(spark: SparkSession, root: str) -> DataFrame:
 
 def read_raw_sidecars(spark: SparkSession, root: str) -> DataFrame:
     """(path from the root, json) of the sidecars below ``root/meta``."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(f"{root}/meta", wholetext=True)
-    return files.select(F.regexp_extract("_metadata.file_path", r"(meta/[^/]+/[^/]+)$", 1).alias("path"), F.col("value").alias("json"))
+    files = tree.read_tree(spark, f"{root.rstrip('/')}/meta", "*.json")
+    return files.select(F.concat(F.lit("meta/"), "path").alias("path"), F.col("content").cast("string").alias("json"))
 
 
-def parse_sidecars(raw: DataFrame, policy: str = "strict") -> DataFrame:
-    """(path, json) to sidecar rows by policy."""
+def parse_sidecars(raw: DataFrame, policy: str = "strict", *more: str) -> DataFrame:
+    """(path, json) to sidecar rows by policy, with more columns of raw beside them."""
     parsed = raw.withColumn("_v", F.try_parse_json("json"))
     isobject = F.coalesce(F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT")), F.lit(False))
-    read = parsed.select("path", isobject.alias("_ok"), F.from_json("json", SIDECAR).alias("s"))
+    read = parsed.select("path", *more, isobject.alias("_ok"), F.from_json("json", SIDECAR).alias("s"))
     defect = (
         F.when(~F.col("_ok"), "not an object")
         .when(F.col("s.v").isNull() | (F.col("s.v") != 3), "version")
@@ -65,7 +69,7 @@ def parse_sidecars(raw: DataFrame, policy: str = "strict") -> DataFrame:
     names = [f.split(" ")[0] for f in SIDECAR.replace(", ", "\n").split("\n") if " " in f]
     fields = ["v", "key", "contentType", "status", "contentHash", "contentLength", "signature", "target", "requisites", "flag", "dynamic", "fetchedAt"]
     assert set(fields) <= set(names)
-    return read.select("path", "defect", *[F.col(f"s.{f}").alias(snake.get(f, f)) for f in fields])
+    return read.select("path", "defect", *[F.col(f"s.{f}").alias(snake.get(f, f)) for f in fields], *more)
 
 
 def edges_of(sidecars: DataFrame) -> DataFrame:
@@ -81,13 +85,12 @@ def edges_of(sidecars: DataFrame) -> DataFrame:
 
 def read_bodies(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     """Bodies below ``root/cap``: path and length; with their bytes and digest only if asked for."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{root}/cap")
-    path = F.regexp_extract("path", r"(cap/[^/]+/[^/]+)$", 1).alias("path")
+    folder, path = f"{root.rstrip('/')}/cap", F.concat(F.lit("cap/"), "path").alias("path")
     if not content:
-        return files.select(path, "length")
+        return tree.list_tree(spark, folder).select(path, "length")
     from ..functions.keys import sri
 
-    return files.select(path, "length", sri(F.col("content")).alias("digest"), "content")
+    return tree.read_tree(spark, folder).select(path, "length", sri(F.col("content")).alias("digest"), "content")
 
 
 def parse_manifests(raw: DataFrame) -> DataFrame:
@@ -97,34 +100,23 @@ def parse_manifests(raw: DataFrame) -> DataFrame:
     m = m.withColumn("file", F.when(F.coalesce(F.col("m.version") == 2, F.lit(False)), F.col("file")).otherwise(bad))
     none = F.lit(None).cast("string")
 
-    def listed(section: str) -> DataFrame:
-        return m.select("file", F.posexplode(f"m.{section}").alias("pos", "url")).select(
-            "file", F.lit(section).alias("section"), "pos", "url", none.alias("target"), none.alias("timestamp")
-        )
+    def told(section: str, pos, url, target=none, timestamp=none):
+        return F.struct(F.lit(section).alias("section"), pos.alias("pos"), url.alias("url"), target.alias("target"), timestamp.alias("timestamp"))
 
-    rewrites = m.select("file", F.posexplode(F.map_entries("m.rewrites")).alias("pos", "e")).select(
-        "file", F.lit("rewrites").alias("section"), "pos", F.col("e.key").alias("url"), F.col("e.value").alias("target"), none.alias("timestamp")
-    )
-    entries = m.select("file", F.posexplode(F.map_entries("m.entries")).alias("pos", "e")).select(
-        "file",
-        F.lit("entries").alias("section"),
-        "pos",
-        F.col("e.key").alias("url"),
-        F.col("e.value.wayback").alias("target"),
-        F.col("e.value.timestamp").alias("timestamp"),
-    )
-    return listed("noRewrite").unionByName(listed("exclude")).unionByName(rewrites).unionByName(entries)
+    # All sections in one pass: files are read once.
+    sections = [
+        F.transform("m.noRewrite", lambda url, pos: told("noRewrite", pos, url)),
+        F.transform("m.exclude", lambda url, pos: told("exclude", pos, url)),
+        F.transform(F.map_entries("m.rewrites"), lambda e, pos: told("rewrites", pos, e["key"], e["value"])),
+        F.transform(F.map_entries("m.entries"), lambda e, pos: told("entries", pos, e["key"], e["value"]["wayback"], e["value"]["timestamp"])),
+    ]
+    return m.select("file", F.explode(F.flatten(F.array_compact(F.array(*sections)))).alias("e")).select("file", "e.*")
 
 
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     """Verdicts of every ``wayback.json`` below a folder, but not below dot folders or ``node_modules``."""
-    raw = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "wayback.json")
-        .text(root, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("json"))
-    )
-    return parse_manifests(raw.where(~F.col("file").rlike(r"/(\.[^/]*|node_modules)/")))
+    files = tree.with_content(tree.list_tree(spark, root, "wayback.json", "node_modules"), root)
+    return parse_manifests(files.select(F.concat(F.lit(root.rstrip("/") + "/"), "path").alias("file"), F.col("content").cast("string").alias("json")))
 
 
 def discover_manifests(spark: SparkSession, root: str) -> DataFrame:
@@ -135,12 +127,14 @@ def discover_manifests(spark: SparkSession, root: str) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], "file string, json string, ord int")
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "wayback.json").text(root, wholetext=True)
-    base = root.rstrip("/").split("/")[-1]
-    found = files.select(F.regexp_extract("_metadata.file_path", rf"/{base}/(.*)\z", 1).alias("file"), F.col("value").alias("json"))
-    found = found.where(~F.col("file").rlike(r"(^|/)(\.[^/]*|node_modules)/"))
-    # One row a manifest file: an ordering of the ledger's files.
-    return found.withColumn("ord", F.row_number().over(Window.orderBy(F.collate("file", "UNICODE"), "file")))
+    names = tree.list_tree(spark, root, "wayback.json", "node_modules").select("path")
+    # Names are sorted by range and numbered within their part; only the parts' sizes meet in one place.
+    placed = settle(names.orderBy(F.collate("path", "UNICODE"), "path").select("path", F.monotonically_increasing_id().alias("_id")))
+    placed = placed.select("path", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_n"))
+    before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = placed.groupBy("_part").agg(F.count("*").alias("_size")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    numbered = placed.join(F.broadcast(parts), "_part").select("path", (F.col("_n") + F.col("_before") + 1).cast("int").alias("ord"))
+    return tree.with_content(numbered, root).select(F.col("path").alias("file"), F.col("content").cast("string").alias("json"), "ord")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -207,15 +201,13 @@ def read_texts(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFra
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], "file string, text string")
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    files = tree.read_tree(spark, root, pattern)
+    return files.select(F.concat(F.lit(root.rstrip("/") + "/"), "path").alias("file"), F.col("content").cast("string").alias("text"))
 
 
 def read_entries(spark: SparkSession, root: str) -> DataFrame:
     """(path from the root, length) of every file of a store, by listing alone; no content is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").split("/")[-1]
-    return files.select(F.regexp_extract("path", rf"/{base}/(.*)\z", 1).alias("path"), "length")
+    return tree.list_tree(spark, root).select("path", "length")
 
 
 def find_sidecar(sidecars: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -168,3 +168,26 @@ def test_streamed_bodies_cost_the_driver_no_task_each(spark, tmp_path):
     tree.write_tree(spark.createDataFrame([("cap/07/07", "other")], "path string, content string"), root)
     bodies.verify_bodies(bodies.stream_bodies(spark, root, 50), state).awaitTermination()
     assert [r["length"] for r in bodies.found_bodies(spark, state).where("path = 'cap/07/07'").orderBy("length").collect()] == [5, 9]
+
+
+@pytest.mark.parametrize("read", ["read_entries", "read_bodies", "read_raw_sidecars", "read_texts", "discover_manifests"])
+def test_files_are_listed_by_few_tasks(spark, tmp_path, read):
+    from shelfmark.sources import store
+
+    name, more = {
+        "read_bodies": ("cap/{0}/{0}", (True,)), "read_raw_sidecars": ("meta/{0}/{0}.json", ()), "read_texts": ("a/{0}/b/c/d/{0}.json", ("*.json",)),
+        "discover_manifests": ("a/{0}/wayback.json", ()), "read_entries": ("{0}/a/b/c/{0}", ()),
+    }[read]
+    root = str(tmp_path / "root")
+    paths = spread(spark, root, name)
+    spread(spark, root, "a/.hidden/{0}/wayback.json")
+    spread(spark, root, "a/node_modules/{0}/wayback.json") if read == "discover_manifests" else None
+    spark.sparkContext.setJobGroup(f"listing {read}", "")
+    try:
+        rows = getattr(store, read)(spark, root, *more).collect()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    files = [(r["path"] if "path" in r else r["file"]).removeprefix(root + "/") for r in rows]
+    assert sorted(files) == paths and most_tasks(spark, f"listing {read}") < 40
+    if read == "discover_manifests":
+        assert [f for _, f in sorted((r["ord"], r["file"]) for r in rows)] == paths and [r["ord"] for r in sorted(rows, key=lambda r: r["file"])] == list(range(1, 61))
