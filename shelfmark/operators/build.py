@@ -159,7 +159,7 @@ def remaster_tree(spark: SparkSession, hermetic: str, remastered: str) -> DataFr
     run that is repeated writes the same tree.
     """
     raw = store.read_raw_sidecars(spark, hermetic)
-    sidecars = store.parse_sidecars(raw).join(raw, "path").select("key", "content_type", "status", "content_hash", "json")
+    sidecars = store.parse_sidecars(raw, "strict", "json").select("key", "content_type", "status", "content_hash", "json")
     # Rewritten once; the steps below read it.
     built = settle(rewritten_bodies(sidecars, store.read_bodies(spark, hermetic, content=True)))
     bodies, files = tree_files(built)

@@ -166,7 +166,9 @@ def with_content(files: DataFrame, root: str, parts: int | None = None) -> DataF
                     yield pa.record_batch([*batch.slice(first, len(held)).columns, pa.array(held, pa.binary())], names=names)
                     first, size, held = first + len(held), 0, []
 
-    return _dealt(files, parts).mapInArrow(read, T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())]))
+    schema = T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())])
+    # Spark guesses the size of these rows by that of their paths: without the hint bodies of any size would be broadcast.
+    return _dealt(files, parts).mapInArrow(read, schema).hint("merge")
 
 
 def read_tree(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:

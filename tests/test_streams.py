@@ -191,3 +191,12 @@ def test_files_are_listed_by_few_tasks(spark, tmp_path, read):
     assert sorted(files) == paths and most_tasks(spark, f"listing {read}") < 40
     if read == "discover_manifests":
         assert [f for _, f in sorted((r["ord"], r["file"]) for r in rows)] == paths and [r["ord"] for r in sorted(rows, key=lambda r: r["file"])] == list(range(1, 61))
+
+
+def test_a_tree_is_not_taken_for_a_small_table(spark, tmp_path):
+    from shelfmark.sources import store
+
+    root = str(tmp_path / "root")
+    spread(spark, root, "cap/{0}/{0}")
+    plan = spark.range(10**9).selectExpr("cast(id AS string) AS path").join(store.read_bodies(spark, root, content=True), "path")
+    assert "BroadcastHashJoin" not in plan._jdf.queryExecution().executedPlan().toString()
