@@ -203,7 +203,7 @@ def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     root = tree.fresh_root(spark, "verified")
     for odd in (True, False):  # later rows arrive first
-        ledgers.append_rows(rows.where((F.col("seq") % 2 == 1) == F.lit(odd)).repartition(4, "key"), f"{root}/ledger")
+        ledgers.append_rows(rows.where((F.col("seq") % 2 == 1) == F.lit(odd)), f"{root}/ledger")
         ledgers.keep_latest(ledgers.stream_jsonl(spark, f"{root}/ledger"), f"{root}/latest", f"{root}/checkpoint").awaitTermination()
     return ledgers.verified_keys(ledgers.read_latest(spark, f"{root}/latest"), 7)
 

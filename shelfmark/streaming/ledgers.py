@@ -7,20 +7,15 @@ together, and :func:`compact` folds old ones into one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.relations import latest_rows
 
 #: A row of the ledger of verified documents. Without ``verified`` it is a stamp, with false it takes the key's stamp back.
 STAMP = "key string, seq long, ruleVersion long, verified boolean, at string"
-#: Spark keeps state of this kind in RocksDB alone.
+#: Keeps state on the executors' disks instead of in their heaps.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -29,39 +24,21 @@ def stream_jsonl(spark: SparkSession, folder: str, schema: str = STAMP) -> DataF
     return spark.readStream.schema(schema).option("mode", "DROPMALFORMED").json(folder)
 
 
-class _Latest(StatefulProcessor):
-    """Holds a key's row of the largest seq, and passes a row on when it takes that place."""
-
-    def __init__(self, schema: T.StructType, seq: str):
-        self.schema, self.seq = schema, seq
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", T.StructType([T.StructField("seq", T.LongType())]))
-
-    def handleInputRows(self, key: object, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        known = self.latest.get()[0] if self.latest.exists() else None
-        best = None
-        for frame in rows:
-            # Of rows with one seq the last of the stream stays, as when a file is read to its end.
-            last = frame[frame[self.seq] == frame[self.seq].max()].tail(1)
-            if len(last) and (best is None or last[self.seq].iloc[0] >= best[self.seq].iloc[0]):
-                best = last
-        if best is not None and (known is None or best[self.seq].iloc[0] >= known):
-            self.latest.update((int(best[self.seq].iloc[0]),))
-            yield best
-
-    def close(self) -> None:
-        pass
-
-
 def changes(rows: DataFrame, key: str = "key", seq: str = "seq") -> DataFrame:
-    """Of a stream of ledger rows, those that became their key's latest; rows without key or seq are dropped."""
-    spark = rows.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    """Of a stream of ledger rows, those that became their key's latest; rows without key or seq are dropped.
+
+    Of rows with one seq that of the later batch (by the driver's clock)
+    stays, and of one batch the last that a task reads. Tasks pass on one row
+    of each key, so a key may have any number of rows.
+    """
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    # In a stream this is the batch's own time, which is logged with it: a replayed batch has the same.
+    batch = F.current_timestamp()
     sound = rows.where(rows[key].isNotNull() & rows[seq].isNotNull())
-    return sound.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=_Latest(rows.schema, seq), outputStructType=rows.schema, outputMode="Update", timeMode="None"
-    )
+    placed = sound.select(F.struct("*").alias("row"), batch.alias("batch"))
+    last = F.max_by(F.struct("row", "batch"), F.struct(f"row.{seq}", "batch"))
+    latest = placed.groupBy(f"row.{key}").agg(last.alias("latest"))
+    return latest.where(F.col("latest.batch") == batch).select("latest.row.*")
 
 
 def keep_latest(rows: DataFrame, folder: str, checkpoint: str, key: str = "key", seq: str = "seq") -> StreamingQuery:

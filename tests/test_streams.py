@@ -54,6 +54,64 @@ def test_append_keeps_earlier_rows(spark, tmp_path):
     assert whole.count() == 2 and ledgers.verified_keys(whole, 7).count() == 0
 
 
+def test_latest_rows_are_kept_without_a_call_for_each_key(spark, tmp_path):
+    inbox, out = tmp_path / "in", str(tmp_path / "out")
+
+    def run():
+        query = ledgers.keep_latest(ledgers.stream_jsonl(spark, str(inbox)), out, str(tmp_path / "cp"))
+        query.awaitTermination()
+        return [s["operatorName"] for p in query.recentProgress for s in p["stateOperators"]]
+
+    # One key has most rows; of rows with one seq the last of a file stays, and that of a later batch.
+    put(inbox, "a.json", [*(stamp("hot", n) for n in range(5_000)), stamp("hot", 4_999, ruleVersion=8), *(stamp(f"k{n}", n) for n in range(500)), stamp("k3", 3, at=None)])
+    assert not any("Pandas" in name or "Python" in name for name in run())
+    first = {r["key"]: r for r in spark.read.parquet(out).collect()}
+    assert len(first) == 501 and (first["hot"]["seq"], first["hot"]["ruleVersion"], first["k3"]["at"]) == (4_999, 8, None)
+    put(inbox, "b.json", [stamp("hot", 4_998), stamp("k1", 1, ruleVersion=9), stamp("k2", 1), {"key": "k4"}, stamp("new", -1)])
+    run()
+    later = spark.read.parquet(out).where("batch = 1")
+    assert {(r["key"], r["seq"], r["ruleVersion"]) for r in later.collect()} == {("k1", 1, 9), ("new", -1, 7)}
+    latest = ledgers.read_latest(spark, out)
+    assert latest.count() == 502 and latest.where("key = 'k1'").first()["ruleVersion"] == 9
+
+
+def test_replayed_batch_writes_the_same_again(spark, tmp_path):
+    inbox, out, point = tmp_path / "in", str(tmp_path / "out"), tmp_path / "cp"
+    run = lambda: ledgers.keep_latest(ledgers.stream_jsonl(spark, str(inbox)), out, str(point)).awaitTermination()
+    rows = lambda: sorted(map(repr, spark.read.parquet(out).collect()))
+    put(inbox, "a.json", [stamp("a", 1), stamp("b", 2)])
+    run()
+    put(inbox, "b.json", [stamp("a", 3), stamp("b", 1), stamp("c", 1)])
+    run()
+    before = rows()
+    assert len(before) == 4
+    for name in ("1", ".1.crc"):  # as if the driver had been lost before the second batch was committed
+        (point / "commits" / name).unlink(missing_ok=True)
+    run()
+    assert rows() == before
+
+
+def test_ledger_is_written_by_the_tasks_that_read_its_rows(spark, monkeypatch):
+    from shelfmark.plans import files
+    from shelfmark.plans.catalogue import table
+
+    from .conftest import DATA
+
+    append, tasks = ledgers.append_rows, []
+    monkeypatch.setattr(ledgers, "append_rows", lambda rows, folder: (tasks.append(rows.rdd.getNumPartitions()), append(rows, folder)))
+    small = {"spark.sql.files.maxPartitionBytes": "2k", "spark.sql.files.openCostInBytes": "0"}
+    for name, value in small.items():
+        spark.conf.set(name, value)
+    try:
+        files.ledger_stream(spark, DATA)
+        read = table(spark, DATA, "events").rdd.getNumPartitions()
+    finally:
+        for name in small:
+            spark.conf.unset(name)
+        tree.drop_fresh(spark)
+    assert read > 4 and tasks == [read, read]
+
+
 def test_verification_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
     from pyspark.sql import functions as F
 
