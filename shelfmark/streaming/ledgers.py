@@ -28,8 +28,9 @@ def changes(rows: DataFrame, key: str = "key", seq: str = "seq") -> DataFrame:
     """Of a stream of ledger rows, those that became their key's latest; rows without key or seq are dropped.
 
     Of rows with one seq that of the later batch (by the driver's clock)
-    stays, and of one batch the last that a task reads. Tasks pass on one row
-    of each key, so a key may have any number of rows.
+    stays, and of one batch the last that a task reads, unless its sort
+    spills. Tasks pass on one row of each key, so a key may have any number
+    of rows.
     """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     # In a stream this is the batch's own time, which is logged with it: a replayed batch has the same.
